@@ -1,0 +1,39 @@
+"""Connected components of a links table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from storyloom.llm.common import staged
+
+
+def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable over links (a, b), for each node that has a link.
+
+    Each round takes the smallest label among neighbours and then the label of that label, so long chains shrink by
+    powers of two. Rounds are written out, so lineage stays short. A chain not done after most_rounds is an error.
+    """
+    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    for _ in range(most_rounds):
+        near = (
+            both.join(labels, both["b"] == labels["node"])
+            .groupBy("a")
+            .agg(F.min("component").alias("near"))
+        )
+        lower = (
+            labels.join(near, labels["node"] == near["a"])
+            .select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
+        )
+        lower = staged(lower)
+        above = lower.select(F.col("node").alias("up"), F.col("c").alias("upper"))
+        jumped = staged(
+            lower.join(above, lower["c"] == above["up"], "left").select(
+                "node", "was", F.least("c", "upper").alias("component")
+            )
+        )
+        labels = jumped.select("node", "component")
+        if jumped.where("was <> component").isEmpty():
+            return labels
+    raise RuntimeError(f"components are not stable after {most_rounds} rounds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +20,30 @@ def _hash(key: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = 10,
+    min_docs: int = 2,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Drops each line that min_docs documents or more hold, except in the smallest id that holds it.
 
     Returns id_col, text (kept lines joined by newlines), n_lines, n_dropped; one row for each input row.
     A null text counts as one empty line. Lines whose key has fewer than min_chars code points always stay.
     A null id is no document: its lines stay and are not counted. Rows that repeat an id and its text are one
-    document and are treated alike. Other columns are ignored, whatever their names. No rows in, none out.
+    document and are treated alike. Columns named in carry come along; others are ignored, whatever their names. No
+    rows in, none out.
 
     Plan: only 16-byte hashes are shuffled for the counts. (hash, id) pairs are made distinct first, so a line in
     a third of all documents reaches its counter as one partial count per task. The repeated hashes are written
     out before the join back, which lets adaptive execution split a hot hash. Texts are shuffled once, by id.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
     ).withColumn("tk", F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
     exploded = (
@@ -49,7 +60,7 @@ def dedup_lines(
         .groupBy("id", "tk")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    joined = rows.join(drops, ["id", "tk"], "left").select("id", lines.alias("lines"), "drop")
+    joined = rows.join(drops, ["id", "tk"], "left").select("id", lines.alias("lines"), "drop", "carried")
     # Positions, not texts, are subtracted: array_except hashes its operands, so long documents stay linear.
     positions = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
@@ -60,4 +71,20 @@ def dedup_lines(
         F.array_join(kept, "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )
+
+
+def drop_repeated_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how
+) -> DataFrame:
+    """docs with all their columns and only the lines that dedup_lines() keeps; chars_col, where there is one, is
+    brought up to date. Documents that had text and have none left are dropped, all others stay.
+    """
+    names = docs.columns
+    carry = [c for c in names if c not in (id_col, text_col)]
+    kept = dedup_lines(docs, id_col=id_col, text_col=text_col, carry=carry, **how)
+    out = kept.where((F.col("n_dropped") == 0) | (F.trim("text") != "")).withColumnRenamed("text", text_col)
+    if chars_col in names:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(names)
