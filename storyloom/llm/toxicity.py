@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,6 +71,7 @@ class Model:
     parts: np.ndarray
     bias: float
     settings: Settings
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def train(texts: list[str], toxic: list[int], settings: Settings = Settings()) -> Model:
@@ -143,7 +144,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -191,10 +192,11 @@ def score_toxicity(
     )
 
     def run(texts: list[str | None]) -> dict[str, list]:
-        if shared.id not in _scorers:
+        model = shared.value
+        if model.name not in _scorers:
             _scorers.clear()
-            _scorers[shared.id] = Scorer(shared.value)
-        return {"score": list(map(_scorers[shared.id].score, texts))}
+            _scorers[model.name] = Scorer(model)
+        return {"score": list(map(_scorers[model.name].score, texts))}
 
     out = map_texts(docs, id_col, text_col, "score double", run)
     held = F.coalesce(fold(F.col(id_col), settings.folds) == settings.held_fold, F.lit(False))
