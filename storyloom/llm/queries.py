@@ -12,6 +12,7 @@ import corpus_pipeline
 from storyloom.llm import (
     decontamination,
     html_extraction,
+    license_scan,
     line_dedup,
     lm_scoring,
     near_dedup,
@@ -50,6 +51,18 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a tree of source, language and a folder of 50 consecutive ids. A document that is short and
+    ends in a notice plays the licence file of its folder; one of the first id of a folder that of its language."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"), name)
+    top = F.concat_ws("/", "source", "lang", name)
+    files = docs.withColumn("path", F.when(F.col("doc_id") % 50 == 0, top).otherwise(folder))
+    short = F.length("text") < 600
+    return license_scan.scan_licenses(files, id_col="doc_id", licence_file=short | (F.col("doc_id") % 50 == 0))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("item_ids", "spans")
@@ -71,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_extraction": op6_html_extraction,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
