@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators import rank
@@ -36,11 +36,12 @@ def b35_rank_key(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d).select("storyline", "rubric", "rank_key")
 
 
-_ORDER = [F.desc("rank_key"), F.asc("first_at"), F.asc("c_name"), F.asc("storyline")]
+def _order() -> list[Column]:
+    return [F.desc("rank_key"), F.asc("first_at"), F.asc("c_name"), F.asc("storyline")]
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return rank.positions(rank.facets(_keys(spark, d), single={"theme": "c_mktsegment"}), ["facet_type", "facet_key"], _ORDER)
+    return rank.positions(rank.facets(_keys(spark, d), single={"theme": "c_mktsegment"}), ["facet_type", "facet_key"], _order())
 
 
 def g1_facet_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +56,7 @@ def e4_facet_rank(spark: SparkSession, d: str) -> DataFrame:
 def e5_experiment_positions(spark: SparkSession, d: str) -> DataFrame:
     keyed = _keys(spark, d).select("storyline", "c_mktsegment", (-F.col("rank_key")).alias("k"), "rank_key", "first_at", "c_name")
     every = rank.ordinals(keyed, ["k", "first_at", "c_name", "storyline"], "position")
-    ranked = rank.positions(every.withColumnRenamed("position", "global_position"), ["c_mktsegment"], _ORDER)
+    ranked = rank.positions(every.withColumnRenamed("position", "global_position"), ["c_mktsegment"], _order())
     return ranked.select("storyline", F.col("global_position").cast("long").alias("global_position"), F.col("position").alias("category_position"))
 
 

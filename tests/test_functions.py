@@ -74,3 +74,13 @@ def test_no_pair_of_vectors_is_shuffled(spark):
     rows = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(30)], "id long, embedding array<double>")
     plan = similar.nearest_neighbours(rows, rows, 3)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
