@@ -65,6 +65,7 @@ def near_duplicates(
     percent: int = 80,
     k: int = 64,
     hub_rounds: int = 2,
+    long_list: int = 50,
 ) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id reachable over links), kept (is it its own component's id).
 
@@ -78,9 +79,11 @@ def near_duplicates(
        their sketches (missed with probability 1e-7), so with all values ordered from rare to frequent they share one
        of the first m - T + 1 of theirs: only these are listed. A passage that many documents hold is frequent and
        falls out of the lists of all that hold much else.
-    3. A long list is not multiplied out. Each member is first compared with a hub of its lists; what links falls into
+    3. A long list is not multiplied out. Each member is first compared with a hub of its lists, the one that shares the
+       longest lists, then another; what links falls into
        one component. Then only pairs of one list that are still in different components are compared, all of them,
-       so no link between components is lost.
+       so no link between components is lost. Members of lists longer than long_list meet by an exact prefix filter on
+       their full sets instead, which needs no list but those of their rarest shingles.
     4. Compared means: estimated from the bottom-k of the union of both sketches, then checked on full sets.
     """
     made = "n bigint, d1 bigint, d2 bigint, sketch array<bigint>"
@@ -113,8 +116,10 @@ def near_duplicates(
         .select("id", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("take"))).alias("x"))
         .select(F.col("x.v").alias("v"), "id", "n")
     )
-    lists = staged(listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"))
-    listed = staged(listed.join(lists, "v"))
+    lists = staged(listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    # A group's unedited original is in most of its lists, and those are its longest: it makes the best hub.
+    weights = listed.join(lists, "v").groupBy("id").agg(F.sum("c").alias("weight"))
+    listed = staged(listed.join(lists.select("v"), "v").join(staged(weights), "id").select("v", "id", "n", "weight"))
     members = listed.select("id").distinct()
 
     def full(texts: list[str | None]) -> dict[str, list]:
@@ -129,12 +134,10 @@ def near_duplicates(
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         side = lambda df, to, what: df.select(F.col("id").alias(to), F.col(what).alias(what + to))
-        union = F.slice(F.array_sort(F.array_union("sketcha", "sketchb")), 1, k)
-        both = F.size(F.array_intersect(F.array_intersect(union, F.col("sketcha")), F.col("sketchb")))
         likely = (
             pairs.join(side(firsts, "a", "sketch"), "a")
             .join(side(firsts, "b", "sketch"), "b")
-            .where(both >= _needed(F.size(union), k, percent))
+            .where(_likely(F.col("sketcha"), F.col("sketchb"), k, percent))
             .select("a", "b")
             .distinct()
         )
@@ -151,13 +154,14 @@ def near_duplicates(
 
     #: Sets too different in size for the threshold can't link.
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    hub_order = lambda r: F.struct(F.col("weight"), -F.col("id")) if r == 0 else F.struct(F.xxhash64("id", F.lit(r)), F.col("id"))
     links = None
     placed = listed.withColumn("component", F.col("id"))
     for r in range(hub_rounds):
         hubs = (
             placed.groupBy("v")
             .agg(
-                F.min_by(F.struct("id", "component", "n"), F.xxhash64("id", F.lit(r))).alias("hub"),
+                F.max_by(F.struct("id", "component", "n"), hub_order(r)).alias("hub"),
                 F.min("component").alias("lo"),
                 F.max("component").alias("hi"),
             )
@@ -180,15 +184,20 @@ def near_duplicates(
     mixed = staged(
         placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
     )
-    rest = staged(placed.join(mixed, "v"))
-    other = rest.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
+    rest = placed.join(mixed, "v")
+    sized = staged(rest.groupBy("v").agg(F.count("*").alias("size")))
+    short = staged(rest.join(sized.where(F.col("size") <= long_list).select("v"), "v"))
+    other = short.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
     across = (
-        rest.withColumnRenamed("id", "a")
+        short.withColumnRenamed("id", "a")
         .join(other, "v")
         .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits)
         .select("a", "b")
-        .distinct()
     )
+    crowded = staged(
+        rest.join(sized.where(F.col("size") > long_list).select("v"), "v").select("id", "n", "component").distinct()
+    )
+    across = staged(across.union(_prefix_pairs(crowded.join(sets, "id"), firsts.select("id", "sketch"), k, percent)).distinct())
     labels = components(links.union(linked(across)).distinct())
 
     found = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
@@ -204,9 +213,58 @@ def near_duplicates(
     )
 
 
+def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
+    """Whether two sketches allow a link: enough of the k smallest values of their union are in both."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    return both >= _needed(F.size(union), k, percent)
+
+
+def _prefix_pairs(rows: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (id, n, component, set) that may link and are in different components: all such pairs.
+
+    With a set's shingles ordered from rare to frequent among these rows, partners of sizes n and m share at least
+    overlap = percent * (n + m) / (100 + percent) shingles, so they share one in the first n - overlap + 1 of the one and
+    the first m - overlap + 1 of the other. An edited copy's own shingles come first: one that was edited too much for
+    the threshold has nothing else there. Of a shingle's holders, those in its commonest component don't meet each other.
+    The join itself asks the sketches, so that it gives out few more pairs than link.
+    """
+    held = rows.select("id", "n", "component", F.explode("set").alias("v"))
+    counts = staged(held.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100)  # the last place that any partner's size can need
+    placed = staged(
+        held.join(counts, "v")
+        .groupBy("id", "n", "component")
+        .agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"))
+        .select("id", "n", "component", (F.col("n") - F.size("common")).alias("alone"), F.posexplode("common").alias("i", "x"))
+        .select("id", "n", "component", F.col("x.v").alias("v"), (F.col("alone") + F.col("i")).alias("place"))
+        .where(F.col("place") <= reach)
+    )
+    usual = (
+        placed.groupBy("v", "component")
+        .agg(F.count("*").alias("c"))
+        .groupBy("v")
+        .agg(F.max_by("component", F.struct("c", "component")).alias("usual"), F.count("*").alias("components"))
+        .where("components > 1")
+        .select("v", "usual")
+    )
+    mixed = staged(placed.join(staged(usual), "v").join(sketches, "id"))
+    a = mixed.where("component <> usual").select("v", *[F.col(c).alias(c + "_a") for c in ("id", "n", "component", "place", "sketch")])
+    b = mixed.select("v", "usual", *[F.col(c).alias(c + "_b") for c in ("id", "n", "component", "place", "sketch")])
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    met = (
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("usual")) | (F.col("id_a") < F.col("id_b")))
+        & (F.col("place_a") <= F.col("n_a") - overlap)
+        & (F.col("place_b") <= F.col("n_b") - overlap)
+        & _likely(F.col("sketch_a"), F.col("sketch_b"), k, percent)
+    )
+    return a.join(b, "v").where(met).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 def _placed(listed: DataFrame, labels: DataFrame) -> DataFrame:
     return listed.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "v", "id", "n", F.coalesce("component", "id").alias("component")
+        "v", "id", "n", "weight", F.coalesce("component", "id").alias("component")
     )
 
 
