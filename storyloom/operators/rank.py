@@ -92,3 +92,33 @@ def check_positions(ranked: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n_rows"),
         ((F.min("position") == 1) & (F.max("position") == F.count("*")) & (F.count_distinct("position") == F.count("*"))).alias("contiguous"),
     )
+
+
+def preference_weights(pairs: DataFrame, deltas: list[str], *, l2: float = 0.01, rounds: int = 40) -> list[float]:
+    """Non-negative weights of rubric deltas from pairs (won, offset, deltas), by logistic regression with a fixed
+    offset and mean loss + l2/2 |w|^2, rounded to four digits.
+
+    Newton steps: each needs only the sums of a gradient and of a small square matrix, one aggregate over the pairs.
+    """
+    import numpy as np
+
+    k = len(deltas)
+    n = max(1, pairs.count())
+    w = np.zeros(k)
+    for _ in range(rounds):
+        score = F.col("offset")
+        for c, x in zip(deltas, w, strict=True):
+            score = score + F.col(c) * float(x)
+        p = 1 / (1 + F.exp(-score))
+        miss = p - F.col("won").cast("double")
+        sums = pairs.agg(
+            *[F.sum(miss * F.col(c)).alias(f"g{i}") for i, c in enumerate(deltas)],
+            *[F.sum(p * (1 - p) * F.col(a) * F.col(b)).alias(f"h{i}_{j}") for i, a in enumerate(deltas) for j, b in enumerate(deltas)],
+        ).first()
+        gradient = np.array([sums[f"g{i}"] or 0.0 for i in range(k)]) / n + l2 * w
+        matrix = np.array([[sums[f"h{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) / n + l2 * np.eye(k)
+        step = np.linalg.solve(matrix, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return [round(float(max(0.0, x)), 4) for x in w]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
-from storyloom.operators import similar, themes, windows
+from storyloom.operators import rank, similar, themes, windows
 from storyloom.operators.components import connected_components
 from storyloom.plans import ranking, similarity
 from storyloom.plans.event_time import SQL as EVENT_SQL
@@ -87,6 +87,20 @@ def c24_training_pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.select("a", "b", (F.col("winner") == F.col("a")).alias("won"), (F.col("ra") - F.col("rb")).alias("delta"), F.round(F.col("ka") - F.col("kb") - (F.col("ra") - F.col("rb")), 6).alias("offset"))
 
 
+def h12_preference_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weight of the rubric's difference that explains the verdicts best beside the other terms."""
+    pairs = c24_training_pairs(spark, d)
+    w = rank.preference_weights(pairs, ["delta"])
+    return pairs.agg(F.count("*").alias("pairs"), F.lit(w[0]).alias("weight"))
+
+
+def h10_topology_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Label rows of each entry from its component; entries without an edge are singletons."""
+    c = similarity.h1_components(spark, d)
+    n = c.groupBy("component").agg(F.count("*").alias("size"))
+    return entries(spark, d).select("id").join(c, "id", "left").join(n, "component", "left").select("id", F.coalesce("component", "id").alias("storyline"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
 def c30_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Sources all of whose documents are reviewed and unchanged."""
     docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", "quality")
@@ -232,7 +246,7 @@ _TITLES = """tu AS (SELECT title FROM entries GROUP BY 1 HAVING count(*) BETWEEN
 QUERIES = {f.__name__: f for f in (
     c6_centroid_candidates, c7_member_retrieval, c10_candidate_merge, c11_candidate_facts, c12_blocked_pairs, c13_edge_predicate, c17_merge_candidates, c18_intruders,
     c24_training_pairs, c28_rank_detail, c29_lineage, c30_coverage, d11_run_summary, d23_b_cubed, d25_reward, d30_label_set_checks, d36_article_coverage,
-    e11_position_opinion, h3_linked_storylines, h4_average_linkage, h5_gated_themes, h6_reconciliation, h7_sweep_outcome, h11_curation, i5_promotion, i6_rebuild,
+    e11_position_opinion, h3_linked_storylines, h4_average_linkage, h5_gated_themes, h6_reconciliation, h7_sweep_outcome, h10_topology_labels, h11_curation, h12_preference_weights, i5_promotion, i6_rebuild,
     i8_active_experiment, i9_rank_receipts, i11_clear_features, j1_stub_verdicts, j7_resume)}
 SQL = {
     "c10_candidate_merge": f"""{_TOK40}, {_TITLES}, x AS (SELECT a, b, 0 AS priority, 1 AS shared FROM st UNION ALL SELECT a, b, 1, shared FROM s40 WHERE shared >= 2),
@@ -263,4 +277,5 @@ n AS (SELECT id, token, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FRO
 SELECT * FROM (SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2) WHERE cosine >= 0.3""",
     "i11_clear_features": f"WITH {ENTRIES} SELECT id, CASE WHEN length(trim(summary)) >= 40 AND length(regexp_replace(summary, '[^A-Za-z0-9]', '', 'g')) >= 20 AND NOT contains(lower(summary), 'cookie') AND NOT contains(lower(summary), 'javascript') THEN length(summary) END AS chars FROM entries",
     "j7_resume": f"SELECT id, duplicate_of FROM ({EVENT_SQL['c4_window_duplicate']}) WHERE id >= 500",
+    "h10_topology_labels": f"WITH c AS ({similarity.SQL['h1_components']}), n AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT doc_id AS id, coalesce(c.component, doc_id) AS storyline, coalesce(size, 1) AS size FROM documents LEFT JOIN c ON c.id = doc_id LEFT JOIN n ON n.component = c.component",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +46,31 @@ def j8_stream_idempotent(spark: SparkSession, d: str) -> DataFrame:
     return events.run_available(events.idempotent(s, "key")).select("key")
 
 
-QUERIES = {f.__name__: f for f in (j2_stream_duplicates, j3_stream_ema, j4_stream_episodes, j5_stream_health, j8_stream_idempotent)}
+def _store(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "storyloom-streams").as_uri()
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def j9_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/pages.parquet"
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return events.ingest(s.select(F.col("page_id").alias("id"), F.split_part("url", F.lit("?"), F.lit(1)).alias("url")), _store(spark))
+
+
+def j6_stream_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    count = lambda b: b.groupBy("sweep", "publisher").agg(F.count("*").alias("n"))
+    out = events.sweeps(_stream(spark, d), "1 day", count, _store(spark))
+    return out.select(F.unix_seconds("sweep").alias("sweep_s"), "publisher", "n")
+
+
+QUERIES = {f.__name__: f for f in (j2_stream_duplicates, j3_stream_ema, j4_stream_episodes, j5_stream_health, j8_stream_idempotent, j9_stream_ingest, j6_stream_sweeps)}
 SQL = {
     "j2_stream_duplicates": f"""WITH {MENTIONS} SELECT id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 72 HOUR THEN lag(id) OVER w END AS duplicate_of
   FROM mentions WINDOW w AS (PARTITION BY token, publisher ORDER BY ts, id)""",
     "j3_stream_ema": f"SELECT id, ema FROM ({BATCH['d5_entity_ema']})",
     "j4_stream_episodes": f"SELECT token, n, first_s, last_s FROM ({BATCH['h2_quiet_gap_episodes']})",
     "j5_stream_health": f"SELECT hour_s, success, other FROM ({BATCH['d8_hourly_health']})",
+    "j9_stream_ingest": "SELECT min(page_id) AS id, split_part(url, '?', 1) AS url FROM pages GROUP BY 2",
+    "j6_stream_sweeps": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS sweep_s, event_type AS publisher, count(*) AS n FROM events GROUP BY 1, 2",
     "j8_stream_idempotent": f"SELECT key FROM ({BATCH['j8_idempotent_events']})",
 }

@@ -91,3 +91,32 @@ def run_available(result: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{at}/out")
+
+
+def ingest(stream: DataFrame, store: str) -> DataFrame:
+    """Rows (id, url) of arriving files are appended to a table of entries if their URL is new there; a replayed
+    batch adds nothing. Returns the table."""
+    spark = stream.sparkSession
+    schema = stream.select("id", "url").schema
+
+    def add(batch: DataFrame, _: int) -> None:
+        known = batch.sparkSession.read.schema(schema).parquet(f"{store}/entries")
+        fresh = batch.groupBy("url").agg(F.min("id").alias("id")).select("id", "url").join(known.select("url"), "url", "left_anti")
+        fresh.select("id", "url").write.mode("append").parquet(f"{store}/entries")
+
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/entries")
+    stream.select("id", "url").writeStream.option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{store}/entries")
+
+
+def sweeps(stream: DataFrame, every: str, sweep, store: str) -> DataFrame:
+    """Rows are tabled by the event-time window of the sweep's cadence; sweep(rows of one batch's windows) gives the
+    result that is appended for each batch."""
+    spark = stream.sparkSession
+    windowed = stream.withColumn("sweep", F.window("ts", every)["start"])
+
+    def add(batch: DataFrame, _: int) -> None:
+        sweep(batch).write.mode("append").parquet(f"{store}/sweeps")
+
+    windowed.writeStream.option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.parquet(f"{store}/sweeps")
