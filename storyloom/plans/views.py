@@ -66,7 +66,7 @@ def d12_corpus_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d13_volume(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus").agg(F.count("*").alias("n"), F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div count(*)").alias("mean_cents"))
 
 
 def d14_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ SQL = {
     "d1_episode_rollup": f"WITH {CHAIN} SELECT storyline, count(*) AS n, CAST(epoch(min(ts)) AS BIGINT) AS first_s, CAST(epoch(max(ts)) AS BIGINT) AS last_s, array_to_string(list_sort(list_distinct(flatten(list(regexp_split_to_array(lower(text), '[^a-z]+')[1:6]))))[1:128], ' ') AS words FROM chain GROUP BY 1",
     "d3_theme_rollup": f"WITH {VECTORS} SELECT label, count(*) AS n, CAST(epoch(min(published_at)) AS BIGINT) AS first_s, CAST(epoch(max(published_at)) AS BIGINT) AS newest_s FROM vectors GROUP BY 1",
     "d12_corpus_summary": "SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) < 200) AS short, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1",
-    "d13_volume": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1, 2",
+    "d13_volume": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*) AS BIGINT) AS mean_cents FROM orders GROUP BY 1, 2",
     "d14_percentiles": "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for q, n in ((0.05, "p5"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"))) + " FROM lineitem GROUP BY 1",
     "d15_capped_histogram": f"WITH {_N} SELECT least(n, 10) AS bucket, count(*) AS storylines FROM n GROUP BY 1",
     "d17_categories": "SELECT n_name, count(c_custkey) AS storylines FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey % 4 <> 0) ON n_nationkey = c_nationkey GROUP BY 1",
