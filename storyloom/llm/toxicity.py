@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-import zlib
+from array import array
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ class Settings:
     rate: float = 0.15
     decay: float = 1e-6
     smooth: int = 4
-    most_rows: int = 5000
+    most_rows: int = 4000
     folds: int = 4
     held_fold: int = 2
     threshold: float = 0.3
@@ -36,14 +37,17 @@ class Settings:
 
 
 def ngrams(word: bytes, sizes: tuple[int, ...], buckets: int) -> list[int]:
-    """Buckets of the character n-grams of a word in its marks, and of the word as a whole."""
-    bare = word.strip(_EDGES).decode("utf-8", "replace").lower()
+    """Buckets of the character n-grams of a word in its marks (over its UTF-8 bytes), and of the word as a whole."""
+    bare = word.strip(_EDGES)
+    if not bare.isascii():
+        bare = bare.decode("utf-8", "replace").lower().encode()
     if not bare:
         return []
-    marked = f"<{bare}>"
-    parts = [marked[i : i + n] for n in sizes for i in range(len(marked) - n + 1)]
-    parts.append(f"={bare}")
-    return [zlib.crc32(p.encode()) % buckets for p in parts]
+    marked = b"<%b>" % bare
+    size = len(marked)
+    parts = [crc32(marked[i : i + n]) % buckets for n in sizes for i in range(size - n + 1)]
+    parts.append(crc32(b"=" + bare) % buckets)
+    return parts
 
 
 def words(text: str | None) -> list[bytes]:
@@ -92,15 +96,15 @@ def train(texts: list[str], toxic: list[int], settings: Settings = Settings()) -
         doc_words.append(unique)
         weights.append(counts / (len(ids) + s.smooth))
     used: dict[int, int] = {}
-    gram_rows, gram_columns, gram_weights = [], [], []
+    gram_rows, gram_columns, gram_weights = array("q"), array("q"), array("d")  # millions: numbers, not objects
     for w, i in number.items():
         own = ngrams(w, s.sizes, s.buckets)
-        gram_rows += [i] * len(own)
-        gram_columns += [used.setdefault(g, len(used)) for g in own]
-        gram_weights += [1 / max(1, len(own))] * len(own)
+        gram_rows.extend([i] * len(own))
+        gram_columns.extend([used.setdefault(g, len(used)) for g in own])
+        gram_weights.extend([1 / max(1, len(own))] * len(own))
     by_doc = _Sparse(np.concatenate(doc_rows), np.concatenate(doc_words), np.concatenate(weights), (len(y), len(number)))
     by_word = _Sparse(
-        np.array(gram_rows, np.int64), np.array(gram_columns, np.int64), np.array(gram_weights), (len(number), len(used))
+        np.frombuffer(gram_rows, np.int64), np.frombuffer(gram_columns, np.int64), np.frombuffer(gram_weights), (len(number), len(used))
     )
     rng = np.random.default_rng(s.seed)
     table = rng.normal(0, 0.3, (len(used), s.width))
