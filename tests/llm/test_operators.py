@@ -373,8 +373,9 @@ def test_toxicity_learns(spark, documents, edges, empty):
 
 
 def test_toxicity_held_out_accuracy(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """On the largest given table: about 330 toxic rows to learn from."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     j = toxicity.score_toxicity(d, labels).where("held_out").join(labels, "doc_id")
-    good, bad = (j.where(f"toxic = {y}").agg(F.avg("score")).first()[0] for y in (0, 1))
-    assert bad > good + 0.3
+    share = {r["toxic"]: r["p"] for r in j.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert share[1] >= 0.7 and share[0] <= 0.06
