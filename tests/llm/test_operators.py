@@ -279,6 +279,18 @@ def test_html_repeats_are_removed(spark, empty):
     assert html_extraction.extract_text(none).count() == 0
 
 
+def test_html_article_boilerplate_goes_and_article_text_stays(spark):
+    note = "<p>Sign up now for the daily letter of our house today</p><p>Read more</p>"
+    quote = "<p>these eight quoted words are real text of articles</p>"
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{words(i, 30)}</p>{quote if i < 4 else ''}{note}</article>") for i in range(20)]
+    rows += [(100 + i, f"http://copies.org/{i}", f"<article><p>{words(99, 40)}</p></article>") for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[9] == words(9, 30)
+    assert out[2] == f"{words(2, 30)} these eight quoted words are real text of articles"
+    assert all(out[100 + i] == words(99, 40) for i in range(5))
+
+
 def test_repeated_tokens_are_brute_force():
     rng = random.Random(9)
     for _ in range(60):
