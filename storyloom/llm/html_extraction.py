@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from storyloom.llm.common import staged
+from storyloom.llm.common import map_texts, staged
 
 # HTML's own element names, and the usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -219,21 +219,15 @@ def page_stream(blocks_of: list[str], weak: list[bool], least_tokens: int) -> tu
 
 class HostStreams:
     """The token streams of some pages of one host as one array. Hashes depend on host and tokens alone, so they are
-    the same in every task. `valid`: starts of whole substrings of least_tokens tokens within one page."""
+    the same in every task. Streams are numbers of tokens, `known` the tokens' hashes by number. `valid`: starts of whole substrings of least_tokens tokens within one page."""
 
-    def __init__(self, host: str, streams: list[list[str]], least_tokens: int):
+    def __init__(self, host: str, streams: list[np.ndarray], known: np.ndarray, least_tokens: int):
         self.width = least_tokens
-        number: dict[str, int] = {}
-        flat: list[int] = []
-        for p, stream in enumerate(streams):
-            flat += [number.setdefault(t, len(number)) for t in stream]
-            flat.append(-1 - p)
         lengths = np.array([len(s) + 1 for s in streams])
         self.pages = np.repeat(np.arange(len(streams)), lengths)
         self.ends = np.cumsum(lengths) - 1  # of the page's end mark
-        self.flat = np.array(flat, np.int64)
-        self.valid = np.arange(len(flat)) + least_tokens <= self.ends[self.pages]
-        known = np.array([_hash_of(t) for t in number] or [0], np.uint64)
+        self.flat = np.concatenate([x for p, s in enumerate(streams) for x in (s, [-1 - p])]).astype(np.int64)
+        self.valid = np.arange(len(self.flat)) + least_tokens <= self.ends[self.pages]
         self.token_hash = known[np.maximum(self.flat, 0)]
         self.seed = np.uint64(_hash_of(host))
 
@@ -259,8 +253,12 @@ class HostStreams:
         return out
 
     def minimizer_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        found, at = np.unique(self.minimizers()[self.valid], return_inverse=True)
-        return found, (class_pages(at, self.pages[self.valid]) if len(at) else at)
+        least, pages = self.minimizers()[self.valid], self.pages[self.valid]
+        if not len(least):
+            return least, pages
+        fresh = np.append(True, (least[1:] != least[:-1]) | (pages[1:] != pages[:-1]))  # neighbours mostly share theirs
+        found, at = np.unique(least[fresh], return_inverse=True)
+        return found, class_pages(at, pages[fresh])
 
     def substring_counts(self, usual: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each distinct substring whose minimizer passes the filter: hash, pages, whether it holds a weak token."""
@@ -312,13 +310,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], most_tokens: int, width: int) ->
     """Rows of a task in chunks of about most_tokens tokens: the rows with their blocks, whether their tokens are weak,
     and for each host the places of its rows and their streams."""
 
-    def made(rows: list[dict], streams: list[list[str]], weak: list[np.ndarray]):
+    def made(rows: list[dict], streams: list[np.ndarray], weak: list[np.ndarray]):
+        known = np.array([_hash_of(t) for t in number] or [0], np.uint64)
         places: dict[str, list[int]] = {}
         for i, r in enumerate(rows):
             places.setdefault(r["host"], []).append(i)
-        return rows, weak, [(at, HostStreams(h, [streams[i] for i in at], width)) for h, at in places.items()]
+        return rows, weak, [(at, HostStreams(h, [streams[i] for i in at], known, width)) for h, at in places.items()]
 
     rows, streams, weak, size = [], [], [], 0
+    number: dict[str, int] = {}
     for batch in batches:
         for row in batch.to_pylist():
             row["blocks"], row["weak"] = candidates(row.pop("html"))
@@ -326,8 +326,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], most_tokens: int, width: int) ->
             if rows and size + len(tokens) > most_tokens:
                 yield made(rows, streams, weak)
                 rows, streams, weak, size = [], [], [], 0
+                number.clear()
             rows.append(row)
-            streams.append(tokens)
+            streams.append(np.array([number.setdefault(t, len(number)) for t in tokens], np.int64))
             weak.append(flags)
             size += len(tokens)
     if rows:
@@ -428,10 +429,13 @@ def extract_text(
             texts = pa.array([" ".join(r["blocks"]) for r in mine], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in mine], key_type), texts], names=["key", "text"])
 
+    def join_blocks(texts: list[str | None]) -> dict[str, list]:
+        return {"text": [" ".join(candidates(t)[0]) for t in texts]}
+
     made = f"key {kind.simpleString()}, text string"
+    if not len(wanted[0]):  # no page loses anything
+        return map_texts(rows, "key", "html", "text string", join_blocks).select("key.id", "key.url", "text").toDF(id_col, url_col, "text")
     plain = rows.mapInArrow(whole, made).select("key.id", "key.url", "text")
-    if not len(wanted[0]):
-        return plain.toDF(id_col, url_col, "text")
 
     def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _filter(wanted)

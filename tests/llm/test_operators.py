@@ -291,6 +291,18 @@ def test_html_article_boilerplate_goes_and_article_text_stays(spark):
     assert all(out[100 + i] == words(99, 40) for i in range(5))
 
 
+def test_html_repeats_are_counted_over_chunks_and_partitions(spark):
+    banner = "<div>this banner stands on only a few pages of the host</div>"
+    rows = [(i, f"http://h.org/{i}", f"<body>{banner if i in (3, 40, 77) else ''}<div>own words of page number {i} {i}a {i}b {i}c</div></body>") for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [
+        {r["page_id"]: r["text"] for r in html_extraction.extract_text(df.repartition(n), chunk_tokens=chunk).collect()}
+        for n, chunk in ((1, 300_000), (1, 60), (7, 300_000))
+    ]
+    assert got[0][40] == "own words of page number 40 40a 40b 40c" and len(got[0]) == 80
+    assert got[0] == got[1] == got[2]
+
+
 def test_repeated_tokens_are_brute_force():
     rng = random.Random(9)
     for _ in range(60):
