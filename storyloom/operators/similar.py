@@ -63,6 +63,34 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, blocks: int
     return part.withColumn("rank", best(["q"])).where(F.col("rank") <= k).select("q", "id", "sim", "rank")
 
 
+def best_in_groups(queries: DataFrame, rows: DataFrame, group: str, blocks: int = 16) -> DataFrame:
+    """(q, group, sim) of each query's best cosine among the members of each group. Blocks as in nearest_neighbours;
+    only the best of each query, group and block is shuffled."""
+    q = with_norm(queries).select(F.col("id").alias("q"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
+    r = with_norm(rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    spread = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    sim = F.round(vectors.cosine(F.col("qe"), F.col("embedding"), F.col("qn"), F.col("norm")), 9)
+    met = spread.join(r, "block").where("q <> id").select("q", group, sim.alias("sim"))
+    return met.groupBy("q", group).agg(F.max("sim").alias("sim"))
+
+
+def overlap_edges(rows: DataFrame, least: int) -> DataFrame:
+    """H3: edges (a < b) that connect just those rows (id, token) that pairs sharing `least` tokens or more connect.
+
+    Rows of equal token sets are one class: an edge to its smallest row each. Classes meet by the prefix filter: with
+    tokens in order of rarity, two sets that share `least` share one of the first size - least + 1 of each."""
+    t = rows.distinct()
+    ranked = t.join(t.groupBy("token").agg(F.count("*").alias("n")), "token")
+    sets = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    sets = sets.where(F.size("tokens") >= least)
+    classes = sets.groupBy("tokens").agg(F.min("id").alias("a"))
+    same = sets.join(classes, "tokens").where("a < id").select("a", F.col("id").alias("b"))
+    prefix = classes.withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - (least - 1))))
+    other = prefix.select("token", F.col("a").alias("b"), F.col("tokens").alias("tokens_b"))
+    met = prefix.join(other, "token").where("a < b").where(F.size(F.array_intersect("tokens", "tokens_b")) >= least)
+    return same.union(met.select("a", "b").distinct())
+
+
 def shared_tokens(rows: DataFrame, *, most_holders: int | None = None) -> DataFrame:
     """Pairs (a < b) of rows (id, token) that share tokens, with how many, as an equi-join on tokens. With
     most_holders, tokens of more rows than that are left out on both sides: the rule of blocked candidates (C12)."""

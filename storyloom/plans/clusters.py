@@ -24,8 +24,7 @@ def c6_centroid_candidates(spark: SparkSession, d: str) -> DataFrame:
 def c7_member_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Best cosine of each query to the members of each storyline."""
     v = vectors(spark, d)
-    pairs = similar.nearest_neighbours(v.where("id % 50 = 0"), v, 40)
-    best = pairs.join(v.select("id", "label"), "id").groupBy("q", "label").agg(F.round(F.max("sim"), 6).alias("score"))
+    best = similar.best_in_groups(v.where("id % 50 = 0"), v, "label").select("q", "label", F.round("sim", 6).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "label")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")
 
@@ -189,9 +188,9 @@ def h11_curation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h3_linked_storylines(spark: SparkSession, d: str) -> DataFrame:
-    """Edges from each entry to earlier ones: exact duplicates, near ones, shared rare tokens; then components."""
+    """Edges from each entry to earlier ones: exact duplicates, three shared tokens; then components."""
     dup = c4_window_duplicate(spark, d).where("duplicate_of is not null").select(F.col("duplicate_of").alias("a"), F.col("id").alias("b"))
-    tok = similar.shared_tokens(_tokens(spark, d), most_holders=40).where("shared >= 3").select("a", "b")
+    tok = similar.overlap_edges(_tokens(spark, d), 3)
     return connected_components(dup.union(tok)).select(F.col("node").alias("id"), F.col("component").alias("storyline"))
 
 
