@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
-from storyloom.operators.components import connected_components, kept
+from storyloom.operators.components import kept
 
 
 def theme_edges(rows: DataFrame, by: str, least: float) -> DataFrame:
@@ -26,44 +24,41 @@ def gated_themes(members: DataFrame, *, least_members: int, least_days: int) ->
     return g.where((F.col("n") >= least_members) & (F.col("days") >= least_days))
 
 
-def average_linkage(rows: DataFrame, edges: DataFrame, stop: float, most: int = 2000) -> DataFrame:
-    """H4: (id, cluster) by average linkage down to a mean cosine of `stop`. A merge needs a pair at the stop value, so
-    no cluster leaves a component of the graph of such pairs: each component is one task's work. A component over
-    `most` rows stays one cluster, its component."""
-    labels = connected_components(edges)
-    placed = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
-    sized = kept(placed.join(sizes, "component").select("id", "embedding", "component", "size"))
-
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id").reset_index(drop=True)
-        x = np.stack([np.asarray(e, float) for e in part["embedding"]])
-        n = np.linalg.norm(x, axis=1)
-        x = x / np.where(n == 0, 1, n)[:, None]
-        sims = x @ x.T
-        groups = [[i] for i in range(len(part))]
-        while len(groups) > 1:
-            best = max(((sims[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])), default=None)
-            if best is None or best[0] < stop:
-                break
-            i, j = -best[1], -best[2]
-            groups[j] += groups.pop(i)
-        cluster = {i: part["id"][min(g)] for g in groups for i in g}
-        return pd.DataFrame({"id": part["id"], "cluster": [cluster[i] for i in range(len(part))]})
-
-    small = sized.where((F.col("size") > 1) & (F.col("size") <= most)).select("id", "embedding", "component")
-    linked = small.groupBy("component").applyInPandas(lambda p: link(p), "id long, cluster long")
-    return linked.union(sized.where((F.col("size") == 1) | (F.col("size") > most)).select("id", F.col("component").alias("cluster")))
-
-
-def greedy_matches(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def average_linkage(rows: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
+    """H4: (id, cluster) by average linkage down to a mean cosine of `stop`; edges: the pairs (a, b) at the stop value or
+    above, without which no merge can be. In each round all pairs of clusters merge that are best for each other, ties by
+    a hash, so that copies halve in number: average linkage can't bring a third cluster nearer to a merged one than to both its parts, so that gives one
+    merge at a time's clusters. A cluster is its sum of unit vectors and its size: the mean cosine of two is a product."""
+    norm = vectors.norm(F.col("embedding"))
+    unit = F.transform("embedding", lambda e: F.when(norm == 0, F.lit(0.0)).otherwise(e.cast("double") / norm))
+    clusters = kept(rows.select(F.col("id").alias("c"), unit.alias("s"), F.lit(1).cast("long").alias("n")))
+    members = kept(rows.select("id", F.col("id").alias("cluster")))
+    pairs = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    side = lambda x: clusters.select(F.col("c").alias(x), F.col("s").alias("s" + x), F.col("n").alias("n" + x))
+    while True:
+        dot = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(dot / (F.col("na") * F.col("nb")), 12).alias("mean"))
+        near = kept(met.where(F.col("mean") >= stop))
+        if near.isEmpty():
+            return members
+        ends = near.select(F.explode(F.array("a", "b")).alias("e"), F.struct((-F.col("mean")).alias("m"), F.xxhash64("a", "b").alias("h"), "a", "b").alias("x"))
+        best = ends.groupBy("e").agg(F.min("x").alias("x"))
+        merged = kept(best.groupBy("x").agg(F.count("*").alias("n")).where("n = 2").select(F.col("x.b").alias("was"), F.col("x.a").alias("now")))
+        moved = lambda df, c: df.join(merged, df[c] == merged["was"], "left").withColumn(c, F.coalesce("now", c)).drop("was", "now")
+        members = kept(moved(members, "cluster"))
+        grown = moved(clusters, "c").select("c", "n", F.posexplode("s").alias("dim", "v"))
+        sums = grown.groupBy("c", "dim").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        clusters = kept(sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda e: e["v"]).alias("s"), F.max("n").alias("n")))
+        pairs = moved(moved(pairs, "a"), "b").where("a <> b")
+        pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def greedy_matches(edges: DataFrame) -> DataFrame:
     """H6: one-to-one matches of edges (l, r, score), best score first, ties by l and r: in each round the edges that
-    are best for both their ends are taken, which is greedy's choice under a total order."""
+    are best for both their ends are taken, which is greedy's choice under a total order. Each round takes one at least."""
     left, taken = kept(edges.select("l", "r", "score")), None
     order = [F.desc("score"), F.asc("l"), F.asc("r")]
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         ranked = left.withColumn("rl", F.row_number().over(Window.partitionBy("l").orderBy(*order))).withColumn("rr", F.row_number().over(Window.partitionBy("r").orderBy(*order)))
         now = kept(ranked.where("rl = 1 and rr = 1").select("l", "r", "score"))
         taken = now if taken is None else kept(taken.union(now))

@@ -6,8 +6,9 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from storyloom.operators import similar
+from storyloom.operators import similar, themes
 from storyloom.operators.components import connected_components
 
 
@@ -40,3 +41,38 @@ def test_overlap_edges_have_no_cap_on_holders(spark):
         root[y] = x
     assert got == {i: find(i) for i in {n for p in pairs for n in p}}
     assert max(Counter(got.values()).values()) >= 90
+
+
+def _linked(x: np.ndarray, stop: float) -> set[frozenset]:
+    """Average linkage, one merge at a time."""
+    sims = x @ x.T
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 1:
+        mean, i, j = max((sims[np.ix_(groups[i], groups[j])].mean(), i, j) for i in range(len(groups)) for j in range(i))
+        if mean < stop:
+            break
+        groups[j] += groups.pop(i)
+    return {frozenset(g) for g in groups}
+
+
+def test_average_linkage_is_one_merge_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, "t", v.tolist()) for i, v in enumerate(x)], "id long, label string, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in themes.average_linkage(df.select("id", "embedding"), themes.theme_edges(df, "label", 0.4), 0.4).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(g) for g in got.values()} == _linked(x, 0.4)
+    assert all(c == min(g) for c, g in got.items())
+
+
+def test_average_linkage_splits_large_components(spark):
+    """2,101 rows in one component: one row links two bundles that average linkage keeps apart."""
+    rows = [(i, [1.0, 0.0]) for i in range(1050)] + [(1050 + i, [0.0, 1.0]) for i in range(1050)] + [(2100, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    tree = spark.createDataFrame([(0, 2100), (1050, 2100)], "a long, b long")
+    full = spark.range(2100).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 20)).alias("b"))
+    full = full.where("b < 2100 and floor(a / 1050) = floor(b / 1050)")
+    got = {r["id"]: r["cluster"] for r in themes.average_linkage(df, full.union(tree), 0.6).collect()}
+    assert got[5] == 0 and got[1500] == 1050 and len(got) == 2101
