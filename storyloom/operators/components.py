@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir and read again: short lineage that
-    outlives executors. A local folder only where that is unset."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "storyloom-work").as_uri()
-    path = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from storyloom.operators.scratch import kept
 
 
 def connected_components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:

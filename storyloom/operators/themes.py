@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
-from storyloom.operators.components import kept
+from storyloom.operators.scratch import kept
 
 
 def theme_edges(rows: DataFrame, by: str, least: float) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,17 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from storyloom.functions import text
+from storyloom.operators.scratch import new_folder
 from storyloom.plans.roles import ENTRIES, entries, table
 from storyloom.sources import feeds
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "storyloom-sources").as_uri()
-    return f"{base.rstrip('/')}/source-{uuid.uuid4().hex}"
-
-
 def a1_inventory_csv(spark: SparkSession, d: str) -> DataFrame:
-    at = _scratch(spark)
+    at = new_folder(spark, "source")
     s = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "quoted"')).alias("s_name"), "s_nationkey")
     s.write.option("header", True).option("escape", '"').csv(at)
     schema = StructType.fromDDL("s_suppkey bigint, s_name string, s_nationkey int")
@@ -72,17 +64,17 @@ def _run_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def a8_run_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.write_snapshot(_run_tables(spark, d), _scratch(spark))
+    return feeds.write_snapshot(_run_tables(spark, d), new_folder(spark, "source"))
 
 
 def a9_snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
-    at = _scratch(spark)
+    at = new_folder(spark, "source")
     feeds.write_snapshot(_run_tables(spark, d), at)
     return spark.read.parquet(f"{at}/orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
 def a10_json_export(spark: SparkSession, d: str) -> DataFrame:
-    at = _scratch(spark)
+    at = new_folder(spark, "source")
     feeds.export_json_lines(table(spark, d, "labels"), ["doc_id"], at)
     return spark.read.schema("doc_id bigint, quality int, toxic int").json(at)
 

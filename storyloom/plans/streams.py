@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators.scratch import new_folder
 from storyloom.plans.event_time import SQL as BATCH
 from storyloom.plans.event_time import WEEK_S
 from storyloom.plans.roles import MENTIONS, seconds
@@ -46,20 +43,15 @@ def j8_stream_idempotent(spark: SparkSession, d: str) -> DataFrame:
     return events.run_available(events.idempotent(s, "key")).select("key")
 
 
-def _store(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "storyloom-streams").as_uri()
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 def j9_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/pages.parquet"
     s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    return events.ingest(s.select(F.col("page_id").alias("id"), F.split_part("url", F.lit("?"), F.lit(1)).alias("url")), _store(spark))
+    return events.ingest(s.select(F.col("page_id").alias("id"), F.split_part("url", F.lit("?"), F.lit(1)).alias("url")), new_folder(spark, "store"))
 
 
 def j6_stream_sweeps(spark: SparkSession, d: str) -> DataFrame:
     count = lambda b: b.groupBy("sweep", "publisher").agg(F.count("*").alias("n"))
-    out = events.sweeps(_stream(spark, d), "1 day", count, _store(spark))
+    out = events.sweeps(_stream(spark, d), "1 day", count, new_folder(spark, "store"))
     return out.select(F.unix_seconds("sweep").alias("sweep_s"), "publisher", "n")
 
 

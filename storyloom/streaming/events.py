@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from storyloom.operators.scratch import new_folder
+
 
 def duplicate_flags(stream: DataFrame, key: str, hours: int) -> DataFrame:
     """For each row (key, id, ts) the newest earlier row of its key, if strictly within the window. State per key:
@@ -82,8 +81,7 @@ def run_available(result: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source holds now and returns the rows, from the cluster's shared folder. In complete
     mode the last batch's table replaces those before."""
     spark: SparkSession = result.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "storyloom-streams").as_uri()
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = new_folder(spark, "stream")
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{at}/out").start()
