@@ -1,11 +1,8 @@
-"""What the operators of this subpackage share: reading, scratch tables, text normal forms."""
+"""What the operators of this subpackage share: reading, tables that cut lineage (staged), text normal forms."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from storyloom.operators.scratch import kept as staged
+
+__all__ = ["ascii_lower", "let", "map_texts", "staged", "strip_white", "table", "words_of"]
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\f\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,27 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.gettempdir(), "storyloom-scratch").as_uri()
-    return f"{base.rstrip('/')}/storyloom-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of df, written once to the shared scratch folder and read again.
-
-    Cuts lineage with files that outlive any executor, so that a lost one costs only its running tasks.
-    """
-    path = scratch_dir(df.sparkSession)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; other letters stay, unlike lower()."""
     return F.translate(text, _UPPER, _UPPER.lower())

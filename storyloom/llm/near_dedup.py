@@ -4,14 +4,15 @@ estimates, exact Jaccard on full sets, connected components."""
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import map_texts, staged
-from storyloom.llm.graph import components
 from storyloom.llm.word_hash import chunks, mix, word_hashes
+from storyloom.operators.components import connected_components
 
 #: Odd multipliers for the places in a shingle.
 _PLACES = np.random.default_rng(4).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +40,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def least_overlap(k: int, percent: int, miss: float = 1e-7) -> int:
+def least_overlap(k: int, percent: int, miss: float) -> int:
     """Most T for which a pair at the threshold shares fewer than T of the k smallest values of its union with a
     probability of at most `miss` (a binomial bound on the hypergeometric tail)."""
     p, tail = percent / 100, 0.0
@@ -50,10 +51,32 @@ def least_overlap(k: int, percent: int, miss: float = 1e-7) -> int:
     return k
 
 
-def _needed(n: Column, k: int, percent: int) -> Column:
-    """Retained values that a partner at the threshold shares with a set of n: exactly known up to k, else T."""
-    exact = F.ceil(n * percent / 100).cast("int")
-    return F.least(exact, F.lit(least_overlap(k, percent)))
+@dataclass(frozen=True)
+class Threshold:
+    """When sets link, and what their sketches of k values then share."""
+
+    percent: int
+    k: int | None
+    miss: float
+
+    def needed(self, n: Column) -> Column:
+        """Retained values that a partner at the threshold shares with a set of n: exactly known up to k, else T."""
+        exact = F.ceil(n * self.percent / 100).cast("int")
+        return exact if self.k is None else F.least(exact, F.lit(least_overlap(self.k, self.percent, self.miss)))
+
+    def likely(self, a: Column, b: Column) -> Column:
+        """Whether two sketches allow a link: enough of the k smallest values of their union are in both."""
+        union = F.sort_array(F.array_union(a, b))
+        union = union if self.k is None else F.slice(union, 1, self.k)
+        return F.size(F.array_intersect(F.array_intersect(union, a), b)) >= self.needed(F.size(union))
+
+    def fits(self, n: Column, m: Column) -> Column:
+        """Whether the sizes of two sets allow a link."""
+        return (n * 100 >= m * self.percent) & (m * 100 >= n * self.percent)
+
+    def apart(self, sizes: Column) -> Column:
+        """Most shingles that are in only one of two linked sets, by the sum of their sizes."""
+        return F.floor(sizes * (100 - self.percent) / F.lit(100 + self.percent)).cast("int")
 
 
 def near_duplicates(
@@ -63,147 +86,147 @@ def near_duplicates(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    k: int = 64,
+    k: int | None = 64,
+    miss: float = 1e-7,
     hub_rounds: int = 2,
+    spread_rounds: int = 2,
     long_list: int = 50,
 ) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id reachable over links), kept (is it its own component's id).
 
-    Sets link if 100 * intersection >= percent * union. One row for each row. A text without words has no shingles and
-    is linked with nothing. A null id takes no part: component_id null, kept true. Rows that repeat an id and a text
-    are one document. Other columns are ignored.
+    Sets link if 100 * intersection >= percent * union. One row for each row, none for none. A text without words, or
+    null, has no shingles and is linked with nothing. A null id takes no part: component_id null, kept true. Rows that
+    repeat an id and a text are one document; rows that share an id but not a text are documents of their own with that
+    id. Texts of any length are read whole. Other columns are ignored.
 
     1. One pass makes each text's set, its bottom-k sketch and a 128-bit digest of the set. Equal sets are one class,
        by partial aggregation, so thousands of copies cost nothing more.
-    2. Inverted lists of retained values, for the classes' first documents. Partners share at least T of the values in
-       their sketches (missed with probability 1e-7), so with all values ordered from rare to frequent they share one
+    2. Inverted lists of retained values, for the classes. Partners share at least T of the values in their sketches
+       (missed with a probability of at most `miss`), so with all values ordered from rare to frequent they share one
        of the first m - T + 1 of theirs: only these are listed. A passage that many documents hold is frequent and
-       falls out of the lists of all that hold much else.
+       falls out of the lists of all that hold much else. k=None retains whole sets: exact, for more disk.
     3. A long list is not multiplied out. Each member is first compared with a hub of its lists, the one that shares the
-       longest lists, then another; what links falls into
-       one component. Then only pairs of one list that are still in different components are compared, all of them,
-       so no link between components is lost. Members of lists longer than long_list meet by an exact prefix filter on
-       their full sets instead, which needs no list but those of their rarest shingles.
+       longest lists, then another; what links falls into one component. Then only pairs of one list that are still in
+       different components are compared, so no link between components is lost. Lists longer than long_list are
+       first taken apart by the differences of their members from a hub (see _spread).
     4. Compared means: estimated from the bottom-k of the union of both sketches, then checked on full sets.
     """
     made = "n bigint, d1 bigint, d2 bigint, sketch array<bigint>"
+    at = Threshold(percent, k, miss)
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    digest = lambda s: signed(mix(s).sum(dtype=np.uint64))
 
     def sketch(texts: list[str | None]) -> dict[str, list]:
         sets = shingle_sets(texts, width)
-        signed = lambda x: int(np.uint64(x).astype(np.int64))
         return {
             "n": [len(s) for s in sets],
-            "d1": [signed(mix(s).sum(dtype=np.uint64)) for s in sets],
+            "d1": [digest(s) for s in sets],
             "d2": [signed(mix(s * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)).sum(dtype=np.uint64)) for s in sets],
             "sketch": [s[:k].astype(np.int64) for s in sets],
         }
 
     made_rows = staged(map_texts(docs, id_col, text_col, made, sketch).withColumnRenamed(id_col, "id"))
     real = made_rows.where("id is not null and n > 0")
-    classes = staged(real.groupBy("n", "d1", "d2").agg(F.min("id").alias("first")))
-    firsts = staged(
-        real.join(classes.select(F.col("first").alias("id")), "id", "left_semi").select("id", "n", "sketch")
+    classes = staged(
+        real.groupBy("n", "d1", "d2")
+        .agg(F.min("id").alias("first"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-
-    values = firsts.select("id", "n", F.explode("sketch").alias("v"))
+    values = classes.select("node", "n", F.explode("sketch").alias("v"))
     shared = staged(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
     listed = staged(
         values.join(shared, "v")
-        .groupBy("id", "n")
+        .groupBy("node", "n")
         .agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("by_rarity"))
         # values that no other set holds come first of all and need no list
-        .withColumn("take", F.greatest(F.lit(0), F.size("by_rarity") - _needed(F.col("n"), k, percent) + 1))
-        .select("id", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("take"))).alias("x"))
-        .select(F.col("x.v").alias("v"), "id", "n")
+        .withColumn("take", F.greatest(F.lit(0), F.size("by_rarity") - at.needed(F.col("n")) + 1))
+        .select("node", "n", F.explode(F.slice("by_rarity", F.lit(1), F.col("take"))).alias("x"))
+        .select(F.col("x.v").alias("v"), "node", "n")
     )
     lists = staged(listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
     # A group's unedited original is in most of its lists, and those are its longest: it makes the best hub.
-    weights = listed.join(lists, "v").groupBy("id").agg(F.sum("c").alias("weight"))
-    listed = staged(listed.join(lists.select("v"), "v").join(staged(weights), "id").select("v", "id", "n", "weight"))
-    members = listed.select("id").distinct()
+    weights = listed.join(lists, "v").groupBy("node").agg(F.sum("c").alias("weight"))
+    listed = staged(listed.join(lists.select("v"), "v").join(staged(weights), "node").select("v", "node", "n", "weight"))
+    members = staged(listed.select("node").distinct().join(classes.select("node", "first", "d1"), "node"))
 
     def full(texts: list[str | None]) -> dict[str, list]:
-        return {"set": [s.astype(np.int64) for s in shingle_sets(texts, width)]}
+        sets = shingle_sets(texts, width)
+        return {"d1": [digest(s) for s in sets], "set": [s.astype(np.int64) for s in sets]}
 
-    wanted = docs.join(members.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    wanted = docs.join(members.select(F.col("first").alias(id_col)).distinct(), id_col, "left_semi")
     sets = staged(
-        map_texts(wanted.select(id_col, text_col), id_col, text_col, "set array<bigint>", full)
-        .withColumnRenamed(id_col, "id")
+        map_texts(wanted.select(id_col, text_col), id_col, text_col, "d1 bigint, set array<bigint>", full)
+        .withColumnRenamed(id_col, "first")
+        .join(members, ["first", "d1"])
+        .select("node", "set")
+        .dropDuplicates(["node"])
     )
+    sketches = classes.select("node", "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
-        side = lambda df, to, what: df.select(F.col("id").alias(to), F.col(what).alias(what + to))
-        likely = (
-            pairs.join(side(firsts, "a", "sketch"), "a")
-            .join(side(firsts, "b", "sketch"), "b")
-            .where(_likely(F.col("sketcha"), F.col("sketchb"), k, percent))
+        likely = staged(
+            pairs.join(_side(sketches, "a"), "a")
+            .join(_side(sketches, "b"), "b")
+            .where(at.likely(F.col("sketch_a"), F.col("sketch_b")))
             .select("a", "b")
             .distinct()
         )
-        likely = staged(likely)
-        common = F.size(F.array_intersect("seta", "setb"))
+        common = F.size(F.array_intersect("set_a", "set_b"))
         return (
-            likely.join(side(sets, "a", "set"), "a")
-            .join(side(sets, "b", "set"), "b")
-            .select("a", "b", common.alias("i"), (F.size("seta") + F.size("setb")).alias("s"))
+            likely.join(_side(sets, "a"), "a")
+            .join(_side(sets, "b"), "b")
+            .select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
             .where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent)
             .select("a", "b")
             .distinct()
         )
 
-    #: Sets too different in size for the threshold can't link.
-    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    hub_order = lambda r: F.struct(F.col("weight"), -F.col("id")) if r == 0 else F.struct(F.xxhash64("id", F.lit(r)), F.col("id"))
+    hub_order = lambda r: F.struct(F.col("weight"), -F.col("node")) if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), F.col("node"))
     links = None
-    placed = listed.withColumn("component", F.col("id"))
+    placed = listed.withColumn("component", F.col("node"))
     for r in range(hub_rounds):
         hubs = (
             placed.groupBy("v")
             .agg(
-                F.max_by(F.struct("id", "component", "n"), hub_order(r)).alias("hub"),
+                F.max_by(F.struct("node", "component", "n"), hub_order(r)).alias("hub"),
                 F.min("component").alias("lo"),
                 F.max("component").alias("hi"),
             )
             .where("lo <> hi")
-            .select("v", F.col("hub.id").alias("hub"), F.col("hub.component").alias("hub_component"), F.col("hub.n").alias("m"))
+            .select("v", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"), F.col("hub.n").alias("m"))
         )
         best = (
             placed.join(staged(hubs), "v")
-            .where((F.col("component") != F.col("hub_component")) & fits)
-            .groupBy("id", "hub")
+            .where((F.col("component") != F.col("hub_component")) & at.fits(F.col("n"), F.col("m")))
+            .groupBy("node", "hub")
             .agg(F.count("*").alias("c"))
-            .groupBy("id")
+            .groupBy("node")
             .agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
         )
-        pairs = best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = linked(pairs)
+        found = linked(_pair("node", "hub", best).distinct())
         links = staged(found if links is None else links.union(found).distinct())
-        placed = _placed(listed, components(links))
-    placed = staged(placed)
-    mixed = staged(
-        placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-    )
-    rest = placed.join(mixed, "v")
-    sized = staged(rest.groupBy("v").agg(F.count("*").alias("size")))
-    short = staged(rest.join(sized.where(F.col("size") <= long_list).select("v"), "v"))
-    other = short.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
+        placed = _placed(listed, connected_components(links))
+    sized = _sized(placed, ["v"])
+    rest = staged(placed.join(sized, "v"))
+    short = rest.where(F.col("size") <= long_list)
+    other = short.select("v", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
     across = (
-        short.withColumnRenamed("id", "a")
+        short.withColumnRenamed("node", "a")
         .join(other, "v")
-        .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits)
+        .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & at.fits(F.col("n"), F.col("m")))
         .select("a", "b")
     )
-    crowded = staged(
-        rest.join(sized.where(F.col("size") > long_list).select("v"), "v").select("id", "n", "component").distinct()
-    )
-    across = staged(across.union(_prefix_pairs(crowded.join(sets, "id"), firsts.select("id", "sketch"), k, percent)).distinct())
-    labels = components(links.union(linked(across)).distinct())
-
-    found = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "first").alias("component_id")
-    )
-    out = made_rows.select("id", "n", "d1", "d2").join(staged(found), ["n", "d1", "d2"], "left")
+    crowded = rest.where(F.col("size") > long_list).select(F.col("v").alias("k1"), F.lit(0).cast("long").alias("k2"), "node", "n", "weight")
+    links, spread = _spread(crowded, sets, links, at, spread_rounds, long_list)
+    across = across if spread is None else across.union(spread)
+    labels = staged(connected_components(links.union(linked(across.distinct())).distinct()))
+
+    named = classes.select("node", "first", "n", "d1", "d2").join(labels, "node")
+    least = staged(named.groupBy("component").agg(F.min("first").alias("component_id")))
+    found = classes.select("node", "first", "n", "d1", "d2").join(labels, "node", "left").join(least, "component", "left")
+    found = staged(found.select("n", "d1", "d2", F.coalesce("component_id", "first").alias("component_id")))
+    out = made_rows.select("id", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col),
@@ -213,59 +236,104 @@ def near_duplicates(
     )
 
 
-def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
-    """Whether two sketches allow a link: enough of the k smallest values of their union are in both."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return both >= _needed(F.size(union), k, percent)
+def _side(rows: DataFrame, to: str) -> DataFrame:
+    return rows.select(F.col("node").alias(to), *[F.col(c).alias(f"{c}_{to}") for c in rows.columns if c != "node"])
 
 
-def _prefix_pairs(rows: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (id, n, component, set) that may link and are in different components: all such pairs.
+def _pair(x: str, y: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    With a set's shingles ordered from rare to frequent among these rows, partners of sizes n and m share at least
-    overlap = percent * (n + m) / (100 + percent) shingles, so they share one in the first n - overlap + 1 of the one and
-    the first m - overlap + 1 of the other. An edited copy's own shingles come first: one that was edited too much for
-    the threshold has nothing else there. Of a shingle's holders, those in its commonest component don't meet each other.
-    The join itself asks the sketches, so that it gives out few more pairs than link.
-    """
-    held = rows.select("id", "n", "component", F.explode("set").alias("v"))
-    counts = staged(held.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
-    reach = F.col("n") - F.ceil(F.col("n") * percent / 100)  # the last place that any partner's size can need
-    placed = staged(
-        held.join(counts, "v")
-        .groupBy("id", "n", "component")
-        .agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"))
-        .select("id", "n", "component", (F.col("n") - F.size("common")).alias("alone"), F.posexplode("common").alias("i", "x"))
-        .select("id", "n", "component", F.col("x.v").alias("v"), (F.col("alone") + F.col("i")).alias("place"))
-        .where(F.col("place") <= reach)
-    )
-    usual = (
-        placed.groupBy("v", "component")
-        .agg(F.count("*").alias("c"))
-        .groupBy("v")
-        .agg(F.max_by("component", F.struct("c", "component")).alias("usual"), F.count("*").alias("components"))
-        .where("components > 1")
-        .select("v", "usual")
-    )
-    mixed = staged(placed.join(staged(usual), "v").join(sketches, "id"))
-    a = mixed.where("component <> usual").select("v", *[F.col(c).alias(c + "_a") for c in ("id", "n", "component", "place", "sketch")])
-    b = mixed.select("v", "usual", *[F.col(c).alias(c + "_b") for c in ("id", "n", "component", "place", "sketch")])
-    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    met = (
-        (F.col("component_a") != F.col("component_b"))
-        & ((F.col("component_b") == F.col("usual")) | (F.col("id_a") < F.col("id_b")))
-        & (F.col("place_a") <= F.col("n_a") - overlap)
-        & (F.col("place_b") <= F.col("n_b") - overlap)
-        & _likely(F.col("sketch_a"), F.col("sketch_b"), k, percent)
-    )
-    return a.join(b, "v").where(met).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the component of their node; a node without a link is its own."""
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-def _placed(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    return listed.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "v", "id", "n", "weight", F.coalesce("component", "id").alias("component")
-    )
+
+def _sized(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys whose rows are in more than one component, and how many rows each has."""
+    sums = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    return staged(sums.where("lo <> hi").select(*key, "size"))
+
+
+def _spread(
+    entries: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold, rounds: int, long_list: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Long lists (k1, k2, node, n, weight) taken apart: links with those found, and pairs (a, b) of what is still apart;
+    every link between different components is among them.
+
+    All members of a list are compared with one of them, its hub: let D(x) be the shingles that are in just one of x and
+    the hub. Sets x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, so if they link, D(x) and D(y) share at
+    least t = (|D(x)| + |D(y)| - most) / 2, where `most` is what linked sets of their sizes differ in. With both linked to
+    the hub they are in its component. Else one, x, is not, and t is over 1 and over about half of |D(y)|; of |D(x)| it
+    leaves out at most `most`, and half of it too if y isn't linked to the hub either. With differences ordered from
+    rare to common they share one among the first |D| - t + 1 of each. So (hub, difference) is the key of the next,
+    shorter list. Edits of one's own are rare and come first, so few members meet. Lists that are still long are taken
+    apart again. The rows made are those of the differences.
+    """
+    percent = at.percent
+    pairs = None
+    for r in range(rounds):
+        if entries.isEmpty():
+            return links, pairs
+        hubs = staged(
+            entries.groupBy("k1", "k2")
+            .agg(F.max_by(F.struct("node", "n"), F.struct(F.col("weight"), -F.col("node"))).alias("h"))
+            .select("k1", "k2", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+        )
+        met = staged(entries.join(hubs, ["k1", "k2"]).where("node <> hub").select("node", "hub", "n", "m", "weight").distinct())
+        only = F.concat(F.array_except("set_node", "set_hub"), F.array_except("set_hub", "set_node"))
+        apart = staged(
+            met.join(_side(sets, "hub"), "hub")
+            .join(sets.withColumnRenamed("set", "set_node"), "node")
+            .select("node", "hub", "n", "weight", only.alias("diff"), (F.col("n") + F.col("m")).alias("sizes"))
+            .withColumn("d", F.size("diff"))
+            .withColumn("near", F.col("d") <= at.apart(F.col("sizes")))
+        )
+        links = staged(links.union(_pair("node", "hub", apart.where("near"))).distinct())
+        labels = connected_components(links)
+        home = labels.select(F.col("node").alias("hub"), F.col("component").alias("home"))
+        placed = _placed(apart, labels).join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
+        mixed = _sized(placed, ["hub"]).select("hub")
+        # The last place that any partner can need: one that isn't linked to the hub, or, of those themselves, one that is.
+        partners = at.apart(F.col("n") + F.floor(F.col("n") * 100 / percent))
+        reach = F.col("d") - F.greatest(F.lit(1), F.col("d") - partners)
+        half = F.least(reach, F.col("d") - F.floor(F.col("d") * percent / (100 + percent)) - 1)
+        reach = F.when(F.col("near"), half).otherwise(reach)
+        held = staged(
+            placed.join(mixed, "hub")
+            .select("hub", "node", "n", "weight", "component", "home", "d", "near", half.alias("half"), reach.alias("reach"), F.explode("diff").alias("w"))
+        )
+        common = staged(held.groupBy("hub", "w").agg(F.count("*").alias("c")).where("c > 1"))
+        about = ["hub", "node", "n", "weight", "component", "home", "d", "near", "half", "reach"]
+        keyed = (
+            held.join(common, ["hub", "w"])
+            .groupBy(*about)
+            .agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("common"))
+            .select(*about, (F.col("d") - F.size("common")).alias("alone"), F.posexplode("common").alias("i", "x"))
+            .select(*about, F.col("x.w").alias("w"), (F.col("alone") + F.col("i")).alias("place"))
+            .where(F.col("place") <= F.col("reach"))
+        )
+        keyed = staged(keyed)
+        keyed = staged(keyed.join(_sized(keyed, ["hub", "w"]), ["hub", "w"]))
+        last = r == rounds - 1
+        now = keyed if last else keyed.where(F.col("size") <= long_list)
+        sided = lambda df, to: df.select("hub", "w", *[F.col(c).alias(c + to) for c in ("node", "n", "component", "home", "d", "near", "half", "place")])
+        a, b = sided(now.where("component <> home"), "_a"), sided(now.where("place <= half"), "_b")
+        t = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - at.apart(F.col("n_a") + F.col("n_b"))) / 2))
+        met = (
+            (F.col("component_a") != F.col("component_b"))
+            & (F.col("near_b") | (F.col("place_a") <= F.col("half_a")))
+            & ((F.col("component_b") == F.col("home_b")) | (F.col("node_a") < F.col("node_b")))
+            & (F.col("place_a") <= F.col("d_a") - t)
+            & (F.col("place_b") <= F.col("d_b") - t)
+            & at.fits(F.col("n_a"), F.col("n_b"))
+        )
+        found = _pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(met))
+        pairs = found if pairs is None else pairs.union(found)
+        if not last:
+            long = keyed.where(F.col("size") > long_list)
+            entries = staged(long.select(F.col("hub").alias("k1"), F.col("w").alias("k2"), "node", "n", "weight").distinct())
+    return links, pairs
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -104,15 +104,52 @@ def test_near_dedup_is_brute_force(spark, long_list):
         assert (out[i]["n_shingles"], out[i]["component_id"], out[i]["kept"]) == (n, c, c == i)
 
 
-def test_near_dedup_edges(edges, empty):
+def edited_copies(rng, base, words, n, most):
+    """Copies of a word list, each with up to `most` words replaced, removed or put in, or its end cut off."""
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(rng.randint(0, most)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        out.append(t[: rng.choice([len(t), len(t), rng.randint(60, len(t))])])
+    return out
+
+
+def test_near_dedup_of_a_large_group_is_brute_force(spark, n=1100):
+    """Many copies of one text, a third of them too far from it, so that long lists are taken apart."""
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(110)]
+    copies = [" ".join(t) for t in edited_copies(rng, base, words, n, 9)]
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4, long_list=20).collect()}
+    want = components(dict(enumerate(copies)), 4)
+    assert out == {i: c for i, (_, c) in want.items()}
+    assert 10 < len(set(out.values())) < 0.7 * n
+
+
+def test_near_dedup_exact_setting(spark, documents):
+    some = documents.where("length(text) < 3000")
+    exact = near_dedup.near_duplicates(some, width=4, k=None).collect()
+    want = components(dict(rows_of(some)), 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in exact} == want
+
+
+def test_near_dedup_edges(spark, edges, empty):
     out = near_dedup.near_duplicates(edges, width=4).collect()
     assert len(out) == edges.count()
     assert all(r["kept"] for r in out if r["n_shingles"] == 0 or r["doc_id"] is None)
     assert near_dedup.near_duplicates(empty, width=4).count() == 0
+    # one id with two texts: each is a document of its own with that id
+    one, two = "a b c d e f g h", "p q r s t u v w x"
+    df = spark.createDataFrame([(5, one), (5, two), (5, two), (2, two), (7, one), (None, one)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, width=4).collect())
+    assert got == {(5, 5, 5, True): 1, (5, 6, 2, False): 2, (2, 6, 2, True): 1, (7, 5, 5, False): 1, (None, 5, None, True): 1}
 
 
 def test_least_overlap_keeps_its_promise():
-    t = near_dedup.least_overlap(64, 80)
+    t = near_dedup.least_overlap(64, 80, 1e-7)
     below = sum(math.comb(64, x) * 0.8**x * 0.2 ** (64 - x) for x in range(t))
     assert below <= 1e-7 < below + math.comb(64, t) * 0.8**t * 0.2 ** (64 - t)
 
