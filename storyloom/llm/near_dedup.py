@@ -89,7 +89,6 @@ def near_duplicates(
     k: int | None = 64,
     miss: float = 1e-7,
     hub_rounds: int = 2,
-    spread_rounds: int = 2,
     long_list: int = 50,
 ) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id reachable over links), kept (is it its own component's id).
@@ -217,10 +216,8 @@ def near_duplicates(
         .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & at.fits(F.col("n"), F.col("m")))
         .select("a", "b")
     )
-    crowded = rest.where(F.col("size") > long_list).select(F.col("v").alias("k1"), F.lit(0).cast("long").alias("k2"), "node", "n", "weight")
-    links, spread = _spread(crowded, sets, links, at, spread_rounds, long_list)
-    across = across if spread is None else across.union(spread)
-    labels = staged(connected_components(links.union(linked(across.distinct())).distinct()))
+    links, spread = _spread(rest.where(F.col("size") > long_list).select("v", "node", "n", "weight"), sets, links, at)
+    labels = staged(connected_components(links.union(linked(across.union(spread).distinct())).distinct()))
 
     named = classes.select("node", "first", "n", "d1", "d2").join(labels, "node")
     least = staged(named.groupBy("component").agg(F.min("first").alias("component_id")))
@@ -255,85 +252,79 @@ def _sized(rows: DataFrame, key: list[str]) -> DataFrame:
     return staged(sums.where("lo <> hi").select(*key, "size"))
 
 
-def _spread(
-    entries: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold, rounds: int, long_list: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Long lists (k1, k2, node, n, weight) taken apart: links with those found, and pairs (a, b) of what is still apart;
-    every link between different components is among them.
+def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Long lists (v, node, n, weight) taken apart: links with those found, and pairs (a, b) of what is still apart; every
+    link between different components is among them.
 
     All members of a list are compared with one of them, its hub: let D(x) be the shingles that are in just one of x and
     the hub. Sets x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, so if they link, D(x) and D(y) share at
     least t = (|D(x)| + |D(y)| - most) / 2, where `most` is what linked sets of their sizes differ in. With both linked to
     the hub they are in its component. Else one, x, is not, and t is over 1 and over about half of |D(y)|; of |D(x)| it
     leaves out at most `most`, and half of it too if y isn't linked to the hub either. With differences ordered from
-    rare to common they share one among the first |D| - t + 1 of each. So (hub, difference) is the key of the next,
-    shorter list. Edits of one's own are rare and come first, so few members meet. Lists that are still long are taken
-    apart again. The rows made are those of the differences.
+    rare to common they share one among the first |D| - t + 1 of each. So (hub, difference) is the key under which what is
+    apart meets; edits of one's own are rare and come first, so few members meet anyone. The rows made are those of the
+    differences from the hub.
     """
     percent = at.percent
-    pairs = None
-    for r in range(rounds):
-        if entries.isEmpty():
-            return links, pairs
-        hubs = staged(
-            entries.groupBy("k1", "k2")
-            .agg(F.max_by(F.struct("node", "n"), F.struct(F.col("weight"), -F.col("node"))).alias("h"))
-            .select("k1", "k2", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
-        )
-        met = staged(entries.join(hubs, ["k1", "k2"]).where("node <> hub").select("node", "hub", "n", "m", "weight").distinct())
-        only = F.concat(F.array_except("set_node", "set_hub"), F.array_except("set_hub", "set_node"))
-        apart = staged(
-            met.join(_side(sets, "hub"), "hub")
-            .join(sets.withColumnRenamed("set", "set_node"), "node")
-            .select("node", "hub", "n", "weight", only.alias("diff"), (F.col("n") + F.col("m")).alias("sizes"))
-            .withColumn("d", F.size("diff"))
-            .withColumn("near", F.col("d") <= at.apart(F.col("sizes")))
-        )
-        links = staged(links.union(_pair("node", "hub", apart.where("near"))).distinct())
-        labels = connected_components(links)
-        home = labels.select(F.col("node").alias("hub"), F.col("component").alias("home"))
-        placed = _placed(apart, labels).join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
-        mixed = _sized(placed, ["hub"]).select("hub")
-        # The last place that any partner can need: one that isn't linked to the hub, or, of those themselves, one that is.
-        partners = at.apart(F.col("n") + F.floor(F.col("n") * 100 / percent))
-        reach = F.col("d") - F.greatest(F.lit(1), F.col("d") - partners)
-        half = F.least(reach, F.col("d") - F.floor(F.col("d") * percent / (100 + percent)) - 1)
-        reach = F.when(F.col("near"), half).otherwise(reach)
-        held = staged(
-            placed.join(mixed, "hub")
-            .select("hub", "node", "n", "weight", "component", "home", "d", "near", half.alias("half"), reach.alias("reach"), F.explode("diff").alias("w"))
-        )
-        common = staged(held.groupBy("hub", "w").agg(F.count("*").alias("c")).where("c > 1"))
-        about = ["hub", "node", "n", "weight", "component", "home", "d", "near", "half", "reach"]
-        keyed = (
-            held.join(common, ["hub", "w"])
-            .groupBy(*about)
-            .agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("common"))
-            .select(*about, (F.col("d") - F.size("common")).alias("alone"), F.posexplode("common").alias("i", "x"))
-            .select(*about, F.col("x.w").alias("w"), (F.col("alone") + F.col("i")).alias("place"))
-            .where(F.col("place") <= F.col("reach"))
-        )
-        keyed = staged(keyed)
-        keyed = staged(keyed.join(_sized(keyed, ["hub", "w"]), ["hub", "w"]))
-        last = r == rounds - 1
-        now = keyed if last else keyed.where(F.col("size") <= long_list)
-        sided = lambda df, to: df.select("hub", "w", *[F.col(c).alias(c + to) for c in ("node", "n", "component", "home", "d", "near", "half", "place")])
-        a, b = sided(now.where("component <> home"), "_a"), sided(now.where("place <= half"), "_b")
-        t = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - at.apart(F.col("n_a") + F.col("n_b"))) / 2))
-        met = (
-            (F.col("component_a") != F.col("component_b"))
-            & (F.col("near_b") | (F.col("place_a") <= F.col("half_a")))
-            & ((F.col("component_b") == F.col("home_b")) | (F.col("node_a") < F.col("node_b")))
-            & (F.col("place_a") <= F.col("d_a") - t)
-            & (F.col("place_b") <= F.col("d_b") - t)
-            & at.fits(F.col("n_a"), F.col("n_b"))
-        )
-        found = _pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(met))
-        pairs = found if pairs is None else pairs.union(found)
-        if not last:
-            long = keyed.where(F.col("size") > long_list)
-            entries = staged(long.select(F.col("hub").alias("k1"), F.col("w").alias("k2"), "node", "n", "weight").distinct())
-    return links, pairs
+    hubs = staged(
+        crowded.groupBy("v")
+        .agg(F.max_by(F.struct("node", "n"), F.struct(F.col("weight"), -F.col("node"))).alias("h"))
+        .select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    )
+    # A list all of whose members already have another, larger list's hub takes that one: fewer comparisons.
+    own = staged(crowded.select("v", "node").join(hubs.select("v", "hub"), "v"))
+    known = staged(own.select("node", "hub").distinct())
+    held_by = known.groupBy("hub").agg(F.count("*").alias("members"))
+    sizes = own.groupBy("v").agg(F.count("*").alias("size"))
+    covering = own.select("v", "node").join(known, "node").groupBy("v", "hub").agg(F.count("*").alias("have")).join(sizes, "v").where("have = size")
+    chosen = covering.join(held_by, "hub").groupBy("v").agg(F.max_by("hub", F.struct("members", "hub")).alias("hub"))
+    by_size = hubs.select("hub", "m").distinct()
+    met = staged(
+        crowded.select("v", "node", "n").join(staged(chosen), "v").where("node <> hub").select("node", "hub", "n").distinct().join(by_size, "hub")
+    )
+    d, n = F.col("d"), F.col("n")
+    apart = staged(
+        met.join(_side(sets, "hub"), "hub")
+        .join(sets.withColumnRenamed("set", "set_node"), "node")
+        .select("node", "hub", "n", "m", F.concat(F.array_except("set_node", "set_hub"), F.array_except("set_hub", "set_node")).alias("diff"))
+        .withColumn("d", F.size("diff"))
+        .withColumn("near", d <= at.apart(n + F.col("m")))
+    )
+    links = staged(links.union(_pair("node", "hub", apart.where("near"))).distinct())
+    labels = connected_components(links)
+    home = labels.select(F.col("node").alias("hub"), F.col("component").alias("home"))
+    placed = _placed(apart, labels).join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
+    # The last place that any partner can need: one that isn't linked to the hub, or, of those themselves, one that is.
+    all_but_most = d - F.greatest(F.lit(1), d - at.apart(n + F.floor(n * 100 / percent)))
+    half = F.least(all_but_most, d - F.floor(d * percent / (100 + percent)) - 1)
+    about = ["hub", "node", "n", "component", "home", "d", "near", "half", "reach"]
+    held = staged(
+        placed.join(_sized(placed, ["hub"]).select("hub"), "hub")
+        .withColumn("half", half.cast("int"))
+        .withColumn("reach", F.when(F.col("near"), F.col("half")).otherwise(all_but_most.cast("int")))
+        .select(*about, F.explode("diff").alias("w"))
+    )
+    common = staged(held.groupBy("hub", "w").agg(F.count("*").alias("c")).where("c > 1"))
+    keyed = staged(
+        held.join(common, ["hub", "w"])
+        .groupBy(*about)
+        .agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("common"))
+        .withColumn("alone", F.col("d") - F.size("common"))  # differences of its own come first and need no list
+        .select(*about, "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("reach") + 1 - F.col("alone")))).alias("i", "x"))
+        .select(*about, F.col("x.w").alias("w"), (F.col("alone") + F.col("i")).alias("place"))
+    )
+    sided = lambda df, to: df.select("hub", "w", *[F.col(c).alias(c + to) for c in ("node", "n", "component", "home", "d", "near", "half", "place")])
+    a, b = sided(keyed.where("component <> home"), "_a"), sided(keyed.where("place <= half"), "_b")
+    t = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - at.apart(F.col("n_a") + F.col("n_b"))) / 2))
+    can_link = (
+        (F.col("component_a") != F.col("component_b"))
+        & (F.col("near_b") | (F.col("place_a") <= F.col("half_a")))
+        & ((F.col("component_b") == F.col("home_b")) | (F.col("node_a") < F.col("node_b")))
+        & (F.col("place_a") <= F.col("d_a") - t)
+        & (F.col("place_b") <= F.col("d_b") - t)
+        & at.fits(F.col("n_a"), F.col("n_b"))
+    )
+    return links, _pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(can_link))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
