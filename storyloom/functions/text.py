@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stop words of entity extraction, by kind.
 AGENCY_WORDS = """
@@ -34,9 +38,23 @@ EVENT_KEYS = (
 )
 
 
+def folded(text: Column) -> Column:
+    """Lower case with the foldings that lower() leaves: sharp s as ss, final sigma as sigma."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's NFKC form, which Spark SQL has no function for: for texts with compatibility characters."""
+
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(normal, StringType(), F.PandasUDFType.SCALAR)(text)
+
+
 def squeeze(text: Column) -> Column:
-    """One space for each run of white space, none at the ends, lower case. Null becomes empty."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    """One space for each run of white space, none at the ends, case folded. Null becomes empty."""
+    return folded(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
 def content_hash(title: Column, summary: Column) -> Column:
@@ -49,33 +67,62 @@ def candidate_key(external_id: Column, url: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(external_id, F.lit("")), F.lit("\n"), F.coalesce(url, F.lit(""))), 256)
 
 
-def receipt(version: str, *fields: Column) -> Column:
-    """A versioned sha256 over fields in canonical form, each written with its length."""
-    parts = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
-    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
-    return F.sha2(F.concat_ws("|", F.lit(version), *sized), 256)
+def receipt(version: str, fields: dict[str, Column]) -> Column:
+    """A versioned sha256 over fields in canonical form: JSON with sorted names, nulls written, no white space."""
+    sorted_fields = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
+    return F.concat(F.lit(f"{version}:"), F.sha2(F.to_json(sorted_fields, {"ignoreNullFields": "false"}), 256))
 
 
-def first_sentence(text: Column, horizon: int = 240) -> Column:
-    """Up to the first sentence end within the horizon; else empty, as the text doesn't read like prose."""
-    t = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract(t, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
-    return F.when(F.length(found) <= horizon + 1, found).otherwise("")
+#: Characters after which a sentence end is no sign of prose any more.
+HORIZON = 240
+#: Characters of a body that are read.
+BODY_CAP = 4000
+# Fixed value: a city in capitals, maybe a state, and a dash with spaces, as wire stories begin.
+DATELINE = r"\b([A-Z][A-Z'.-]+(?:\s+[A-Z][A-Z'.-]+)*)(?:,\s*[A-Z][A-Za-z]{0,5}\.?)?\s+[–—-]\s+"
 
 
-def entities(title: Column, summary: Column, stop: list[str] | None = None, most: int = 64) -> Column:
-    """Distinct lower-case words of capitalised spans and dollar amounts, in title and first sentence, sorted."""
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), first_sentence(summary))
+def first_sentence(text: Column) -> Column:
+    """Up to the first sentence end within the horizon; else empty, as the text doesn't read like prose."""
+    at = F.regexp_instr(text, F.lit(r"[.!?](?:\s|$)"))
+    return F.when(at.between(1, HORIZON + 1), F.substr(text, F.lit(1), at)).otherwise("")
+
+
+def prose(text: Column) -> tuple[Column, Column]:
+    """The first prose sentence of a text, after a dateline at its head, and the dateline's city (both may be empty)."""
+    text = F.coalesce(text, F.lit(""))
+    head = F.substring(text, 1, HORIZON)
+    line = F.regexp_extract(head, DATELINE, 0)
+    after = F.when(line == "", text).otherwise(F.substr(text, F.regexp_instr(head, F.lit(DATELINE)) + F.length(line)))
+    return first_sentence(after), F.regexp_extract(head, DATELINE, 1)
+
+
+def entities(
+    title: Column, summary: Column, body: Column | None = None, *, stop: tuple[str, ...] = (), most: int = 64
+) -> Column:
+    """Distinct words of capitalised spans and dollar amounts, folded, in the title and the first prose sentence,
+    and the words of a dateline's city; sorted, at most `most`. A summary without prose gives way to the head of the
+    body. Words under four letters, of agencies and of boilerplate are left out, as are those in stop."""
+    sentence, city = prose(summary)
+    if body is not None:
+        other_sentence, other_city = prose(F.substring(body, 1, BODY_CAP))
+        bare = (sentence == "") & (city == "")
+        sentence, city = F.when(bare, other_sentence).otherwise(sentence), F.when(bare, other_city).otherwise(city)
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), sentence)
     amounts = F.regexp_extract_all(text, F.lit(r"((?i)\$\d[\d,.]*(?:\s?(?:million|billion|trillion))?)"), F.lit(1))
     spans = F.regexp_extract_all(text, F.lit(r"(\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b)"), F.lit(1))
-    words = F.flatten(F.transform(spans, lambda s: F.split(s, r"\s+")))
-    lowered = F.transform(words, lambda w: F.lower(w))
-    stops = F.array(*map(F.lit, stop if stop is not None else [*AGENCY_WORDS, *BOILERPLATE_WORDS]))
-    named = F.filter(lowered, lambda w: (F.length(w) >= 4) & ~F.array_contains(stops, w))
+    words = F.flatten(F.transform(F.concat(spans, F.array(city)), lambda s: F.split(s, r"\s+")))
+    bare_words = F.transform(words, lambda w: folded(F.regexp_replace(w, r"^[.,;:'\"()]+|[.,;:'\"()]+$", "")))
+    stops = F.array(*map(F.lit, [*AGENCY_WORDS, *BOILERPLATE_WORDS, *stop]))
+    named = F.filter(bare_words, lambda w: (F.length(w) >= 4) & ~F.array_contains(stops, w))
     money = F.transform(amounts, lambda a: squeeze(a))
     return F.slice(F.array_sort(F.array_distinct(F.concat(money, named))), 1, most)
 
 
+def keys_text(title: Column, summary: Column, body: Column) -> Column:
+    """What event keys are read from: the title and the summary, or the head of the body where there is no summary."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(F.nullif(summary, F.lit("")), F.substring(body, 1, BODY_CAP), F.lit("")))
+
+
 def event_keys(text: Column, most: int = 16) -> Column:
     """Distinct hard event keys, sorted."""
     found = [F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in EVENT_KEYS]

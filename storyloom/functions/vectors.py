@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,3 +28,24 @@ def unit(a: Column) -> Column:
     """The vector over its norm; a zero vector stays."""
     n = norm(a)
     return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+
+
+def pack_fp16(a: Column) -> Column:
+    """A vector as half-precision bytes, little end first; a batch at a time."""
+
+    def pack(vectors: pd.Series) -> pd.Series:
+        sizes = [0 if v is None else len(v) for v in vectors]
+        flat = np.concatenate([np.asarray(v, np.float32) for v in vectors if v is not None] or [np.zeros(0, np.float32)]).astype("<f2").tobytes()
+        ends = 2 * np.cumsum(sizes)
+        return pd.Series([None if v is None else flat[e - 2 * n : e] for v, n, e in zip(vectors, sizes, ends, strict=True)])
+
+    return F.pandas_udf(pack, BinaryType(), F.PandasUDFType.SCALAR)(a)
+
+
+def unpack_fp16(packed: Column) -> Column:
+    """The vector of half-precision bytes."""
+
+    def unpack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
+
+    return F.pandas_udf(unpack, ArrayType(FloatType()), F.PandasUDFType.SCALAR)(packed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.scratch import kept
+
 
 def storyline_rollup(entries: DataFrame) -> DataFrame:
     """For each storyline its entries, feeds, agencies (sorted), first and newest time, heaviest publisher."""
@@ -43,24 +45,28 @@ def facets(rows: DataFrame, *, agencies: str = "agencies", single: dict[str, str
 
 
 def positions(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Position of each row among those alike in `by`."""
+    """Position of each row among those alike in `by`. A group is sorted in one task; see ordinals()."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
-def ordinals(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """Positions over all rows, without one task that sees them all.
+def ordinals(rows: DataFrame, order: list[str | Column], name: str = "ordinal", by: tuple[str, ...] = ()) -> DataFrame:
+    """Positions from 1 in an order without ties, over all rows or among those alike in `by`, without one
+    task that sees them all.
 
-    Rows are range-partitioned by the order; each partition numbers its own and adds the rows of those before it. Only
-    one count for each partition is gathered.
+    Rows are range-partitioned by group and order and sorted, and written out once with their place: partition and row.
+    Counts, offsets and rows all come from that table, as range borders differ from one run of a plan to the next. Each
+    group has one run of rows in each partition that it reaches; a run's offset is the sum of those before it.
     """
-    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parted = parted.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn(
-        "_before",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_n")
-    return parted.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    sort = [*by, *order]
+    placed = kept(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("_part").alias("_run"), *[F.col(c).alias(f"_run_{c}") for c in by], "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_run")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_run_{c}"))
+    return placed.join(runs, same).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name))
 
 
 def percentile_of_rank(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -94,31 +100,49 @@ def check_positions(ranked: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def preference_weights(pairs: DataFrame, deltas: list[str], *, l2: float = 0.01, rounds: int = 40) -> list[float]:
+def preference_weights(pairs: DataFrame, deltas: list[str], *, l2: float = 0.01, rounds: int = 60) -> list[float]:
     """Non-negative weights of rubric deltas from pairs (won, offset, deltas), by logistic regression with a fixed
     offset and mean loss + l2/2 |w|^2, rounded to four digits.
 
-    Newton steps: each needs only the sums of a gradient and of a small square matrix, one aggregate over the pairs.
+    Projected Newton steps: weights at zero whose gradient would make them negative stay there, the others take the
+    Newton step among themselves, cut back to zero and halved until the loss falls. Each needs only sums over the pairs:
+    loss, gradient and a small square matrix, one aggregate.
     """
     import numpy as np
 
     k = len(deltas)
     n = max(1, pairs.count())
-    w = np.zeros(k)
-    for _ in range(rounds):
-        score = F.col("offset")
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        score = F.col("offset").cast("double")
         for c, x in zip(deltas, w, strict=True):
             score = score + F.col(c) * float(x)
+        won = F.col("won").cast("double")
         p = 1 / (1 + F.exp(-score))
-        miss = p - F.col("won").cast("double")
+        loss = F.greatest(score, F.lit(0.0)) + F.log1p(F.exp(-F.abs(score))) - won * score
         sums = pairs.agg(
-            *[F.sum(miss * F.col(c)).alias(f"g{i}") for i, c in enumerate(deltas)],
+            F.sum(loss).alias("loss"),
+            *[F.sum((p - won) * F.col(c)).alias(f"g{i}") for i, c in enumerate(deltas)],
             *[F.sum(p * (1 - p) * F.col(a) * F.col(b)).alias(f"h{i}_{j}") for i, a in enumerate(deltas) for j, b in enumerate(deltas)],
         ).first()
         gradient = np.array([sums[f"g{i}"] or 0.0 for i in range(k)]) / n + l2 * w
         matrix = np.array([[sums[f"h{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) / n + l2 * np.eye(k)
-        step = np.linalg.solve(matrix, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+        return (sums["loss"] or 0.0) / n + l2 / 2 * float(w @ w), gradient, matrix
+
+    w = np.zeros(k)
+    loss, gradient, matrix = at(w)
+    for _ in range(rounds):
+        free = (w > 0) | (gradient < 0)
+        step = np.zeros(k)
+        if free.any():
+            step[free] = np.linalg.solve(matrix[np.ix_(free, free)], gradient[free])
+        for half in range(12):
+            tried = np.maximum(w - step / 2**half, 0.0)
+            found = at(tried)
+            if found[0] <= loss:
+                break
+        moved = np.abs(tried - w).max(initial=0.0)
+        w, (loss, gradient, matrix) = tried, found
+        if moved < 1e-9:
             break
-    return [round(float(max(0.0, x)), 4) for x in w]
+    return [round(float(x), 4) for x in w]

@@ -14,14 +14,20 @@ def with_norm(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def near_in_window(rows: DataFrame, *, hours: float, least: float) -> DataFrame:
     """For each row (id, embedding, published_at) its most similar strictly earlier row within the window, from
-    `least` on. Time is cut into buckets of the window's length; a row meets only its own bucket and the one before."""
+    `least` on. Time is cut into buckets of the window's length; a row meets only its own bucket and the one before. A
+    bucket is cut into blocks of bounded size, which each later row meets in turn."""
     width = int(hours * 3600)
     at = F.unix_micros("published_at")
-    r = with_norm(rows).select("id", "embedding", "norm", at.alias("t"), F.floor(at / (width * 1_000_000)).alias("bucket"))
-    later = r.select(*[F.col(c).alias("b_" + c) for c in ("id", "embedding", "norm", "t")], F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"))
+    bucket = F.floor(at / (width * 1_000_000))
+    blocks = block_count(rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    r = with_norm(rows).select("id", "embedding", "norm", at.alias("t"), bucket.alias("bucket"))
+    early = r.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    places = F.flatten(F.transform(F.array("bucket", F.col("bucket") - 1), lambda b: F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda k: F.struct(b.alias("bucket"), k.alias("block")))))
+    later = r.select(*[F.col(c).alias("b_" + c) for c in ("id", "embedding", "norm", "t")], F.inline(places))
     earlier = ((F.col("t") < F.col("b_t")) | ((F.col("t") == F.col("b_t")) & (F.col("id") < F.col("b_id")))) & (F.col("t") > F.col("b_t") - width * 1_000_000)
     sim = vectors.cosine(F.col("embedding"), F.col("b_embedding"), F.col("norm"), F.col("b_norm"))
-    pairs = r.join(later, "bucket").where(earlier).select(F.col("b_id").alias("id"), F.col("id").alias("match"), sim.alias("sim")).where(F.col("sim") >= least)
+    pairs = early.join(later, ["bucket", "block"]).where(earlier).select(F.col("b_id").alias("id"), F.col("id").alias("match"), sim.alias("sim")).where(F.col("sim") >= least)
     return pairs.groupBy("id").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("match")).alias("m"))).alias("x")).select(
         "id", (-F.col("x.m")).alias("match"), F.col("x.sim").alias("sim"))
 
@@ -38,44 +44,103 @@ def to_centroid(rows: DataFrame, by: str, vector: str = "embedding") -> DataFram
     return joined.withColumn("sim", vectors.cosine(F.col(vector), F.col("centroid"))).drop("centroid")
 
 
-def nearest_groups(rows: DataFrame, groups: DataFrame, group: str, *, least: float, k: int) -> DataFrame:
-    """The k groups whose centroids are nearest to each row, from a least cosine on. groups: group, centroid;
-    a table of bounded size, met by every row."""
-    sim = vectors.cosine(F.col("embedding"), F.col("centroid"))
-    met = rows.crossJoin(F.broadcast(groups)).select("id", group, F.round(sim, 9).alias("sim")).where(F.col("sim") >= least)
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), group)
-    return met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+#: Vectors of a block: what one task compares with the vectors it meets there.
+BLOCK_ROWS = 2000
 
 
-def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """K exact cosine neighbours of each query among all rows, ties by id.
+def block_count(n_rows: int, least: int = 1) -> int:
+    """How many blocks a table of vectors is cut into, so that their number grows with it and their size doesn't."""
+    return max(least, -(-n_rows // BLOCK_ROWS))
 
-    Queries and rows meet block by block: each task holds one block of both, keeps the best k of each query in its
-    block, and only those are merged. No pair is shuffled.
-    """
+
+def _met(queries: DataFrame, rows: DataFrame, carry: list[str]) -> DataFrame:
+    """(q, block, carry, sim) of each query with each row, block by block: each task holds a block of rows and the
+    queries, which are copied to all blocks. No pair is shuffled."""
+    blocks = block_count(rows.count(), 16)
     q = with_norm(queries).select(F.col("id").alias("q"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
     r = with_norm(rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     spread = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     sim = F.round(vectors.cosine(F.col("qe"), F.col("embedding"), F.col("qn"), F.col("norm")), 9)
-    met = spread.join(r, "block").where("q <> id").select("q", "block", "id", sim.alias("sim"))
+    return spread.join(r, "block").select("q", "block", *carry, sim.alias("sim"))
+
+
+def nearest_groups(rows: DataFrame, groups: DataFrame, group: str, *, least: float, k: int) -> DataFrame:
+    """(id, group, sim, rank) of the k groups (group, centroid) whose centroids are nearest to each row, from a
+    least cosine on. Up to BLOCK_ROWS groups, which are counted, are broadcast; more are cut into blocks, each row meets
+    every block, and the best k of a block leave it."""
+    g = groups.select(F.col(group).alias("id"), F.col("centroid").alias("embedding"))
+    if groups.count() <= BLOCK_ROWS:
+        few = F.broadcast(with_norm(g).select(F.col("id").alias(group), F.col("embedding").alias("ge"), F.col("norm").alias("gn")))
+        sim = F.round(vectors.cosine(F.col("embedding"), F.col("ge"), F.col("norm"), F.col("gn")), 9)
+        near = with_norm(rows).crossJoin(few).select("id", group, sim.alias("sim")).where(F.col("sim") >= least)
+        w = Window.partitionBy("id").orderBy(F.desc("sim"), group)
+        return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "id")).cast("long")
+    met = _met(rows, g, ["id"]).where(F.col("sim") >= least)
     part = met.withColumn("rank", best(["q", "block"])).where(F.col("rank") <= k)
+    top = part.withColumn("rank", best(["q"])).where(F.col("rank") <= k)
+    return top.select(F.col("q").alias("id"), F.col("id").alias(group), "sim", "rank")
+
+
+def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """K exact cosine neighbours of each query among all rows, ties by id. Each block keeps its best k of each
+    query, and only those are merged."""
+    best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "id")).cast("long")
+    part = _met(queries, rows, ["id"]).where("q <> id").withColumn("rank", best(["q", "block"])).where(F.col("rank") <= k)
     return part.withColumn("rank", best(["q"])).where(F.col("rank") <= k).select("q", "id", "sim", "rank")
 
 
-def best_in_groups(queries: DataFrame, rows: DataFrame, group: str, blocks: int = 16) -> DataFrame:
-    """(q, group, sim) of each query's best cosine among the members of each group. Blocks as in nearest_neighbours;
-    only the best of each query, group and block is shuffled."""
-    q = with_norm(queries).select(F.col("id").alias("q"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    r = with_norm(rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    spread = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    sim = F.round(vectors.cosine(F.col("qe"), F.col("embedding"), F.col("qn"), F.col("norm")), 9)
-    met = spread.join(r, "block").where("q <> id").select("q", group, sim.alias("sim"))
-    return met.groupBy("q", group).agg(F.max("sim").alias("sim"))
+def best_in_groups(queries: DataFrame, rows: DataFrame, group: str, least: float = -1.0) -> DataFrame:
+    """(q, group, sim) of each query's best cosine among the members of each group, from `least` on. Only the best of
+    each query, group and block is shuffled."""
+    met = _met(queries, rows, ["id", group]).where("q <> id")
+    return met.groupBy("q", group).agg(F.max("sim").alias("sim")).where(F.col("sim") >= least)
+
+
+def merge_candidates(themes: DataFrame, least: float) -> DataFrame:
+    """C17: pairs (a < b) of themes (id, name, embedding: the centroid) whose centroids' cosine is at least `least` or
+    whose names share a word: cosine, shared."""
+    words = themes.select("id", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z0-9]+"))).alias("token")).where("token <> ''")
+    near = _met(themes, themes, ["id"]).where("q < id").select(F.col("q").alias("a"), F.col("id").alias("b"), "sim")
+    both = near.join(shared_tokens(words), ["a", "b"], "left").select("a", "b", F.col("sim").alias("cosine"), F.coalesce("shared", F.lit(0)).alias("shared"))
+    return both.where((F.col("cosine") >= least) | (F.col("shared") > 0))
+
+
+def intruders(rows: DataFrame, theme: str, k: int, seed: str) -> DataFrame:
+    """For each theme k rows (id, theme, embedding) outside it: the half (rounded up) nearest to its centroid, then
+    others in seeded hash order. (theme, id, near, rank)
+
+    Themes are a query set against blocks of rows, of which the nearest few leave each block. The hash does not depend
+    on the theme, so of each theme the first rows in hash order are enough to sample from.
+    """
+    half = (k + 1) // 2
+    c = centroids(rows, theme).select(F.col(theme).alias("id"), F.col("centroid").alias("embedding"))
+    near_order = [F.desc("sim"), F.asc("id")]
+    met = _met(c, rows.withColumn("own", F.col(theme)), ["id", "own"]).where("q <> own")
+    best = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    near = met.withColumn("rank", best(["q", "block"], near_order)).where(F.col("rank") <= half)
+    near = near.withColumn("rank", best(["q"], near_order)).where(F.col("rank") <= half).select(F.col("q").alias("theme"), "id", "rank")
+    hashed = rows.select("id", F.col(theme).alias("own"), F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256).alias("h"))
+    first = hashed.withColumn("r", best(["own"], [F.asc("h"), F.asc("id")])).where(F.col("r") <= k + half)
+    others = c.select(F.col("id").alias("theme")).join(first, F.col("theme") != F.col("own")).join(near.select("theme", "id"), ["theme", "id"], "left_anti")
+    rest = others.withColumn("rank", best(["theme"], [F.asc("h"), F.asc("id")]) + half).where(F.col("rank") <= k)
+    return near.select("theme", "id", F.lit(True).alias("near"), "rank").union(rest.select("theme", "id", F.lit(False), "rank"))
+
+
+def token_classes(rows: DataFrame) -> DataFrame:
+    """(id, class, tokens) of rows (id, token): ids with equal token sets are one class, named by its smallest id. Pairs
+    of classes and this membership stand for all pairs of ids, however many copies there are."""
+    sets = rows.distinct().groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return sets.join(sets.groupBy("tokens").agg(F.min("id").alias("class")), "tokens").select("id", "class", "tokens")
+
+
+def class_tokens(classes: DataFrame) -> DataFrame:
+    """(id, token) of one row for each class."""
+    return classes.where("id = class").select("id", F.explode("tokens").alias("token"))
 
 
 def overlap_edges(rows: DataFrame, least: int) -> DataFrame:
-    """H3: edges (a < b) that connect just those rows (id, token) that pairs sharing `least` tokens or more connect.
+    """H1, H3: edges (a < b) that connect just those rows (id, token) that pairs sharing `least` tokens or more connect.
 
     Rows of equal token sets are one class: an edge to its smallest row each. Classes meet by the prefix filter: with
     tokens in order of rarity, two sets that share `least` share one of the first size - least + 1 of each."""
@@ -91,32 +156,46 @@ def overlap_edges(rows: DataFrame, least: int) -> DataFrame:
     return same.union(met.select("a", "b").distinct())
 
 
-def shared_tokens(rows: DataFrame, *, most_holders: int | None = None) -> DataFrame:
-    """Pairs (a < b) of rows (id, token) that share tokens, with how many, as an equi-join on tokens. With
-    most_holders, tokens of more rows than that are left out on both sides: the rule of blocked candidates (C12)."""
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of rows (id, token) that share tokens, with how many, as an equi-join on tokens. Give it one row
+    for each class of copies."""
     t = rows.distinct()
-    if most_holders is not None:
-        usual = t.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_holders)).select("token")
-        t = t.join(usual, "token")
     a, b = t.select("token", F.col("id").alias("a")), t.select("token", F.col("id").alias("b"))
     return a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def rarity_ranked(rows: DataFrame, weights: DataFrame, k: int, most_holders: int) -> DataFrame:
-    """For each row the earlier rows that share tokens, by the sum of 1 / (1 + weight) over these, best k."""
-    usual = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_holders)).select("token")
-    t = rows.join(usual, "token").join(weights, "token").select("token", "id", (1 / (1 + F.col("weight"))).alias("w"))
+def blocked_pairs(indexes: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """Pairs (a < b) that meet under a key of any index (id, token), with a column by_<kind> of how many keys they
+    share there. Each index names the most holders that a key may have: keys of larger groups make no candidates, which
+    is what blocking means."""
+    keyed = None
+    for kind, (rows, most) in indexes.items():
+        t = rows.select("id", "token").distinct()
+        usual = t.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("token")
+        k = t.join(usual, "token").select(F.lit(kind).alias("kind"), "token", "id")
+        keyed = k if keyed is None else keyed.unionByName(k)
+    a, b = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
+    met = a.join(b, ["kind", "token"]).where("a < b")
+    return met.groupBy("a", "b").agg(*[F.count_if(F.col("kind") == k).alias(f"by_{k}") for k in indexes])
+
+
+def rarity_ranked(rows: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """For each row the earlier rows that share tokens, by the sum of 1 / (1 + weight) over these, best k. Give it
+    one row for each class of copies."""
+    t = rows.join(weights, "token").select("token", "id", (1 / (1 + F.col("weight"))).alias("w"))
     b = t.select("token", F.col("id").alias("b"))
     score = t.join(b, "token").where("b < id").groupBy("id", "b").agg(F.round(F.sum("w"), 9).alias("score"), F.count("*").alias("shared"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("shared"), "b")
     return score.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def tf_idf(tokens: DataFrame, n_rows: int) -> DataFrame:
-    """(id, token) with repeats to unit TF-IDF weights (id, token, df, w), IDF smoothed."""
+def tf_idf(tokens: DataFrame, n_rows: int, most: int | None = None) -> DataFrame:
+    """(id, token) with repeats to unit TF-IDF weights (id, token, df, w), IDF smoothed. With `most`, a term counts
+    1 + ln of its occurrences, up to that many of them."""
     tf = tokens.groupBy("id", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    w = F.col("tf") * (F.log((F.lit(n_rows) + 1.0) / (F.col("df") + 1.0)) + 1.0)
+    times = F.col("tf") if most is None else 1 + F.log(F.least("tf", F.lit(most)).cast("double"))
+    w = times * (F.log((F.lit(n_rows) + 1.0) / (F.col("df") + 1.0)) + 1.0)
     weighed = tf.join(df, "token").withColumn("w", w)
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norms, "id").select("id", "token", "df", (F.col("w") / F.col("norm")).alias("w"))

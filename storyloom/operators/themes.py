@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
+from storyloom.operators import similar
 from storyloom.operators.scratch import kept
 
 
 def theme_edges(rows: DataFrame, by: str, least: float) -> DataFrame:
-    """H5: pairs (a, b) of rows (id, embedding) of one category with a cosine from `least` on. The category is the
-    block key; use a finer one where a category is large."""
-    r = rows.withColumn("norm", vectors.norm(F.col("embedding")))
-    o = r.select(F.col(by), F.col("id").alias("b"), F.col("embedding").alias("e2"), F.col("norm").alias("n2"))
+    """H5: pairs (a, b) of rows (id, embedding) of one category with a cosine from `least` on. A category is cut into
+    blocks of bounded size, each of which meets the whole category, so that a large one is spread over tasks."""
+    blocks = similar.block_count(rows.count())
+    r = similar.with_norm(rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    o = similar.with_norm(rows).select(F.col(by), F.col("id").alias("b"), F.col("embedding").alias("e2"), F.col("norm").alias("n2"), every.alias("block"))
     sim = vectors.cosine(F.col("embedding"), F.col("e2"), F.col("norm"), F.col("n2"))
-    return r.join(o, by).where((F.col("id") < F.col("b")) & (sim >= least)).select(F.col("id").alias("a"), "b")
+    return r.join(o, [by, "block"]).where((F.col("id") < F.col("b")) & (sim >= least)).select(F.col("id").alias("a"), "b")
 
 
-def gated_themes(members: DataFrame, *, least_members: int, least_days: int) -> DataFrame:
-    """H5: clusters (cluster, id, published_at) with enough members on enough days."""
-    g = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("published_at")).alias("days"))
-    return g.where((F.col("n") >= least_members) & (F.col("days") >= least_days))
+def gated_themes(members: DataFrame, *, least_members: int, least_days: int, least_cohesion: float) -> DataFrame:
+    """H5: clusters (cluster, id, published_at, embedding) with enough members on enough days, whose members' mean cosine
+    to their centroid is high enough: cluster, n, days, cohesion."""
+    sim = similar.to_centroid(members, "cluster").select("cluster", "sim", F.to_date("published_at").alias("day"))
+    g = sim.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.round(F.avg("sim"), 6).alias("cohesion"))
+    return g.where((F.col("n") >= least_members) & (F.col("days") >= least_days) & (F.col("cohesion") >= least_cohesion))
 
 
 def average_linkage(rows: DataFrame, edges: DataFrame, stop: float) -> DataFrame:
@@ -67,12 +72,23 @@ def greedy_matches(edges: DataFrame) -> DataFrame:
 
 
 def sweep_outcome(clusters: DataFrame, themes: DataFrame, matches: DataFrame) -> DataFrame:
-    """H7: what a sweep does: matched themes are kept, unmatched clusters make new ones, unmatched themes are demoted,
-    unless they are manual."""
+    """H7: what a sweep does with clusters (cluster, failed) and themes (theme, manual): matched themes are kept, other
+    clusters make new ones, unless their naming failed; themes without a cluster are demoted, unless they are manual or
+    a cluster failed, which may have been theirs. (cluster, theme, action)"""
     m = matches.select(F.col("l").alias("cluster"), F.col("r").alias("theme"))
-    made = clusters.join(m, "cluster", "left").select("cluster", "theme", F.when(F.col("theme").isNull(), "created").otherwise("kept").alias("action"))
-    gone = themes.join(m.select("theme"), "theme", "left_anti").select(F.lit(None).cast("long").alias("cluster"), "theme", F.when(F.col("manual"), "kept").otherwise("demoted").alias("action"))
-    return made.union(gone)
+    matched = clusters.join(m, "cluster", "left")
+    made = matched.select("cluster", "theme", F.when(F.col("theme").isNotNull(), "kept").when(F.col("failed"), "failed").otherwise("created").alias("action"))
+    lost = made.agg(F.count_if(F.col("action") == "failed").alias("failures"))
+    spared = F.when(F.col("manual"), "kept").when(F.col("failures") > 0, "protected").otherwise("demoted")
+    gone = themes.join(m.select("theme"), "theme", "left_anti").crossJoin(F.broadcast(lost))  # one row
+    return made.union(gone.select(F.lit(None).cast("long").alias("cluster"), "theme", spared.alias("action")))
+
+
+def assignments(members: DataFrame, outcome: DataFrame) -> DataFrame:
+    """H7: the theme that each member (id, cluster) of a kept or created theme is assigned to; a created theme is named
+    by its cluster. (id, theme, created)"""
+    taken = outcome.where("action in ('kept', 'created') and cluster is not null")
+    return members.join(taken, "cluster").select("id", F.coalesce("theme", "cluster").alias("theme"), (F.col("action") == "created").alias("created"))
 
 
 def run_opinion(verdicts: DataFrame) -> DataFrame:
@@ -82,15 +98,43 @@ def run_opinion(verdicts: DataFrame) -> DataFrame:
     return g.select("target", "side", F.coalesce(F.col("stop") - 1, F.col("last")).cast("long").alias("run"), F.col("stop").isNull().alias("bounded"))
 
 
-def skip_fill(groups: DataFrame, target: int, seed: str) -> DataFrame:
-    """Whole groups (stratum, key, size) in seeded hash order, each taken if it still fits its stratum's target.
-    A fold over sizes in one row for each stratum; sizes, not rows, are gathered."""
-    h = F.sha2(F.concat(F.lit(seed), F.col("key").cast("string")), 256)
-    lists = groups.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct(h.alias("h"), F.col("size").cast("long").alias("size"), "key"))).alias("g"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("keys"))
-
-    def step(acc, g):
-        fits = acc["total"] + g["size"] <= target
-        return F.struct(F.when(fits, acc["total"] + g["size"]).otherwise(acc["total"]).alias("total"), F.when(fits, F.concat(acc["keys"], F.array(g["key"]))).otherwise(acc["keys"]).alias("keys"))
+def skip_fill(groups: DataFrame, targets: dict[str, int], seed: str) -> DataFrame:
+    """Whole groups (stratum, key, size) in seeded hash order, each taken if it still fits its stratum's target:
+    (stratum, key, size).
 
-    return lists.select("stratum", F.explode(F.aggregate("g", start, step)["keys"]).alias("key"))
+    In rounds: what is left of a target admits at most that many groups, so the first ones in hash order of a size that
+    still fits are enough for a round. They go through a fold in one row of bounded length; the next round begins after
+    the last of them with the smaller rest. Each round takes at least one group or is the last.
+    """
+    h = F.sha2(F.concat(F.lit(seed), F.col("key").cast("string")), 256)
+    rows = kept(groups.select("stratum", "key", F.col("size").cast("long").alias("size"), h.alias("h")))
+    left = {k: (t, "") for k, t in targets.items()}
+    taken = None
+    while left:
+        now = F.lit(None)
+        after = F.lit(None)
+        for k, (rest, last) in left.items():
+            now, after = F.when(F.col("stratum") == k, F.lit(rest)).otherwise(now), F.when(F.col("stratum") == k, F.lit(last)).otherwise(after)
+        open_rows = rows.withColumn("rest", now.cast("long")).where((F.col("h") > after) & (F.col("size") <= F.col("rest")))
+        w = Window.partitionBy("stratum").orderBy("h")
+        first = open_rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("rest"))
+        lists = first.groupBy("stratum", "rest").agg(F.array_sort(F.collect_list(F.struct("h", "size", "key"))).alias("g"))
+        start = F.struct(F.lit(0).cast("long").alias("total"), F.slice("g", 1, 0).alias("got"))
+
+        def step(acc, g):
+            fits = acc["total"] + g["size"] <= F.col("rest")
+            return F.struct(F.when(fits, acc["total"] + g["size"]).otherwise(acc["total"]).alias("total"), F.when(fits, F.concat(acc["got"], F.array(g))).otherwise(acc["got"]).alias("got"))
+
+        folded = kept(lists.select("stratum", F.aggregate("g", start, step).alias("f"), F.element_at("g", -1)["h"].alias("last")))
+        got = folded.select("stratum", F.explode("f.got").alias("x")).select("stratum", "x.key", "x.size")
+        taken = got if taken is None else taken.union(got)
+        sums = folded.select("stratum", F.col("f.total").alias("total"), "last").collect()  # one row for each stratum
+        left = {r["stratum"]: (left[r["stratum"]][0] - r["total"], r["last"]) for r in sums if left[r["stratum"]][0] > r["total"]}
+    return taken
+
+
+def fill_with_singletons(taken: DataFrame, singles: DataFrame, target: int, seed: str) -> DataFrame:
+    """Singles (key) in seeded hash order for what the groups taken (size) leave of a target: (key)."""
+    rest = max(0, target - (taken.agg(F.sum("size")).first()[0] or 0))
+    h = F.sha2(F.concat(F.lit(seed), F.col("key").cast("string")), 256)
+    return singles.orderBy(h, "key").limit(rest).select("key")

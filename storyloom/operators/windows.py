@@ -27,13 +27,25 @@ def decayed_counts(mentions: DataFrame, key: str, ts: str, half_life_s: float) -
     return aged.groupBy(key, "first_at", "last_at", "n").agg(F.sum(decay).alias("ema"))
 
 
+#: Half-lives after which the running sum starts anew: powers of two of twice as many still are numbers.
+EPOCH = 400
+
+
 def running_decay(mentions: DataFrame, key: str, ts: str, id_col: str, half_life_s: float) -> DataFrame:
-    """The decayed count as of each mention, itself included, as one running sum from the key's first time."""
-    whole = Window.partitionBy(key)
-    w = Window.partitionBy(key).orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, 0)
-    age = (seconds_of(ts) - F.min(seconds_of(ts)).over(whole)) / half_life_s
-    grown = mentions.withColumn("_age", age).withColumn("_up", F.pow(F.lit(2.0), F.col("_age")))
-    return grown.withColumn("ema", F.sum("_up").over(w) * F.pow(F.lit(2.0), -F.col("_age"))).drop("_age", "_up")
+    """The decayed count as of each mention, itself included.
+
+    A running sum of growing weights, scaled back. Ages count from the start of an epoch of 400 half-lives, so that no
+    weight overflows however long a key's mentions span; the epoch before adds its sum, those before it less than 2^-400.
+    """
+    first = mentions.groupBy(key).agg(F.min(seconds_of(ts)).alias("_first"))
+    age = (seconds_of(ts) - F.col("_first")) / half_life_s
+    aged = mentions.join(first, key).withColumn("_epoch", F.floor(age / EPOCH)).withColumn("_age", age - F.col("_epoch") * EPOCH)
+    grown = aged.withColumn("_up", F.pow(F.lit(2.0), F.col("_age"))).drop("_first")
+    w = Window.partitionBy(key, "_epoch").orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, 0)
+    before = grown.groupBy(key, (F.col("_epoch") + 1).alias("_epoch")).agg((F.sum("_up") * F.lit(2.0**-EPOCH)).alias("_before"))
+    summed = grown.withColumn("_sum", F.sum("_up").over(w)).join(before, [key, "_epoch"], "left")
+    ema = (F.col("_sum") + F.coalesce("_before", F.lit(0.0))) * F.pow(F.lit(2.0), -F.col("_age"))
+    return summed.withColumn("ema", ema).select(*mentions.columns, "ema")
 
 
 def episodes_by_gap(rows: DataFrame, key: str, ts: str, id_col: str, gap_s: int) -> DataFrame:

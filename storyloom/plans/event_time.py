@@ -75,7 +75,7 @@ def e14_representative(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e16_overview_text(spark: SparkSession, d: str) -> DataFrame:
-    line = F.struct("ordinal", F.substring("text", 1, 30).alias("t"))
+    line = F.struct("ordinal", F.col("text").alias("t"))
     return chain(spark, d).groupBy("storyline").agg(F.array_sort(F.collect_list(line)).alias("l")).select(
         "storyline", F.array_join(F.transform("l", lambda x: x["t"]), " / ").alias("overview"))
 
@@ -119,8 +119,8 @@ def f5_keyset_page(spark: SparkSession, d: str) -> DataFrame:
         "id", seconds("ts").alias("ts_s"))
 
 
-_HASH = r"""hashed AS (SELECT id, published_at, sha256(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) || chr(10)
-    || lower(trim(regexp_replace(summary, '\s+', ' ', 'g')))) AS h FROM entries)"""
+_FOLD = r"replace(replace(lower(trim(regexp_replace({x}, '\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
+HASH = f"hashed AS (SELECT id, published_at, sha256({_FOLD.format(x='title')} || chr(10) || {_FOLD.format(x='summary')}) AS h FROM entries)"
 _CARDS = """cards AS (SELECT o_orderkey, o_custkey, row_number() OVER w AS version, lead(o_orderkey) OVER w AS superseded_by
   FROM orders WHERE o_orderstatus <> 'P' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 
@@ -129,7 +129,7 @@ QUERIES = {f.__name__: f for f in (
     e3_batches, e6_card_versions, e9_fair_due, e13_banded_sample, e14_representative, e16_overview_text, e17_rank_history,
     e18_first_card, j8_idempotent_events, d8_hourly_health, d7_status_breakdown, f5_keyset_page)}
 SQL = {
-    "c4_window_duplicate": f"""WITH {ENTRIES}, {_HASH} SELECT id, (SELECT max(b.id) FROM hashed b WHERE b.h = a.h AND b.id < a.id
+    "c4_window_duplicate": f"""WITH {ENTRIES}, {HASH} SELECT id, (SELECT max(b.id) FROM hashed b WHERE b.h = a.h AND b.id < a.id
   AND b.published_at > a.published_at - INTERVAL 72 HOUR) AS duplicate_of FROM hashed a""",
     "d4_entity_stats": f"""WITH {MENTIONS}, l AS (SELECT token, min(ts) AS f, max(ts) AS t, count(*) AS n FROM mentions GROUP BY 1)
 SELECT m.token, CAST(floor(epoch(any_value(f))) AS BIGINT) AS first_s, CAST(floor(epoch(any_value(t))) AS BIGINT) AS last_s, any_value(n) AS n,
@@ -149,7 +149,7 @@ SELECT id, token FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY
     "e13_banded_sample": """WITH n AS (SELECT o_custkey, count(*) AS n, CASE WHEN count(*) <= 2 THEN 0 WHEN count(*) <= 5 THEN 1 ELSE 2 END AS band FROM orders GROUP BY 1)
 SELECT o_custkey, n, CAST(band AS BIGINT) AS band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha256('seed-1:' || o_custkey), o_custkey) AS rn FROM n) ORDER BY rn, band LIMIT 60""",
     "e14_representative": f"""WITH {CHAIN} SELECT storyline, arg_min(ordinal, (syndicated, ts, ordinal)) AS representative, count(*) FILTER (WHERE syndicated) AS syndicated FROM chain GROUP BY 1""",
-    "e16_overview_text": f"WITH {CHAIN} SELECT storyline, string_agg(substr(text, 1, 30), ' / ' ORDER BY ordinal) AS overview FROM chain GROUP BY 1",
+    "e16_overview_text": f"WITH {CHAIN} SELECT storyline, string_agg(text, ' / ' ORDER BY ordinal) AS overview FROM chain GROUP BY 1",
     "e17_rank_history": f"WITH {_CARDS} SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY version DESC) AS history FROM cards GROUP BY 1",
     "e18_first_card": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority, o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1",
     "j8_idempotent_events": f"""WITH {MENTIONS} SELECT key, id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS rn FROM (

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from storyloom.functions import text
+from storyloom.functions import text, vectors
 from storyloom.operators.scratch import new_folder
 from storyloom.plans.roles import ENTRIES, entries, table
+from storyloom.plans.texts import KEY_SETS, keyed_text
 from storyloom.sources import feeds
 
 
@@ -23,39 +22,75 @@ def a1_inventory_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feed_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """RSS and, for one feed in three, Atom documents of twenty entries each."""
     e = entries(spark, d)
-    item = F.concat(F.lit("<item><guid>"), F.col("id").cast("string"), F.lit("</guid><link>http://x.gov/"), F.col("id").cast("string"), F.lit("</link><title>"),
-                    feeds.escaped(F.col("title")), F.lit("</title><description>"), feeds.escaped(F.substring("summary", 1, 60)), F.lit("</description></item>"))
-    g = e.groupBy(F.floor(F.col("id") / 20).alias("feed")).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))).alias("items"))
-    return g.select("feed", F.concat(F.lit('<rss version="2.0"><channel>'), F.array_join(F.transform("items", lambda i: i["x"]), ""), F.lit("</channel></rss>")).alias("body"))
+    k = F.col("id").cast("string")
+    title, text_of = feeds.escaped(F.col("title")), feeds.escaped(F.coalesce("summary", F.lit("")))
+    rss = F.concat(F.lit("<item><guid>"), k, F.lit("</guid><link>http://x.gov/"), k, F.lit("</link><title>"), title, F.lit("</title><description>"), text_of, F.lit("</description></item>"))
+    atom = F.concat(F.lit("<entry><id>"), k, F.lit('</id><link rel="alternate" href="http://x.gov/'), k, F.lit('"/><title type="text">'), title, F.lit("</title><summary>"), text_of, F.lit("</summary></entry>"))
+    feed = F.floor(F.col("id") / 20)
+    g = e.groupBy(feed.alias("feed")).agg(F.array_sort(F.collect_list(F.struct("id", F.when(feed % 3 == 0, atom).otherwise(rss).alias("x")))).alias("items"))
+    items = F.array_join(F.transform("items", lambda i: i["x"]), "")
+    head = F.concat(F.lit("<title>Feed "), F.col("feed").cast("string"), F.lit("</title>"))
+    body = F.when(F.col("feed") % 3 == 0, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), head, F.lit('<link href="https://home.gov/"/>'), items, F.lit("</feed>"))).otherwise(
+        F.concat(F.lit('<rss version="2.0"><channel>'), head, F.lit("<link>https://home.gov/</link>"), items, F.lit("</channel></rss>")))
+    return g.select("feed", body.alias("body"))
 
 
 def a2_feed_items(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.feed_items(_feed_bodies(spark, d)).select(F.col("guid").cast("long").alias("id"), "url", F.sha2(F.coalesce("title", F.lit("")), 256).alias("title_sha"), F.col("position").cast("long").alias("position"))
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return feeds.feed_items(_feed_bodies(spark, d)).select(F.col("guid").cast("long").alias("id"), "url", sha("title").alias("title_sha"), sha("summary").alias("summary_sha"), F.col("position").cast("long").alias("position"))
 
 
 def b11_feed_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, title and home page of feed documents, some of them JSON, with a DOCTYPE, or no feed."""
     b = _feed_bodies(spark, d)
-    body = F.when(F.col("feed") % 4 == 0, F.lit("<feed xmlns='x'><title>a</title></feed>")).when(F.col("feed") % 4 == 1, F.lit('{"version": "https://jsonfeed.org/version/1"}')).when(
-        F.col("feed") % 4 == 2, F.concat(F.lit("<!DOCTYPE rss>"), "body")).otherwise(F.col("body"))
-    return b.select("feed", feeds.feed_kind(body).alias("kind"))
+    i = F.col("feed") % 5
+    json = F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.concat(F.lit("JSON "), F.col("feed").cast("string")).alias("title"), F.lit("https://home.gov/").alias("home_page_url")))
+    body = F.when(i == 0, json).when(i == 1, F.concat(F.lit("<!DOCTYPE rss>"), "body")).when(i == 2, F.lit("<html><title>No feed</title></html>")).otherwise(F.col("body"))
+    made = b.select("feed", body.alias("body"))
+    return made.select("feed", feeds.feed_kind(F.col("body")).alias("kind"), feeds.feed_title(F.col("body")).alias("title"), feeds.feed_home(F.col("body")).alias("home"))
 
 
 def a3_sitemap(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15")).alias("m"))
-    row = F.concat(F.lit("<url><loc>"), feeds.escaped(F.col("url")), F.lit("</loc><lastmod>"), "m", F.lit("</lastmod></url>"))
-    b = p.groupBy((F.col("page_id") % 10).alias("site")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(row), ""), F.lit("</urlset>")).alias("body"))
-    return feeds.sitemap_rows(b, "2024-05-01")
+    """Sitemap documents of fifty pages each and an index of them: url rows from a day on, with news tags, and index rows."""
+    n = F.col("page_id")
+    p = table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("2024-0"), (n % 9 + 1).cast("string"), F.lit("-15")).alias("m"), F.floor(n / 50).alias("map"))
+    news = F.when(n % 4 == 0, F.concat(F.lit("<news:news><news:publication_date>"), "m", F.lit("T08:00:00Z</news:publication_date><news:title>News &amp; "), n.cast("string"), F.lit("</news:title></news:news>"))).otherwise("")
+    row = F.concat(F.lit("<url><loc>"), feeds.escaped(F.col("url")), F.lit("</loc>"), F.when(n % 4 != 0, F.concat(F.lit("<lastmod>"), "m", F.lit("</lastmod>"))).otherwise(""), news, F.lit("</url>"))
+    maps = p.groupBy("map").agg(F.array_join(F.collect_list(row), "").alias("rows")).select(F.concat(F.lit("map"), F.col("map").cast("string")).alias("source"), F.concat(F.lit("<urlset>"), "rows", F.lit("</urlset>")).alias("body"))
+    ref = F.concat(F.lit("<sitemap><loc>https://x.gov/map"), F.col("map").cast("string"), F.lit(".xml</loc><lastmod>2024-0"), (F.col("map") % 9 + 1).cast("string"), F.lit("-01</lastmod></sitemap>"))
+    index = p.select("map").distinct().groupBy(F.floor(F.col("map") / 50).alias("i")).agg(F.array_join(F.collect_list(ref), "").alias("rows"))
+    index = index.select(F.concat(F.lit("index"), F.col("i").cast("string")).alias("source"), F.concat(F.lit("<sitemapindex>"), "rows", F.lit("</sitemapindex>")).alias("body"))
+    return feeds.sitemap_rows(maps.unionByName(index), "2024-05-01")
 
 
 def a4_json_payload(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    b = c.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 40).alias("t")))).alias("body"))
-    return feeds.payload_rows(b, "turn: bigint, role: string, t: string")
+    """A conversation as a payload of one of five kinds, and all of them in one candidate schema."""
+    c = table(spark, d, "conversations").withColumn("kind", F.element_at(F.array(*map(F.lit, feeds.PAYLOADS)), (F.col("conv_id") % len(feeds.PAYLOADS) + 1).cast("int")))
+    key = F.concat_ws("-", "conv_id", "turn")
+    url, day = F.concat(F.lit("https://x.gov/"), key), F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string"))
+    title = F.concat("role", F.lit(" "), F.col("turn").cast("string"))
+
+    def body(kind: str, item: Column, wrap) -> DataFrame:
+        rows = c.where(F.col("kind") == kind)
+        return rows.groupBy("conv_id", "kind").agg(F.to_json(wrap(F.collect_list(item))).alias("body"))
+
+    named = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
+    made = (
+        body("wordpress", named(id=key, link=url, date_gmt=day, title=named(rendered=title), excerpt=named(rendered=F.concat(F.lit("<p>"), feeds.escaped(F.col("text")), F.lit("</p>")))), lambda x: x)
+        .unionByName(body("drupal", named(id=key, attributes=named(title=title, created=day, path=named(alias=F.concat(F.lit("/"), key)), body=named(processed=F.col("text")))), lambda x: named(data=x)))
+        .unionByName(body("media", named(id=key, sourceUrl=url, datePublished=day, name=title, description=F.col("text")), lambda x: named(results=x)))
+        .unionByName(body("solr", named(id=key, url=url, date=day, title=title, body=F.col("text")), lambda x: named(response=named(docs=x))))
+        .unionByName(body("parks", named(id=key, url=url, releaseDate=day, title=title, abstract=F.col("text")), lambda x: named(data=x)))
+    )
+    out = feeds.payload_candidates(made, base="https://x.gov")
+    return out.select("conv_id", "external_id", "url", "day", "title", F.sha2("summary", 256).alias("summary_sha"))
 
 
 def a6_yearly_captures(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("a"), F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("t"), (F.col("o_orderkey") % 40).alias("g"))
+    """Index documents of a hundred captures each: the latest of each address and year."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("a"), F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("t"), F.floor(F.col("o_orderkey") / 100).alias("g"))
     return feeds.yearly_captures(o.groupBy("g").agg(F.to_json(F.collect_list(F.array("t", "a"))).alias("body")))
 
 
@@ -95,28 +130,24 @@ def b15_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b19_reextraction(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).withColumn("version", F.when(F.col("id") % 3 != 0, F.col("id") % 5))
-    return e.where("version is null or version < 3").select("id", F.size(text.event_keys(F.col("title"))).cast("long").alias("keys"))
+    """Entries whose extractor is older than the third version, or unknown, with their keys read anew."""
+    e = keyed_text(entries(spark, d)).withColumn("version", F.when(F.col("id") % 3 != 0, F.col("id") % 5))
+    return e.where("version is null or version < 3").select("id", F.size(text.event_keys(F.col("keyed"))).cast("long").alias("keys"))
 
 
 def b23_fp16(spark: SparkSession, d: str) -> DataFrame:
-    """Half-precision bytes and back: the largest relative change of any number."""
-    @F.pandas_udf("double")
-    def change(v: pd.Series) -> pd.Series:
-        def one(x):
-            a = np.asarray(x, np.float32)
-            back = np.frombuffer(a.astype(np.float16).tobytes(), np.float16).astype(np.float32)
-            return float(np.abs(back - a).max()) if len(a) else 0.0
-
-        return v.map(one)
-
-    return table(spark, d, "embeddings").select("vec_id", (change("embedding") < 0.01).alias("close"))
+    """Vectors packed to half-precision bytes and unpacked again: bytes, and the largest change of a number."""
+    packed = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.pack_fp16(F.col("embedding")).alias("packed"))
+    back = packed.select("vec_id", "embedding", "packed", vectors.unpack_fp16(F.col("packed")).alias("back"))
+    change = F.array_max(F.zip_with("embedding", "back", lambda x, y: F.abs(x - y)))
+    return back.select("vec_id", F.hex("packed").alias("packed"), F.round(change.cast("double"), 9).alias("change"))
 
 
 def b25_running_mean(spark: SparkSession, d: str) -> DataFrame:
-    """A mean kept row by row is the mean: of each label's first dimension, in order."""
-    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.avg(F.col("embedding")[0].cast("double")).over(w), 6).alias("mean"))
+    """The mean vector of each label as of each of its rows, by dimension."""
+    w = Window.partitionBy("label", "dim").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
+    return x.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.avg(F.col("x").cast("double")).over(w), 6).alias("mean"))
 
 
 def b36_publisher_weight(spark: SparkSession, d: str) -> DataFrame:
@@ -157,19 +188,24 @@ QUERIES = {f.__name__: f for f in (
     a1_inventory_csv, a2_feed_items, b11_feed_kind, a3_sitemap, a4_json_payload, a6_yearly_captures, a8_run_snapshot, a9_snapshot_scan, a10_json_export, b6_strict_boolean,
     b15_candidates, b19_reextraction, b23_fp16, b25_running_mean, b36_publisher_weight, b39_verdict_values, b31_citation_guard, b32_overview_checks, b29_strong_keys)}
 SQL = {
-    "a1_inventory_csv": "SELECT s_suppkey, length(s_name) + 10 AS name_chars, s_nationkey FROM supplier",
-    "a2_feed_items": f"WITH {ENTRIES} SELECT id, 'http://x.gov/' || id AS url, sha256(trim(title)) AS title_sha, row_number() OVER (PARTITION BY id // 20 ORDER BY id) - 1 AS position FROM entries",
-    "b11_feed_kind": "SELECT DISTINCT doc_id // 20 AS feed, CASE (doc_id // 20) % 4 WHEN 0 THEN 'atom' WHEN 1 THEN 'json_feed' WHEN 2 THEN 'none' ELSE 'rss' END AS kind FROM documents",
-    "a3_sitemap": "SELECT page_id % 10 AS site, url AS loc, '2024-0' || (page_id % 9 + 1) || '-15' AS lastmod FROM pages WHERE page_id % 9 >= 4",
-    "a4_json_payload": "SELECT conv_id, turn, role, substr(text, 1, 40) AS t FROM conversations",
+    "a1_inventory_csv": "SELECT s_suppkey, length(s_name || ', \"quoted\"') AS name_chars, s_nationkey FROM supplier",
+    "a2_feed_items": f"WITH {ENTRIES} SELECT id, 'http://x.gov/' || id AS url, sha256(trim(title)) AS title_sha, sha256(trim(coalesce(summary, ''))) AS summary_sha, row_number() OVER (PARTITION BY id // 20 ORDER BY id) - 1 AS position FROM entries",
+    "b11_feed_kind": """WITH f AS (SELECT DISTINCT doc_id // 20 AS feed FROM documents)
+SELECT feed, CASE WHEN feed % 5 = 0 THEN 'json_feed' WHEN feed % 5 IN (1, 2) THEN 'none' WHEN feed % 3 = 0 THEN 'atom' ELSE 'rss' END AS kind,
+  CASE WHEN feed % 5 = 0 THEN 'JSON ' || feed WHEN feed % 5 > 2 THEN 'Feed ' || feed END AS title, CASE WHEN feed % 5 NOT IN (1, 2) THEN 'https://home.gov/' END AS home FROM f""",
+    "a3_sitemap": """SELECT 'map' || (page_id // 50) AS source, 'url' AS kind, url AS loc, CASE WHEN page_id % 4 <> 0 THEN '2024-0' || (page_id % 9 + 1) || '-15' END AS lastmod,
+  CASE WHEN page_id % 4 = 0 THEN 'News & ' || page_id END AS title, CASE WHEN page_id % 4 = 0 THEN '2024-0' || (page_id % 9 + 1) || '-15T08:00:00Z' END AS published FROM pages WHERE page_id % 9 >= 4
+UNION ALL SELECT 'index' || (m // 50), 'index', 'https://x.gov/map' || m || '.xml', '2024-0' || (m % 9 + 1) || '-01', NULL, NULL FROM (SELECT DISTINCT page_id // 50 AS m FROM pages) WHERE m % 9 >= 4""",
+    "a4_json_payload": """SELECT conv_id, conv_id || '-' || turn AS external_id, 'https://x.gov/' || conv_id || '-' || turn AS url, '2024-01-0' || (turn % 9 + 1) AS day,
+  role || ' ' || turn AS title, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS summary_sha FROM conversations""",
     "a6_yearly_captures": "SELECT CAST(o_custkey % 50 AS VARCHAR) AS address, strftime(o_orderdate, '%Y') AS year, max(strftime(o_orderdate, '%Y%m%d%H%M%S')) AS latest FROM orders GROUP BY 1, 2",
     "a8_run_snapshot": "SELECT 'customer' AS \"table\", count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'nation', count(*) FROM nation",
     "a9_snapshot_scan": "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1",
     "a10_json_export": "SELECT doc_id, quality, toxic FROM labels",
     "b6_strict_boolean": "SELECT CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS value, l_returnflag NOT IN ('A', 'N') AS rejected, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "b15_candidates": f"WITH {ENTRIES} SELECT id, CASE WHEN trim(title) = '' THEN 'no title' WHEN epoch(published_at) < 1704100000 OR epoch(published_at) >= 1704300000 THEN 'outside window' END AS reason, least(length(title), 80) AS title_chars FROM entries",
-    "b19_reextraction": "SELECT doc_id AS id, 0::BIGINT AS keys FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 < 3",
-    "b25_running_mean": "SELECT vec_id, round(avg(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label ORDER BY vec_id), 6) AS mean FROM embeddings",
+    "b19_reextraction": f"WITH {ENTRIES}, {KEY_SETS} SELECT id, len(list) AS keys FROM key_sets WHERE id % 3 = 0 OR id % 5 < 3",
+    "b25_running_mean": "SELECT vec_id, dim, round(avg(x) OVER (PARTITION BY label, dim ORDER BY vec_id), 6) AS mean FROM (SELECT vec_id, label, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)",
     "b36_publisher_weight": "SELECT s_suppkey % 20 AS storyline, greatest(coalesce(max(CASE WHEN s_nationkey % 3 = 0 THEN s_nationkey / 10.0::DOUBLE + 1 END), 1.0), 1.0) AS weight FROM supplier GROUP BY 1",
     "b39_verdict_values": "SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 2) THEN 1 WHEN doc_id % 6 IN (1, 3) THEN 0 END AS verdict, doc_id % 6 >= 4 AS violation FROM labels",
     "b31_citation_guard": "SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn DESC) AS timeline FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn <= 9) GROUP BY 1",

@@ -41,11 +41,22 @@ def _order() -> list[Column]:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return rank.positions(rank.facets(_keys(spark, d), single={"theme": "c_mktsegment"}), ["facet_type", "facet_key"], _order())
+    """Facets hold up to all storylines, so no window sorts one of them in a task."""
+    by_region = _keys(spark, d).join(_regions(spark, d), "storyline")
+    faceted = rank.facets(by_region, single={"theme": "c_mktsegment", "category": "region"})
+    return rank.ordinals(faceted, _order(), "position", ("facet_type", "facet_key"))
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    """A storyline's category: its customer's region."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    named = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.select(F.col("c_custkey").alias("storyline"), F.col("r_name").alias("region"))
 
 
 def g1_facet_expansion(spark: SparkSession, d: str) -> DataFrame:
-    return rank.facets(_rollup(spark, d), single={}).groupBy("facet_type", "facet_key").agg(
+    named = _rollup(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("storyline"), "c_mktsegment"), "storyline").join(_regions(spark, d), "storyline")
+    return rank.facets(named, single={"theme": "c_mktsegment", "category": "region"}).groupBy("facet_type", "facet_key").agg(
         F.count("*").alias("storylines"), F.sum("entry_count").alias("entries"))
 
 
@@ -55,9 +66,9 @@ def e4_facet_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def e5_experiment_positions(spark: SparkSession, d: str) -> DataFrame:
     keyed = _keys(spark, d).select("storyline", "c_mktsegment", (-F.col("rank_key")).alias("k"), "rank_key", "first_at", "c_name")
-    every = rank.ordinals(keyed, ["k", "first_at", "c_name", "storyline"], "position")
-    ranked = rank.positions(every.withColumnRenamed("position", "global_position"), ["c_mktsegment"], _order())
-    return ranked.select("storyline", F.col("global_position").cast("long").alias("global_position"), F.col("position").alias("category_position"))
+    every = rank.ordinals(keyed, ["k", "first_at", "c_name", "storyline"], "global_position")
+    ranked = rank.ordinals(every, _order(), "category_position", ("c_mktsegment",))
+    return ranked.select("storyline", "global_position", "category_position")
 
 
 def e8_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +120,8 @@ _RANKED = f"""{_KEYED},
 faceted AS (
   SELECT 'global' AS facet_type, 'all' AS facet_key, * FROM keyed
   UNION ALL SELECT 'agency', unnest(agencies), * FROM keyed
-  UNION ALL SELECT 'theme', c_mktsegment, * FROM keyed),
+  UNION ALL SELECT 'theme', c_mktsegment, * FROM keyed
+  UNION ALL SELECT 'category', r_name, k.* FROM keyed k JOIN customer ON c_custkey = storyline JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY facet_type, facet_key ORDER BY rank_key DESC, first_at, c_name, storyline) AS position
   FROM faceted)"""
@@ -138,7 +150,9 @@ SQL = {
     "b35_rank_key": f"WITH {_KEYED} SELECT storyline, rubric, rank_key FROM keyed",
     "g1_facet_expansion": f"""WITH {_ROLLED} SELECT facet_type, facet_key, count(*) AS storylines, CAST(sum(entry_count) AS BIGINT) AS entries FROM (
   SELECT 'global' AS facet_type, 'all' AS facet_key, entry_count FROM rolled
-  UNION ALL SELECT 'agency', unnest(agencies), entry_count FROM rolled) GROUP BY ALL""",
+  UNION ALL SELECT 'agency', unnest(agencies), entry_count FROM rolled
+  UNION ALL SELECT 'theme', c_mktsegment, entry_count FROM rolled JOIN customer ON c_custkey = storyline
+  UNION ALL SELECT 'category', r_name, entry_count FROM rolled JOIN customer ON c_custkey = storyline JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY ALL""",
     "e4_facet_rank": f"WITH {_RANKED} SELECT facet_type, facet_key, storyline, rank_key, position FROM ranked",
     "e5_experiment_positions": f"""WITH {_KEYED} SELECT storyline,
   row_number() OVER (ORDER BY rank_key DESC, first_at, c_name, storyline) AS global_position,

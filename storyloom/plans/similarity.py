@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text
 from storyloom.functions import vectors as v
-from storyloom.operators import similar
+from storyloom.operators import similar, windows
 from storyloom.operators.components import connected_components
 from storyloom.operators.windows import newest_per_group
 from storyloom.plans.roles import ENTRIES, VECTORS, entries, table, vectors
@@ -66,18 +66,27 @@ def d16_threshold_suggestion(spark: SparkSession, d: str) -> DataFrame:
     return c25_duplicate_cosine(spark, d).agg(F.round(F.percentile("sim", F.lit(0.05)) - 0.02, 6).alias("threshold"), F.count("*").alias("pairs"))
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
+def title_words(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("id", F.explode(text.title_tokens(F.col("title"), 6)).alias("token"))
 
 
+def word_classes(spark: SparkSession, d: str) -> DataFrame:
+    return similar.token_classes(title_words(spark, d))
+
+
 def c8_token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return similar.shared_tokens(_tokens(spark, d), most_holders=80)
+    """Pairs of classes of equal titles that share words; c8_token_classes says who belongs to a class."""
+    return similar.shared_tokens(similar.class_tokens(word_classes(spark, d)))
+
+
+def c8_token_classes(spark: SparkSession, d: str) -> DataFrame:
+    return word_classes(spark, d).select("id", "class", F.size("tokens").cast("long").alias("words"))
 
 
 def c9_rarity_candidates(spark: SparkSession, d: str) -> DataFrame:
-    t = _tokens(spark, d)
+    t = similar.class_tokens(word_classes(spark, d))
     weights = t.groupBy("token").agg(F.count("*").cast("double").alias("weight"))
-    return similar.rarity_ranked(t, weights, 3, 80).select("id", "b", F.round("score", 6).alias("score"), "shared", "rank")
+    return similar.rarity_ranked(t, weights, 3).select("id", "b", F.round("score", 6).alias("score"), "shared", "rank")
 
 
 def d19_tf_idf(spark: SparkSession, d: str) -> DataFrame:
@@ -98,9 +107,12 @@ def d22_cluster_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h1_components(spark: SparkSession, d: str) -> DataFrame:
-    """Storylines: components of entries that share two rare title tokens or more."""
-    edges = similar.shared_tokens(_tokens(spark, d), most_holders=80).where("shared >= 2").select("a", "b")
-    return connected_components(edges).select(F.col("node").alias("id"), "component")
+    """Storylines: components of entries that share two title words or more; episodes: their runs without a gap over
+    four hours."""
+    edges = similar.overlap_edges(title_words(spark, d), 2)
+    nodes = connected_components(edges).select(F.col("node").alias("id"), "component")
+    timed = nodes.join(entries(spark, d).select("id", "published_at"), "id")
+    return windows.episodes_by_gap(timed, "component", "published_at", "id", 4 * 3600).select("id", "component", F.col("episode").cast("long").alias("episode"))
 
 
 def h9_group_key(spark: SparkSession, d: str) -> DataFrame:
@@ -113,38 +125,40 @@ def h8_demotion_review(spark: SparkSession, d: str) -> DataFrame:
     return d10_cohesion(spark, d).where("n >= 2 and cohesion < 0.40")
 
 
-_COS = "CASE WHEN sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})) = 0 THEN 0 ELSE greatest(-1, least(1, list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))))) END"
-_NEAR = f"""{VECTORS}, near AS (SELECT b.id, a.id AS match, round({_COS.format(a='a.embedding', b='b.embedding')}, 9) AS sim
+COS = "CASE WHEN sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})) = 0 THEN 0 ELSE greatest(-1, least(1, list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))))) END"
+NEAR = f"""{VECTORS}, near AS (SELECT b.id, a.id AS match, round({COS.format(a='a.embedding', b='b.embedding')}, 9) AS sim
   FROM vectors a JOIN vectors b ON a.published_at < b.published_at AND a.published_at > b.published_at - INTERVAL 72 HOUR),
 best AS (SELECT id, match, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, match) AS rn FROM near WHERE sim >= 0.2) WHERE rn = 1)"""
-_CENT = f"""{VECTORS}, dims AS (SELECT label, unnest(range(64)) AS dim, unnest(embedding) AS x FROM vectors),
+CENT = f"""{VECTORS}, dims AS (SELECT label, unnest(range(64)) AS dim, unnest(embedding) AS x FROM vectors),
 means AS (SELECT label, dim, avg(x) AS x FROM dims GROUP BY 1, 2),
 cents AS (SELECT label, list(x ORDER BY dim) AS c FROM means GROUP BY 1),
-sims AS (SELECT id, v.label, {_COS.format(a='embedding', b='c')} AS sim FROM vectors v JOIN cents k ON v.label = k.label)"""
-_TOK = f"""{ENTRIES}, tokens AS (SELECT id, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 6))) AS token FROM entries),
-usual AS (SELECT token, count(*) AS n FROM tokens GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80),
-held AS (SELECT t.id, t.token, n FROM tokens t JOIN usual u ON t.token = u.token),
-shared AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM held x JOIN held y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2)"""
+sims AS (SELECT id, v.label, {COS.format(a='embedding', b='c')} AS sim FROM vectors v JOIN cents k ON v.label = k.label)"""
+TOK = f"""{ENTRIES}, sets AS (SELECT id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 6))) AS t FROM entries),
+classes AS (SELECT t, min(id) AS id FROM sets WHERE len(t) > 0 GROUP BY t),
+tokens AS (SELECT id, unnest(t) AS token FROM classes),
+held AS (SELECT id, token, count(*) OVER (PARTITION BY token) AS n FROM tokens),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM tokens x JOIN tokens y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2)"""
 
 QUERIES = {f.__name__: f for f in (
     b24_cosine, c5_near_duplicate, d9_centroids, d10_cohesion, e15_nearest_members, c15_theme_candidates, c16_cross_category, c22_knn,
-    c25_duplicate_cosine, d16_threshold_suggestion, c8_token_overlap, c9_rarity_candidates, d19_tf_idf, g4_member_overlap, d22_cluster_scores,
+    c25_duplicate_cosine, d16_threshold_suggestion, c8_token_overlap, c8_token_classes, c9_rarity_candidates, d19_tf_idf, g4_member_overlap, d22_cluster_scores,
     h1_components, h9_group_key, h8_demotion_review)}
 SQL = {
-    "b24_cosine": f"WITH {VECTORS} SELECT a.id, round({_COS.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM vectors a JOIN vectors b ON b.id = a.id + 1",
-    "c5_near_duplicate": f"WITH {_NEAR} SELECT * FROM best",
-    "d9_centroids": f"WITH {_CENT} SELECT label, dim, round(x, 6) AS x FROM means",
-    "d10_cohesion": f"WITH {_CENT} SELECT label, count(*) AS n, round(avg(sim), 6) AS cohesion FROM sims GROUP BY 1",
-    "e15_nearest_members": f"WITH {_CENT} SELECT id, label, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 6) DESC, id) AS rn FROM sims) WHERE rn <= 15",
-    "c15_theme_candidates": f"""WITH {_CENT}, m AS (SELECT id, k.label AS theme, round({_COS.format(a='embedding', b='c')}, 9) AS sim FROM vectors, cents k)
+    "b24_cosine": f"WITH {VECTORS} SELECT a.id, round({COS.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM vectors a JOIN vectors b ON b.id = a.id + 1",
+    "c5_near_duplicate": f"WITH {NEAR} SELECT * FROM best",
+    "d9_centroids": f"WITH {CENT} SELECT label, dim, round(x, 6) AS x FROM means",
+    "d10_cohesion": f"WITH {CENT} SELECT label, count(*) AS n, round(avg(sim), 6) AS cohesion FROM sims GROUP BY 1",
+    "e15_nearest_members": f"WITH {CENT} SELECT id, label, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 6) DESC, id) AS rn FROM sims) WHERE rn <= 15",
+    "c15_theme_candidates": f"""WITH {CENT}, m AS (SELECT id, k.label AS theme, round({COS.format(a='embedding', b='c')}, 9) AS sim FROM vectors, cents k)
 SELECT id, theme, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, theme) AS rank FROM m WHERE sim >= 0.05) WHERE rank <= 5""",
-    "c16_cross_category": f"WITH {_CENT} SELECT * FROM (SELECT a.label, b.label AS other, round({_COS.format(a='a.c', b='b.c')}, 6) AS sim FROM cents a, cents b WHERE a.label <> b.label) WHERE sim >= 0",
-    "c22_knn": f"""WITH {VECTORS}, m AS (SELECT q.id AS q, r.id, round({_COS.format(a='q.embedding', b='r.embedding')}, 9) AS sim FROM vectors q, vectors r WHERE q.id % 50 = 0 AND q.id <> r.id)
+    "c16_cross_category": f"WITH {CENT} SELECT * FROM (SELECT a.label, b.label AS other, round({COS.format(a='a.c', b='b.c')}, 6) AS sim FROM cents a, cents b WHERE a.label <> b.label) WHERE sim >= 0",
+    "c22_knn": f"""WITH {VECTORS}, m AS (SELECT q.id AS q, r.id, round({COS.format(a='q.embedding', b='r.embedding')}, 9) AS sim FROM vectors q, vectors r WHERE q.id % 50 = 0 AND q.id <> r.id)
 SELECT q, id, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM m) WHERE rank <= 8""",
-    "c25_duplicate_cosine": f"WITH {_NEAR} SELECT b.id, b.match, round({_COS.format(a='x.embedding', b='y.embedding')}, 6) AS sim FROM best b JOIN vectors x ON x.id = b.id JOIN vectors y ON y.id = b.match",
-    "d16_threshold_suggestion": f"WITH {_NEAR} SELECT round(quantile_cont(sim, 0.05) - 0.02, 6) AS threshold, count(*) AS pairs FROM best",
-    "c8_token_overlap": f"WITH {_TOK} SELECT * FROM shared",
-    "c9_rarity_candidates": f"""WITH {_TOK}, s AS (SELECT x.id, y.id AS b, round(sum(1.0::DOUBLE / (1 + x.n)), 9) AS score, count(*) AS shared FROM held x JOIN held y ON x.token = y.token AND y.id < x.id GROUP BY 1, 2)
+    "c25_duplicate_cosine": f"WITH {NEAR} SELECT b.id, b.match, round({COS.format(a='x.embedding', b='y.embedding')}, 6) AS sim FROM best b JOIN vectors x ON x.id = b.id JOIN vectors y ON y.id = b.match",
+    "d16_threshold_suggestion": f"WITH {NEAR} SELECT round(quantile_cont(sim, 0.05) - 0.02, 6) AS threshold, count(*) AS pairs FROM best",
+    "c8_token_overlap": f"WITH {TOK} SELECT * FROM shared",
+    "c8_token_classes": f"WITH {TOK} SELECT s.id, c.id AS class, len(s.t) AS words FROM sets s JOIN classes c ON s.t = c.t",
+    "c9_rarity_candidates": f"""WITH {TOK}, s AS (SELECT x.id, y.id AS b, round(sum(1.0::DOUBLE / (1 + x.n)), 9) AS score, count(*) AS shared FROM held x JOIN held y ON x.token = y.token AND y.id < x.id GROUP BY 1, 2)
 SELECT id, b, round(score, 6) AS score, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, shared DESC, b) AS rank FROM s) WHERE rank <= 3""",
     "d19_tf_idf": f"""WITH {ENTRIES}, w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: length(x) >= 4)) AS token FROM entries),
 tf AS (SELECT id, token, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
@@ -157,9 +171,14 @@ k AS (SELECT count(*) FILTER (WHERE p AND g) * 1.0::DOUBLE / count(*) FILTER (WH
 b AS (SELECT avg(bp) AS bp, avg(br) AS br FROM (SELECT a.id, count(*) FILTER (WHERE a.id % 7 = b.id % 7 AND a.label = b.label) / count(*) FILTER (WHERE a.id % 7 = b.id % 7) AS bp,
   count(*) FILTER (WHERE a.id % 7 = b.id % 7 AND a.label = b.label) / count(*) FILTER (WHERE a.label = b.label) AS br FROM vectors a, vectors b GROUP BY 1))
 SELECT round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1, round(bp, 9) AS b3_precision, round(br, 9) AS b3_recall, round(2 * bp * br / (bp + br), 9) AS b3_f1 FROM k, b""",
-    "h1_components": f"""WITH RECURSIVE {_TOK}, e AS (SELECT a, b FROM shared WHERE shared >= 2 UNION SELECT b, a FROM shared WHERE shared >= 2),
-r AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
-SELECT id, min(other) AS component FROM r GROUP BY 1""",
+    "h1_components": f"""WITH RECURSIVE {TOK}, pairs AS (SELECT a, b FROM shared WHERE shared >= 2
+  UNION SELECT c.id, s.id FROM sets s JOIN classes c ON s.t = c.t WHERE len(s.t) >= 2 AND s.id <> c.id),
+e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT id, min(other) AS component FROM r GROUP BY 1),
+o AS (SELECT c.id, component, published_at, CASE WHEN published_at - lag(published_at) OVER (PARTITION BY component ORDER BY published_at, c.id) > INTERVAL 4 HOUR THEN 1 ELSE 0 END AS opens
+  FROM c JOIN entries e ON e.id = c.id)
+SELECT id, component, CAST(1 + sum(opens) OVER (PARTITION BY component ORDER BY published_at, id) AS BIGINT) AS episode FROM o""",
     "h9_group_key": "SELECT conv_id, sha256(string_agg(CAST(turn AS VARCHAR), '|' ORDER BY turn)) AS group_key FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY 1",
-    "h8_demotion_review": f"WITH {_CENT} SELECT * FROM (SELECT label, count(*) AS n, round(avg(sim), 6) AS cohesion FROM sims GROUP BY 1) WHERE n >= 2 AND cohesion < 0.40",
+    "h8_demotion_review": f"WITH {CENT} SELECT * FROM (SELECT label, count(*) AS n, round(avg(sim), 6) AS cohesion FROM sims GROUP BY 1) WHERE n >= 2 AND cohesion < 0.40",
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.functions import text, urls
+from storyloom.functions import text, urls, vectors
 from storyloom.plans.roles import ENTRIES, entries, table
 
 MARKERS = ("cookie", "javascript", "subscribe", "sign up", "skip to", "all rights", "enable", "404")
@@ -18,7 +18,7 @@ def b1_canonical_url(spark: SparkSession, d: str) -> DataFrame:
 
 def b2_canonical_url_secure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(
-        "page_id", urls.canonical(F.col("url"), trackers=("ref",), secure_suffixes=(".example.com",)).alias("canonical"))
+        "page_id", urls.canonical(F.col("url"), trackers=urls.NEWS_TRACKERS, secure_suffixes=(*urls.SECURE_SUFFIXES, ".example.com")).alias("canonical"))
 
 
 def b3_content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -29,14 +29,32 @@ def b4_candidate_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.candidate_key(F.col("page_id").cast("string"), F.col("url")).alias("candidate_key"))
 
 
+#: Hosts that take the place of a page's own, by page_id, each with the reason why it isn't public (none: it is).
+HOSTS = (
+    ("www.fda.gov", None), ("user@www.fda.gov", "credentials"), ("www.fda.gov:443", None), ("www.fda.gov:8080", "port"),
+    ("localhost", "local name"), ("a.local", "local name"), ("metadata.google.internal", "local name"), ("10.1.2.3", "private address"),
+    ("8.8.8.8", None), ("172.16.0.1", "private address"), ("172.32.0.1", None), ("192.168.1.1", "private address"),
+    ("100.64.0.1", "private address"), ("203.0.113.9", "private address"), ("300.1.1.1", "private address"), ("[::1]", "private address"),
+    ("[::ffff:10.0.0.1]", "private address"), ("[::ffff:8.8.8.8]", None), ("[2606:4700::1111]", None), ("[2001:db8::1]", "private address"),
+    ("[fe80::1]", "private address"), ("198.18.0.1", "private address"), ("224.0.0.1", "private address"),
+)
+
+
 def b7_unsafe_url(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", urls.unsafe_reason(F.col("url")).alias("reason"))
+    """Of each page's URL with another host, and with another scheme for one page in five."""
+    hosts = F.array(*[F.lit(h) for h, _ in HOSTS])
+    at = F.element_at(hosts, (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    scheme = F.when(F.col("page_id") % 5 == 4, "ftp").otherwise("https")
+    made = F.concat(scheme, F.lit("://"), at, F.regexp_replace("url", "^[a-zA-Z]+://[^/?#]*", ""))
+    return table(spark, d, "pages").select("page_id", urls.unsafe_reason(made).alias("reason"))
+
+
+BASES = ("example.com", "example.net", "example.org")
 
 
 def b8_domain_containment(spark: SparkSession, d: str) -> DataFrame:
     h = urls.host(F.col("url"))
-    return table(spark, d, "pages").select("page_id", *[
-        urls.within(h, F.lit(b)).alias("in_" + b.split(".")[1]) for b in ("example.com", "example.net", "example.org") if b == "example.com"])
+    return table(spark, d, "pages").select("page_id", *[urls.within(h, F.lit(b)).alias("in_" + b.split(".")[1]) for b in BASES])
 
 
 def b13_strip_markup(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +68,22 @@ def b12_title_and_heading(spark: SparkSession, d: str) -> DataFrame:
         F.length(text.strip_markup(F.regexp_extract(h, "<h1>(.*?)</h1>", 1))).cast("long").alias("h1_chars"))
 
 
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' URLs with a day in one of five forms, and a title with one. Some days don't exist."""
+    i = F.col("page_id")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    m, day = two(i % 14 + 1), two(i % 33 + 1)
+    forms = [F.concat(F.lit("/2024/"), m, F.lit("/"), day, F.lit("/x")), F.concat(F.lit("/2024-"), m, F.lit("-"), day, F.lit(".html")),
+             F.concat(F.lit("/a_"), m, day, F.lit("2024.pdf")), F.concat(F.lit("/n2024"), m, day, F.lit("-a")), F.lit("/none")]
+    path = F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
+    site = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*[^?#]*", 0)
+    title = F.concat(F.lit("Notice of "), (i % 14 + 1).cast("string"), F.lit("/"), (i % 33 + 1).cast("string"), F.lit("/2023 given"))
+    return table(spark, d, "pages").select("page_id", F.concat(site, path).alias("url"), title.alias("title"))
+
+
 def b14_date_in_path(spark: SparkSession, d: str) -> DataFrame:
-    dated = F.concat("url", F.lit("/2024/"), (F.col("page_id") % 14 + 1).cast("string"), F.lit("/"), (F.col("page_id") % 33 + 1).cast("string"), F.lit("/x"))
-    return table(spark, d, "pages").select("page_id", F.date_format(urls.date_in_path(dated), "yyyy-MM-dd").alias("day"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return _dated(spark, d).select("page_id", day(urls.date_in_path(F.col("url"))).alias("day"), day(urls.date_in_title(F.col("title"))).alias("title_day"))
 
 
 def b16_title_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -61,13 +92,21 @@ def b16_title_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b17_entities(spark: SparkSession, d: str) -> DataFrame:
-    return entries(spark, d).select("id", F.array_join(text.entities(F.col("title"), F.col("summary")), ",").alias("entities"))
+    found = text.entities(F.col("title"), F.col("summary"), F.col("body"))
+    return entries(spark, d).select("id", F.array_join(found, ",").alias("entities"))
 
 
-def b18_event_keys(spark: SparkSession, d: str) -> DataFrame:
+def keyed_text(e: DataFrame) -> DataFrame:
+    """Entries with a text that names a vulnerability, a docket, a document or a case after their id, at its end."""
     k = F.col("id").cast("string")
-    made = F.concat(F.lit("see CVE-2024-"), F.lpad(k, 5, "0"), F.lit(" and Docket No. 24-"), F.lpad(k, 4, "0"), F.lit(" or EPA-HQ-2023-0"), F.lpad(k, 3, "0"), F.lit(" end"))
-    return entries(spark, d).where("id < 1000").select("id", F.array_join(text.event_keys(made), ",").alias("keys"))
+    marks = [F.concat(F.lit("CVE-2024-"), F.lpad(k, 7, "0")), F.concat(F.lit("Docket No.  24-"), F.lpad(k, 4, "0")),
+             F.concat(F.lit("EPA-HQ-2023-"), F.lpad(k, 5, "0")), F.concat(F.lit("2024-"), F.lpad(k, 6, "0")), F.concat(F.lit("no-2024-"), F.lpad(k, 6, "0"))]
+    mark = F.element_at(F.array(*marks), (F.col("id") % len(marks) + 1).cast("int"))
+    return e.withColumn("keyed", F.concat(text.keys_text(F.col("title"), F.col("summary"), F.col("body")), F.lit(" see "), mark, F.lit(" and Z-"), F.lpad((F.col("id") % 5000).cast("string"), 4, "0"), F.lit("-2024 Case no. 23-104.")))
+
+
+def b18_event_keys(spark: SparkSession, d: str) -> DataFrame:
+    return keyed_text(entries(spark, d)).select("id", F.array_join(text.event_keys(F.col("keyed")), ",").alias("keys"))
 
 
 def b20_valid_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -75,23 +114,32 @@ def b20_valid_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b21_embedding_text(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).select("id", F.sha2(_embedding_text(), 256).alias("text_sha"))
+
+
+def _embedding_text() -> Column:
+    """The summary if it is prose, else a title of some length, else the head of the body."""
     valid = text.is_valid_enrichment(F.col("summary"), MARKERS)
-    return entries(spark, d).select("id", F.sha2(F.coalesce(
-        F.when(valid, F.col("summary")), F.when(F.length("title") >= 20, F.col("title")), F.substring("body", 1, 4000)), 256).alias("text_sha"))
+    return F.coalesce(F.when(valid, F.col("summary")), F.when(F.length("title") >= 20, F.col("title")), F.substring("body", 1, text.BODY_CAP))
 
 
 def b22_bag_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed bag of words of titles: the non-zero dimensions and their share, before normalising."""
-    words = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) >= 3)
+    """Hashed bag of words of the embedding text: unit vector of 256 dimensions, as a list of its digits' sha256 and its
+    non-zero entries."""
+    chosen = entries(spark, d).select("id", _embedding_text().alias("t"))
+    words = F.filter(F.transform(F.split(text.folded(F.col("t")), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?()'\"]+|[.,;:!?()'\"]+$", "")), lambda w: F.length(w) >= 3)
     byte = lambda w, i: F.conv(F.substr(F.sha2(w, 256), F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("long")
-    dims = entries(spark, d).select("id", F.explode(words).alias("w")).select("id", F.explode(F.array(byte(F.col("w"), 0), byte(F.col("w"), 1))).alias("dim"))
+    dims = chosen.select("id", F.explode(words).alias("w")).select("id", F.explode(F.array(byte(F.col("w"), 0), byte(F.col("w"), 1))).alias("dim"))
     counts = dims.groupBy("id", "dim").agg(F.count("*").alias("n"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
-    return counts.join(norms, "id").select("id", "dim", F.round(F.col("n") / F.col("norm"), 9).alias("x"))
+    made = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("double")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    unit = made.select("id", vectors.unit(dense).alias("v"))
+    return unit.select("id", F.posexplode("v").alias("dim", "x")).where("x > 0").select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 9).alias("x"))
 
 
 def b26_receipt(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", text.receipt("v1", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("receipt"))
+    fields = {"status": F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")), "key": F.col("o_orderkey"), "priority": F.col("o_orderpriority")}
+    return table(spark, d, "orders").select("o_orderkey", text.receipt("v1", fields).alias("receipt"))
 
 
 def b27_lexical_category(spark: SparkSession, d: str) -> DataFrame:
@@ -153,22 +201,47 @@ def a11_partition_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a12_artifact_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    e = entries(spark, d).select(F.sha2("body", 256).alias("sha"), F.octet_length("body").cast("long").alias("bytes"))
+    """Objects of one declared hash: its duplicates, their bytes, and whether their sizes contradict it. The declared hash
+    is that of the title, so that copies with another body are conflicts."""
+    e = entries(spark, d).select(F.sha2("title", 256).alias("sha"), F.octet_length("body").cast("long").alias("bytes"))
     g = e.groupBy("sha").agg(F.count("*").alias("objects"), F.sum("bytes").alias("bytes"), (F.count_distinct("bytes") > 1).alias("conflict"))
     return g.where("objects > 1")
 
 
 _CANON = """SELECT page_id, {scheme} || '://' || lower(host) || CASE WHEN path = '' THEN '/' ELSE path END ||
-  CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_sort(q), '&') END AS canonical FROM (
+  CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(list_transform(q, lambda p: {{'n': split_part(p, '=', 1), 'p': p}})), lambda x: x.p), '&') END AS canonical FROM (
   SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host,
     regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
     list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_')
       AND NOT list_contains({trackers}, lower(split_part(p, '=', 1)))) AS q FROM pages)"""
 _STRIP = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
-_SQUEEZE = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+_SQUEEZE = "replace(replace(lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
 _VALID = ("(length(trim(summary)) >= 40 AND length(regexp_replace(summary, '[^A-Za-z0-9]', '', 'g')) >= 20 AND NOT ("
           + " OR ".join(f"contains(lower(summary), '{m}')" for m in MARKERS) + "))")
 _STOPS = "[" + ",".join(f"'{w}'" for w in [*text.AGENCY_WORDS, *text.BOILERPLATE_WORDS]) + "]"
+_CHOSEN = f"coalesce(CASE WHEN {_VALID} THEN summary END, CASE WHEN length(title) >= 20 THEN title END, substr(body, 1, 4000))"
+_LINE = "\\b([A-Z][A-Z''.-]+(?:\\s+[A-Z][A-Z''.-]+)*)(?:,\\s*[A-Z][A-Za-z]{0,5}\\.?)?\\s+[–—-]\\s+"
+_END = "(?s)^(.*?[.!?])(?:\\s|$)"
+#: entity_sets (id, list) and key_sets (id, list) from entries. Accented letters count as letters at word ends.
+ENTITY_SETS = f"""heads AS (SELECT id, title, v.which, v.t, regexp_extract(substr(v.t, 1, 240), '{_LINE}', 0) AS line, regexp_extract(substr(v.t, 1, 240), '{_LINE}', 1) AS city
+  FROM entries, LATERAL (VALUES (1, summary), (2, substr(body, 1, 4000))) v(which, t)),
+afters AS (SELECT *, CASE WHEN line = '' THEN t ELSE substr(t, instr(t, line) + length(line)) END AS after FROM heads),
+proses AS (SELECT *, CASE WHEN length(regexp_extract(after, '{_END}', 1)) <= 241 THEN regexp_extract(after, '{_END}', 1) ELSE '' END AS sentence FROM afters),
+chosen AS (SELECT x.id, x.title, CASE WHEN x.sentence = '' AND x.city = '' THEN y.sentence ELSE x.sentence END AS sentence, CASE WHEN x.sentence = '' AND x.city = '' THEN y.city ELSE x.city END AS city
+  FROM proses x JOIN proses y ON x.id = y.id WHERE x.which = 1 AND y.which = 2),
+spans AS (SELECT id, title || '. ' || sentence AS t, city FROM chosen),
+span_words AS (SELECT id, unnest(flatten(list_transform(list_append(regexp_extract_all(regexp_replace(t, '[À-ɏ]', '_', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), city), lambda x: regexp_split_to_array(x, '\\s+')))) AS w FROM spans),
+bare AS (SELECT id, lower(regexp_replace(w, '^[.,;:''"()]+|[.,;:''"()]+$', '', 'g')) AS w FROM span_words),
+named AS (SELECT id, w FROM bare WHERE length(w) >= 4 AND NOT list_contains({_STOPS}, w)
+  UNION SELECT id, {_SQUEEZE.format(x="unnest(regexp_extract_all(t, '(?i)\\$\\d[\\d,.]*(?:\\s?(?:million|billion|trillion))?'))")} FROM spans),
+entity_sets AS (SELECT e.id, coalesce(list_sort(list(DISTINCT w) FILTER (WHERE w IS NOT NULL))[1:64], []) AS list FROM entries e LEFT JOIN named k ON e.id = k.id GROUP BY e.id)"""
+_KEYED = """(title || '. ' || CASE WHEN summary = '' THEN substr(body, 1, 4000) ELSE summary END || ' see ' || CASE id % 5 WHEN 0 THEN printf('CVE-2024-%07d', id) WHEN 1 THEN printf('Docket No.  24-%04d', id)
+  WHEN 2 THEN printf('EPA-HQ-2023-%05d', id) WHEN 3 THEN printf('2024-%06d', id) ELSE printf('no-2024-%06d', id) END || printf(' and Z-%04d-2024 Case no. 23-104.', id % 5000))"""
+KEY_SETS = f"""keyed AS (SELECT id, {_KEYED} AS t FROM entries),
+raw_keys AS (SELECT id, unnest(flatten([regexp_extract_all(t, '(?i)\\bCVE-\\d{{4}}-\\d{{4,7}}\\b'), regexp_extract_all(t, '\\b[A-Z]{{2,6}}(?:-[A-Z]{{1,6}})*-\\d{{4}}-\\d{{3,5}}(?:-\\d{{1,6}})?\\b'),
+  regexp_extract_all(t, '(?:^|[^-\\w])(\\d{{4}}-\\d{{5,6}})\\b', 1), regexp_extract_all(t, '\\b[ZF]-\\d{{4}}-\\d{{2,4}}\\b'),
+  regexp_extract_all(t, '(?i)\\b(?:case|docket)\\s+no\\.\\s?\\d{{2}}-\\d{{2,5}}\\b')])) AS k FROM keyed),
+key_sets AS (SELECT e.id, coalesce(list_sort(list(DISTINCT lower(regexp_replace(k, '\\s+', ' ', 'g'))) FILTER (WHERE k IS NOT NULL))[1:16], []) AS list FROM entries e LEFT JOIN raw_keys r ON e.id = r.id GROUP BY e.id)"""
 _LINKS = """links AS (SELECT page_id, href, arg_min(t, pos) AS text, min(pos) AS pos FROM (
   SELECT page_id, unnest(a) AS href, unnest(t) AS t, unnest(range(len(a))) AS pos FROM (
     SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)) GROUP BY 1, 2)"""
@@ -180,29 +253,36 @@ QUERIES = {f.__name__: f for f in (
     b10_feed_candidates, a11_partition_manifest, a12_artifact_dedupe)}
 SQL = {
     "b1_canonical_url": _CANON.format(scheme="scheme", trackers="[" + ",".join(f"'{t}'" for t in urls.TRACKERS) + "]"),
-    "b2_canonical_url_secure": _CANON.format(scheme="CASE WHEN lower(host) LIKE '%.example.com' THEN 'https' ELSE scheme END", trackers="['ref']"),
+    "b2_canonical_url_secure": _CANON.format(scheme="CASE WHEN lower(host) LIKE '%.example.com' THEN 'https' ELSE scheme END", trackers="[" + ",".join(f"'{t}'" for t in urls.NEWS_TRACKERS) + "]"),
     "b3_content_hash": f"WITH {ENTRIES} SELECT id, sha256({_SQUEEZE.format(x='title')} || chr(10) || {_SQUEEZE.format(x='summary')}) AS content_hash FROM entries",
     "b4_candidate_key": "SELECT page_id, sha256(page_id || chr(10) || url) AS candidate_key FROM pages",
-    "b7_unsafe_url": "SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' END AS reason FROM pages",
-    "b8_domain_containment": "SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '(^|\\.)example\\.com$') AS in_com FROM pages",
+    "b7_unsafe_url": f"""WITH hosts(k, reason) AS (VALUES {", ".join(f"({i}, {'NULL' if r is None else repr(r)})" for i, (_, r) in enumerate(HOSTS))})
+SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'scheme' ELSE reason END AS reason FROM pages JOIN hosts ON page_id % {len(HOSTS)} = k""",
+    "b8_domain_containment": "SELECT page_id, " + ", ".join(
+        f"regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '(^|\\.){b.replace('.', '[.]')}$') AS in_{b.split('.')[1]}" for b in BASES) + " FROM pages",
     "b12_title_and_heading": f"SELECT page_id, {_STRIP.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, length({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1_chars FROM pages",
     "b13_strip_markup": f"SELECT page_id, sha256({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1_sha FROM pages",
-    "b14_date_in_path": "SELECT page_id, strftime(try_strptime('2024-' || (page_id % 14 + 1) || '-' || (page_id % 33 + 1), '%Y-%m-%d'), '%Y-%m-%d') AS day FROM pages",
+    "b14_date_in_path": """WITH x AS (SELECT page_id, page_id % 14 + 1 AS m, page_id % 33 + 1 AS d, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS old FROM pages),
+p AS (SELECT *, old || CASE page_id % 5 WHEN 0 THEN printf('/2024/%02d/%02d/x', m, d) WHEN 1 THEN printf('/2024-%02d-%02d.html', m, d)
+    WHEN 2 THEN printf('/a_%02d%02d2024.pdf', m, d) WHEN 3 THEN printf('/n2024%02d%02d-a', m, d) ELSE '/none' END AS path FROM x),
+g AS (SELECT *, regexp_extract(path, '/(20\\d{2})/(0[1-9]|1[0-2])/(0[1-9]|[12]\\d|3[01])(?:/|$)', ['y', 'm', 'd']) AS a,
+  regexp_extract(path, '/(20\\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\\d|3[01])(?:[./]|$)', ['y', 'm', 'd']) AS b,
+  regexp_extract(path, '(?i)_(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])(20\\d{2})\\.[a-z0-9]+$', ['m', 'd', 'y']) AS c,
+  regexp_extract(path, '(?:^|\\D)(20\\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])(?:\\D|$)', ['y', 'm', 'd']) AS e FROM p)
+SELECT page_id, strftime(coalesce(try_strptime(a.y || '-' || a.m || '-' || a.d, '%Y-%m-%d'), try_strptime(b.y || '-' || b.m || '-' || b.d, '%Y-%m-%d'),
+  try_strptime(c.y || '-' || c.m || '-' || c.d, '%Y-%m-%d'), try_strptime(e.y || '-' || e.m || '-' || e.d, '%Y-%m-%d')), '%Y-%m-%d') AS day,
+  CASE WHEN m <= 12 AND d <= 31 THEN strftime(try_strptime('2023-' || m || '-' || d, '%Y-%m-%d'), '%Y-%m-%d') END AS title_day FROM g""",
     "b16_title_patterns": f"WITH {ENTRIES} SELECT id, regexp_matches(title, '(?i)^the |tion') AS allowed, regexp_matches(title, '(?i)\\bof\\b') AS denied FROM entries",
-    "b17_entities": f"""WITH {ENTRIES}, s AS (SELECT id, title || '. ' || CASE WHEN length(regexp_extract(summary, '(?s)^(.*?[.!?])(?:\\s|$)', 1)) <= 241
-  THEN regexp_extract(summary, '(?s)^(.*?[.!?])(?:\\s|$)', 1) ELSE '' END AS t FROM entries),
-w AS (SELECT id, lower(unnest(flatten(list_transform(regexp_extract_all(regexp_replace(t, '[À-ɏ]', '_', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda x: regexp_split_to_array(x, '\\s+'))))) AS w FROM s),
-k AS (SELECT DISTINCT id, w FROM w WHERE length(w) >= 4 AND NOT list_contains({_STOPS}, w)
-  UNION SELECT id, {_SQUEEZE.format(x="unnest(regexp_extract_all(t, '(?i)\\$\\d[\\d,.]*(?:\\s?(?:million|billion|trillion))?'))")} FROM s)
-SELECT e.id, coalesce(array_to_string(list_sort(list(w) FILTER (WHERE w IS NOT NULL))[1:64], ','), '') AS entities FROM entries e LEFT JOIN k ON e.id = k.id GROUP BY e.id""",
-    "b18_event_keys": "SELECT doc_id AS id, 'cve-2024-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || ',docket no. 24-' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || ',epa-hq-2023-0' || lpad(CAST(doc_id AS VARCHAR), 3, '0') AS keys FROM documents WHERE doc_id < 1000",
+    "b17_entities": f"WITH {ENTRIES}, {ENTITY_SETS} SELECT id, array_to_string(list, ',') AS entities FROM entity_sets",
+    "b18_event_keys": f"WITH {ENTRIES}, {KEY_SETS} SELECT id, array_to_string(list, ',') AS keys FROM key_sets",
     "b20_valid_enrichment": f"WITH {ENTRIES} SELECT id, {_VALID} AS valid FROM entries",
-    "b21_embedding_text": f"WITH {ENTRIES} SELECT id, sha256(coalesce(CASE WHEN {_VALID} THEN summary END, CASE WHEN length(title) >= 20 THEN title END, substr(body, 1, 4000))) AS text_sha FROM entries",
-    "b22_bag_embedding": f"""WITH {ENTRIES}, w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: length(x) >= 3)) AS w FROM entries),
+    "b21_embedding_text": f"WITH {ENTRIES} SELECT id, sha256({_CHOSEN}) AS text_sha FROM entries",
+    "b22_bag_embedding": f"""WITH {ENTRIES}, w AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(replace(replace(lower({_CHOSEN}), 'ß', 'ss'), 'ς', 'σ'), '\\s+'),
+  lambda x: regexp_replace(x, '^[.,;:!?()''"]+|[.,;:!?()''"]+$', '', 'g')), lambda x: length(x) >= 3)) AS w FROM entries),
 dims AS (SELECT id, unnest([CAST('0x' || substr(sha256(w), 1, 2) AS BIGINT), CAST('0x' || substr(sha256(w), 3, 2) AS BIGINT)]) AS dim FROM w),
 c AS (SELECT id, dim, count(*) AS n FROM dims GROUP BY 1, 2)
 SELECT id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS x FROM c""",
-    "b26_receipt": "SELECT o_orderkey, sha256('v1|' || length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || '|' || length(o_orderstatus) || ':' || o_orderstatus || '|' || length(o_orderpriority) || ':' || o_orderpriority) AS receipt FROM orders",
+    "b26_receipt": """SELECT o_orderkey, 'v1:' || sha256('{"key":' || o_orderkey || ',"priority":"' || o_orderpriority || '","status":' || CASE WHEN o_orderkey % 9 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS receipt FROM orders""",
     "b27_lexical_category": f"""WITH {ENTRIES}, rules(category, phrase, w) AS (VALUES {", ".join(f"('{c}', '{p}', {w}::DOUBLE)" for c, (p, w) in CATEGORIES.items())}),
 s AS (SELECT id, category, ((CASE WHEN contains(lower(title), phrase) THEN 3.5::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(body), phrase) THEN 0.8::DOUBLE ELSE 0 END)) * w AS score FROM entries, rules),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rn FROM s)
@@ -215,5 +295,5 @@ SELECT id, max(category) FILTER (WHERE rn = 1) AS category, round(max(score) FIL
     "b9_feed_links": f"WITH {_LINKS} SELECT page_id, array_to_string(list(href ORDER BY pos)[1:3], ' ') AS links FROM links WHERE regexp_matches(href, '(?i)th|de') GROUP BY 1",
     "b10_feed_candidates": "SELECT DISTINCT 'https://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) || path AS candidate, CAST(r AS BIGINT) AS rank FROM pages, (VALUES ('/feed', 0), ('/rss.xml', 1), ('/atom.xml', 2)) p(path, r)",
     "a11_partition_manifest": "SELECT doc_id AS id, CAST(list_reduce([0::HUGEINT] || list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha256(text), CAST(i * 8 + 1 AS BIGINT), 8) AS HUGEINT)), lambda a, b: (a * 4294967296 + b) % 97) AS BIGINT) AS part FROM documents",
-    "a12_artifact_dedupe": "SELECT sha256(text) AS sha, count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS bytes, false AS conflict FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "a12_artifact_dedupe": f"WITH {ENTRIES} SELECT sha256(title) AS sha, count(*) AS objects, CAST(sum(strlen(body)) AS BIGINT) AS bytes, count(DISTINCT strlen(body)) > 1 AS conflict FROM entries GROUP BY 1 HAVING count(*) > 1",
 }

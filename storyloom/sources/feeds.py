@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from storyloom.functions import text
+
 # The five character references of XML; the ampersand is written first and read last.
 REFERENCES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 
 
-def escaped(text: Column) -> Column:
+def escaped(plain: Column) -> Column:
     for char, name in REFERENCES:
-        text = F.replace(text, F.lit(char), F.lit(name))
-    return text
+        plain = F.replace(plain, F.lit(char), F.lit(name))
+    return plain
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(marked: Column) -> Column:
     for char, name in reversed(REFERENCES):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        marked = F.replace(marked, F.lit(name), F.lit(char))
+    return marked
 
 
 def inside(block: Column, tag: str) -> Column:
@@ -51,10 +53,41 @@ def feed_kind(body: Column) -> Column:
     )
 
 
+def _head(body: Column) -> Column:
+    """A feed document up to its first item."""
+    return F.regexp_replace(body, r"(?is)<(?:item|entry)[\s>].*$", "")
+
+
+def _known(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def feed_title(body: Column) -> Column:
+    """The title of a feed document; null where it is none."""
+    xml = feed_kind(body).isin("rss", "atom")
+    return F.when(xml, _known(inside(_head(body), "title"))).when(feed_kind(body) == "json_feed", F.get_json_object(body, "$.title"))
+
+
+def feed_home(body: Column) -> Column:
+    """The page that a feed document belongs to."""
+    link = F.coalesce(_known(inside(_head(body), "link")), _known(F.regexp_extract(_head(body), r'(?i)<link[^>]*href="([^"]*)"', 1)))
+    return F.when(feed_kind(body).isin("rss", "atom"), link).when(feed_kind(body) == "json_feed", F.get_json_object(body, "$.home_page_url"))
+
+
 def sitemap_rows(bodies: DataFrame, since: str, body: str = "body") -> DataFrame:
-    """A3: url rows with their last change, on or after a day (yyyy-mm-dd)."""
-    rows = bodies.select(*[c for c in bodies.columns if c != body], F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))).alias("b"))
-    return rows.select("*", inside(F.col("b"), "loc").alias("loc"), inside(F.col("b"), "lastmod").alias("lastmod")).drop("b").where(F.col("lastmod") >= since)
+    """A3: rows of sitemaps and of indexes of them: kind (url or index), loc, lastmod, and a news item's title and time.
+    Those last changed (or, without that, published) before a day (yyyy-mm-dd) are left out; undated ones stay."""
+    blocks = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:url|sitemap)>.*?</(?:url|sitemap)>)"), F.lit(1))
+    rows = bodies.select(*[c for c in bodies.columns if c != body], F.explode(blocks).alias("b"))
+    named = rows.select(
+        *rows.columns,
+        F.when(F.col("b").rlike("(?i)^<sitemap>"), "index").otherwise("url").alias("kind"),
+        inside(F.col("b"), "loc").alias("loc"),
+        _known(inside(F.col("b"), "lastmod")).alias("lastmod"),
+        _known(inside(F.col("b"), "news:title")).alias("title"),
+        _known(inside(F.col("b"), "news:publication_date")).alias("published"),
+    ).drop("b")
+    return named.where(F.coalesce("lastmod", "published", F.lit(since)) >= since)
 
 
 def payload_rows(bodies: DataFrame, schema: str, body: str = "body") -> DataFrame:
@@ -63,6 +96,42 @@ def payload_rows(bodies: DataFrame, schema: str, body: str = "body") -> DataFram
     return bodies.select(*[c for c in bodies.columns if c != body], F.inline(parsed))
 
 
+#: A4: by kind of payload, its schema, the array of its items, and where an item keeps id, address, day, title, summary.
+PAYLOADS: dict[str, tuple[str, str, tuple[str, str, str, str, str]]] = {
+    "wordpress": (
+        "array<struct<id: string, link: string, date_gmt: string, title: struct<rendered: string>, excerpt: struct<rendered: string>>>",
+        "p", ("id", "link", "date_gmt", "title.rendered", "excerpt.rendered")),
+    "drupal": (
+        "struct<data: array<struct<id: string, attributes: struct<title: string, created: string, path: struct<alias: string>, body: struct<processed: string>>>>>",
+        "p.data", ("id", "attributes.path.alias", "attributes.created", "attributes.title", "attributes.body.processed")),
+    "media": (
+        "struct<results: array<struct<id: string, sourceUrl: string, datePublished: string, name: string, description: string>>>",
+        "p.results", ("id", "sourceUrl", "datePublished", "name", "description")),
+    "solr": (
+        "struct<response: struct<docs: array<struct<id: string, url: string, date: string, title: string, body: string>>>>",
+        "p.response.docs", ("id", "url", "date", "title", "body")),
+    "parks": (
+        "struct<data: array<struct<id: string, url: string, releaseDate: string, title: string, abstract: string>>>",
+        "p.data", ("id", "url", "releaseDate", "title", "abstract")),
+}
+
+
+def payload_candidates(bodies: DataFrame, *, base: str, body: str = "body", kind: str = "kind") -> DataFrame:
+    """A4: payloads of all kinds in one schema of candidates: external_id, url (relative ones under base), day, title,
+    summary (without markup). One pass: a body is parsed by its own kind's schema."""
+    carried = [c for c in bodies.columns if c not in (body, kind)]
+    out = None
+    for name, (schema, items, fields) in PAYLOADS.items():
+        parsed = bodies.where(F.col(kind) == name).select(*carried, F.from_json(body, F.lit(schema)).alias("p"))
+        i = parsed.select(*carried, F.explode(items).alias("i"))
+        external, url, day, title, summary = (F.col(f"i.{f}") for f in fields)
+        rows = i.select(
+            *carried, external.alias("external_id"), F.when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url).alias("url"),
+            F.substring(day, 1, 10).alias("day"), title.alias("title"), text.strip_markup(summary).alias("summary"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def yearly_captures(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Of capture rows [timestamp, address], the latest of each address and year."""
     rows = bodies.select(F.explode(F.from_json(body, F.lit("array<array<string>>"))).alias("r"))

@@ -108,13 +108,25 @@ def ingest(stream: DataFrame, store: str) -> DataFrame:
 
 
 def sweeps(stream: DataFrame, every: str, sweep, store: str) -> DataFrame:
-    """Rows are tabled by the event-time window of the sweep's cadence; sweep(rows of one batch's windows) gives the
-    result that is appended for each batch."""
+    """sweep(rows) of each event-time window of the cadence, with the window's start as column sweep. A window that
+    arrives over several batches is swept again with all its rows; a replayed batch changes nothing.
+
+    Rows are kept by window and batch. A batch overwrites its own folder, and the windows it touches are swept into a
+    folder of that batch; of each window the result of its last batch counts.
+    """
     spark = stream.sparkSession
     windowed = stream.withColumn("sweep", F.window("ts", every)["start"])
+    schema = windowed.schema
+    done = f"{store}/sweeps"
 
-    def add(batch: DataFrame, _: int) -> None:
-        sweep(batch).write.mode("append").parquet(f"{store}/sweeps")
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+        seen = session.read.schema(schema).option("basePath", f"{store}/rows").parquet(f"{store}/rows").where(F.col("batch") <= number).drop("batch")
+        touched = session.read.schema(schema).parquet(f"{store}/rows/batch={number}").select("sweep").distinct()
+        sweep(seen.join(touched, "sweep", "left_semi")).write.mode("overwrite").parquet(f"{done}/batch={number}")
 
     windowed.writeStream.option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
-    return spark.read.parquet(f"{store}/sweeps")
+    results = spark.read.parquet(done)
+    last = results.groupBy("sweep").agg(F.max("batch").alias("batch"))
+    return results.join(last, ["sweep", "batch"], "left_semi").drop("batch")
