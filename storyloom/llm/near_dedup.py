@@ -18,6 +18,10 @@ from storyloom.operators.components import connected_components
 _PLACES = np.random.default_rng(4).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Rows of three numbers that are sent to all tasks, 24 MB, in place of shuffling texts; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct 63-bit hashes of the word shingles of each text; of fewer words, the whole sequence is one."""
     out: list[np.ndarray] = []
@@ -152,11 +156,13 @@ def near_duplicates(
         sets = shingle_sets(texts, width)
         return {"d1": [digest(s) for s in sets], "set": [s.astype(np.int64) for s in sets]}
 
-    wanted = docs.join(members.select(F.col("first").alias(id_col)).distinct(), id_col, "left_semi")
+    few = members.count() <= MOST_BROADCAST
+    sent = lambda df: F.broadcast(df) if few else df
+    wanted = docs.join(sent(members.select(F.col("first").alias(id_col)).distinct()), id_col, "left_semi")
     sets = staged(
         map_texts(wanted.select(id_col, text_col), id_col, text_col, "d1 bigint, set array<bigint>", full)
         .withColumnRenamed(id_col, "first")
-        .join(members, ["first", "d1"])
+        .join(sent(members), ["first", "d1"])
         .select("node", "set")
         .dropDuplicates(["node"])
     )
