@@ -19,31 +19,12 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
-def dedup_lines(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_chars: int = 10,
-    min_docs: int = 2,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Drops each line that min_docs documents or more hold, except in the smallest id that holds it.
-
-    Returns id_col, text (kept lines joined by newlines), n_lines, n_dropped; one row for each input row.
-    A null text counts as one empty line. Lines whose key has fewer than min_chars code points always stay.
-    A null id is no document: its lines stay and are not counted. Rows that repeat an id and its text are one
-    document and are treated alike. Columns named in carry come along; others are ignored, whatever their names. No
-    rows in, none out.
-
-    Plan: only 16-byte hashes are shuffled for the counts. (hash, id) pairs are made distinct first, so a line in
-    a third of all documents reaches its counter as one partial count per task. The repeated hashes are written
-    out before the join back, which lets adaptive execution split a hot hash. Texts are shuffled once, by id.
-    """
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, carry: Sequence[str]) -> DataFrame:
+    """id, text (kept lines), n_lines, n_dropped, carried: a struct of the columns named in carry, c0 on by place."""
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
+        F.struct(F.lit(0).alias("n"), *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried"),
     ).withColumn("tk", F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
     exploded = (
@@ -67,24 +48,57 @@ def dedup_lines(
         F.transform(positions, lambda p: F.get(F.col("lines"), p))
     )
     return joined.select(
-        F.col("id").alias(id_col),
+        "id",
         F.array_join(kept, "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        *[F.col("carried")[c].alias(c) for c in carry],
+        "carried",
     )
 
 
+def dedup_lines(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = 10,
+    min_docs: int = 2,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Drops each line that min_docs documents or more hold, except in the smallest id that holds it.
+
+    Returns id_col, text (kept lines joined by newlines), n_lines, n_dropped; one row for each input row.
+    A null text counts as one empty line. Lines whose key has fewer than min_chars code points always stay.
+    A null id is no document: its lines stay and are not counted. Rows that repeat an id and its text are one
+    document and are treated alike. Columns named in carry come along; others are ignored, whatever their names. Texts of
+    any length are split whole. No rows in, none out.
+
+    Plan: only 16-byte hashes are shuffled for the counts. (hash, id) pairs are made distinct first, so a line in
+    a third of all documents reaches its counter as one partial count per task. The repeated hashes are written
+    out before the join back, which lets adaptive execution split a hot hash. Texts are shuffled once, by id.
+    """
+    kept = _kept_lines(docs, id_col, text_col, min_chars, min_docs, carry)
+    more = [F.col("carried")[f"c{i}"].alias(c) for i, c in enumerate(carry)]
+    return kept.select(F.col("id").alias(id_col), "text", "n_lines", "n_dropped", *more)
+
+
 def drop_repeated_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chars_col: str = "n_chars",
+    min_chars: int = 10,
+    min_docs: int = 2,
 ) -> DataFrame:
-    """docs with all their columns and only the lines that dedup_lines() keeps; chars_col, where there is one, is
-    brought up to date. Documents that had text and have none left are dropped, all others stay.
+    """docs with all their columns, whatever their names, and only the lines that dedup_lines() keeps; chars_col, where
+    there is one, is brought up to date. Documents that lost lines and have no more than white space left are dropped,
+    all others stay. Nulls, repeats and empty tables as there; a null text becomes empty.
     """
-    names = docs.columns
-    carry = [c for c in names if c not in (id_col, text_col)]
-    kept = dedup_lines(docs, id_col=id_col, text_col=text_col, carry=carry, **how)
-    out = kept.where((F.col("n_dropped") == 0) | (F.trim("text") != "")).withColumnRenamed("text", text_col)
-    if chars_col in names:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(names)
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    kept = _kept_lines(docs, id_col, text_col, min_chars, min_docs, carry)
+    out = kept.where((F.col("n_dropped") == 0) | (strip_white(F.col("text")) != ""))
+    columns = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("carried")[f"c{i}"] for i, c in enumerate(carry)}
+    if chars_col in carry:
+        columns[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
