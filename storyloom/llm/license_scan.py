@@ -35,9 +35,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
     "CC0-1.0": ("Released under CC0 1.0 Universal.",),
+    "BSD-2-Clause": ("Licensed under the 2-Clause BSD License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Released under the ISC License.",
+    ),
+    "EPL-2.0": ("This program is made available under the terms of the Eclipse Public License 2.0.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. Licensed under the zlib License.",),
 }
+#: Lines that a notice may run over.
+LINES = 3
 _TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
-_NOTICE = re.compile(r"licen[sc]|permission|redistribut|spdx|released under|subject to the terms", re.I)
+_NOTICE = re.compile(r"licen[sc]|permission|redistribut|spdx|released (?:under|into)|(?:subject to|under) the terms", re.I)
 #: File names that hold a directory's licence.
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
@@ -73,14 +85,21 @@ class Matcher:
         return self.names[best], scores[best] / math.sqrt(norm)
 
     def text(self, text: str | None, least: float) -> tuple[str | None, float]:
-        """The best match of any line that reads like a notice; none under the least cosine."""
+        """The best match of any notice: a line that reads like one, alone or with the one or two lines after it. None
+        under the least cosine; of equal matches the first. Each line is scored at most three times."""
         best: tuple[str | None, float] = (None, 0.0)
-        for m in _NOTICE.finditer(text or ""):
-            start = text.rfind("\n", 0, m.start()) + 1
-            end = text.find("\n", m.end())
-            name, score = self.line(text[start : len(text) if end < 0 else end])
-            if score >= least and score > best[1]:
-                best = (name, score)
+        text = text or ""
+        at = 0
+        while m := _NOTICE.search(text, at):
+            start, ends = text.rfind("\n", 0, m.start()) + 1, [m.end() - 1]
+            while len(ends) <= LINES and ends[-1] < len(text):
+                end = text.find("\n", ends[-1] + 1)
+                ends.append(len(text) if end < 0 else end)
+            for end in ends[1:]:
+                name, score = self.line(text[start:end])
+                if score >= least and score > best[1]:
+                    best = (name, score)
+            at = ends[1]
         return best
 
 
@@ -109,8 +128,9 @@ def scan_licenses(
 
     A file with a notice of its own keeps it. Others take the licence of the nearest ancestor directory, its own one
     first, that has a licence file with a recognised notice (licence_file: which files count; by default by name). Of
-    several in one directory the best score wins, then the first name. Null texts have no notice; a null path has no
-    directory and inherits nothing. Other columns are ignored.
+    several in one directory the best score wins, then the first name. Null and empty texts have no notice; a null path
+    has no directory and inherits nothing. Long texts are read whole, each notice line once. Repeated rows are answered
+    alike, no rows give none. Other columns are ignored.
 
     The corpus is read once; only ids, paths and findings are staged. Directories, not files, are joined to their
     ancestors' licences, so a directory with a third of all files is one row there.
@@ -136,8 +156,8 @@ def scan_licenses(
     by_dir = staged(
         found.where("is_file and license is not null and dir is not null")
         .groupBy("dir")
-        .agg(F.max(F.struct("score", F.col("license"))).alias("best"))
-        .select("dir", F.col("best.license").alias("license"), F.col("best.score").alias("score"))
+        .agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+        .select("dir", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
     )
     dirs = found.where("dir is not null").select("dir").distinct()
     above = dirs.select("dir", F.posexplode(ancestors(F.col("dir"))).alias("depth", "up"))
