@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from storyloom.llm.common import map_texts
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words of the contract: ASCII letters and digits, and everything beyond ASCII. bytes.lower() changes A-Z only.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -118,9 +119,19 @@ class ItemAutomaton:
         return spans, found
 
 
-@lru_cache(maxsize=4)
-def _automaton(items: tuple[tuple[int, str], ...], window: int) -> ItemAutomaton:
-    return ItemAutomaton(((i, words(t)) for i, t in items), window)
+#: Automata of the blocks used last, by worker process.
+_built: OrderedDict[tuple[str, int], ItemAutomaton] = OrderedDict()
+MOST_BUILT = 4
+
+
+def _automaton(name: str, number: int, items: tuple[tuple[int, str], ...], window: int) -> ItemAutomaton:
+    key = (name, number)
+    if key not in _built:
+        while len(_built) >= MOST_BUILT:
+            _built.popitem(last=False)
+        _built[key] = ItemAutomaton(((i, words(t)) for i, t in items), window)
+    _built.move_to_end(key)
+    return _built[key]
 
 
 def item_blocks(items: DataFrame, *, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -140,6 +151,67 @@ def item_blocks(items: DataFrame, *, id_col: str, text_col: str, block_bytes: in
         yield tuple(block)
 
 
+class Items:
+    """Benchmark items in the tasks: broadcast texts in blocks, of which each task builds automata."""
+
+    def __init__(self, items: DataFrame, *, id_col: str, text_col: str, window: int, block_bytes: int) -> None:
+        context = items.sparkSession.sparkContext
+        self.blocks = [context.broadcast(b) for b in item_blocks(items, id_col=id_col, text_col=text_col, block_bytes=block_bytes)]
+        self.window, self.name = window, uuid.uuid4().hex
+
+    def hits(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        """(number of words, merged spans, items) of each text. All texts pass one block before the next is built."""
+        out: list[tuple[int, list[tuple[int, int]], set]] = [(0, [], set())] * len(texts)
+        for number, block in enumerate(self.blocks):
+            automaton = _automaton(self.name, number, block.value, self.window)
+            for i, text in enumerate(texts):
+                tokens = words(text)
+                spans, found = automaton.hits(tokens)
+                _, before, ids = out[i]
+                out[i] = (len(tokens), merged([*before, *spans]) if before and spans else before or spans, ids | found)
+        return out if self.blocks else [(len(words(t)), [], set()) for t in texts]
+
+
+def _held(batches: Iterator[pa.RecordBatch], place: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined up to most_bytes (more only for one larger row), so that a block is built for many texts."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        n = batch.column(place).nbytes
+        if held and size + n > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
+#: Bytes of texts that a task holds where there are more blocks than automata it keeps.
+HELD_BYTES = 32_000_000
+#: Rows that are turned into Python objects at once elsewhere.
+STEP = 500
+
+
+def _through(rows: DataFrame, place: int, items: Items, schema: StructType, made: Callable) -> DataFrame:
+    """made(batch, hits) of all rows, whose texts are in the column at `place`."""
+    many = len(items.blocks) > MOST_BUILT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _held(batches, place, HELD_BYTES) if many else batches:
+            step = batch.num_rows if many else STEP
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield made(part, items.hits(part.column(place).to_pylist()))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bad(n_words: int, spans: list[tuple[int, int]], max_percent: int) -> bool:
+    hit = sum(b - a for a, b in spans)
+    return hit > 0 and 100 * hit >= max_percent * n_words
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -150,54 +222,43 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = 13,
     max_percent: int = 5,
-    block_bytes: int = 8_000_000,
+    block_bytes: int = 1_000_000,
 ) -> DataFrame:
     """id_col, n_words, n_hit, n_items, item_ids (sorted as strings), items_sha256, contaminated (n_hit > 0 and at least
     max_percent of the words), spans (merged word ranges [from, to) that are hit). One row for each row of docs.
 
-    A null or empty text has no words and is clean. Rows that repeat are answered alike. An item without id or text
-    is no item; repeated items count once. Other columns are ignored.
+    A null or empty text has no words and is clean; long ones are read whole. Rows that repeat are answered alike. An
+    item without id or text is no item; repeated items count once; without items all is clean. Other columns are ignored.
 
-    Automata are built in the tasks from broadcast item texts of at most block_bytes each, whatever the number of
-    items. Documents pass through the blocks in one stream of batches; no shuffle.
+    Automata are built in the tasks from broadcast item texts of at most block_bytes each. Documents pass the blocks in
+    one stream of batches; a task keeps four automata, and with more blocks holds 32 MB of texts for each it builds, so
+    time grows with documents times blocks and memory doesn't. What is broadcast is the items' text. No shuffle.
     """
-    spark = docs.sparkSession
-    blocks = [
-        spark.sparkContext.broadcast(b)
-        for b in item_blocks(items, id_col=item_col, text_col=item_text_col, block_bytes=block_bytes)
-    ]
-
-    def find(texts: list[str | None]) -> dict[str, list]:
-        out: dict[str, list] = {name: [] for name in names}
-        for text in texts:
-            tokens = words(text)
-            spans, found = _all_hits(tokens, blocks, window)
-            ids = sorted(map(str, found))
-            hit = sum(b - a for a, b in spans)
-            digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
-            bad = hit > 0 and 100 * hit >= max_percent * len(tokens)
-            ranges = [{"from": a, "to": b} for a, b in spans]
-            for name, value in zip(names, (len(tokens), hit, len(ids), ids, digest, bad, ranges), strict=True):
-                out[name].append(value)
-        return out
-
-    names = ["n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated", "spans"]
     made = (
         "n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, items_sha256 string, "
         "contaminated boolean, spans array<struct<`from`: int, `to`: int>>"
     )
-    return map_texts(docs, id_col, text_col, made, find)
-
-
-def _all_hits(tokens: list[bytes], blocks: list, window: int) -> tuple[list[tuple[int, int]], set]:
-    """Merged spans and items over all blocks."""
-    spans: list[tuple[int, int]] = []
-    found: set = set()
-    for block in blocks:
-        more, ids = _automaton(block.value, window).hits(tokens)
-        spans = merged([*spans, *more]) if spans and more else spans or more
-        found |= ids
-    return spans, found
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([rows.schema["id"], *StructType.fromDDL(made).fields])
+    arrow = to_arrow_schema(schema)
+
+    def answer(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        ids = [sorted(map(str, found)) for _, _, found in hits]
+        columns = (
+            [n for n, _, _ in hits],
+            [sum(b - a for a, b in spans) for _, spans, _ in hits],
+            [len(x) for x in ids],
+            ids,
+            [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids],
+            [_bad(n, spans, max_percent) for n, spans, _ in hits],
+            [[{"from": a, "to": b} for a, b in spans] for _, spans, _ in hits],
+        )
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(v, f.type) for v, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow
+        )
+
+    shared = Items(items, id_col=item_col, text_col=item_text_col, window=window, block_bytes=block_bytes)
+    return _through(rows, 1, shared, schema, answer).withColumnRenamed("id", id_col)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,33 +294,22 @@ def decontaminate(
     window: int = 13,
     max_percent: int = 5,
     cut: bool = False,
-    block_bytes: int = 8_000_000,
+    block_bytes: int = 1_000_000,
 ) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns.
+    """The rows of docs that are not contaminated, with all their columns, whatever their names. Nulls, repeats, long
+    texts and empty tables as in find_contamination().
 
     With cut, hit spans of the documents that stay (those under the coverage limit) are removed from text_col.
     """
-    spark = docs.sparkSession
-    blocks = [
-        spark.sparkContext.broadcast(b)
-        for b in item_blocks(items, id_col=item_col, text_col=item_text_col, block_bytes=block_bytes)
-    ]
-
     place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = [], []
-            for text in batch.column(place).to_pylist():
-                tokens = words(text)
-                spans, _ = _all_hits(tokens, blocks, window)
-                hit = sum(b - a for a, b in spans)
-                keep.append(not (hit and 100 * hit >= max_percent * len(tokens)))
-                texts.append(cut_spans(text, spans) if cut and spans else text)
-            if cut:
-                columns = list(batch.columns)
-                columns[place] = pa.array(texts, columns[place].type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def keep(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        if cut:
+            texts = batch.column(place).to_pylist()
+            columns = list(batch.columns)
+            columns[place] = pa.array([cut_spans(t, spans) if spans else t for t, (_, spans, _) in zip(texts, hits, strict=True)], columns[place].type)
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        return batch.filter(pa.array([not _bad(n, spans, max_percent) for n, spans, _ in hits], pa.bool_()))
+
+    shared = Items(items, id_col=item_col, text_col=item_text_col, window=window, block_bytes=block_bytes)
+    return _through(docs, place, shared, docs.schema, keep)
