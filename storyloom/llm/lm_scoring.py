@@ -23,12 +23,19 @@ SCORED, TUNED, COUNTED = 0, 1, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """folds: crc32(id) modulo; fold 0 is held out, fold 1 tunes the weights and is then counted too."""
+    """folds: crc32(id) modulo; fold 0 is held out, fold 1 tunes the weights and is then counted too. least_bytes: texts
+    of a batch and of a range of keys. row_bytes: of texts that stand behind one exchanged row of keys."""
 
     folds: int = 10
     alpha: float = 0.1
-    batch_bytes: int = 1_000_000
-    range_bytes: int = 2_000_000
+    least_bytes: int = 1_000_000
+    row_bytes: int = 8192
+
+    def unit(self, size: int) -> float:
+        """Bytes of a batch for a corpus of `size` bytes. Batches times ranges is the number of rows exchanged, so both
+        grow with the root of the corpus and that number with the corpus: 16 MB at 30 GB, 900 MB at 100 TB."""
+        return max(self.least_bytes, (size * self.row_bytes) ** 0.5)
+
     em_rounds: int = 50
     #: Steps a natural-log unit in the table of likelihood ratios that EM works on.
     resolution: int = 20
@@ -197,14 +204,15 @@ def score_texts(
     role = F.when(F.col(id_col).isNull() | (fold == 0), SCORED).when(fold == 1, TUNED).otherwise(COUNTED)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), role.alias("role"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    small = max(1, round(size / s.batch_bytes / s.folds))
-    large = max(1, round(size * (s.folds - 2) / s.batch_bytes / s.folds))
+    unit = s.unit(size)
+    small = max(1, round(size / unit / s.folds))
+    large = max(1, round(size * (s.folds - 2) / unit / s.folds))
     h = F.xxhash64("id", "text")
     batch = F.when(F.col("role") == COUNTED, 2 * small + F.pmod(h, F.lit(large))).otherwise(
         F.col("role") * small + F.pmod(h, F.lit(small))
     )
     batched = rows.withColumn("batch", batch.cast("bigint"))
-    told = exchange(batched, max(1, round(size / s.range_bytes)))
+    told = exchange(batched, max(1, round(size / unit / 2)))
     sums = told.agg(*[F.sum(c) for c in ("tokens", "counted_tokens", "types", "counted_types")]).first()
     n_all, n_counted, v_all, v_counted = (x or 0 for x in sums)
     alpha = s.alpha
