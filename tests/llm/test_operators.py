@@ -233,6 +233,18 @@ def test_line_dedup_is_brute_force(spark, documents, edges, empty):
         assert collections.Counter(map(tuple, line_dedup.dedup_lines(df).collect())) == want
 
 
+def test_line_dedup_of_whole_documents(spark):
+    """Columns with the names that the operator uses itself stay; a document of which only white space is left goes."""
+    line = "one long shared line"
+    rows = [(1, line, "u", 7, 0), (2, f" \t\n{line}\n \t", "v", 8, 0), (3, " \t", "w", 9, 0), (4, f"{line}\nown words", "x", 10, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ string, n_dropped int, n_chars int")
+    out = line_dedup.drop_repeated_lines(df)
+    assert out.columns == df.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got == {(1, line, "u", 7, len(line)), (3, " \t", "w", 9, 2), (4, "own words", "x", 10, 9)}
+    assert line_dedup.dedup_lines(df, carry=["_", "n_dropped"]).count() == 4
+
+
 # 4
 
 
@@ -258,6 +270,55 @@ def test_lm_scoring(spark, documents, edges, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_lm_score_is_brute_force_interpolation(spark):
+    """Counts, expectation-maximisation and mixture in plain Python, on exact ratios in place of a table of them."""
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.7 else "the of" for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    tokens = lambda t: [*t.split(), "END"]
+
+    def counted(keep):
+        one, two = collections.Counter(), collections.Counter()
+        for i, t in rows:
+            if keep(fold(i)):
+                one.update(tokens(t))
+                two.update(zip(["START", *tokens(t)], tokens(t)))
+        one["START"] = one["END"]
+        n, v = sum(one.values()) - one["START"], len(one) - 1
+        return one, two, lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    one, two, p1 = counted(lambda f: f > 1)
+    ratios = collections.defaultdict(list)
+    for i, t in rows:
+        if fold(i) == 1:
+            for a, b in zip(["START", *tokens(t)], tokens(t)):
+                ratios[one[a].bit_length()].append(two[a, b] / max(one[a], 1) / p1(b))
+    weights = [0.0]
+    for level in range(1, 64):
+        w = 0.5 if ratios[level] else weights[-1]
+        for _ in range(50 if ratios[level] else 0):
+            w = sum(w * r / (w * r + 1 - w) for r in ratios[level]) / len(ratios[level])
+            w = min(max(w, 1e-6), 1 - 1e-6)
+        weights.append(w)
+    one, two, p1 = counted(lambda f: f > 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(df, settings=lm_scoring.Settings(resolution=400)).collect()}
+    assert any(0.05 < w < 0.95 for w in weights)
+    for i, t in rows:
+        want = 0.0
+        for a, b in zip(["START", *tokens(t)], tokens(t)):
+            w = weights[one[a].bit_length()]
+            want += math.log10(w * two[a, b] / max(one[a], 1) + (1 - w) * p1(b))
+        assert out[i] == pytest.approx(want, rel=1e-3)
+
+
+def test_lm_rows_grow_with_the_corpus():
+    s = lm_scoring.Settings()
+    rows = lambda size: (size / s.unit(size)) ** 2
+    assert rows(30e9) < 400 * rows(0.1e9) and rows(100e12) < 3400 * rows(30e9)
+
+
 # 5
 
 
@@ -278,8 +339,19 @@ def test_quality_rules_are_brute_force(documents, edges, empty):
 
 
 def test_quality_runs_no_python(documents):
-    plan = quality_rules.score_quality(documents)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for df in (quality_rules.score_quality(documents), quality_rules.filter_quality(documents)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_quality_filter_is_the_verdict(spark, documents, edges, empty):
+    clash = edges.withColumnRenamed("h", "words").withColumn("n_words", F.lit(1))
+    for df in (documents, clash, empty):
+        kept = quality_rules.filter_quality(df, fraction=0.3)
+        assert kept.columns == df.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in quality_rules.score_quality(df).where("kept").collect())
+    names = quality_rules.ordered(documents, "text", quality_rules.Limits(), fraction=0.5)
+    assert sorted(names) == sorted(r.name for r in quality_rules.rules(F.col("text")))
 
 
 def test_quality_keeps_good_documents(spark):
@@ -370,6 +442,21 @@ def test_license_inheritance(spark, empty):
     assert license_scan.scan_licenses(empty.withColumnRenamed("id", "path"), id_col="doc_id").count() == 0
 
 
+def test_license_ties_lines_and_long_texts(spark):
+    mit, by = license_scan.TEMPLATES["MIT"][0], license_scan.TEMPLATES["CC-BY-4.0"][0]
+    rows = [("d/LICENSE", by), ("d/COPYING", mit), ("d/a.txt", "plain"), (None, "plain"), ("e/x", None)]
+    out = {r["path"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert (out["d/a.txt"]["license"], out["d/a.txt"]["origin"]) == ("CC-BY-4.0", "inherited")
+    assert out[None]["origin"] == out["e/x"]["origin"] == "none"
+    m = license_scan.Matcher(license_scan.TEMPLATES)
+    broken = "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software"
+    assert m.text(f"x\n{broken}\nand more", 0.8)[0] == "MIT"
+    scored = []
+    m.line = lambda line: scored.append(line) or (None, 0.0)
+    m.text("a license, another licence " * 1000 + "\n" + "permission\n" * 5, 0.8)
+    assert len(scored) <= 3 * 6 and max(map(len, scored)) < 28_000
+
+
 def test_every_template_matches_itself_best():
     m = license_scan.Matcher(license_scan.TEMPLATES)
     for name, notices in license_scan.TEMPLATES.items():
@@ -398,6 +485,15 @@ def test_automaton_is_brute_force():
         assert {x for a, b in spans for x in range(a, b)} == hit and items_found == found
 
 
+def test_decontamination_in_many_blocks(spark, documents):
+    """As many blocks as items, more than a task keeps automata of; and as many automata built as blocks for a batch."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, many = (decontamination.find_contamination(documents, items, block_bytes=b).drop("spans") for b in (10**8, 1))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+    kept = decontamination.decontaminate(documents, items, block_bytes=1)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in one.where("not contaminated").select("doc_id").collect())
+
+
 def test_decontamination(spark, edges, empty):
     items = spark.createDataFrame([(1, "Alpha beta-gamma"), (2, None), (None, "word"), (1, "Alpha beta-gamma"), (3, "word")], "item_id long, text string")
     for block in (1, 8_000_000):
