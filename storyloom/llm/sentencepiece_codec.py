@@ -18,14 +18,60 @@ from storyloom.llm.common import map_texts
 SPACE = "▁"
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a protocol-buffer message: numbers, or the bytes of strings and messages."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        size = {0: None, 1: 8, 5: 4}.get(key & 7, 0)
+        if size is None:
+            yield key >> 3, number()
+            continue
+        size = size or number()
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(model: bytes) -> None:
+    """Raises ValueError unless the model is byte-pair encoded with byte fallback, and its normaliser leaves a text as it
+    is but for one space put before it and the mark written for each space."""
+    # Field numbers and defaults of the model format.
+    messages = {n: dict(_fields(v)) for n, v in _fields(model) if n in (2, 3)}
+    trainer, normaliser = messages.get(2, {}), messages.get(3, {})
+    if trainer.get(3, 1) != 2:
+        raise ValueError("only byte-pair models can be encoded here")
+    if not trainer.get(35, 0):
+        raise ValueError("the model has no byte fallback")
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model's normaliser changes texts in ways that aren't done here")
+
+
 class Codec:
     """Encoder and decoder of a BPE model with byte fallback, with the text's spaces kept as they are.
 
     The lattice has an arc for each piece between two boundaries. A boundary's surviving path is the one whose last
     pieces are what merging makes of them (see PrefixTable), which is the model's own best segmentation of the prefix.
+
+    No piece reaches over the beginning of white space, so all surviving paths meet there. With remember, the window's
+    run between two such boundaries is looked up if the same run of text was met before; without, the window runs over
+    the text from end to end and finds where paths meet by following them back.
     """
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, remember: bool = True) -> None:
+        check_model(model)
+        self.remember = remember
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
@@ -43,12 +89,14 @@ class Codec:
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         inner = "".join(re.escape(c) for c in sorted(self.ids) if len(c) == 1 and c != SPACE)
         self.chunk = re.compile(
-            f"[{SPACE}{inner}]+|." if self.crossing else f"{SPACE}+[{inner}]*|[{inner}]+|.", re.S
+            f"[{SPACE}{inner}]+|." if self.crossing or not remember else f"{SPACE}+[{inner}]*|[{inner}]+|.", re.S
         )
         self.chunks = Remembered(lambda chunk: tuple(self.stream(chunk)))
         self.bare = Remembered(self._whole)
         self.spaced = Remembered(lambda word: self._whole(SPACE + word))
         self.line_end = self._whole("\n")
+        #: Most boundaries that a window has held.
+        self.widest = 0
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a chunk. Arcs start within the longest piece's length; ids are committed as soon as the paths back
@@ -61,7 +109,8 @@ class Codec:
         done = 0
         for end in self.table.boundaries(text, last):
             if end < len(text) and (end - done < 2 * reach or end % reach):
-                continue
+                continue  # paths are followed back every `reach` characters: a window holds about three times that
+            self.widest = max(self.widest, len(last))
             fronts = [end] if end == len(text) else range(end - reach + 1, end + 1)
             paths = [self._path(last, front, done) for front in fronts]
             for ends in zip(*paths):
@@ -88,6 +137,8 @@ class Codec:
         """Ids of a text. Lone spaces and line ends are boundaries of all paths, so words can be looked up."""
         if not text:
             return []
+        if not self.remember:
+            return list(chain.from_iterable(map(self.stream, self.chunk.findall(SPACE + text.replace(" ", SPACE)))))
         if text[0] == " " or "  " in text or SPACE in text or self.crossing or len(self.line_end) != 1:
             return list(self._whole(SPACE + text.replace(" ", SPACE)))
         out: list[int] = []

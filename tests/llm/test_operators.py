@@ -176,6 +176,28 @@ def test_sentencepiece_is_the_library(fuzz):
         assert list(itertools.chain.from_iterable(own.stream(c) for c in own.chunk.findall("▁" + t.replace(" ", "▁")))) == ids or not t
 
 
+def test_sentencepiece_window_runs_over_texts(documents, fuzz):
+    """Without a memory the window runs over whole texts, gives the same ids and stays narrow."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    c = sentencepiece_codec.Codec(model, remember=False)
+    texts = [t for t in [*fuzz, *(r["text"] for r in documents.limit(60).collect())] if t and sentencepiece_codec.SPACE not in t]
+    assert [c.encode(t) for t in texts] == sp.encode(texts)
+    assert max(map(len, texts)) > 2000 and c.table.longest < c.widest <= 4 * c.table.longest
+
+
+def test_sentencepiece_rejects_other_models():
+    """Field 2, 3: model type; field 2, 35: byte fallback; field 3: normaliser with its rules (2), prefix (3), spaces (4)."""
+    message = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    trainer, plain = b"\x18\x02\x98\x02\x01", b"\x18\x01\x20\x00"
+    sentencepiece_codec.check_model(message(2, trainer) + message(3, plain))
+    for bad in (message(3, plain), message(2, b"\x18\x01\x98\x02\x01") + message(3, plain), message(2, b"\x18\x02") + message(3, plain),
+                message(2, trainer) + message(3, b"\x20\x01"), message(2, trainer) + message(3, plain + message(2, b"map"))):
+        with pytest.raises(ValueError):
+            sentencepiece_codec.check_model(bad)
+
+
 def test_sentencepiece_query(documents, edges, empty):
     model = sentencepiece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     assert all(r["round_trip"] for r in sentencepiece_codec.encode(documents, model).collect())
