@@ -37,6 +37,8 @@ DROPPED_NAMES = frozenset(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -106,7 +108,7 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            ended = _RAW_END[tag].search(page, at)
             at = ended.end() if ended else len(page)
             continue
         if tag in VOID:
@@ -114,7 +116,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             close(len(stack) - 1)
         off = _is_dropped(tag, m[3])
-        name = "main" if tag != "article" and re.search(r"role\s*=\s*[\"']?main\b", m[3]) else tag
+        name = "main" if "role" in m[3] and tag != "article" and _MAIN.search(m[3]) else tag
         stack.append((name, off))
         dropped += off
         articles += name == "article"
@@ -165,11 +167,11 @@ def class_pages(rank: np.ndarray, pages: np.ndarray) -> np.ndarray:
 def repeated_tokens(streams: list[list[str]], *, least_tokens: int, least_pages: int, least_share: float) -> list[np.ndarray]:
     """For each page's token stream, which tokens lie in a substring of at least least_tokens tokens that occurs on at
     least least_pages pages and on least_share of them. An end mark of its own closes each page."""
-    number: dict[str, int] = {}
+    number = Numbers()
     flat: list[int] = []
     page_of: list[int] = []
     for p, stream in enumerate(streams):
-        flat += [number.setdefault(t, len(number)) for t in stream]
+        flat += map(number.__getitem__, stream)
         flat.append(-1 - p)
         page_of += [p] * (len(stream) + 1)
     if not flat:
@@ -261,15 +263,29 @@ class HostStreams:
         return found, class_pages(at, pages[fresh])
 
     def substring_counts(self, usual: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each distinct substring whose minimizer passes the filter: hash, pages, whether it holds a weak token."""
-        rank = lengthen(np.unique(self.flat, return_inverse=True)[1].astype(np.int64), 1, self.width)
-        at = np.flatnonzero(self.valid & _in_filter(usual, self.minimizers()))
-        counts = class_pages(rank, self.pages)
-        sums = np.concatenate([[0], np.cumsum(weak)])
+        """Of each distinct substring whose minimizer passes the filter: hash, pages, whether it holds a weak token. Only
+        the streams of pages with such a substring are sorted; all its occurrences are on these."""
+        hit = self.valid & _in_filter(usual, self.minimizers())
+        if not hit.any():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        mine = np.bincount(self.pages[hit], minlength=int(self.pages[-1]) + 1)[self.pages] > 0
+        flat, pages, hit, keys = self.flat[mine], self.pages[mine], hit[mine], self.keys()[mine]
+        rank = lengthen(np.unique(flat, return_inverse=True)[1].astype(np.int64), 1, self.width)
+        at = np.flatnonzero(hit)
+        counts = class_pages(rank, pages)
+        sums = np.concatenate([[0], np.cumsum(weak[mine])])
         loose = np.zeros(len(counts), bool)
         np.logical_or.at(loose, rank[at], sums[at + self.width] > sums[at])
         first = np.unique(rank[at], return_index=True)[1]
-        return self.keys()[at[first]], counts[rank[at[first]]], loose[rank[at[first]]]
+        return keys[at[first]], counts[rank[at[first]]], loose[rank[at[first]]]
+
+
+class Numbers(dict):
+    """Numbers of tokens in the order in which they are met."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
 
 
 def _in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -318,7 +334,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most_tokens: int, width: int) ->
         return rows, weak, [(at, HostStreams(h, [streams[i] for i in at], known, width)) for h, at in places.items()]
 
     rows, streams, weak, size = [], [], [], 0
-    number: dict[str, int] = {}
+    number = Numbers()
     for batch in batches:
         for row in batch.to_pylist():
             row["blocks"], row["weak"] = candidates(row.pop("html"))
@@ -328,7 +344,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most_tokens: int, width: int) ->
                 rows, streams, weak, size = [], [], [], 0
                 number.clear()
             rows.append(row)
-            streams.append(np.array([number.setdefault(t, len(number)) for t in tokens], np.int64))
+            streams.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
             weak.append(flags)
             size += len(tokens)
     if rows:
