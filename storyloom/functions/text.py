@@ -49,7 +49,7 @@ def nfkc(text: Column) -> Column:
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return F.pandas_udf(normal, StringType(), F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(normal, StringType())(text)
 
 
 def squeeze(text: Column) -> Column:

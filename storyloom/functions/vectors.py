@@ -39,7 +39,7 @@ def pack_fp16(a: Column) -> Column:
         ends = 2 * np.cumsum(sizes)
         return pd.Series([None if v is None else flat[e - 2 * n : e] for v, n, e in zip(vectors, sizes, ends, strict=True)])
 
-    return F.pandas_udf(pack, BinaryType(), F.PandasUDFType.SCALAR)(a)
+    return F.pandas_udf(pack, BinaryType())(a)
 
 
 def unpack_fp16(packed: Column) -> Column:
@@ -48,4 +48,4 @@ def unpack_fp16(packed: Column) -> Column:
     def unpack(rows: pd.Series) -> pd.Series:
         return rows.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
 
-    return F.pandas_udf(unpack, ArrayType(FloatType()), F.PandasUDFType.SCALAR)(packed)
+    return F.pandas_udf(unpack, ArrayType(FloatType()))(packed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def weighted(passed: Column, total: Column) -> Column:
     """Share of passes less twice that of failures."""
-    return (passed - 2 * (total - passed)) / total
+    return F.try_divide(passed - 2 * (total - passed), total)
 
 
 def chain_scores(pairs: DataFrame, chains: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ CRITERIA = ("coverage", "faithful", "current", "representative")
 def overview_score(rows: DataFrame) -> DataFrame:
     """V7: share of criteria passed, less twice the unfaithful overviews, over all criteria."""
     passed = sum((F.count_if(c) for c in CRITERIA[1:]), F.count_if(CRITERIA[0]))
-    return rows.agg(((passed - 2 * F.count_if(~F.col("faithful"))) / (len(CRITERIA) * F.count("*"))).alias("v7"), F.count("*").alias("v7_n"))
+    return rows.agg(F.try_divide(passed - 2 * F.count_if(~F.col("faithful")), len(CRITERIA) * F.count("*")).alias("v7"), F.count("*").alias("v7_n"))
 
 
 VECTORS = ("v1", "v2", "v3", "v5", "v6", "v7")
@@ -91,9 +91,9 @@ def reward(scores: DataFrame) -> DataFrame:
     flipped verdict changes in each (V2's by its smallest theme: least_cases)."""
     parts = [F.col(v) for v in VECTORS]
     mean = sum(parts[1:], parts[0]) / len(parts) - 0.02 * F.col("merges")
-    n = lambda v: 3 / F.col(v) / len(parts)
-    by_case = 3 / F.col("least_cases") / F.col("v2_themes") / len(parts)
+    flip = lambda by, n: F.try_divide(F.lit(by), n * len(parts))
+    themes = F.col("v2_themes")
     return scores.select(
-        mean.alias("reward"), n("v1_n").alias("flip_v1"), F.greatest(by_case, 0.25 / F.col("v2_themes") / len(parts)).alias("flip_v2"),
-        (1 / F.col("v3_n") / len(parts)).alias("flip_v3"), (1 / F.col("v5_n") / len(parts)).alias("flip_v5"), n("v6_n").alias("flip_v6"),
-        (3 / (F.col("v7_n") * len(CRITERIA)) / len(parts)).alias("flip_v7"))
+        mean.alias("reward"), flip(3.0, F.col("v1_n")).alias("flip_v1"), F.greatest(flip(3.0, F.col("least_cases") * themes), flip(0.25, themes)).alias("flip_v2"),
+        flip(1.0, F.col("v3_n")).alias("flip_v3"), flip(1.0, F.col("v5_n")).alias("flip_v5"), flip(3.0, F.col("v6_n")).alias("flip_v6"),
+        flip(3.0, F.col("v7_n") * len(CRITERIA)).alias("flip_v7"))

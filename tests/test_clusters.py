@@ -76,3 +76,43 @@ def test_average_linkage_splits_large_components(spark):
     full = full.where("b < 2100 and floor(a / 1050) = floor(b / 1050)")
     got = {r["id"]: r["cluster"] for r in themes.average_linkage(df, full.union(tree), 0.6).collect()}
     assert got[5] == 0 and got[1500] == 1050 and len(got) == 2101
+
+
+def test_matches_are_greedy(spark):
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b) + 100, float(s)) for a in range(12) for b in range(12) if (s := round(rng.random(), 1)) > 0.3]
+    want, left, right = set(), set(), set()
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if a not in left and b not in right:
+            want.add((a, b, s))
+            left.add(a)
+            right.add(b)
+    df = spark.createDataFrame(edges, "l long, r long, score double")
+    assert {tuple(r) for r in themes.greedy_matches(df).collect()} == want
+    assert themes.greedy_matches(df.where("false")).count() == 0
+
+
+def test_sweep_outcome_of_all_kinds(spark):
+    clusters = spark.createDataFrame([(1, False), (2, False), (3, True)], "cluster long, failed boolean")
+    all_themes = spark.createDataFrame([(10, False), (11, True), (12, False)], "theme long, manual boolean")
+    matches = spark.createDataFrame([(1, 10, 0.9)], "l long, r long, score double")
+    out = themes.sweep_outcome(clusters, all_themes, matches)
+    assert {tuple(r) for r in out.collect()} == {(1, 10, "kept"), (2, None, "created"), (3, None, "failed"), (None, 11, "kept"), (None, 12, "protected")}
+    calm = themes.sweep_outcome(clusters.where("not failed"), all_themes, matches)
+    assert {(r["theme"], r["action"]) for r in calm.where("cluster is null").collect()} == {(11, "kept"), (12, "demoted")}
+    members = spark.createDataFrame([(100, 1), (101, 2), (102, 3)], "id long, cluster long")
+    assert {tuple(r) for r in themes.assignments(members, out).collect()} == {(100, 10, False), (101, 2, True)}
+
+
+def test_theme_edges_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id long, label int, embedding array<double>")
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 7)
+    got = {tuple(r) for r in themes.theme_edges(df, "label", 0.5).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert got == {(a, b) for a, b in combinations(range(60), 2) if a % 2 == b % 2 and u[a] @ u[b] >= 0.5}
+    groups = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 3)))], "g long, centroid array<double>")
+    top = similar.nearest_groups(df, groups, "g", least=-1.0, k=3).collect()  # more groups than a block holds
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 2000)
+    assert sorted(map(tuple, top)) == sorted(map(tuple, similar.nearest_groups(df, groups, "g", least=-1.0, k=3).collect()))

@@ -15,6 +15,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 PLANS = (ranking, event_time, texts, similarity, states, views, outside, clusters, streams)
 CASES = [(name, plan) for plan in PLANS for name in plan.QUERIES]
 
+#: Queries that SQL can't express, and the test that holds their operator against brute force.
+BRUTE_FORCE = {
+    "b23_fp16": "test_core.test_half_precision_bytes",
+    "h4_average_linkage": "test_clusters.test_average_linkage_is_one_merge_at_a_time",
+    "h6_reconciliation": "test_clusters.test_matches_are_greedy",
+    "h7_sweep_outcome": "test_clusters.test_sweep_outcome_of_all_kinds",
+    "h7_sweep_assignments": "test_clusters.test_sweep_outcome_of_all_kinds",
+    "h12_preference_weights": "test_core.test_preference_weights_are_the_non_negative_optimum",
+}
+
 
 def plain(value):
     if isinstance(value, decimal.Decimal):
@@ -38,7 +48,7 @@ def test_same_rows(spark, duck, name, plan):
     columns = sorted(df.columns)
     got = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
     if name not in plan.SQL:
-        assert got is not None
+        assert name in BRUTE_FORCE and got
         return
     cursor = duck.execute(plan.SQL[name])
     names = [d[0] for d in cursor.description]
