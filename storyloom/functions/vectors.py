@@ -30,6 +30,18 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
 
 
+def dense(entries: Column, place: str, value: str, size: int) -> Column:
+    """An array of numbers from structs sorted by place, zero where there is none: the gaps between them are filled."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<double>").alias("v"))
+
+    def step(acc, e):
+        filled = F.concat(acc["v"], zeros(e[place] - acc["next"]), F.array(e[value].cast("double")))
+        return F.struct((e[place] + 1).cast("long").alias("next"), filled.alias("v"))
+
+    return F.aggregate(entries, start, step, lambda acc: F.concat(acc["v"], zeros(F.lit(size) - acc["next"])))
+
+
 def pack_fp16(a: Column) -> Column:
     """A vector as half-precision bytes, little end first; a batch at a time."""
 

@@ -256,8 +256,8 @@ def _theme_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h5_gated_themes(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors are random: at the reference's cosine of 0.60 there are no edges, so 0.2 and a cohesion of 0.4 stand in."""
-    return themes.gated_themes(_theme_members(spark, d), least_members=4, least_days=3, least_cohesion=0.4)
+    """Vectors are random: at the reference's cosine of 0.60 there are no edges, so 0.2 and a cohesion of 0.1 stand in."""
+    return themes.gated_themes(_theme_members(spark, d), least_members=4, least_days=3, least_cohesion=0.1)
 
 
 def h4_average_linkage(spark: SparkSession, d: str) -> DataFrame:
@@ -512,7 +512,7 @@ SELECT count(*) AS storylines, CAST(sum(n) AS BIGINT) AS entries, count(*) FILTE
   sha256(arg_min(title, (published_at, e.id))) AS title_sha FROM linked l JOIN entries e ON e.id = l.id GROUP BY 1""",
     "h5_gated_themes": f"""WITH RECURSIVE {_THEMES}, j AS (SELECT cluster, v.id, published_at, embedding FROM tc JOIN vectors v ON v.id = tc.id),
 dims AS (SELECT cluster, unnest(range(64)) AS dim, unnest(embedding) AS x FROM j), means AS (SELECT cluster, dim, avg(x) AS x FROM dims GROUP BY 1, 2), cs AS (SELECT cluster, list(x ORDER BY dim) AS c FROM means GROUP BY 1)
-SELECT * FROM (SELECT j.cluster, count(*) AS n, count(DISTINCT CAST(published_at AS DATE)) AS days, round(avg({COS.format(a='embedding', b='c')}), 6) AS cohesion FROM j JOIN cs ON cs.cluster = j.cluster GROUP BY 1) WHERE n >= 4 AND days >= 3 AND cohesion >= 0.4""",
+SELECT * FROM (SELECT j.cluster, count(*) AS n, count(DISTINCT CAST(published_at AS DATE)) AS days, round(avg({COS.format(a='embedding', b='c')}), 6) AS cohesion FROM j JOIN cs ON cs.cluster = j.cluster GROUP BY 1) WHERE n >= 4 AND days >= 3 AND cohesion >= 0.1""",
     "h11_curation": f"""WITH RECURSIVE g AS (SELECT o_custkey AS key, count(*) AS size FROM orders GROUP BY 1 HAVING bool_and(o_orderstatus <> 'P')),
 s AS (SELECT *, CASE WHEN size = 1 THEN 'single' WHEN size <= 8 THEN 'short' ELSE 'long' END AS stratum FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('s1' || key), key) AS k FROM s),
 f(stratum, k, total, taken) AS (SELECT stratum, 0::BIGINT, 0::BIGINT, false FROM (VALUES ('short'), ('long')) v(stratum)

@@ -131,10 +131,10 @@ def b22_bag_embedding(spark: SparkSession, d: str) -> DataFrame:
     byte = lambda w, i: F.conv(F.substr(F.sha2(w, 256), F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("long")
     dims = chosen.select("id", F.explode(words).alias("w")).select("id", F.explode(F.array(byte(F.col("w"), 0), byte(F.col("w"), 1))).alias("dim"))
     counts = dims.groupBy("id", "dim").agg(F.count("*").alias("n"))
-    made = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("double")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    unit = made.select("id", vectors.unit(dense).alias("v"))
-    return unit.select("id", F.posexplode("v").alias("dim", "x")).where("x > 0").select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 9).alias("x"))
+    made = counts.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"), F.array_sort(F.collect_list(F.struct("dim", "n"))).alias("seen"))
+    dense = made.select("id", vectors.dense(F.col("seen"), "dim", "n", 256).alias("v"), "norm")
+    unit = dense.select("id", F.posexplode("v").alias("dim", "x"), "norm").where("x > 0")
+    return unit.select("id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x") / F.col("norm"), 9).alias("x"))
 
 
 def b26_receipt(spark: SparkSession, d: str) -> DataFrame:
