@@ -1,6 +1,11 @@
 """A training corpus from the documents table: five stages, each an operator of storyloom.llm.
 
 Each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's docs.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and columns of other names have the results that each
+operator's docstring states: a null or empty text has no words, so the first stage drops it; rows that repeat an id and a
+text are judged alike by every stage; an empty table stays empty; further columns come along up to the last stage, whose
+result is doc_id and what encoding gives.
 """
 
 from __future__ import annotations
@@ -46,8 +51,7 @@ STAGES = [
     ("SentencePiece", encoded),
 ]
 
-#: SQL can't express the quality cascade's later stages together with subword encoding; tests hold run() against a
-#: brute-force version.
+#: SQL can't express subword encoding; tests/llm/test_pipeline.py holds run() against a version in plain Python.
 ORACLE_SQL = None
 
 
