@@ -49,6 +49,27 @@ def sync(current: DataFrame, incoming: DataFrame, key: str, content: str, featur
     return j.select(key, F.coalesce("new", content).alias(content), *[F.when(~changed, F.col(f)).alias(f) for f in features], changed.alias("changed"))
 
 
+def replay(current: DataFrame, incoming: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """Content (key, version, chars, hash) that comes again replaces what is stored if a newer extractor made it, or
+    the same one with more text; the features of a replaced row are cleared. New keys are added without features."""
+    i = incoming.select(key, *[F.col(c).alias("new_" + c) for c in ("version", "chars", "hash")])
+    j = current.join(i, key, "full_outer")
+    better = (F.col("new_version") > F.col("version")) | ((F.col("new_version") == F.col("version")) & (F.col("new_chars") > F.col("chars")))
+    replaced = F.col("new_version").isNotNull() & F.coalesce(better, F.lit(True))
+    content = [F.when(replaced, F.col("new_" + c)).otherwise(F.col(c)).alias(c) for c in ("version", "chars", "hash")]
+    return j.select(key, *content, *[F.when(~replaced, F.col(f)).alias(f) for f in features], replaced.alias("replaced"))
+
+
+def merge_groups(rows: DataFrame, mapping: DataFrame, column: str, *, least: int) -> DataFrame:
+    """I4: groups after a merge (mapping: column, target): merged ones stay as tombstones that name their target, the
+    others are counted anew with what moved to them, and those under `least` rows are demoted."""
+    moved = repoint(rows, mapping, column)
+    counts = moved.groupBy(column).agg(F.count("*").alias("n"), F.max("published_at").alias("newest_at"))
+    state = F.when(F.col("target").isNotNull(), "merged").when(F.coalesce("n", F.lit(0)) < least, "demoted").otherwise("active")
+    known = rows.select(column).distinct().join(mapping, column, "left").join(counts, column, "left")
+    return known.select(column, state.alias("state"), "target", F.coalesce("n", F.lit(0)).alias("n"), "newest_at")
+
+
 def fill_features(current: DataFrame, incoming: DataFrame, key: str, features: list[str]) -> DataFrame:
     """New feature values over old ones; a null leaves the old."""
     n = incoming.select(key, *[F.col(f).alias("new_" + f) for f in features])

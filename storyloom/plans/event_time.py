@@ -68,6 +68,12 @@ def e13_banded_sample(spark: SparkSession, d: str) -> DataFrame:
     return windows.banded_sample(n, band, "seed-1:", "o_custkey", 60).select("o_custkey", "n", F.col("band").cast("long").alias("band"))
 
 
+def e13_agency_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    """Round robin over agencies, within one by a seeded hash."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return windows.banded_sample(c, F.col("c_nationkey"), "seed-2:", "c_custkey", 90).select("c_custkey", F.col("band").cast("long").alias("band"))
+
+
 def e14_representative(spark: SparkSession, d: str) -> DataFrame:
     return chain(spark, d).groupBy("storyline").agg(
         F.min_by("ordinal", F.struct("syndicated", "ts", "ordinal")).alias("representative"),
@@ -126,7 +132,7 @@ _CARDS = """cards AS (SELECT o_orderkey, o_custkey, row_number() OVER w AS versi
 
 QUERIES = {f.__name__: f for f in (
     c4_window_duplicate, d4_entity_stats, d5_entity_ema, h2_quiet_gap_episodes, e1_balanced_sample, e2_capped_backlog,
-    e3_batches, e6_card_versions, e9_fair_due, e13_banded_sample, e14_representative, e16_overview_text, e17_rank_history,
+    e3_batches, e6_card_versions, e9_fair_due, e13_banded_sample, e13_agency_round_robin, e14_representative, e16_overview_text, e17_rank_history,
     e18_first_card, j8_idempotent_events, d8_hourly_health, d7_status_breakdown, f5_keyset_page)}
 SQL = {
     "c4_window_duplicate": f"""WITH {ENTRIES}, {HASH} SELECT id, (SELECT max(b.id) FROM hashed b WHERE b.h = a.h AND b.id < a.id
@@ -148,6 +154,7 @@ WHERE rn <= 3 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000""",
 SELECT id, token FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ts, id) AS rn FROM mentions) LEFT JOIN a USING (token) WHERE rn <= 5 - coalesce(n, 0)""",
     "e13_banded_sample": """WITH n AS (SELECT o_custkey, count(*) AS n, CASE WHEN count(*) <= 2 THEN 0 WHEN count(*) <= 5 THEN 1 ELSE 2 END AS band FROM orders GROUP BY 1)
 SELECT o_custkey, n, CAST(band AS BIGINT) AS band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha256('seed-1:' || o_custkey), o_custkey) AS rn FROM n) ORDER BY rn, band LIMIT 60""",
+    "e13_agency_round_robin": """SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS band FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('seed-2:' || c_custkey), c_custkey) AS rn FROM customer) ORDER BY rn, c_nationkey LIMIT 90""",
     "e14_representative": f"""WITH {CHAIN} SELECT storyline, arg_min(ordinal, (syndicated, ts, ordinal)) AS representative, count(*) FILTER (WHERE syndicated) AS syndicated FROM chain GROUP BY 1""",
     "e16_overview_text": f"WITH {CHAIN} SELECT storyline, string_agg(text, ' / ' ORDER BY ordinal) AS overview FROM chain GROUP BY 1",
     "e17_rank_history": f"WITH {_CARDS} SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY version DESC) AS history FROM cards GROUP BY 1",

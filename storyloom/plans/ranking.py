@@ -82,7 +82,14 @@ def c23_neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d32_rank_checks(spark: SparkSession, d: str) -> DataFrame:
-    return rank.check_positions(_ranked(spark, d), ["facet_type", "facet_key"])
+    """Per facet: rows, positions without gaps, terms that give the stored keys (to 1e-6), inputs that are all there."""
+    terms = rank.rank_key(F.col("rubric"), F.size("agencies"), F.col("feeds"), F.col("weight"), F.unix_micros("newest_at") / 1e6, CUTOFF_S)
+    inputs = [F.col(c).isNull() for c in ("weight", "first_at", "newest_at", "c_name")]
+    missing = inputs[0] | inputs[1] | inputs[2] | inputs[3] | (F.size("agencies") == 0)
+    ranked = _ranked(spark, d).withColumn("miss", F.abs(terms - F.col("rank_key"))).withColumn("missing", missing)
+    by = ["facet_type", "facet_key"]
+    checks = ranked.groupBy(*by).agg((F.max("miss") <= 1e-6).alias("reproduced"), (F.count_if("missing") == 0).alias("complete"))
+    return rank.check_positions(ranked, by).join(checks, by)
 
 
 def e12_swap_verdict(spark: SparkSession, d: str) -> DataFrame:
@@ -93,15 +100,32 @@ def e12_swap_verdict(spark: SparkSession, d: str) -> DataFrame:
     return rank.swap_verdict(one.union(two))
 
 
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    """Judged pairs with both rows' keys and rubrics: whether the verdict follows the ranking."""
+    keys = _keys(spark, d)
+    side = lambda to: keys.select(F.col("storyline").alias(to), F.col("rank_key").alias("k" + to), F.coalesce("rubric", F.lit(4.0)).alias("r" + to), F.col("c_mktsegment").alias("facet" + to))
+    v = e12_swap_verdict(spark, d).join(side("a"), "a").join(side("b"), "b")
+    follows = (F.col("winner") == F.col("a")) == (F.col("ka") > F.col("kb"))
+    return v.withColumn("sign", F.when(follows, 1).when(~follows, -1)).withColumn("delta", F.abs(F.col("ra") - F.col("rb")))
+
+
 def d27_audit_metrics(spark: SparkSession, d: str) -> DataFrame:
-    v = e12_swap_verdict(spark, d)
-    return v.agg(
+    """Agreement, inconsistent pairs, Kendall's tau over the judged pairs, and the rubric's mean difference where verdict
+    and ranking disagree."""
+    return _audited(spark, d).agg(
         F.count("*").alias("pairs"),
         F.count_if("inconsistent").alias("inconsistent"),
-        F.round(F.avg(F.when(~F.col("inconsistent"), (F.col("winner") == F.col("a")).cast("double"))), 9).alias("agreement"),
+        F.round(F.avg((F.col("sign") == 1).cast("double")), 9).alias("agreement"),
+        F.round(F.avg(F.col("sign").cast("double")), 9).alias("tau"),
+        F.round(F.avg(F.when(F.col("sign") == -1, F.col("delta"))), 9).alias("disagreement_delta"),
     )
 
 
+def d27_by_facet(spark: SparkSession, d: str) -> DataFrame:
+    return _audited(spark, d).groupBy(F.col("faceta").alias("facet")).agg(
+        F.count("*").alias("pairs"), F.round(F.avg(F.col("inconsistent").cast("double")), 9).alias("inconsistent_rate"), F.round(F.avg(F.col("sign").cast("double")), 9).alias("tau"))
+
+
 _ROLLED = f"""{STORYLINE_ENTRIES},
 rolled AS (
   SELECT storyline, count(DISTINCT entry) AS entry_count, count(DISTINCT feed) AS feeds,
@@ -131,6 +155,8 @@ verdicts AS (
   SELECT least(a, b) AS a, greatest(a, b) AS b,
     CASE WHEN (least(a, b) * 7 + greatest(a, b)) % 3 = 0 THEN least(a, b) ELSE greatest(a, b) END AS w1,
     CASE WHEN (a + b) % 4 = 0 THEN least(a, b) ELSE greatest(a, b) END AS w2 FROM next_one WHERE b IS NOT NULL)"""
+_AUDIT = f"""{_PAIRS}, audit AS (SELECT v.*, x.c_mktsegment AS facet, CASE WHEN w1 = w2 THEN CASE WHEN (w1 = v.a) = (x.rank_key > y.rank_key) THEN 1 ELSE -1 END END AS sign,
+  abs(coalesce(x.rubric, 4.0) - coalesce(y.rubric, 4.0)) AS delta FROM verdicts v JOIN keyed x ON x.storyline = v.a JOIN keyed y ON y.storyline = v.b)"""
 
 QUERIES = {
     "d2_storyline_rollup": d2_storyline_rollup,
@@ -143,6 +169,7 @@ QUERIES = {
     "d32_rank_checks": d32_rank_checks,
     "e12_swap_verdict": e12_swap_verdict,
     "d27_audit_metrics": d27_audit_metrics,
+    "d27_by_facet": d27_by_facet,
 }
 SQL = {
     "d2_storyline_rollup": f"""WITH {_ROLLED} SELECT storyline, entry_count, feeds, array_to_string(agencies, ',') AS agencies,
@@ -163,8 +190,11 @@ SQL = {
   FROM ranked x JOIN ranked y ON x.facet_key = y.facet_key AND y.position BETWEEN x.position + 1 AND x.position + 2
   WHERE x.facet_type = 'theme' AND y.facet_type = 'theme'""",
     "d32_rank_checks": f"""WITH {_RANKED} SELECT facet_type, facet_key, count(*) AS n_rows,
-  min(position) = 1 AND max(position) = count(*) AND count(DISTINCT position) = count(*) AS contiguous FROM ranked GROUP BY ALL""",
+  min(position) = 1 AND max(position) = count(*) AND count(DISTINCT position) = count(*) AS contiguous,
+  max(abs(rank_key - (coalesce(rubric, 4.0) + 0.5 * ln(1 + len(agencies)) + 0.5 * ln(1 + feeds) + ln(greatest(weight, 0.001)) + least(epoch(newest_at), {CUTOFF_S}) / 124600.0))) <= 1e-6 AS reproduced,
+  count(*) FILTER (WHERE weight IS NULL OR first_at IS NULL OR newest_at IS NULL OR c_name IS NULL OR len(agencies) = 0) = 0 AS complete FROM ranked GROUP BY ALL""",
     "e12_swap_verdict": f"WITH {_PAIRS} SELECT a, b, CASE WHEN w1 = w2 THEN w1 END AS winner, w1 <> w2 AS inconsistent FROM verdicts",
-    "d27_audit_metrics": f"""WITH {_PAIRS} SELECT count(*) AS pairs, count(*) FILTER (WHERE w1 <> w2) AS inconsistent,
-  round(avg(CASE WHEN w1 = w2 THEN CAST(w1 = a AS INTEGER) END), 9) AS agreement FROM verdicts""",
+    "d27_audit_metrics": f"""WITH {_AUDIT} SELECT count(*) AS pairs, count(*) FILTER (WHERE w1 <> w2) AS inconsistent, round(avg(CAST(sign = 1 AS INTEGER)), 9) AS agreement,
+  round(avg(sign), 9) AS tau, round(avg(delta) FILTER (WHERE sign = -1), 9) AS disagreement_delta FROM audit""",
+    "d27_by_facet": f"WITH {_AUDIT} SELECT facet, count(*) AS pairs, round(avg(CAST(w1 <> w2 AS INTEGER)), 9) AS inconsistent_rate, round(avg(sign), 9) AS tau FROM audit GROUP BY 1",
 }

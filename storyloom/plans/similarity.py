@@ -95,6 +95,11 @@ def d19_tf_idf(spark: SparkSession, d: str) -> DataFrame:
     return similar.tf_idf(words, e.count()).select("id", "token", "df", F.round("w", 6).alias("w"))
 
 
+def d19_rarest_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve rarest terms of each title."""
+    return newest_per_group(d19_tf_idf(spark, d).select("id", "token", "df"), "id", [F.asc("df"), F.asc("token")], 12)
+
+
 def g4_member_overlap(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
     left = rows.select(F.col("label").cast("long").alias("set"), F.col("id").alias("member"))
@@ -141,7 +146,7 @@ shared AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM tokens x JOIN to
 
 QUERIES = {f.__name__: f for f in (
     b24_cosine, c5_near_duplicate, d9_centroids, d10_cohesion, e15_nearest_members, c15_theme_candidates, c16_cross_category, c22_knn,
-    c25_duplicate_cosine, d16_threshold_suggestion, c8_token_overlap, c8_token_classes, c9_rarity_candidates, d19_tf_idf, g4_member_overlap, d22_cluster_scores,
+    c25_duplicate_cosine, d16_threshold_suggestion, c8_token_overlap, c8_token_classes, c9_rarity_candidates, d19_tf_idf, d19_rarest_terms, g4_member_overlap, d22_cluster_scores,
     h1_components, h9_group_key, h8_demotion_review)}
 SQL = {
     "b24_cosine": f"WITH {VECTORS} SELECT a.id, round({COS.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM vectors a JOIN vectors b ON b.id = a.id + 1",
@@ -182,3 +187,4 @@ SELECT id, component, CAST(1 + sum(opens) OVER (PARTITION BY component ORDER BY
     "h9_group_key": "SELECT conv_id, sha256(string_agg(CAST(turn AS VARCHAR), '|' ORDER BY turn)) AS group_key FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY 1",
     "h8_demotion_review": f"WITH {CENT} SELECT * FROM (SELECT label, count(*) AS n, round(avg(sim), 6) AS cohesion FROM sims GROUP BY 1) WHERE n >= 2 AND cohesion < 0.40",
 }
+SQL["d19_rarest_terms"] = f"SELECT id, token, df FROM ({SQL['d19_tf_idf']}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, token) <= 12"

@@ -71,7 +71,10 @@ def a7_corpus_sync(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i2_content_replay(spark: SparkSession, d: str) -> DataFrame:
-    return a7_corpus_sync(spark, d).agg(F.count_if("changed").alias("changed"), F.count_if(F.col("chars").isNull()).alias("without_features"), F.count("*").alias("n"))
+    """A second pass of extractors over the corpus: newer for some rows, of the same version with more text for others."""
+    e = entries(spark, d).select("id", (F.col("id") % 3).alias("version"), F.length("body").cast("long").alias("chars"), F.sha2("body", 256).alias("hash"), F.col("lang").alias("feature"))
+    again = e.where("id % 10 <> 0").select("id", (F.col("id") % 4).alias("version"), (F.col("chars") + F.when(F.col("id") % 7 == 0, 4).otherwise(0)).alias("chars"), F.sha2(F.concat("hash", F.lit("2")), 256).alias("hash"))
+    return state.replay(e.where("id % 17 <> 0"), again, "id", ["feature"]).select("id", "version", "chars", "feature", "replaced")
 
 
 def i3_feature_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +84,10 @@ def i3_feature_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i4_theme_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two themes are merged into others; small ones are demoted."""
     m = spark.createDataFrame([(3, 1), (7, 2)], "label int, target int")
-    return state.repoint(vectors(spark, d).select("id", "label", "published_at"), m, "label").groupBy("label").agg(F.count("*").alias("n"), F.max(seconds("published_at")).alias("newest_s"))
+    out = state.merge_groups(vectors(spark, d).select("id", "label", "published_at"), m, "label", least=48)
+    return out.select("label", "state", "target", "n", seconds("newest_at").alias("newest_s"))
 
 
 def c27_relation_refresh(spark: SparkSession, d: str) -> DataFrame:
@@ -175,9 +180,15 @@ SQL = {
     "d35_run_counters": f"WITH {_DISP} SELECT disposition, count(*) AS n FROM disp GROUP BY 1",
     "i1_idempotent_ingest": f"WITH {_DISP} SELECT id, url FROM old UNION ALL SELECT i.id, i.url FROM inc i JOIN disp d ON i.id = d.id WHERE disposition = 'inserted'",
     "a7_corpus_sync": f"WITH {_SYNC} SELECT * FROM synced",
-    "i2_content_replay": f"WITH {_SYNC} SELECT count(*) FILTER (WHERE changed) AS changed, count(*) FILTER (WHERE chars IS NULL) AS without_features, count(*) AS n FROM synced",
+    "i2_content_replay": f"""WITH {ENTRIES}, c AS (SELECT id, id % 3 AS version, length(body) AS chars, lang AS feature FROM entries WHERE id % 17 <> 0),
+n AS (SELECT id, id % 4 AS version, length(body) + CASE WHEN id % 7 = 0 THEN 4 ELSE 0 END AS chars FROM entries WHERE id % 10 <> 0),
+j AS (SELECT coalesce(c.id, n.id) AS id, c.version AS v, c.chars AS k, feature, n.version AS nv, n.chars AS nk,
+  n.id IS NOT NULL AND (c.id IS NULL OR n.version > c.version OR (n.version = c.version AND n.chars > c.chars)) AS replaced FROM c FULL JOIN n ON c.id = n.id)
+SELECT id, CASE WHEN replaced THEN nv ELSE v END AS version, CASE WHEN replaced THEN nk ELSE k END AS chars, CASE WHEN NOT replaced THEN feature END AS feature, replaced FROM j""",
     "i3_feature_fill": f"WITH {ENTRIES} SELECT id, CASE WHEN id % 3 = 0 OR id % 2 = 0 THEN lang END AS lang, source FROM entries",
-    "i4_theme_merge": f"WITH {VECTORS} SELECT CASE label WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE label END AS label, count(*) AS n, CAST(epoch(max(published_at)) AS BIGINT) AS newest_s FROM vectors GROUP BY 1",
+    "i4_theme_merge": f"""WITH {VECTORS}, m(label, target) AS (VALUES (3, 1), (7, 2)), c AS (SELECT coalesce(target, v.label) AS label, count(*) AS n, max(published_at) AS newest FROM vectors v LEFT JOIN m ON m.label = v.label GROUP BY 1)
+SELECT l.label, CASE WHEN target IS NOT NULL THEN 'merged' WHEN coalesce(n, 0) < 48 THEN 'demoted' ELSE 'active' END AS state, target, coalesce(n, 0) AS n, CAST(epoch(newest) AS BIGINT) AS newest_s
+FROM (SELECT DISTINCT label FROM vectors) l LEFT JOIN m ON m.label = l.label LEFT JOIN c ON c.label = l.label""",
     "c27_relation_refresh": "WITH k AS (SELECT user_id, count(*) % 2 AS m, count(*) FILTER (WHERE event_type = 'purchase' AND event_id % 3 = 0) AS s FROM events GROUP BY 1) SELECT user_id, CASE WHEN s > 0 THEN 0 ELSE m + 1 END AS misses, CASE WHEN s > 0 THEN 0 ELSE m + 1 END < 2 AS active FROM k",
     "i12_cancelled_purge": "SELECT l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING bool_and(s_nationkey = 3)",
     "d33_column_checks": """SELECT 'quantity' AS rule, count(*) FILTER (WHERE NOT l_quantity BETWEEN 1 AND 50) AS broken FROM lineitem UNION ALL SELECT 'discount', count(*) FILTER (WHERE l_discount > 0.05) FROM lineitem
