@@ -9,7 +9,9 @@ from storyloom.functions import text, urls, vectors
 from storyloom.plans.roles import ENTRIES, entries, table
 
 MARKERS = ("cookie", "javascript", "subscribe", "sign up", "skip to", "all rights", "enable", "404")
-CATEGORIES = {"nature": ("thing", 3.0), "trade": ("there", 2.0), "state": ("tion", 1.0), "culture": ("eau", 1.5)}
+PHRASES = {"culture": ("eau", "de la", "un et"), "nature": ("thing", "the in", "river"), "state": ("tion", "und der", "of the"), "trade": ("there", "and hend", "ouv")}
+PRIORS = {"src1": {"trade": 6.0}, "src2": {"state": 4.0, "nature": 1.0}, "src7": {"culture": 5.5}}
+OVERRIDES = {"nature": ("wh,", "zu und"), "trade": ("enn",)}
 
 
 def b1_canonical_url(spark: SparkSession, d: str) -> DataFrame:
@@ -143,14 +145,9 @@ def b26_receipt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b27_lexical_category(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted phrases in title and body by category; the best, and its lead over the second."""
-    rules = spark.createDataFrame([(c, p, w) for c, (p, w) in CATEGORIES.items()], "category string, phrase string, w double")
-    t, b = F.lower("title"), F.lower("body")
-    hit = (F.when(F.contains(t, F.col("phrase")), 3.5).otherwise(0.0) + F.when(F.contains(b, F.col("phrase")), 0.8).otherwise(0.0)) * F.col("w")
-    scored = entries(spark, d).crossJoin(F.broadcast(rules)).select("id", "category", hit.alias("score"))
-    best = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "category"))).alias("r"))
-    return best.select("id", F.get("r", F.lit(0))["category"].alias("category"),
-                       F.round(F.get("r", F.lit(1))["s"] - F.get("r", F.lit(0))["s"], 6).alias("margin"))
+    """Categories by phrases in title and text, publishers' priors and overrides."""
+    found = text.lexical_category(F.col("title"), F.col("body"), F.col("source"), phrases=PHRASES, priors=PRIORS, overrides=OVERRIDES)
+    return entries(spark, d).select("id", found.alias("x")).select("id", "x.*")
 
 
 def b28_title_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -162,10 +159,11 @@ def b30_theme_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b33_topology_class(spark: SparkSession, d: str) -> DataFrame:
+    """Class of a storyline by its entries and episodes, and the flags that go with it."""
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("entries"), F.count_distinct("o_orderpriority").alias("episodes"))
     e = F.col("entries")
     return n.select("o_custkey", F.when(e == 1, "singleton").when(F.col("episodes") == 1, "single_episode").when(e <= 5, "short_chain").otherwise("long_chain").alias("class"),
-                    (e > 1).alias("is_cluster"))
+                    (e > 1).alias("is_cluster"), (F.col("episodes") > 1).alias("is_multi_episode"), (e == 1).alias("is_singleton"), ((e > 1) & (e == F.col("episodes"))).alias("is_spread"))
 
 
 def b38_probe_class(spark: SparkSession, d: str) -> DataFrame:
@@ -283,13 +281,19 @@ dims AS (SELECT id, unnest([CAST('0x' || substr(sha256(w), 1, 2) AS BIGINT), CAS
 c AS (SELECT id, dim, count(*) AS n FROM dims GROUP BY 1, 2)
 SELECT id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS x FROM c""",
     "b26_receipt": """SELECT o_orderkey, 'v1:' || sha256('{"key":' || o_orderkey || ',"priority":"' || o_orderpriority || '","status":' || CASE WHEN o_orderkey % 9 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS receipt FROM orders""",
-    "b27_lexical_category": f"""WITH {ENTRIES}, rules(category, phrase, w) AS (VALUES {", ".join(f"('{c}', '{p}', {w}::DOUBLE)" for c, (p, w) in CATEGORIES.items())}),
-s AS (SELECT id, category, ((CASE WHEN contains(lower(title), phrase) THEN 3.5::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(body), phrase) THEN 0.8::DOUBLE ELSE 0 END)) * w AS score FROM entries, rules),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rn FROM s)
-SELECT id, max(category) FILTER (WHERE rn = 1) AS category, round(max(score) FILTER (WHERE rn = 1) - max(score) FILTER (WHERE rn = 2), 6) AS margin FROM r GROUP BY id""",
+    "b27_lexical_category": f"""WITH {ENTRIES}, f AS (SELECT id, source, replace(replace(lower(title), 'ß', 'ss'), 'ς', 'σ') AS t, replace(replace(lower(body), 'ß', 'ss'), 'ς', 'σ') AS c FROM entries),
+rules(category, phrase, hi, lo) AS (VALUES {", ".join(f"('{k}', '{p}', {(5.0 if ' ' in p else 3.5)}::DOUBLE, {(1.4 if ' ' in p else 0.8)}::DOUBLE)" for k, ps in PHRASES.items() for p in ps)}),
+priors(source, category, w) AS (VALUES {", ".join(f"('{s}', '{k}', {w}::DOUBLE)" for s, g in PRIORS.items() for k, w in g.items())}),
+over(category, phrase) AS (VALUES {", ".join(f"('{k}', '{p}')" for k, ps in OVERRIDES.items() for p in ps)}),
+s AS (SELECT f.id, r.category, sum(CASE WHEN contains(t, phrase) THEN hi WHEN contains(c, phrase) THEN lo ELSE 0 END)
+  + coalesce((SELECT sum(w) FROM priors p WHERE p.source = any_value(f.source) AND p.category = r.category), 0)
+  + CASE WHEN (SELECT count(*) FROM over o WHERE o.category = r.category AND contains(any_value(f.t), o.phrase)) > 0 THEN 11 ELSE 0 END AS score FROM f, rules r GROUP BY f.id, r.category),
+r AS (SELECT id, category, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, category) AS rn FROM s),
+b AS (SELECT id, max(category) FILTER (WHERE rn = 1) AS category, max(score) FILTER (WHERE rn = 1) AS top, round(max(score) FILTER (WHERE rn = 1) - max(score) FILTER (WHERE rn = 2), 6) AS margin FROM r GROUP BY id)
+SELECT id, category, margin, CASE WHEN top >= 9 AND margin >= 4 THEN 'high' WHEN top >= 6 AND margin >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM b""",
     "b28_title_tokens": f"WITH {ENTRIES} SELECT id, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4))), ' ') AS tokens FROM entries",
     "b30_theme_names": "SELECT p_partkey, len(regexp_split_to_array(trim(p_name), '\\s+')) BETWEEN 2 AND 5 AND len(list_filter(regexp_split_to_array(trim(p_name), '\\s+'), lambda w: NOT regexp_full_match(w, '[A-Za-z0-9]+'))) = 0 AS valid FROM part",
-    "b33_topology_class": "SELECT o_custkey, CASE WHEN count(*) = 1 THEN 'singleton' WHEN count(DISTINCT o_orderpriority) = 1 THEN 'single_episode' WHEN count(*) <= 5 THEN 'short_chain' ELSE 'long_chain' END AS class, count(*) > 1 AS is_cluster FROM orders GROUP BY 1",
+    "b33_topology_class": "SELECT o_custkey, CASE WHEN count(*) = 1 THEN 'singleton' WHEN count(DISTINCT o_orderpriority) = 1 THEN 'single_episode' WHEN count(*) <= 5 THEN 'short_chain' ELSE 'long_chain' END AS class, count(*) > 1 AS is_cluster, count(DISTINCT o_orderpriority) > 1 AS is_multi_episode, count(*) = 1 AS is_singleton, count(*) > 1 AND count(*) = count(DISTINCT o_orderpriority) AS is_spread FROM orders GROUP BY 1",
     "b38_probe_class": "SELECT page_id, CASE WHEN contains(lower(html), 'wp-content') THEN 'wordpress' WHEN contains(lower(html), 'drupal') THEN 'drupal' WHEN contains(lower(html), '<article') THEN 'article' ELSE 'other' END AS kind FROM pages",
     "a5_archive_links": f"WITH {_LINKS} SELECT page_id, href, text, pos FROM links",
     "b9_feed_links": f"WITH {_LINKS} SELECT page_id, array_to_string(list(href ORDER BY pos)[1:3], ' ') AS links FROM links WHERE regexp_matches(href, '(?i)th|de') GROUP BY 1",
