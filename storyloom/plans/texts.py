@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.functions import text, urls, vectors
+from storyloom.functions import markup, text, urls, vectors
 from storyloom.plans.roles import ENTRIES, entries, table
 
 MARKERS = ("cookie", "javascript", "subscribe", "sign up", "skip to", "all rights", "enable", "404")
@@ -70,6 +70,32 @@ def b12_title_and_heading(spark: SparkSession, d: str) -> DataFrame:
         F.length(text.strip_markup(F.regexp_extract(h, "<h1>(.*?)</h1>", 1))).cast("long").alias("h1_chars"))
 
 
+def b12_article_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Title, day, canonical address and body of pages with JSON-LD, meta fields, a time element or a marked date put in
+    by page_id, as the given pages have none."""
+    i = F.col("page_id")
+    two = F.lpad((i % 28 + 1).cast("string"), 2, "0")
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": "NewsArticle", "headline": "Graph '), i.cast("string"), F.lit('", "datePublished": "2024-03-'), two, F.lit('T10:00:00Z"}]}</script>'))
+    fields = F.concat(F.lit("<meta content='Field &amp; "), i.cast("string"), F.lit("' property='og:title'><meta name=\"DC.date\" content=\"2024-04-"), two, F.lit('">'))
+    time = F.concat(F.lit('<time class=x datetime="2024-05-'), two, F.lit('">then</time>'))
+    marked = F.concat(F.lit("<strong>News Release Date:</strong> June "), (i % 28 + 1).cast("string"), F.lit(", 2024<br>"))
+    put = F.element_at(F.array(ld, fields, time, marked, F.lit("")), (i % 5 + 1).cast("int"))
+    canonical = F.when(i % 3 == 0, F.concat(F.lit('<link href="https://x.gov/'), i.cast("string"), F.lit('" rel="shortlink canonical">'))).otherwise("")
+    html = F.replace("html", F.lit("</head>"), F.concat(put, canonical, F.lit("</head>")))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://x.gov/2024/07/"), two, F.lit("/a")).alias("url"), html.alias("html"))
+    out = markup.article_metadata(p)
+    return out.select("page_id", "title", F.date_format("day", "yyyy-MM-dd").alias("day"), "canonical", F.length("body").cast("long").alias("body_chars"))
+
+
+def b13_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes and elements of pages: language, character set, number of links, the first address, the title."""
+    h = F.col("html")
+    first = F.get(markup.tags(h, "a"), F.lit(0))
+    return table(spark, d, "pages").select(
+        "page_id", markup.attribute(F.get(markup.tags(h, "html"), F.lit(0)), "lang").alias("lang"), markup.attribute(F.get(markup.tags(h, "meta"), F.lit(0)), "charset").alias("charset"),
+        F.size(markup.tags(h, "a")).cast("long").alias("links"), markup.attribute(first, "href").alias("first_href"), markup.inside(h, "title").alias("title"))
+
+
 def _dated(spark: SparkSession, d: str) -> DataFrame:
     """Pages' URLs with a day in one of five forms, and a title with one. Some days don't exist."""
     i = F.col("page_id")
@@ -245,7 +271,7 @@ _LINKS = """links AS (SELECT page_id, href, arg_min(t, pos) AS text, min(pos) AS
     SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)) GROUP BY 1, 2)"""
 
 QUERIES = {f.__name__: f for f in (
-    b1_canonical_url, b2_canonical_url_secure, b3_content_hash, b4_candidate_key, b7_unsafe_url, b8_domain_containment, b12_title_and_heading,
+    b1_canonical_url, b2_canonical_url_secure, b3_content_hash, b4_candidate_key, b7_unsafe_url, b8_domain_containment, b12_title_and_heading, b12_article_metadata, b13_lookups,
     b13_strip_markup, b14_date_in_path, b16_title_patterns, b17_entities, b18_event_keys, b20_valid_enrichment, b21_embedding_text, b22_bag_embedding,
     b26_receipt, b27_lexical_category, b28_title_tokens, b30_theme_names, b33_topology_class, b38_probe_class, a5_archive_links, b9_feed_links,
     b10_feed_candidates, a11_partition_manifest, a12_artifact_dedupe)}
@@ -259,6 +285,11 @@ SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'scheme' ELSE reason END AS reaso
     "b8_domain_containment": "SELECT page_id, " + ", ".join(
         f"regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '(^|\\.){b.replace('.', '[.]')}$') AS in_{b.split('.')[1]}" for b in BASES) + " FROM pages",
     "b12_title_and_heading": f"SELECT page_id, {_STRIP.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, length({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1_chars FROM pages",
+    "b12_article_metadata": f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Graph ' || page_id WHEN 1 THEN 'Field & ' || page_id ELSE nullif({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, '') END AS title,
+  printf('2024-%02d-%02d', 3 + page_id % 5, page_id % 28 + 1) AS day, CASE WHEN page_id % 3 = 0 THEN 'https://x.gov/' || page_id END AS canonical,
+  length({_STRIP.format(x="regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<script.*?</script>', ' ', 'g')")}) AS body_chars FROM pages""",
+    "b13_lookups": f"""SELECT page_id, nullif(regexp_extract(html, '<html[^>]*\\slang="([^"]*)"', 1), '') AS lang, nullif(regexp_extract(html, '<meta[^>]*\\scharset="([^"]*)"', 1), '') AS charset,
+  len(regexp_extract_all(html, '<a\\b[^>]*>')) AS links, nullif(regexp_extract(html, '<a\\b[^>]*\\shref="([^"]*)"', 1), '') AS first_href, nullif({_STRIP.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")}, '') AS title FROM pages""",
     "b13_strip_markup": f"SELECT page_id, sha256({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1_sha FROM pages",
     "b14_date_in_path": """WITH x AS (SELECT page_id, page_id % 14 + 1 AS m, page_id % 33 + 1 AS d, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS old FROM pages),
 p AS (SELECT *, old || CASE page_id % 5 WHEN 0 THEN printf('/2024/%02d/%02d/x', m, d) WHEN 1 THEN printf('/2024-%02d-%02d.html', m, d)
