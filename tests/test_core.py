@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.functions import text, urls, vectors
+from storyloom.functions import markup, text, urls, vectors
 from storyloom.operators import rank, themes, verdicts, windows
 from storyloom.operators.scratch import clear, kept
 from storyloom.streaming import events
@@ -124,6 +124,33 @@ def test_entities(spark):
     assert same[0] == same[1]
 
 
+def test_article_metadata(spark):
+    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "headline": "From LD", "datePublished": "2024-03-05T01:00:00Z"}</script>'
+    pages = [
+        (1, f"<head>{ld}<meta property='og:title' content='Other'></head><h1>Head</h1><article><p>Body &amp; text</p></article>", "https://a.gov/x"),
+        (2, '<meta content="Field &quot;two&quot;" name=twitter:title><meta name="DC.Date" content="March 7, 2024"><main>main part</main>', "https://a.gov/x"),
+        (3, '<title>Only title 3/9/2023</title><link href="/c" rel="canonical">', "https://a.gov/x"),
+        (4, '<h1> </h1><time>none</time><time datetime="2022-02-03T00:00">then</time>', "https://a.gov/2021/01/02/x"),
+        (5, None, None),
+    ]
+    df = spark.createDataFrame(pages, "id long, html string, url string")
+    got = {r["id"]: (r["title"], str(r["day"]), r["canonical"], r["body"]) for r in markup.article_metadata(df).collect()}
+    assert got == {
+        1: ("From LD", "2024-03-05", None, "Body & text"), 2: ('Field "two"', "2024-03-07", None, "main part"), 3: ("Only title 3/9/2023", "2023-03-09", "/c", None),
+        4: (None, "2022-02-03", None, None), 5: (None, "None", None, None),
+    }
+
+
+def test_lexical_category(spark):
+    rules = {"phrases": {"a": ("fire", "wild fire"), "b": ("tax",)}, "priors": {"irs": {"b": 2.0}}, "overrides": {"a": ("blaze",)}}
+    for title, content, publisher, want in (
+        ("Wild fire spreads", "the tax", "x", ("a", 7.7, "medium")), ("None", "a tax and a wild fire", "irs", ("b", 0.6, "low")),
+        ("Blaze", "", "irs", ("a", 9.0, "high")), ("nothing", "", "x", ("a", 0.0, "low")),
+    ):
+        got = one(spark, text.lexical_category(F.col("t"), F.col("c"), F.col("p"), **rules), t=title, c=content, p=publisher)
+        assert (got["category"], got["margin"], got["confidence"]) == want
+
+
 def test_half_precision_bytes(spark):
     v = [0.1, -2.5, 3.0e-5, 65504.0]
     df = spark.createDataFrame([(v,), (None,), ([],)], "v array<float>").select("v", vectors.pack_fp16(F.col("v")).alias("p"))
