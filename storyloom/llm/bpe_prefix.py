@@ -89,7 +89,7 @@ class PrefixTable:
 class Remembered(dict):
     """Results of a function by its argument, in two generations of bounded size; long arguments aren't kept."""
 
-    MOST, LONGEST = 400_000, 64
+    MOST, LONGEST = 200_000, 64
 
     def __init__(self, function: Callable) -> None:
         super().__init__()
