@@ -29,10 +29,22 @@ def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: short lineage that outlives executors."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what kept() wrote for these tables, once nothing that is still to run reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df.kept_at)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has written here. DataFrames that read it can't be used afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    _delete(spark, _home(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
