@@ -24,6 +24,22 @@ def shingles(text: str | None, k: int) -> set:
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
+def components_of(nodes, pairs) -> dict:
+    """node: smallest node reachable over the pairs."""
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {x: find(x) for x in nodes}
+
+
 def components(texts: dict, k: int, percent: int = 80) -> dict:
     """id: (size of its set, smallest id reachable)."""
     sets = {i: shingles(t, k) for i, t in texts.items()}
