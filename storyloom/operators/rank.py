@@ -49,37 +49,95 @@ def positions(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
-def ordinals(rows: DataFrame, order: list[str | Column], name: str = "ordinal", by: tuple[str, ...] = ()) -> DataFrame:
+def ordinals(rows: DataFrame, order: list[str | Column], name: str = "ordinal", by: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """Positions from 1 in an order without ties, over all rows or among those alike in `by`, without one
     task that sees them all.
 
     Rows are range-partitioned by group and order and sorted, and written out once with their place: partition and row.
     Counts, offsets and rows all come from that table, as range borders differ from one run of a plan to the next. Each
-    group has one run of rows in each partition that it reaches; a run's offset is the sum of those before it.
+    group has one run of rows in each partition that it reaches; a run's offset is the sum of those before it. With
+    `total`, a column of that name has the group's count.
     """
     sort = [*by, *order]
     placed = kept(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     runs = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("_part").alias("_run"), *[F.col(c).alias(f"_run_{c}") for c in by], "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    every = [F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []
+    runs = runs.select(F.col("_part").alias("_run"), *[F.col(c).alias(f"_run_{c}") for c in by], "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), *every)
+    return placed.join(runs, _same_run(by)).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name), *([total] if total else []))
+
+
+def running_sums(rows: DataFrame, by: tuple[str, ...], order: list[str | Column], column: str, name: str = "sum", count: str = "n") -> DataFrame:
+    """Each row with the sum of a column and the count of rows of its group up to it, in an order without ties. A
+    null counts as a row of 0.
+
+    A grouped prefix scan: rows are range-partitioned by group and order, sorted and written once. Sums run inside a
+    partition, and what the partitions before it hold of the group, one row for each of them, is added: a group of any
+    size is spread over tasks, and no window holds more than a written partition.
+    """
+    sort = [*by, *order]
+    value = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    placed = kept(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("_s", "_n")]
+    runs = runs.select(F.col("_part").alias("_run"), *[F.col(c).alias(f"_run_{c}") for c in by], *ahead)
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_s", F.sum(value).over(inside)).withColumn("_n", F.count("*").over(inside))
+    out = [(F.col(c) + F.col(f"{c}_before")).alias(made) for c, made in (("_s", name), ("_n", count))]
+    return summed.join(runs, _same_run(by)).select(*rows.columns, *out)
+
+
+def _same_run(by: tuple[str, ...]) -> Column:
+    """Rows and runs of equal partitions and groups; a null is a group of its own."""
     same = F.col("_part") == F.col("_run")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_run_{c}"))
-    return placed.join(runs, same).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name))
+    return same
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of a value in each group, linearly between the two rows around a place: by and a column for
+    each name. Values are numbered in range partitions, so that a group of any size is spread over tasks; only the rows at
+    the places asked for are joined, two for each group and name. Nulls have no place; a group of nulls only has nulls."""
+    placed = ordinals(rows.where(F.col(value).isNotNull()).select(by, value, F.monotonically_increasing_id().alias("_tie")), [value, "_tie"], "_at_row", (by,), "_total")
+    out = rows.select(by).distinct()
+    wanted = []
+    for name, share in shares.items():
+        place = 1 + share * (F.col("_total") - 1)
+        inside = (F.col("_at_row") == F.floor(place)) | (F.col("_at_row") == F.floor(place) + 1)
+        weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_at_row") - place))
+        wanted.append(F.struct(F.lit(name).alias("name"), F.when(inside, weight).alias("weight")))
+    near = placed.select(by, value, F.inline(F.filter(F.array(*wanted), lambda x: x["weight"] > 0)))
+    made = near.groupBy(by).agg(*[F.sum(F.when(F.col("name") == n, F.col(value) * F.col("weight"))).alias(n) for n in shares])
+    return out.withColumnRenamed(by, "_group").join(made, F.col("_group").eqNullSafe(F.col(by)), "left").select(F.col("_group").alias(by), *shares)
 
 
-def percentile_of_rank(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """(position - 1) / (n - 1), 0 for a single row."""
-    return rows.withColumn("percentile", F.percent_rank().over(Window.partitionBy(*by).orderBy(*order)))
+def percentile_of_rank(rows: DataFrame, by: tuple[str, ...], order: list[str | Column]) -> DataFrame:
+    """(position - 1) / (n - 1), 0 for a single row; the order has no ties."""
+    placed = ordinals(rows, order, "_position", by, "_total")
+    share = F.when(F.col("_total") > 1, (F.col("_position") - 1) / (F.col("_total") - 1)).otherwise(F.lit(0.0))
+    return placed.withColumn("percentile", share).drop("_position", "_total")
 
 
 def neighbour_pairs(ranked: DataFrame, by: list[str], width: int, key: str) -> DataFrame:
-    """Each row with the next `width` rows of its facet."""
-    w = Window.partitionBy(*by).orderBy("position")
-    steps = [F.struct(F.lead(key, k).over(w).alias("b"), F.lit(k).alias("step")) for k in range(1, width + 1)]
-    ahead = ranked.select(*by, F.col(key).alias("a"), F.array(*steps).alias("ahead"))
-    return ahead.select(*by, "a", F.inline("ahead")).where("b is not null")
+    """Each row with the next `width` rows of its facet, by an equi-join on facet and position: rows are dealt by
+    both, so a facet of any size is spread over tasks."""
+    steps = F.explode(F.sequence(F.lit(1), F.lit(width))).alias("step")
+    before = ranked.select(*by, F.col(key).alias("a"), "position", steps).select(*by, "a", "step", (F.col("position") + F.col("step")).alias("position"))
+    return before.join(ranked.select(*by, "position", F.col(key).alias("b")), [*by, "position"]).select(*by, "a", "b", "step")
+
+
+def neighbours(ranked: DataFrame, by: list[str], width: int, key: str) -> DataFrame:
+    """Each row's `width` neighbours on either side, as an array near of structs (position, key) in their order."""
+    ahead = neighbour_pairs(ranked, by, width, key)
+    both = ahead.select(*by, F.col("a").alias(key), F.col("step").alias("at"), F.col("b").alias("other")).union(
+        ahead.select(*by, "b", -F.col("step"), "a"))
+    met = both.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("at", "other"))).alias("near"))
+    return ranked.join(met, [*by, key], "left").withColumn(
+        "near", F.transform(F.coalesce("near", F.array()), lambda x: F.struct((F.col("position") + x["at"]).alias("position"), x["other"].alias(key))))
 
 
 def swap_verdict(verdicts: DataFrame) -> DataFrame:

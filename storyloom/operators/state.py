@@ -24,16 +24,20 @@ def reconcile(previous: DataFrame, current: DataFrame, key: str, attributes: lis
 
 def dispositions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """C14: what becomes of each incoming row (id, url, external_id, ordinal) beside existing ones (id, url,
-    external_id): matched by URL, by outside id, by both to different rows (a conflict), repeated in the batch, or new."""
-    by_url = existing.select(F.col("url"), F.col("id").alias("url_id")).groupBy("url").agg(F.min("url_id").alias("url_id"))
+    external_id): matched by URL, by outside id, by both to different rows (a conflict), repeated in the batch, or new.
+    A row without a URL is known by its outside id alone; one without either has no identity. One row for each row."""
+    by_url = existing.select(F.col("url"), F.col("id").alias("url_id")).where("url is not null").groupBy("url").agg(F.min("url_id").alias("url_id"))
     by_ext = existing.select("external_id", F.col("id").alias("ext_id")).where("external_id is not null").groupBy("external_id").agg(F.min("ext_id").alias("ext_id"))
-    first = incoming.groupBy("url").agg(F.min("ordinal").alias("first"))
-    j = incoming.join(by_url, "url", "left").join(by_ext, "external_id", "left").join(first, "url")
+    key = F.coalesce(F.concat(F.lit("url "), "url"), F.concat(F.lit("id "), "external_id"))
+    named = incoming.withColumn("_key", key)
+    first = named.where("_key is not null").groupBy("_key").agg(F.min("ordinal").alias("first"))
+    j = named.join(by_url, "url", "left").join(by_ext, "external_id", "left").join(first, "_key", "left")
     return j.select(
         "id",
         F.when(F.col("url_id").isNotNull() & F.col("ext_id").isNotNull() & (F.col("url_id") != F.col("ext_id")), "identity_conflict")
         .when(F.col("url_id").isNotNull(), "existing_url")
         .when(F.col("ext_id").isNotNull(), "existing_external_id")
+        .when(F.col("_key").isNull(), "no_identity")
         .when(F.col("ordinal") != F.col("first"), "repeated")
         .otherwise("inserted")
         .alias("disposition"),

@@ -83,7 +83,8 @@ def canonical_rows(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def banded_sample(rows: DataFrame, band: Column, seed: str, key: str, n: int) -> DataFrame:
-    """Round robin over bands, within a band by a seeded hash; the first n. No random numbers."""
+    """Round robin over bands, within a band by a seeded hash; the first n. No random numbers. No band gives more than
+    n rows, and the first n of a task's share of a band are enough of it to shuffle."""
     hashed = rows.withColumn("band", band).withColumn("_h", F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256))
     ranked = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy("band").orderBy("_h", key)))
-    return ranked.orderBy("_rn", "band").limit(n).drop("_rn", "_h")
+    return ranked.where(F.col("_rn") <= n).orderBy("_rn", "band").limit(n).drop("_rn", "_h")

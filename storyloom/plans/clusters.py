@@ -186,9 +186,7 @@ def c30_coverage(spark: SparkSession, d: str) -> DataFrame:
 def c28_rank_detail(spark: SparkSession, d: str) -> DataFrame:
     """A ranked row with its experiment and version, its position's opinion, and its three neighbours on each side."""
     r = ranking.e4_facet_rank(spark, d).where("facet_type = 'theme'").select("facet_key", "storyline", "position", "rank_key")
-    w = Window.partitionBy("facet_key").orderBy("position").rowsBetween(-3, 3)
-    near = F.filter(F.collect_list(F.struct("position", "storyline")).over(w), lambda x: x["position"] != F.col("position"))
-    rows = r.withColumn("near", near)
+    rows = rank.neighbours(r, ["facet_key"], 3, "storyline")
     cards = c6_versions(spark, d)
     opinion = themes.run_opinion(_crossings(spark, d)).select(F.col("target").alias("storyline"), "run", "bounded")
     j = rows.join(cards, "storyline", "left").join(opinion, "storyline", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from storyloom.functions import text, vectors
+from storyloom.operators import rank
 from storyloom.operators.scratch import new_folder
 from storyloom.plans.roles import ENTRIES, entries, table
 from storyloom.plans.texts import KEY_SETS, keyed_text
@@ -145,9 +146,9 @@ def b23_fp16(spark: SparkSession, d: str) -> DataFrame:
 
 def b25_running_mean(spark: SparkSession, d: str) -> DataFrame:
     """The mean vector of each label as of each of its rows, by dimension."""
-    w = Window.partitionBy("label", "dim").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
     x = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
-    return x.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.avg(F.col("x").cast("double")).over(w), 6).alias("mean"))
+    out = rank.running_sums(x, ("label", "dim"), ["vec_id"], "x")
+    return out.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("sum") / F.col("n"), 6).alias("mean"))
 
 
 def b36_publisher_weight(spark: SparkSession, d: str) -> DataFrame:

@@ -72,7 +72,7 @@ def e5_experiment_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e8_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
-    out = rank.percentile_of_rank(_keys(spark, d), ["c_mktsegment"], [F.asc("rank_key"), F.asc("storyline")])
+    out = rank.percentile_of_rank(_keys(spark, d), ("c_mktsegment",), [F.asc("rank_key"), F.asc("storyline")])
     return out.select("storyline", F.round("percentile", 9).alias("percentile"))
 
 

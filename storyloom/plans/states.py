@@ -145,7 +145,7 @@ def b37_backoff(spark: SparkSession, d: str) -> DataFrame:
 
 def g3_missing_types(spark: SparkSession, d: str) -> DataFrame:
     every = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
-    e = table(spark, d, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
     return e.select("user_id", F.array_join(F.array_sort(F.array_except(every, F.col("t"))), ",").alias("missing"))
 
 
@@ -199,5 +199,5 @@ UNION ALL SELECT 'flag', count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N'))
     "b34_usable_sites": f"WITH {_INV} SELECT c_custkey FROM rec WHERE active AND c_mktsegment <> 'MACHINERY'",
     "d39_run_close": "SELECT user_id, CASE WHEN bool_and(value > 1) THEN 'succeeded' WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'partial' END AS status, count(*) AS n FROM events GROUP BY 1",
     "b37_backoff": "SELECT event_id, CAST(least(3600, 30 * CAST(pow(2, event_id % 9) AS BIGINT)) + CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 4) AS BIGINT) % 60 AS BIGINT) AS delay_s FROM events",
-    "g3_missing_types": "SELECT user_id, coalesce(array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(t, x))), ','), '') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS t FROM events WHERE event_id % 7 = 0 GROUP BY 1)",
+    "g3_missing_types": "SELECT user_id, coalesce(array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(t, x))), ','), '') AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS t FROM events GROUP BY 1)",
 }

@@ -97,9 +97,9 @@ def d13_syndication(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d14_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("l_extendedprice", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(p.alias("p"))
-    return g.select("l_returnflag", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))])
+    shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    out = rank.percentiles(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", shares)
+    return out.select("l_returnflag", *[F.round(n, 6).alias(n) for n in shares])
 
 
 def d15_capped_histogram(spark: SparkSession, d: str) -> DataFrame:

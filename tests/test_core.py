@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import markup, text, urls, vectors
-from storyloom.operators import rank, themes, verdicts, windows
+from storyloom.operators import rank, state, themes, verdicts, windows
 from storyloom.operators.scratch import clear, kept
 from storyloom.streaming import events
 
@@ -106,19 +106,19 @@ def test_entities(spark):
     def found(title, summary=None, body=None):
         return one(spark, text.entities(F.col("t"), F.col("s").cast("string"), F.col("b").cast("string")), t=title, s=summary, b=body)
 
-    got = found("FDA Announces Recall of Valsatrex", "Sundexo Pharmaceuticals initiated the recall after contamination was found.")
-    assert {"valsatrex", "sundexo"} <= set(got) and not {"fda", "announces", "recall"} & set(got)
-    assert found("FDA ANNOUNCES NATIONWIDE RECALL") == []
-    assert "$4.5 million" in found("HHS Awards Grant", "The department awarded $4.5 million to states.")
-    wire = "Less Than One Week Left FRANKFORT, Ky. – Kentucky homeowners have one week left."
-    assert {"frankfort", "kentucky"} <= set(found("Agency Issues Guidance", wire))
-    assert {"baton", "rouge", "valsatrex"} <= set(found("Agency Issues Guidance", "BATON ROUGE – Valsatrex distribution resumes."))
-    blob = "About Administrative Areas Bureaus Countries Directories Offices Press Releases Travel Visas Business " * 3
-    assert "directories" not in found("Secretary Meets With Minister Kestrel", blob)
-    assert "volkov" in found("Secretary Meets", blob, "CAPITAL – Secretary announced sanctions on Volkov Industries today.")
-    assert "kestrel" not in found("Agency Issues Guidance", "Valsatrex distribution resumes statewide.", "Unrelated Kestrel Industries follows.")
-    keys = one(spark, text.event_keys(F.col("t")), t="docket EPA-HQ-OAR-2026-0143. See 40 CFR 60. CVE-2026-12345 and FR 2026-11234, Case No. 23-104, USDL No. 23-01")
-    assert keys == ["2026-11234", "case no. 23-104", "cve-2026-12345", "epa-hq-oar-2026-0143"]
+    got = found("Bureau Announces Audit of Quillmark", "Tessaron Shipping opened its books in the audit that began in spring.")
+    assert {"quillmark", "tessaron"} <= set(got) and not {"bureau", "announces"} & set(got)
+    assert found("BUREAU ANNOUNCES STATEWIDE REVIEW") == []
+    assert "$7.25 million" in found("Office Awards Grant", "Counties will share $7.25 million for bridges.")
+    wire = "Two Days Remain SALEM, Ore. – Oregon growers can still file a claim."
+    assert {"salem", "oregon"} <= set(found("Office Issues Guidance", wire))
+    assert {"santa", "fe", "quillmark"} - {"fe"} <= set(found("Office Issues Guidance", "SANTA FE – Quillmark sales begin again."))
+    menu = "Home Calendar Permits Careers Libraries Boards Maps Newsroom Forms Payments Parks Meetings " * 3
+    assert "libraries" not in found("Mayor Meets With Envoy Dornak", menu)
+    assert "dornak" in found("Mayor Speaks", menu, "HARBOR CITY – The mayor thanked Dornak Foundry for its gift on Tuesday.")
+    assert "dornak" not in found("Office Issues Guidance", "Quillmark sales begin again this week.", "Elsewhere Dornak Foundry closes.")
+    keys = one(spark, text.event_keys(F.col("t")), t="filed in DOT-OST-2025-0077 under 14 CFR 25; CVE-2025-40404 and FR 2025-00912, Case No. 24-310, USDL No. 24-09")
+    assert keys == ["2025-00912", "case no. 24-310", "cve-2025-40404", "dot-ost-2025-0077"]
     assert one(spark, text.nfkc(F.col("t")), t="ﬁne Ⅷ") == "fine VIII"
     same = [one(spark, text.content_hash(F.col("a"), F.col("b")), a=a, b=b) for a, b in (("FDA  Recalls", "Straße  found."), ("fda recalls", "strasse found."))]
     assert same[0] == same[1]
@@ -217,3 +217,38 @@ def test_scratch_is_one_folder_for_the_application(spark):
     path = df.inputFiles()[0]
     assert f"storyloom-{spark.sparkContext.applicationId}" in path and df.count() == 5
     assert callable(clear)  # other tests of this session still read what it would delete
+
+
+def test_dispositions_keep_every_row(spark):
+    incoming = spark.createDataFrame(
+        [(1, None, "x1", 1), (2, None, None, 2), (3, None, "x9", 3), (4, None, "x9", 4), (5, "u", None, 5), (6, "v", "x2", 6), (7, "v", None, 7), (8, "u", "x1", 8)],
+        "id long, url string, external_id string, ordinal long")
+    existing = spark.createDataFrame([(10, None, "x1"), (11, "u", None), (12, None, None)], "id long, url string, external_id string")
+    got = {r["id"]: (r["disposition"], r["matched"]) for r in state.dispositions(incoming, existing).collect()}
+    assert got == {
+        1: ("existing_external_id", 10), 2: ("no_identity", None), 3: ("inserted", None), 4: ("repeated", None), 5: ("existing_url", 11), 6: ("inserted", None),
+        7: ("repeated", None), 8: ("identity_conflict", 11),
+    }
+
+
+def test_sums_percentiles_and_neighbours_over_partitions(spark):
+    """Groups that lie over several range partitions, nulls among groups and values, ties."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("aab"), rng.randrange(50) if i % 11 else None) for i in range(400)] + [(400, None, 3), (401, None, 4), (402, "none", None)]
+    df = spark.createDataFrame(rows, "id long, g string, x long").repartition(7)
+    got = {r["id"]: (r["sum"], r["n"]) for r in rank.running_sums(df, ("g",), ["id"], "x").collect()}
+    for i, g, _ in rows:
+        before = [x or 0 for j, h, x in rows if h == g and j <= i]
+        assert got[i] == (sum(before), len(before))
+    shares = {"low": 0.05, "mid": 0.5, "top": 1.0}
+    for r in rank.percentiles(df, "g", "x", shares).collect():
+        xs = [x for _, g, x in rows if g == r["g"] and x is not None]
+        assert [r[n] for n in shares] == ([None] * 3 if not xs else pytest.approx([np.percentile(xs, 100 * s) for s in shares.values()]))
+    ranked = rank.ordinals(df.where("g is not null"), ["id"], "position", ("g",))
+    by_group = {g: [i for i, h, _ in rows if h == g] for g in ("a", "b", "none")}
+    pairs = {(r["a"], r["b"], r["step"]) for r in rank.neighbour_pairs(ranked, ["g"], 2, "id").collect()}
+    assert pairs == {(v[k], v[k + s], s) for v in by_group.values() for s in (1, 2) for k in range(len(v) - s)}
+    near = {r["id"]: [x["id"] for x in r["near"]] for r in rank.neighbours(ranked, ["g"], 2, "id").collect()}
+    assert near == {x: [*v[max(0, k - 2) : k], *v[k + 1 : k + 3]] for v in by_group.values() for k, x in enumerate(v)}
+    share = {r["id"]: r["percentile"] for r in rank.percentile_of_rank(df, ("g",), ["id"]).collect()}
+    assert all(share[x] == pytest.approx(k / max(1, len(v) - 1)) for v in by_group.values() for k, x in enumerate(v))

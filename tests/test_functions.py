@@ -47,7 +47,8 @@ def test_entities(spark):
 
 
 def test_date_in_path(spark):
-    assert one(spark, urls.date_in_path(F.col("u")), u="https://a.gov/news/2024/3/9/x") == datetime.date(2024, 3, 9)
+    assert one(spark, urls.date_in_path(F.col("u")), u="https://a.gov/news/2024/03/09/x") == datetime.date(2024, 3, 9)
+    assert one(spark, urls.date_in_path(F.col("u")), u="https://a.gov/news/2024/3/9/x") is None
     assert one(spark, urls.date_in_path(F.col("u")), u="https://a.gov/2024/13/40/x") is None
 
 
