@@ -95,10 +95,11 @@ def _stars(near: DataFrame, far: DataFrame | None) -> DataFrame:
     within 2 of it with the same. That is all pairs' components: of two that collide one is within 1, so both are at most
     RADIUS bits from that smallest one. An edge for each row at most, of which a variant has 2,081 at most."""
     hubs = near.groupBy("v").agg(F.min("bits").alias("hub"), F.count("*").alias("n"))
+    # sizes of exploded tables are estimated from what they are exploded from: neither side may be broadcast
     if far is None:
-        met = near.join(hubs.where("n > 1"), "v")
+        met = near.join(hubs.where("n > 1").hint("merge"), "v")
     else:
-        met = far.join(hubs, "v")
+        met = far.join(hubs.hint("merge"), "v")
     apart = F.bit_count(F.col("hub").bitwiseXOR(F.col("bits")))
     return met.where((F.col("hub") != F.col("bits")) & (apart <= RADIUS)).select(F.col("hub").alias("a"), F.col("bits").alias("b")).distinct()
 
