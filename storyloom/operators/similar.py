@@ -6,20 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
+from storyloom.operators import hyperplanes
 
 
 def with_norm(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("norm", vectors.norm(F.col(vector)))
 
 
-def near_in_window(rows: DataFrame, *, hours: float, least: float) -> DataFrame:
+def near_in_window(rows: DataFrame, *, hours: float, least: float, recall: float | None = None) -> DataFrame:
     """For each row (id, embedding, published_at) its most similar strictly earlier row within the window, from
-    `least` on. Time is cut into buckets of the window's length; a row meets only its own bucket and the one before. A
-    bucket is cut into blocks of bounded size, which each later row meets in turn."""
+    `least` on. Time is cut into buckets of the window's length; a row meets only its own bucket and the one before.
+
+    With a recall under 1 a row meets only what shares a band of hyperplanes with it, and a pair of a cosine of `least` or
+    more is found with that probability. Without, it meets all rows of its buckets, which are cut into blocks of bounded
+    size: exact, and quadratic in a bucket."""
     width = int(hours * 3600)
     at = F.unix_micros("published_at")
     bucket = F.floor(at / (width * 1_000_000))
-    blocks = block_count(rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    fullest = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if recall is not None:
+        timed = rows.select("id", "embedding", at.alias("t"), bucket.alias("bucket"))
+        later = timed.select(F.col("id").alias("l"), "embedding", "t", F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"))
+        met = hyperplanes.near_pairs(later, timed.withColumnRenamed("id", "r"), least=least, recall=recall, by=("bucket",), population=fullest)
+        before = (F.col("r_t") < F.col("l_t")) & (F.col("r_t") > F.col("l_t") - width * 1_000_000)
+        return _most_similar(met.where(before).select(F.col("l").alias("id"), F.col("r").alias("match"), "sim"))
+    blocks = block_count(fullest)
     r = with_norm(rows).select("id", "embedding", "norm", at.alias("t"), bucket.alias("bucket"))
     early = r.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     places = F.flatten(F.transform(F.array("bucket", F.col("bucket") - 1), lambda b: F.transform(
@@ -28,6 +39,11 @@ def near_in_window(rows: DataFrame, *, hours: float, least: float) -> DataFrame:
     earlier = ((F.col("t") < F.col("b_t")) | ((F.col("t") == F.col("b_t")) & (F.col("id") < F.col("b_id")))) & (F.col("t") > F.col("b_t") - width * 1_000_000)
     sim = vectors.cosine(F.col("embedding"), F.col("b_embedding"), F.col("norm"), F.col("b_norm"))
     pairs = early.join(later, ["bucket", "block"]).where(earlier).select(F.col("b_id").alias("id"), F.col("id").alias("match"), sim.alias("sim")).where(F.col("sim") >= least)
+    return _most_similar(pairs)
+
+
+def _most_similar(pairs: DataFrame) -> DataFrame:
+    """Of each id the match of the highest similarity, the smallest of equals."""
     return pairs.groupBy("id").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("match")).alias("m"))).alias("x")).select(
         "id", (-F.col("x.m")).alias("match"), F.col("x.sim").alias("sim"))
 
@@ -64,15 +80,23 @@ def _met(queries: DataFrame, rows: DataFrame, carry: list[str]) -> DataFrame:
     return spread.join(r, "block").select("q", "block", *carry, sim.alias("sim"))
 
 
-def nearest_groups(rows: DataFrame, groups: DataFrame, group: str, *, least: float, k: int) -> DataFrame:
+def nearest_groups(rows: DataFrame, groups: DataFrame, group: str, *, least: float, k: int, recall: float | None = None) -> DataFrame:
     """(id, group, sim, rank) of the k groups (group, centroid) whose centroids are nearest to each row, from a
-    least cosine on. Up to BLOCK_ROWS groups, which are counted, are broadcast; more are cut into blocks, each row meets
-    every block, and the best k of a block leave it."""
+    least cosine on. Up to BLOCK_ROWS groups, which are counted, are broadcast. More are met through bands of hyperplanes
+    where a recall is given; else they are cut into blocks, each row meets every block, and the best k of a block leave
+    it: exact, and rows times groups."""
     g = groups.select(F.col(group).alias("id"), F.col("centroid").alias("embedding"))
-    if groups.count() <= BLOCK_ROWS:
-        few = F.broadcast(with_norm(g).select(F.col("id").alias(group), F.col("embedding").alias("ge"), F.col("norm").alias("gn")))
+    few = groups.count() <= BLOCK_ROWS
+    if recall is not None and not few:
+        left = rows.select(F.col("id").alias("l"), "embedding")
+        met = hyperplanes.near_pairs(left, g.withColumnRenamed("id", "r"), least=least, recall=recall).groupBy("l", "r").agg(F.max("sim").alias("sim"))
+        w = Window.partitionBy("l").orderBy(F.desc("sim"), "r")
+        top = met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        return top.select(F.col("l").alias("id"), F.col("r").alias(group), "sim", "rank")
+    if few:
+        sent = F.broadcast(with_norm(g).select(F.col("id").alias(group), F.col("embedding").alias("ge"), F.col("norm").alias("gn")))
         sim = F.round(vectors.cosine(F.col("embedding"), F.col("ge"), F.col("norm"), F.col("gn")), 9)
-        near = with_norm(rows).crossJoin(few).select("id", group, sim.alias("sim")).where(F.col("sim") >= least)
+        near = with_norm(rows).crossJoin(sent).select("id", group, sim.alias("sim")).where(F.col("sim") >= least)
         w = Window.partitionBy("id").orderBy(F.desc("sim"), group)
         return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "id")).cast("long")
@@ -82,6 +106,16 @@ def nearest_groups(rows: DataFrame, groups: DataFrame, group: str, *, least: flo
     return top.select(F.col("q").alias("id"), F.col("id").alias(group), "sim", "rank")
 
 
+def near_misses(groups: DataFrame, least: float, recall: float | None = None) -> DataFrame:
+    """Pairs (a, b, sim), both ways, of different groups (id, embedding) with a cosine from `least` on: block by
+    block without a broadcast, or through bands of hyperplanes where a recall is given."""
+    if recall is not None:
+        side = lambda to: groups.select(F.col("id").alias(to), "embedding")
+        met = hyperplanes.near_pairs(side("l"), side("r"), least=least, recall=recall).where("l <> r")
+        return met.groupBy(F.col("l").alias("a"), F.col("r").alias("b")).agg(F.max("sim").alias("sim"))
+    return _met(groups, groups, ["id"]).where((F.col("q") != F.col("id")) & (F.round("sim", 6) >= least)).select(F.col("q").alias("a"), F.col("id").alias("b"), "sim")
+
+
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """K exact cosine neighbours of each query among all rows, ties by id. Each block keeps its best k of each
     query, and only those are merged."""
@@ -97,10 +131,19 @@ def best_in_groups(queries: DataFrame, rows: DataFrame, group: str, least: float
     return met.groupBy("q", group).agg(F.max("sim").alias("sim")).where(F.col("sim") >= least)
 
 
-def merge_candidates(themes: DataFrame, least: float) -> DataFrame:
+def merge_candidates(themes: DataFrame, least: float, recall: float | None = None) -> DataFrame:
     """C17: pairs (a < b) of themes (id, name, embedding: the centroid) whose centroids' cosine is at least `least` or
-    whose names share a word: cosine, shared."""
+    whose names share a word: cosine, shared. With a recall, near centroids are met through bands of hyperplanes, and
+    only they and pairs that share a word are compared; without, all pairs of themes are."""
     words = themes.select("id", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z0-9]+"))).alias("token")).where("token <> ''")
+    if recall is not None:
+        side = lambda to: themes.select(F.col("id").alias(to), "embedding")
+        near = hyperplanes.near_pairs(side("l"), side("r"), least=least, recall=recall).where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b"))
+        named = shared_tokens(words)
+        pairs = near.union(named.select("a", "b")).distinct().join(named, ["a", "b"], "left")
+        ends = lambda to: with_norm(themes).select(F.col("id").alias(to), F.col("embedding").alias("e" + to), F.col("norm").alias("n" + to))
+        cosine = F.round(vectors.cosine(F.col("ea"), F.col("eb"), F.col("na"), F.col("nb")), 9)
+        return pairs.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", cosine.alias("cosine"), F.coalesce("shared", F.lit(0)).alias("shared"))
     near = _met(themes, themes, ["id"]).where("q < id").select(F.col("q").alias("a"), F.col("id").alias("b"), "sim")
     both = near.join(shared_tokens(words), ["a", "b"], "left").select("a", "b", F.col("sim").alias("cosine"), F.coalesce("shared", F.lit(0)).alias("shared"))
     return both.where((F.col("cosine") >= least) | (F.col("shared") > 0))
@@ -111,7 +154,8 @@ def intruders(rows: DataFrame, theme: str, k: int, seed: str) -> DataFrame:
     others in seeded hash order. (theme, id, near, rank)
 
     Themes are a query set against blocks of rows, of which the nearest few leave each block. The hash does not depend
-    on the theme, so of each theme the first rows in hash order are enough to sample from.
+    on the theme, so of each theme the first rows in hash order are enough to sample from, and of those a number that
+    only depends on k.
     """
     half = (k + 1) // 2
     c = centroids(rows, theme).select(F.col(theme).alias("id"), F.col("centroid").alias("embedding"))
@@ -122,7 +166,9 @@ def intruders(rows: DataFrame, theme: str, k: int, seed: str) -> DataFrame:
     near = near.withColumn("rank", best(["q"], near_order)).where(F.col("rank") <= half).select(F.col("q").alias("theme"), "id", "rank")
     hashed = rows.select("id", F.col(theme).alias("own"), F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256).alias("h"))
     first = hashed.withColumn("r", best(["own"], [F.asc("h"), F.asc("id")])).where(F.col("r") <= k + half)
-    others = c.select(F.col("id").alias("theme")).join(first, F.col("theme") != F.col("own")).join(near.select("theme", "id"), ["theme", "id"], "left_anti")
+    # no theme has more than k + half of these, so the first 2 (k + half) of all hold enough rows of others for any theme
+    few = F.broadcast(first.orderBy("h", "id").limit(2 * (k + half)))
+    others = c.select(F.col("id").alias("theme")).crossJoin(few).where(F.col("theme") != F.col("own")).join(near.select("theme", "id"), ["theme", "id"], "left_anti")
     rest = others.withColumn("rank", best(["theme"], [F.asc("h"), F.asc("id")]) + half).where(F.col("rank") <= k)
     return near.select("theme", "id", F.lit(True).alias("near"), "rank").union(rest.select("theme", "id", F.lit(False), "rank"))
 

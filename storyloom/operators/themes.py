@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
-from storyloom.operators import similar
+from storyloom.operators import hyperplanes, similar
 from storyloom.operators.scratch import kept
 
 
-def theme_edges(rows: DataFrame, by: str, least: float) -> DataFrame:
-    """H5: pairs (a, b) of rows (id, embedding) of one category with a cosine from `least` on. A category is cut into
-    blocks of bounded size, each of which meets the whole category, so that a large one is spread over tasks."""
+def theme_edges(rows: DataFrame, by: str, least: float, recall: float | None = None) -> DataFrame:
+    """H5: pairs (a, b) of rows (id, embedding) of one category with a cosine from `least` on. With a recall, rows meet
+    through bands of hyperplanes, and each pair is found with that probability. Without, a category is cut into blocks of
+    bounded size, each of which meets the whole category, so that a large one is spread over tasks: exact, all pairs."""
+    if recall is not None:
+        fullest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+        side = lambda to: rows.select(by, F.col("id").alias(to), "embedding")
+        met = hyperplanes.near_pairs(side("l"), side("r"), least=least, recall=recall, by=(by,), population=fullest)
+        return met.where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b")).distinct()
     blocks = similar.block_count(rows.count())
     r = similar.with_norm(rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))

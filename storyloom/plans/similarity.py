@@ -45,9 +45,10 @@ def c15_theme_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c16_cross_category(spark: SparkSession, d: str) -> DataFrame:
+    """Every other label whose centroid is near, all of them in order."""
     c = similar.centroids(vectors(spark, d), "label")
-    o = c.select(F.col("label").alias("other"), F.col("centroid").alias("oc"))
-    return c.crossJoin(F.broadcast(o)).where("label <> other").select("label", "other", F.round(v.cosine(F.col("centroid"), F.col("oc")), 6).alias("sim")).where("sim >= 0")
+    return similar.near_misses(c.select(F.col("label").alias("id"), F.col("centroid").alias("embedding")), 0.0).select(
+        F.col("a").alias("label"), F.col("b").alias("other"), F.round("sim", 6).alias("sim"))
 
 
 def c22_knn(spark: SparkSession, d: str) -> DataFrame:
