@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
 from storyloom.operators import hyperplanes
+from storyloom.operators.scratch import kept
 
 
 def with_norm(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -225,14 +226,67 @@ def blocked_pairs(indexes: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     return met.groupBy("a", "b").agg(*[F.count_if(F.col("kind") == k).alias(f"by_{k}") for k in indexes])
 
 
-def rarity_ranked(rows: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """For each row the earlier rows that share tokens, by the sum of 1 / (1 + weight) over these, best k. Give it
-    one row for each class of copies."""
-    t = rows.join(weights, "token").select("token", "id", (1 / (1 + F.col("weight"))).alias("w"))
-    b = t.select("token", F.col("id").alias("b"))
-    score = t.join(b, "token").where("b < id").groupBy("id", "b").agg(F.round(F.sum("w"), 9).alias("score"), F.count("*").alias("shared"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("shared"), "b")
-    return score.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+#: Holders up to which a token's list is joined as it is.
+LONG_LIST = 50
+#: Tokens with longer lists of which a row's combinations are listed: 2^8 - 1 at most.
+MOST_HOT = 8
+_END = "\x1f"
+
+
+def top_sharing(rows: DataFrame, weights: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """For each row (id, token) the k earlier rows (b < id) that share tokens with the largest sum of
+    1 / (1 + weight), then the most tokens, then the smallest b: (id, b, score, shared, rank). `least`: tokens shared at
+    least. Give it one row for each class of copies.
+
+    Lists of up to LONG_LIST holders are joined as they are. A row that shares only tokens with longer lists, just the
+    set S of them, can be among the best k only if it is one of the k smallest holders of S: each of those shares all of
+    S too, so it ranks before any later one. So of each combination of a row's hot tokens only its k smallest holders
+    are listed, and rows joined grow with the table, not with the square of the hottest token. Exact. Rows with more than
+    MOST_HOT hot tokens have no combinations; they meet all they share a hot token with, on either side.
+    """
+    t = kept(rows.distinct().join(weights, "token").select("id", "token", (1 / (1 + F.col("weight"))).alias("w")))
+    held = kept(t.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    counted = kept(t.join(held, "token"))
+    hot = kept(counted.where(F.col("n") > LONG_LIST).groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens")))
+    rare = counted.where(F.col("n") <= LONG_LIST).select("id", "token")
+    met = [_earlier(rare, rare)]
+    # combinations of hot tokens, each with its k smallest holders
+    made = F.aggregate("tokens", F.array(F.lit("")), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, x, F.lit(_END)))))
+    few = hot.where(F.size("tokens") <= MOST_HOT).select("id", F.explode(F.filter(made, lambda s: F.size(F.split(s, _END)) > least)).alias("token"))
+    few = kept(few)
+    w = Window.partitionBy("token").orderBy("id")
+    met.append(_earlier(few, few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")))
+    wide = kept(hot.where(F.size("tokens") > MOST_HOT).select("id", F.explode("tokens").alias("token")))
+    every = hot.select("id", F.explode("tokens").alias("token"))
+    met += [_earlier(wide, every), _earlier(every, wide)]
+    pairs = kept(met[0].union(met[1]).union(met[2]).union(met[3]).distinct())
+    sets = kept(t.groupBy("id").agg(F.collect_list(F.struct("token", "w")).alias("set")))
+    other = sets.select(F.col("id").alias("b"), F.transform("set", lambda x: x["token"]).alias("other"))
+    both = pairs.join(sets, "id").join(other, "b").select("id", "b", F.filter("set", lambda x: F.array_contains("other", x["token"])).alias("both"))
+    score = F.round(F.aggregate("both", F.lit(0.0), lambda acc, x: acc + x["w"]), 9)
+    scored = both.select("id", "b", score.alias("score"), F.size("both").cast("long").alias("shared")).where(F.col("shared") >= least)
+    best = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("shared"), "b")
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
+def _earlier(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs (id, b) of rows and earlier holders of one of their tokens; lists may be long, so none is broadcast."""
+    return rows.select("id", "token").join(lists.select("token", F.col("id").alias("b")).hint("merge"), "token").where("b < id").select("id", "b").distinct()
+
+
+def sharing_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """C11: pairs (a < b) of rows (id, token) that share `least` tokens or more, with how many. Prefix filter: with tokens
+    from rare to frequent, two such rows share one of the first size - least + 1 of each, so a row's most frequent tokens
+    make no pairs."""
+    t = rows.distinct()
+    ranked = t.join(t.groupBy("token").agg(F.count("*").alias("n")), "token")
+    sets = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    sets = kept(sets.where(F.size("tokens") >= least))
+    prefix = kept(sets.select("id", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - (least - 1))).alias("token")))
+    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b").hint("merge"), "token").where("a < b").select("a", "b").distinct()
+    side = lambda to: sets.select(F.col("id").alias(to), F.col("tokens").alias("t" + to))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
+    return both.where(F.col("shared") >= least)
 
 
 def tf_idf(tokens: DataFrame, n_rows: int, most: int | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def c7_member_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 def _class_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of classes of equal titles that share two words or more."""
-    return similar.shared_tokens(similar.class_tokens(similarity.word_classes(spark, d))).where("shared >= 2")
+    return similar.sharing_pairs(similar.class_tokens(similarity.word_classes(spark, d)), 2)
 
 
 def c10_candidate_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,9 @@ def c10_candidate_merge(spark: SparkSession, d: str) -> DataFrame:
     different titles; the best three of each."""
     first = entries(spark, d).groupBy("title").agg(F.min("id").alias("a"))
     one = entries(spark, d).join(first, "title").where("a < id").select("a", F.col("id").alias("b"), F.lit(0).alias("priority"), F.lit(1).cast("long").alias("shared"))
-    two = _class_pairs(spark, d).select("a", "b", F.lit(1).alias("priority"), "shared")
+    words = similar.class_tokens(similarity.word_classes(spark, d))
+    even = words.select("token").distinct().withColumn("weight", F.lit(0.0))
+    two = similar.top_sharing(words, even, 3, least=2).select(F.col("b").alias("a"), F.col("id").alias("b"), F.lit(1).alias("priority"), "shared")
     best = one.union(two).groupBy("a", "b").agg(F.min("priority").cast("long").alias("priority"), F.max("shared").alias("shared"))
     w = Window.partitionBy("b").orderBy("priority", F.desc("shared"), "a")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")

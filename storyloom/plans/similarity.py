@@ -87,7 +87,7 @@ def c8_token_classes(spark: SparkSession, d: str) -> DataFrame:
 def c9_rarity_candidates(spark: SparkSession, d: str) -> DataFrame:
     t = similar.class_tokens(word_classes(spark, d))
     weights = t.groupBy("token").agg(F.count("*").cast("double").alias("weight"))
-    return similar.rarity_ranked(t, weights, 3).select("id", "b", F.round("score", 6).alias("score"), "shared", "rank")
+    return similar.top_sharing(t, weights, 3).select("id", "b", F.round("score", 6).alias("score"), "shared", "rank")
 
 
 def d19_tf_idf(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import similar, themes
@@ -116,3 +118,38 @@ def test_theme_edges_over_blocks(spark, monkeypatch):
     top = similar.nearest_groups(df, groups, "g", least=-1.0, k=3).collect()  # more groups than a block holds
     monkeypatch.setattr(similar, "BLOCK_ROWS", 2000)
     assert sorted(map(tuple, top)) == sorted(map(tuple, similar.nearest_groups(df, groups, "g", least=-1.0, k=3).collect()))
+
+
+@pytest.mark.parametrize(("seed", "least"), [(1, 1), (2, 2)])
+def test_top_sharing_is_brute_force(spark, monkeypatch, seed, least):
+    """Tokens that nearly every row holds, rows of only such tokens, rows with more of them than combinations are listed."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(similar, "LONG_LIST", 6)
+    monkeypatch.setattr(similar, "MOST_HOT", 3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    frequency = [1 / (1 + i) for i in range(40)]
+    sets = {i: set(rng.choices(vocabulary, frequency, k=rng.randint(1, 6))) for i in range(150)}
+    rows = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, token string")
+    weight = {t: float(sum(t in s for s in sets.values())) for t in vocabulary}
+    weights = spark.createDataFrame(list(weight.items()), "token string, weight double")
+    want = []
+    for i, s in sets.items():
+        scored = [(-round(sum(1 / (1 + weight[t]) for t in s & sets[b]), 9), -len(s & sets[b]), b) for b in sets if b < i and len(s & sets[b]) >= least]
+        want += [(i, b, pytest.approx(-x), -n, rank) for rank, (x, n, b) in enumerate(sorted(scored)[:3], 1)]
+    got = sorted(tuple(r) for r in similar.top_sharing(rows, weights, 3, least).select("id", "b", "score", "shared", "rank").collect())
+    assert got == sorted(want, key=lambda r: (r[0], r[1]))
+    pairs = {tuple(r) for r in similar.sharing_pairs(rows, least).select("a", "b", "shared").collect()}
+    assert pairs == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+
+
+def test_rows_joined_by_a_hot_token_grow_with_the_table(spark, monkeypatch):
+    """A token that all rows hold: candidates are 3 for a row, not all before it."""
+    written = []
+    keep = similar.kept
+    monkeypatch.setattr(similar, "kept", lambda df: written.append(keep(df)) or written[-1])
+    rows = spark.range(2000).select("id", F.explode(F.array(F.lit("all"), F.concat(F.lit("own"), "id"))).alias("token"))
+    weights = rows.groupBy("token").agg(F.count("*").cast("double").alias("weight"))
+    got = similar.top_sharing(rows, weights, 3)
+    assert got.where("id >= 3").groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("b")).where("b <> array(0, 1, 2)").isEmpty()
+    pairs = [df for df in written if df.columns == ["id", "b"]]
+    assert len(pairs) == 1 and pairs[0].count() <= 3 * 2000
