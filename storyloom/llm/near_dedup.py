@@ -262,14 +262,22 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
     """Long lists (v, node, n, weight) taken apart: links with those found, and pairs (a, b) of what is still apart; every
     link between different components is among them.
 
-    All members of a list are compared with one of them, its hub: let D(x) be the shingles that are in just one of x and
-    the hub. Sets x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, so if they link, D(x) and D(y) share at
+    All members of a list are compared with one of them, its hub. Let s(x) be how many shingles x shares with the hub, own(x)
+    the others of x. Sets x and y that link share at least ceil(percent of the larger) shingles, and min(s(x), s(y)) of them
+    at most are the hub's. So if s(x) is less than percent of x, a foreign member, say one that holds the hub's passage and
+    little else of it, own(x) and own(y) share t = ceil(percent of the larger) - min(s(x), s(y)) or more, which is over 0:
+    with own shingles ordered from rare to common they share one among the first |own| - t + 1 of each. What a foreign
+    member lacks of the hub needs no row.
+
+    Two that aren't foreign meet by what differs: let D(x) be the shingles that are in just one of x and the hub. x and y
+    differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, so if they link, D(x) and D(y) share at
     least t = (|D(x)| + |D(y)| - most) / 2, where `most` is what linked sets of their sizes differ in. With both linked to
     the hub they are in its component. Else one, x, is not, and t is over 1 and over about half of |D(y)|; of |D(x)| it
     leaves out at most `most`, and half of it too if y isn't linked to the hub either. With differences ordered from
-    rare to common they share one among the first |D| - t + 1 of each. So (hub, difference) is the key under which what is
-    apart meets; edits of one's own are rare and come first, so few members meet anyone. The rows made are those of the
-    differences from the hub.
+    rare to common they share one among the first |D| - t + 1 of each.
+
+    So (hub, shingle) is the key under which what is apart meets; edits of one's own are rare and come first, so few
+    members meet anyone.
     """
     percent = at.percent
     hubs = staged(
@@ -292,35 +300,45 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
     apart = staged(
         met.join(_side(sets, "hub"), "hub")
         .join(sets.withColumnRenamed("set", "set_node"), "node")
-        .select("node", "hub", "n", "m", F.concat(F.array_except("set_node", "set_hub"), F.array_except("set_hub", "set_node")).alias("diff"))
-        .withColumn("d", F.size("diff"))
+        .select("node", "hub", "n", "m", F.array_except("set_node", "set_hub").alias("own"), F.array_except("set_hub", "set_node").alias("lack"))
+        .withColumn("d", F.size("own") + F.size("lack"))
         .withColumn("near", d <= at.apart(n + F.col("m")))
+        .withColumn("s", n - F.size("own"))
+        .withColumn("foreign", F.col("s") * 100 < n * percent)
     )
     links = staged(links.union(_pair("node", "hub", apart.where("near"))).distinct())
     labels = connected_components(links)
     home = labels.select(F.col("node").alias("hub"), F.col("component").alias("home"))
     placed = _placed(apart, labels).join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
-    # The last place that any partner can need: one that isn't linked to the hub, or, of those themselves, one that is.
+    placed = staged(placed.join(_sized(placed, ["hub"]).select("hub"), "hub"))
+    about = ["hub", "node", "n", "component", "home"]
+    # by own shingles: the least that any partner of a foreign member can share with it
+    least = F.when(F.col("foreign"), F.ceil(n * percent / 100) - F.col("s")).otherwise(1)
+    own = placed.withColumn("reach", (F.size("own") - least).cast("int"))
+    keyed = _rare_first(own, "own", [*about, "s", "foreign", "reach"])
+    a, b = _sided(keyed.where("component <> home"), "_a"), _sided(keyed, "_b")
+    t = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - F.least("s_a", "s_b")
+    can_link = (
+        (F.col("foreign_a") | F.col("foreign_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("home_b")) | (F.col("node_a") < F.col("node_b")))
+        & (F.col("place_a") <= F.col("n_a") - F.col("s_a") - t)
+        & (F.col("place_b") <= F.col("n_b") - F.col("s_b") - t)
+        & at.fits(F.col("n_a"), F.col("n_b"))
+    )
+    by_own = _pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(can_link))
+    # by what differs. The last place that any partner can need: one that isn't linked to the hub, or, of those
+    # themselves, one that is.
     all_but_most = d - F.greatest(F.lit(1), d - at.apart(n + F.floor(n * 100 / percent)))
     half = F.least(all_but_most, d - F.floor(d * percent / (100 + percent)) - 1)
-    about = ["hub", "node", "n", "component", "home", "d", "near", "half", "reach"]
-    held = staged(
-        placed.join(_sized(placed, ["hub"]).select("hub"), "hub")
+    close = (
+        placed.where(~F.col("foreign"))
+        .withColumn("diff", F.concat("own", "lack"))
         .withColumn("half", half.cast("int"))
         .withColumn("reach", F.when(F.col("near"), F.col("half")).otherwise(all_but_most.cast("int")))
-        .select(*about, F.explode("diff").alias("w"))
-    )
-    common = staged(held.groupBy("hub", "w").agg(F.count("*").alias("c")).where("c > 1"))
-    keyed = staged(
-        held.join(common, ["hub", "w"])
-        .groupBy(*about)
-        .agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("common"))
-        .withColumn("alone", F.col("d") - F.size("common"))  # differences of its own come first and need no list
-        .select(*about, "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("reach") + 1 - F.col("alone")))).alias("i", "x"))
-        .select(*about, F.col("x.w").alias("w"), (F.col("alone") + F.col("i")).alias("place"))
     )
-    sided = lambda df, to: df.select("hub", "w", *[F.col(c).alias(c + to) for c in ("node", "n", "component", "home", "d", "near", "half", "place")])
-    a, b = sided(keyed.where("component <> home"), "_a"), sided(keyed.where("place <= half"), "_b")
+    keyed = _rare_first(close, "diff", [*about, "d", "near", "half", "reach"])
+    a, b = _sided(keyed.where("component <> home"), "_a"), _sided(keyed.where("place <= half"), "_b")
     t = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - at.apart(F.col("n_a") + F.col("n_b"))) / 2))
     can_link = (
         (F.col("component_a") != F.col("component_b"))
@@ -330,7 +348,26 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
         & (F.col("place_b") <= F.col("d_b") - t)
         & at.fits(F.col("n_a"), F.col("n_b"))
     )
-    return links, _pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(can_link))
+    return links, by_own.union(_pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(can_link)))
+
+
+def _rare_first(members: DataFrame, values: str, about: list[str]) -> DataFrame:
+    """(about, w, place) of each member's values w that another member of its hub holds too, up to place `reach`: places
+    count from 0 in the order from rare to common, in which those that no other holds come first and need no row."""
+    held = staged(members.select(*about, F.size(values).alias("size"), F.explode(values).alias("w")))
+    common = staged(held.groupBy("hub", "w").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = (
+        held.join(common, ["hub", "w"])
+        .groupBy(*about, "size")
+        .agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("common"))
+        .withColumn("alone", F.col("size") - F.size("common"))
+        .select(*about, "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("reach") + 1 - F.col("alone")))).alias("i", "x"))
+    )
+    return staged(ranked.select(*about, F.col("x.w").alias("w"), (F.col("alone") + F.col("i")).alias("place")))
+
+
+def _sided(rows: DataFrame, to: str) -> DataFrame:
+    return rows.select("hub", "w", *[F.col(c).alias(c + to) for c in rows.columns if c not in ("hub", "w")])
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

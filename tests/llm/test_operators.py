@@ -129,6 +129,35 @@ def test_near_dedup_of_a_large_group_is_brute_force(spark, n=1100):
     assert 10 < len(set(out.values())) < 0.7 * n
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_dedup_of_a_shared_passage_is_brute_force(spark, seed):
+    """Documents that share a passage and little else, some of them near copies of one another in what is their own, some
+    close to the passage itself, of sizes on either side of what the passage alone would link."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        own = [rng.choice(words) for _ in range(rng.choice([3, 9, 14, 18, 25, 60, 150]))]
+        for t in edited_copies(rng, own + passage if rng.random() < 0.5 else passage + own, words, rng.choice([1, 1, 3, 6]), 4):
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4, long_list=5, hub_rounds=1).collect()}
+    assert out == {i: c for i, (_, c) in components(dict(enumerate(texts)), 4).items()}
+    assert 20 < len(set(out.values())) < 0.8 * len(texts)
+
+
+def test_near_dedup_of_drifting_versions(spark, n=900):
+    """Each text is a version of the one before: one chain, in shuffled order."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    stream = [rng.choice(words) for _ in range(60 + 5 * n)]
+    ids = list(range(n))
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, " ".join(stream[5 * k : 5 * k + 60])) for k, i in enumerate(ids)], "doc_id long, text string")
+    assert {r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()} == {0}
+
+
 def test_near_dedup_exact_setting(spark, documents):
     some = documents.where("length(text) < 3000")
     exact = near_dedup.near_duplicates(some, width=4, k=None).collect()
