@@ -87,7 +87,7 @@ def sweep_outcome(clusters: DataFrame, themes: DataFrame, matches: DataFrame) ->
     lost = made.agg(F.count_if(F.col("action") == "failed").alias("failures"))
     spared = F.when(F.col("manual"), "kept").when(F.col("failures") > 0, "protected").otherwise("demoted")
     gone = themes.join(m.select("theme"), "theme", "left_anti").crossJoin(F.broadcast(lost))  # one row
-    return made.union(gone.select(F.lit(None).cast("long").alias("cluster"), "theme", spared.alias("action")))
+    return made.union(gone.select(F.lit(None).cast(clusters.schema["cluster"].dataType).alias("cluster"), "theme", spared.alias("action")))
 
 
 def assignments(members: DataFrame, outcome: DataFrame) -> DataFrame:

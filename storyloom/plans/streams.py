@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators import themes
+from storyloom.operators.components import connected_components
 from storyloom.operators.scratch import new_folder
 from storyloom.plans.event_time import SQL as BATCH
 from storyloom.plans.event_time import WEEK_S
@@ -25,7 +27,8 @@ def j2_stream_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j3_stream_ema(spark: SparkSession, d: str) -> DataFrame:
-    return events.run_available(events.running_ema(_stream(spark, d), "token", WEEK_S)).select("id", F.round("ema", 6).alias("ema"))
+    s = events.ended(_stream(spark, d), "2100-01-01")
+    return events.run_available(events.running_ema(s, "token", WEEK_S)).select("id", F.round("ema", 6).alias("ema"))
 
 
 def j4_stream_episodes(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +58,24 @@ def j6_stream_sweeps(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_seconds("sweep").alias("sweep_s"), "publisher", "n")
 
 
-QUERIES = {f.__name__: f for f in (j2_stream_duplicates, j3_stream_ema, j4_stream_episodes, j5_stream_health, j8_stream_idempotent, j9_stream_ingest, j6_stream_sweeps)}
+def _gated(rows: DataFrame) -> DataFrame:
+    """H5 on the rows of a sweep; the threshold fits random vectors."""
+    nodes = connected_components(themes.theme_edges(rows, "label", 0.2)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    members = nodes.join(rows, "id")
+    good = themes.gated_themes(members, least_members=4, least_days=2, least_cohesion=0.1)
+    return nodes.join(good.select("cluster"), "cluster", "left_semi")
+
+
+def j6_theme_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """Themes of vectors, swept every four days of event time over the last eight."""
+    path = f"{d}/embeddings.parquet"
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 37 * 60)
+    v = s.select(F.col("vec_id").alias("id"), "embedding", "label", ts.alias("ts"), ts.alias("published_at"))
+    return events.theme_sweeps(v, "4 days", new_folder(spark, "store"), _gated)
+
+
+QUERIES = {f.__name__: f for f in (j2_stream_duplicates, j3_stream_ema, j4_stream_episodes, j5_stream_health, j8_stream_idempotent, j9_stream_ingest, j6_stream_sweeps, j6_theme_sweeps)}
 SQL = {
     "j2_stream_duplicates": f"""WITH {MENTIONS} SELECT id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 72 HOUR THEN lag(id) OVER w END AS duplicate_of
   FROM mentions WINDOW w AS (PARTITION BY token, publisher ORDER BY ts, id)""",

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from storyloom.operators.scratch import new_folder
+from storyloom.operators import similar, themes
+from storyloom.operators.scratch import kept, new_folder
 
 
 def duplicate_flags(stream: DataFrame, key: str, hours: int) -> DataFrame:
@@ -39,27 +41,61 @@ def duplicate_flags(stream: DataFrame, key: str, hours: int) -> DataFrame:
     )
 
 
-def running_ema(stream: DataFrame, key: str, half_life_s: float) -> DataFrame:
-    """The decayed count of a key as of each of its rows (key, id, ts). State per key: last time and count."""
+def running_ema(stream: DataFrame, key: str, half_life_s: float, *, late: str = "1 hour", forget: float = 40) -> DataFrame:
+    """The decayed count of a key as of each of its rows (key, id, ts), its batch twin's values.
 
-    def decay(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["us", "id"])
-        last_us, ema = state.get if state.exists else (0, 0.0)
-        out = []
-        for us in rows["us"].tolist():
-            ema = ema * 0.5 ** (max(us - last_us, 0) / 1e6 / half_life_s) + 1 if ema else 1.0
-            last_us = max(us, last_us)
+    Rows wait in their key's state until the watermark has passed them, and are counted in order of time and id, so that
+    rows out of order within `late`, also over batches, decay from the right time; what is older than a row that has been
+    counted is dropped. State
+    per key: last time and count, and the rows that wait. A timer goes off when the first of these is due; a key without
+    any is dropped `forget` half-lives after its last row. A row without a key or id only moves the watermark.
+    """
+    keep_us = int(forget * half_life_s * 1e6)
+
+    def decay(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_us, ema, *held = state.get if state.exists else (None, 0.0, [], [])
+        waiting = list(zip(*held, strict=True))
+        if not state.hasTimedOut and name[0] is not None:
+            for part in parts:
+                rows = part[part["id"].notna()]
+                waiting += zip(rows["us"].astype("int64").tolist(), rows["id"].astype("int64").tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted(x for x in waiting if last_us is None or x[0] >= last_us)
+        ids, out = [], []
+        while waiting and waiting[0][0] <= mark:
+            us, row_id = waiting.pop(0)
+            ema = 1.0 if last_us is None else ema * 0.5 ** ((us - last_us) / 1e6 / half_life_s) + 1
+            last_us = us
+            ids.append(row_id)
             out.append(ema)
-        state.update((last_us, ema))
-        yield pd.DataFrame({"id": rows["id"], "ema": out})
+        due = waiting[0][0] if waiting else None if last_us is None else last_us + keep_us
+        if due is None or (not waiting and due <= mark):
+            state.remove()
+        else:
+            state.update((last_us, ema, [u for u, _ in waiting], [i for _, i in waiting]))
+            state.setTimeoutTimestamp(max(due, mark) // 1000 + 1)
+        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "ema": pd.Series(out, dtype="float64")})
 
     return (
-        stream.withColumn("us", F.unix_micros("ts"))
+        stream.withWatermark("ts", late)
+        .withColumn("us", F.unix_micros("ts"))
         .groupBy(key)
-        .applyInPandasWithState(decay, "id long, ema double", "us long, ema double", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(
+            decay, "id long, ema double", "us long, ema double, waiting array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 
+def ended(stream: DataFrame, at: str) -> DataFrame:
+    """A stream whose source is read in one batch, with a last row of nulls at a time after all others: it moves the
+    watermark past them, so that what waits for it comes out."""
+    spark = stream.sparkSession
+    path = new_folder(spark, "clock")
+    spark.range(1).select(F.lit(at).cast("timestamp").alias("ts")).write.parquet(path)
+    clock = spark.readStream.schema("ts timestamp").parquet(path)
+    return stream.union(clock.select(*[F.col("ts") if c.name == "ts" else F.lit(None).cast(c.dataType).alias(c.name) for c in stream.schema]))
+
+
 def episodes(stream: DataFrame, key: str, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions of a key; a gap equal to the limit stays inside."""
     return stream.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(
@@ -111,22 +147,73 @@ def sweeps(stream: DataFrame, every: str, sweep, store: str) -> DataFrame:
     """sweep(rows) of each event-time window of the cadence, with the window's start as column sweep. A window that
     arrives over several batches is swept again with all its rows; a replayed batch changes nothing.
 
-    Rows are kept by window and batch. A batch overwrites its own folder, and the windows it touches are swept into a
-    folder of that batch; of each window the result of its last batch counts.
+    Rows are kept by batch and window. A batch overwrites its own folder, and the windows it touches are swept into a
+    folder of that batch, from their own rows alone; of each window the result of its last batch counts.
     """
-    spark = stream.sparkSession
-    windowed = stream.withColumn("sweep", F.window("ts", every)["start"])
-    schema = windowed.schema
     done = f"{store}/sweeps"
 
-    def add(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
-        seen = session.read.schema(schema).option("basePath", f"{store}/rows").parquet(f"{store}/rows").where(F.col("batch") <= number).drop("batch")
-        touched = session.read.schema(schema).parquet(f"{store}/rows/batch={number}").select("sweep").distinct()
-        sweep(seen.join(touched, "sweep", "left_semi")).write.mode("overwrite").parquet(f"{done}/batch={number}")
+    def add(rows: DataFrame, number: int, touched: list[int]) -> None:
+        sweep(rows.where(F.col("sweep_s").isin(touched)).drop("sweep_s")).write.mode("overwrite").parquet(f"{done}/batch={number}")
 
-    windowed.writeStream.option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
-    results = spark.read.parquet(done)
+    _by_window(stream, every, store, add)
+    results = stream.sparkSession.read.parquet(done)
     last = results.groupBy("sweep").agg(F.max("batch").alias("batch"))
     return results.join(last, ["sweep", "batch"], "left_semi").drop("batch")
+
+
+def _by_window(stream: DataFrame, every: str, store: str, add) -> None:
+    """Runs add(rows, batch number, starts of the windows that the batch touches) for each batch: rows so far, with their
+    window's start as sweep and, a partition column, in seconds as sweep_s."""
+    windowed = stream.withColumn("sweep", F.window("ts", every)["start"]).withColumn("sweep_s", F.unix_seconds("sweep"))
+    schema = windowed.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        at = f"{store}/rows/batch={number}"
+        batch.write.mode("overwrite").partitionBy("sweep_s").parquet(at)
+        known = session.read.schema(schema).option("basePath", f"{store}/rows").parquet(f"{store}/rows").where(F.col("batch") <= number).drop("batch")
+        touched = session.read.schema(schema).parquet(at).select("sweep_s").distinct()
+        add(known, number, sorted(r["sweep_s"] for r in touched.collect()))  # one row for each window of a batch
+
+    windowed.writeStream.option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def theme_sweeps(stream: DataFrame, every: str, store: str, cluster, *, span: int = 2, least: float = 0.3) -> DataFrame:
+    """Themes that live on from sweep to sweep: (sweep, theme, id) of each window of the cadence, the members of its
+    themes after the sweep.
+
+    A sweep clusters the rows of its window and of the span - 1 before it: cluster(rows) gives (id, cluster) of those that
+    pass (H4 or H5). Clusters are matched one to one with the themes of the window before by the Jaccard similarity of
+    their members, from `least` on (H6). A matched cluster keeps its theme's id, others make a theme of their own, named
+    by the window and their smallest member, and themes without a cluster end (H7). A late batch sweeps the windows that it
+    touches again, and those after them, whose themes rest on theirs; other windows' rows are not read.
+    """
+    spark = stream.sparkSession
+    width = int(spark.range(1).select(F.unix_seconds(F.lit("1970-01-01").cast("timestamp") + F.expr(f"interval {every}"))).first()[0])
+    at = lambda s: f"{store}/themes/sweep_s={s}"
+    schema = StructType([StructField("theme", StringType()), stream.schema["id"]])
+
+    def add(rows: DataFrame, number: int, touched: list[int]) -> None:
+        session = rows.sparkSession
+        ends = {s + k * width for s in touched for k in range(span)}
+        known = {r["sweep_s"] for r in rows.select("sweep_s").distinct().collect()}  # partition values
+        for s in sorted(x for x in known if x >= min(ends)):
+            seen = rows.where(F.col("sweep_s").isin([s - k * width for k in range(span)])).drop("sweep_s", "sweep")
+            before = max((x for x in known if x < s), default=None)
+            themes_before = session.read.schema(schema).parquet(at(before)) if before is not None else session.createDataFrame([], schema)
+            _swept(kept(cluster(seen)), themes_before, str(s), least).write.mode("overwrite").parquet(at(s))
+
+    _by_window(stream, every, store, add)
+    out = spark.read.schema(StructType([*schema.fields, StructField("sweep_s", LongType())])).parquet(f"{store}/themes")
+    return out.select("sweep_s", "theme", "id")
+
+
+def _swept(clusters: DataFrame, before: DataFrame, sweep: str, least: float) -> DataFrame:
+    """(theme, id) after a sweep, of clusters (id, cluster) and the themes (theme, id) before it."""
+    named = kept(clusters.groupBy("cluster").agg(F.concat_ws(":", F.lit(sweep), F.min("id").cast("string")).alias("name")))
+    c = clusters.join(named, "cluster").select("name", "id")
+    overlaps = similar.set_overlap(c.select(F.col("name").alias("set"), F.col("id").alias("member")), before.select(F.col("theme").alias("set"), F.col("id").alias("member")), least)
+    matches = themes.greedy_matches(kept(overlaps.select("l", "r", F.round("jaccard", 9).alias("score"))))
+    outcome = themes.sweep_outcome(
+        named.select(F.col("name").alias("cluster"), F.lit(False).alias("failed")), before.select("theme").distinct().withColumn("manual", F.lit(False)), matches)
+    return themes.assignments(c.withColumnRenamed("name", "cluster"), outcome).select("theme", "id")

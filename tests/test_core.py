@@ -198,10 +198,44 @@ def test_streams_keep_state_over_batches(spark, tmp_path):
         before = [(u, j) for j, m, u in rows if m == k and (u, j) < (t, i) and t - u < timedelta(hours=72)]
         want[i] = max(before)[1] if before else None
     assert got == want
+
+
+def test_stream_ema_counts_late_rows_in_order_and_forgets(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    end = [(None, None, at(5000))]
+    batches = [[(1, "a", at(0)), (2, "b", at(1)), (3, "a", at(9))], [(4, "a", at(5)), (5, "b", at(12)), (6, "a", at(20))], [(7, "a", at(14)), (8, "c", at(30)), (9, "a", at(5))], [(10, "a", at(1)), (11, "a", at(40))], end]
     s = _files(spark, str(tmp_path / "ema"), batches)
-    ema = {r["id"]: r["ema"] for r in events.run_available(events.running_ema(s, "token", 86400.0)).collect()}
+    done = events.running_ema(s, "token", 86400.0, late="10 hours", forget=2)
+    out = str(tmp_path / "out")
+    query = done.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    ema = {r["id"]: r["ema"] for r in spark.read.schema(done.schema).parquet(out).collect()}
+    rows = [r for b in batches[:4] for r in b if r[0] != 10]  # ten is older than rows that were counted before it came
+    assert set(ema) == {r[0] for r in rows}
     for i, k, t in rows:
         assert ema[i] == pytest.approx(sum(0.5 ** ((t - u).total_seconds() / 86400) for j, m, u in rows if m == k and (u, j) <= (t, i)))
+    assert max(states) == 3 and states[-1] == 0
+
+
+def test_themes_live_on_over_sweeps(spark, tmp_path):
+    """Clusters are given by a column: the same members keep their theme's id, a late batch sweeps its window and those
+    after it again, a theme whose members are gone ends."""
+    at = lambda d: datetime(2024, 1, 2) + timedelta(days=d)
+    batches = [
+        [(1, "x", at(0)), (2, "x", at(0)), (3, "x", at(1)), (4, "y", at(1)), (5, "y", at(1))],
+        [(6, "x", at(2)), (7, "x", at(3)), (8, "z", at(3))],
+        [(9, "z", at(3)), (10, "q", at(6))],
+    ]
+    s = _files(spark, str(tmp_path / "in"), batches)
+    cluster = lambda rows: rows.select("id", F.col("token").alias("cluster"))
+    out = events.theme_sweeps(s, "2 days", (tmp_path / "store").as_uri(), cluster, span=2, least=0.3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(((r["sweep_s"] - 1704153600) // 86400, r["theme"].split(":")[1]), set()).add(r["id"])
+    assert got == {
+        (0, "1"): {1, 2, 3}, (0, "4"): {4, 5}, (2, "1"): {1, 2, 3, 6, 7}, (2, "4"): {4, 5}, (2, "8"): {8, 9}, (6, "10"): {10},
+    }
 
 
 def test_a_sweep_sees_its_whole_window(spark, tmp_path):

@@ -22,6 +22,7 @@ BRUTE_FORCE = {
     "h6_reconciliation": "test_clusters.test_matches_are_greedy",
     "h7_sweep_outcome": "test_clusters.test_sweep_outcome_of_all_kinds",
     "h7_sweep_assignments": "test_clusters.test_sweep_outcome_of_all_kinds",
+    "j6_theme_sweeps": "test_core.test_themes_live_on_over_sweeps",
     "h12_preference_weights": "test_core.test_preference_weights_are_the_non_negative_optimum",
 }
 
