@@ -81,6 +81,15 @@ def _met(queries: DataFrame, rows: DataFrame, carry: list[str]) -> DataFrame:
     return spread.join(r, "block").select("q", "block", *carry, sim.alias("sim"))
 
 
+def group_sims(rows: DataFrame, groups: DataFrame, least: float, recall: float | None = None) -> DataFrame:
+    """(id, group, sim) of rows (id, embedding) and groups (id, embedding: the centroid) with a cosine from `least` on:
+    block by block, or through bands of hyperplanes where a recall is given. Other pairs never leave their task."""
+    if recall is not None:
+        met = hyperplanes.near_pairs(rows.select(F.col("id").alias("l"), "embedding"), groups.select(F.col("id").alias("r"), "embedding"), least=least, recall=recall)
+        return met.groupBy(F.col("l").alias("id"), F.col("r").alias("group")).agg(F.max("sim").alias("sim"))
+    return _met(rows, groups, ["id"]).where(F.col("sim") >= least).select(F.col("q").alias("id"), F.col("id").alias("group"), "sim")
+
+
 def nearest_groups(rows: DataFrame, groups: DataFrame, group: str, *, least: float, k: int, recall: float | None = None) -> DataFrame:
     """(id, group, sim, rank) of the k groups (group, centroid) whose centroids are nearest to each row, from a
     least cosine on. Up to BLOCK_ROWS groups, which are counted, are broadcast. More are met through bands of hyperplanes

@@ -8,11 +8,11 @@ import math
 import duckdb
 import pytest
 
-from storyloom.plans import clusters, event_time, outside, ranking, similarity, states, streams, texts, views
+from storyloom.plans import clusters, event_time, linking, outside, ranking, similarity, states, streams, texts, views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (ranking, event_time, texts, similarity, states, views, outside, clusters, streams)
+PLANS = (ranking, event_time, texts, similarity, states, views, outside, clusters, linking, streams)
 CASES = [(name, plan) for plan in PLANS for name in plan.QUERIES]
 
 #: Queries that SQL can't express, and the test that holds their operator against brute force.
