@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions import text, urls
+from storyloom.functions import article, text, urls
 
 #: Months by their first three letters, for dates in words.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -52,13 +52,6 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
 
 
-def from_json_ld(blocks: Column, *fields: str) -> Column:
-    """The first of some fields in the first block that has one, at its top, in a list, or in its graph."""
-    places = [p + f for f in fields for p in ("$.", "$[0].", "$['@graph'][0].", "$['@graph'][1].")]
-    found = F.transform(blocks, lambda b: F.coalesce(*[F.get_json_object(b, p) for p in places]))
-    return _known(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
-
-
 def day(value: Column) -> Column:
     """A date from an ISO time or from words as in March 5, 2024; null where there is none."""
     iso = F.try_to_date(F.regexp_extract(value, r"^\s*(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
@@ -68,27 +61,50 @@ def day(value: Column) -> Column:
     return F.coalesce(iso, words)
 
 
-def article_body(html: Column) -> Column:
-    """Text of the first of these that there is: article, main, body."""
-    return F.coalesce(inside(html, "article"), inside(html, "main"), inside(html, "body"))
+#: Date fields of meta elements, in this order.
+DATE_METAS = ("article:published_time", "cdc:first_published", "date", "dcterms.created", "dcterms.date", "dc.date.created", "dc.date", "datepublished")
+#: Forms of marked dates in a page, in this order.
+MARKED_DATES = (
+    r"""(?i)field--name-field-news-publication-date[\s\S]{0,500}?<time\b[^>]*datetime=["']([^"']+)""",
+    r"""(?i)field--name-field-publication-date-for-dis[\s\S]{0,500}?field__item["'][^>]*>([^<]+)""",
+    r"""(?i)<strong\b[^>]*>\s*News Release Date:\s*</strong>\s*([^<\r\n]+)""",
+    r"""(?i)article-meta__publish-date["'][^>]*>\s*([^<\r\n]+)""",
+    r"""(?i)field--name-dynamic-twig-fieldnode-press-release-lead-in[\s\S]{0,500}?<p\b[^>]*>[^<]*?,\s*([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s+20\d{2})""",
+    r"""(?i)field--name-field-press-body[\s\S]{0,500}?<p\b[^>]*>\s*([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s+20\d{2})\s*</p>""",
+    r"""(?i)class=["'][^"']*meta[^"']*["'][^>]*>\s*([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s+20\d{2})\s*[|<]""",
+    r"""(?i)class=["'][^"']*press-release[^"']*["'][\s\S]{0,1000}?<p\b[^>]*>\s*<(?:b|strong)\b[^>]*>\s*([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s+20\d{2})""",
+    r"""(?i)itemprop=["']text["'][\s\S]{0,1000}?(?:Washington,?\s*D\.?C\.?\s*)?([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s+20\d{2})\s*(?:&nbsp;\s*)*(?:&mdash;|—|-)""",
+    r"""(?i)\bWASHINGTON\s*\(\s*([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s+20\d{2})\s*\)""",
+)
+#: Where a marked title is; a host whose titles' dates come before all others.
+MARKED_TITLE = r"(?i)field--name-field-press-body[\s\S]{0,1000}?<h[2-5]\b[^>]*>([\s\S]*?)</h[2-5]>"
+TITLE_DATE_HOST = "inciweb.wildfire.gov"
 
 
 def article_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Pages with title, day, canonical (address) and body.
+    """Pages with title, day, canonical (address), summary and body.
 
-    Title: JSON-LD, then meta fields, then the heading, then the title element. Day: JSON-LD, meta fields, the first time
-    element, marked text, the address, the title. Each part of a page is read once, into a column of its own.
+    Title: the headline of the first article in JSON-LD at any depth, then meta fields, a marked heading, the first
+    heading, the title element. Day: that article's, any of JSON-LD, meta fields, marked text, the address, the title, and
+    last the first time element. Canonical: the link's address as it stands in the page, else the page's. Summary: JSON-LD,
+    then meta fields. Body: that article's text if it has enough, else that of the page (see functions/article.py). Each
+    part of a page is read once, into a column of its own; parts that are missing are null.
     """
     h = F.col(html)
-    time = attribute(first_tag(h, "time", lambda t: attribute(t, "datetime").isNotNull()), "datetime")
     read = pages.select(
-        "*", metas(h).alias("_metas"), json_ld(h).alias("_blocks"), time.alias("_time"), inside(h, "h1").alias("_h1"), inside(h, "title").alias("_title"),
-        F.regexp_extract(h, r"(?is)<strong\b[^>]*>\s*News Release Date:\s*</strong>\s*([^<\r\n]+)", 1).alias("_marked"),
-        link(h, "canonical").alias("canonical"), article_body(h).alias("body"))
+        "*", metas(h).alias("_metas"), article.json_fields(json_ld(h)).alias("_ld"), attribute(F.get(tags(h, "time"), F.lit(0)), "datetime").alias("_time"),
+        F.regexp_extract(h, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1).alias("_h1"), F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("_title"),
+        F.regexp_extract(h, MARKED_TITLE, 1).alias("_heading"), article.body(h).alias("_body"), link(h, "canonical").alias("_link"))
     pick = lambda k: F.get(F.filter("_metas", lambda m: m["key"] == k), F.lit(0))["content"]
-    titles = [_known(text.strip_markup(pick(k))) for k in ("og:title", "twitter:title", "dc.title")]
-    named = read.withColumn("title", F.coalesce(from_json_ld(F.col("_blocks"), "headline", "name"), *titles, "_h1", "_title"))
-    dates = [pick(k) for k in ("article:published_time", "datepublished", "dc.date.issued", "dcterms.created", "dc.date", "date", "pubdate")]
-    said = F.filter(F.transform(F.array(from_json_ld(F.col("_blocks"), "datePublished", "dateCreated"), *dates, F.col("_time"), F.col("_marked")), day), lambda x: x.isNotNull())
-    dated = named.withColumn("day", F.coalesce(F.get(said, F.lit(0)), urls.date_in_path(F.col(url)), urls.date_in_title(F.col("title"))))
-    return dated.select(*pages.columns, "title", "day", "canonical", "body")
+    first = lambda values: F.coalesce(*[article.cleaned(v) for v in values])
+    named = read.withColumn("title", first([F.col("_ld.headline"), pick("og:title"), pick("twitter:title"), F.col("_heading"), F.col("_h1"), F.col("_title")]))
+    said = F.array_compact(F.array(*[day(v) for v in (F.col("_ld.published"), F.col("_ld.any_date"), *map(pick, DATE_METAS))]))
+    marked = F.array_compact(F.array(*[day(F.regexp_extract(h, form, 1)) for form in MARKED_DATES]))
+    in_title = urls.date_in_title(F.col("title"))
+    dated = F.coalesce(
+        F.when(urls.host(F.col(url)) == TITLE_DATE_HOST, in_title), F.get(said, F.lit(0)), F.get(marked, F.lit(0)), urls.date_in_path(F.col(url)), in_title, day(F.col("_time")))
+    own = article.cleaned(F.col("_ld.body"))
+    return named.select(
+        *pages.columns, "title", dated.alias("day"), article.resolved(F.col("_link"), F.col(url)).alias("canonical"),
+        first([F.col("_ld.description"), pick("description"), pick("og:description")]).alias("summary"),
+        F.when(F.length(own) >= article.ENOUGH, own).otherwise(F.coalesce("_body", own)).alias("body"))

@@ -75,7 +75,7 @@ def b12_article_metadata(spark: SparkSession, d: str) -> DataFrame:
     by page_id, as the given pages have none."""
     i = F.col("page_id")
     two = F.lpad((i % 28 + 1).cast("string"), 2, "0")
-    ld = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": "NewsArticle", "headline": "Graph '), i.cast("string"), F.lit('", "datePublished": "2024-03-'), two, F.lit('T10:00:00Z"}]}</script>'))
+    ld = F.concat(F.lit('<script type="application/ld+json">{"name": "A site", "@graph": [{"@type": "WebPage", "name": "A page", "mainEntity": {"@type": "NewsArticle", "headline": "Graph '), i.cast("string"), F.lit('", "datePublished": "2024-03-'), two, F.lit('T10:00:00Z"}}]}</script>'))
     fields = F.concat(F.lit("<meta content='Field &amp; "), i.cast("string"), F.lit("' property='og:title'><meta name=\"DC.date\" content=\"2024-04-"), two, F.lit('">'))
     time = F.concat(F.lit('<time class=x datetime="2024-05-'), two, F.lit('">then</time>'))
     marked = F.concat(F.lit("<strong>News Release Date:</strong> June "), (i % 28 + 1).cast("string"), F.lit(", 2024<br>"))
@@ -286,8 +286,9 @@ SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'scheme' ELSE reason END AS reaso
         f"regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '(^|\\.){b.replace('.', '[.]')}$') AS in_{b.split('.')[1]}" for b in BASES) + " FROM pages",
     "b12_title_and_heading": f"SELECT page_id, {_STRIP.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, length({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1_chars FROM pages",
     "b12_article_metadata": f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Graph ' || page_id WHEN 1 THEN 'Field & ' || page_id ELSE nullif({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, '') END AS title,
-  printf('2024-%02d-%02d', 3 + page_id % 5, page_id % 28 + 1) AS day, CASE WHEN page_id % 3 = 0 THEN 'https://x.gov/' || page_id END AS canonical,
-  length({_STRIP.format(x="regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<script.*?</script>', ' ', 'g')")}) AS body_chars FROM pages""",
+  printf('2024-%02d-%02d', CASE WHEN page_id % 5 = 2 THEN 7 ELSE 3 + page_id % 5 END, page_id % 28 + 1) AS day,
+  CASE WHEN page_id % 3 = 0 THEN 'https://x.gov/' || page_id ELSE printf('https://x.gov/2024/07/%02d/a', page_id % 28 + 1) END AS canonical,
+  nullif(length({_STRIP.format(x="regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<h1>.*?</h1>|<script.*?</script>', ' ', 'g'), '</?(b|i|br|a)( [^>]*)?>', '', 'g')")}), 0) AS body_chars FROM pages""",
     "b13_lookups": f"""SELECT page_id, nullif(regexp_extract(html, '<html[^>]*\\slang="([^"]*)"', 1), '') AS lang, nullif(regexp_extract(html, '<meta[^>]*\\scharset="([^"]*)"', 1), '') AS charset,
   len(regexp_extract_all(html, '<a\\b[^>]*>')) AS links, nullif(regexp_extract(html, '<a\\b[^>]*\\shref="([^"]*)"', 1), '') AS first_href, nullif({_STRIP.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")}, '') AS title FROM pages""",
     "b13_strip_markup": f"SELECT page_id, sha256({_STRIP.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1_sha FROM pages",

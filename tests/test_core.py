@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.functions import markup, text, urls, vectors
+from storyloom.functions import article, markup, text, urls, vectors
 from storyloom.operators import rank, state, themes, verdicts, windows
 from storyloom.operators.scratch import clear, kept
 from storyloom.streaming import events
@@ -125,22 +125,53 @@ def test_entities(spark):
 
 
 def test_article_metadata(spark):
-    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "headline": "From LD", "datePublished": "2024-03-05T01:00:00Z"}</script>'
+    ld = """<script type="application/ld+json">[{"@type": "WebSite", "name": "Not a title"}, {"@graph": [{"part": {"@type": ["Thing", "NewsArticle"],
+      "headline": "From LD &amp; more", "datePublished": "2024-03-05T01:00:00Z", "description": "Said", "articleBody": "Too short"}}]}]</script>"""
+    broken = '<script type="application/ld+json">{"@type": "Article",</script><script type="application/ld+json">{"datePosted": "2024-05-06", "name": "Org"}</script>'
     pages = [
         (1, f"<head>{ld}<meta property='og:title' content='Other'></head><h1>Head</h1><article><p>Body &amp; text</p></article>", "https://a.gov/x"),
-        (2, '<meta content="Field &quot;two&quot;" name=twitter:title><meta name="DC.Date" content="March 7, 2024"><main>main part</main>', "https://a.gov/x"),
-        (3, '<title>Only title 3/9/2023</title><link href="/c" rel="canonical">', "https://a.gov/x"),
-        (4, '<h1> </h1><time>none</time><time datetime="2022-02-03T00:00">then</time>', "https://a.gov/2021/01/02/x"),
+        (2, '<meta content="Field &quot;two&quot;" name=twitter:title><meta name="DC.Date" content="March 7, 2024"><main>main&nbsp;part</main>', "https://a.gov/x"),
+        (3, '<title>Only title 3/9/2023</title><link href="/c?q=1" rel="canonical">', "https://a.gov/d/x"),
+        (4, '<h1> </h1><time datetime="2022-02-03T00:00">then</time>', "https://a.gov/2021/01/02/x"),
         (5, None, None),
+        (6, f'{broken}<h1>Of the <b>site</b></h1><time datetime="2022-02-03">then</time>', "https://a.gov/x"),
+        (7, "<h1>Fire update 7/8/2023</h1><meta name=date content=2020-01-01>", "https://inciweb.wildfire.gov/i/1"),
+        (8, "<strong>News Release Date:</strong> July 1, 2019<p>x</p><meta name=description content='Meta &eacute;'>", "https://a.gov/2018/01/02/"),
+        (9, "<time datetime='2017-06-05'></time>", "https://a.gov/none"),
     ]
     df = spark.createDataFrame(pages, "id long, html string, url string")
-    got = {r["id"]: (r["title"], str(r["day"]), r["canonical"], r["body"]) for r in markup.article_metadata(df).collect()}
+    got = {r["id"]: (r["title"], str(r["day"]), r["canonical"], r["summary"], r["body"]) for r in markup.article_metadata(df).collect()}
     assert got == {
-        1: ("From LD", "2024-03-05", None, "Body & text"), 2: ('Field "two"', "2024-03-07", None, "main part"), 3: ("Only title 3/9/2023", "2023-03-09", "/c", None),
-        4: (None, "2022-02-03", None, None), 5: (None, "None", None, None),
+        1: ("From LD & more", "2024-03-05", "https://a.gov/x", "Said", "Body & text"), 2: ('Field "two"', "2024-03-07", "https://a.gov/x", None, "main part"),
+        3: ("Only title 3/9/2023", "2023-03-09", "https://a.gov/c?q=1", None, None), 4: (None, "2021-01-02", "https://a.gov/2021/01/02/x", None, "then"), 5: (None, "None", None, None, None),
+        6: ("Of the site", "2024-05-06", "https://a.gov/x", None, "Of the sitethen"), 7: ("Fire update 7/8/2023", "2023-07-08", "https://inciweb.wildfire.gov/i/1", None, "Fire update 7/8/2023"),
+        8: (None, "2019-07-01", "https://a.gov/2018/01/02/", "Meta é", "x"), 9: (None, "2017-06-05", "https://a.gov/none", None, None),
     }
 
 
+def test_article_text_is_looked_for_in_order():
+    long = "A sentence that is long enough to be taken for the text of the article at once, as it has many letters. " * 2
+    menu = "<nav><p>Menu</p></nav><div class='share-buttons x'><p>Share</p></div><aside><p>Aside</p></aside><form><p>Form</p></form>"
+    page = f"<body><header><p>Top</p></header><main><article><h2>Kicker</h2>{menu}<p>{long}<p>Second<ul><li>One<li>Two <b>bold</b></ul></article></main><footer><p>End</p></footer></body>"
+    assert article.body_text(page) == f"Kicker {long.strip()} Second One Two bold"
+    inner = f"<div class='field--name-body'><p>{long}</p></div>"
+    assert article.body_text(page.replace("</article>", f"{inner}</article>")) == long.strip()
+    short = "<article><p>Short one</p></article><div id=content><p>Short two</p></div>"
+    assert article.body_text(short) == "Short one"  # none has enough: the first that has any
+    two = f"<article><p>small</p></article><article><div>{long}</div></article>"
+    assert article.body_text(two) == long.strip()  # the longest, all of it as it has no blocks
+    assert article.body_text("<main><div hidden><p>no</p></div><div class=official-website-banner>no</div><p>yes<p>nested <blockquote><p>in it</p></blockquote></main>") == "yes nested in it"
+    table = "<main><table><tr><td>a</td><td>b</td><tr><td>c</table><script>var x = '<p>no</p>'</script></main>"
+    assert article.body_text(table) == "ab c"
+    assert article.body_text("") is None and article.body_text("<p>&#8212;&nbsp;&copy;</p>") == "— ©" and article.body_text("<div>" * 5000 + "deep") == "deep"
+
+
+def test_article_objects_at_any_depth():
+    assert article.article_object({"a": [1, {"b": {"@type": "Report", "x": 1}}], "c": {"@type": "Article"}})["x"] == 1
+    assert article.article_object([{"@type": "Person"}, "Article", None]) is None and article.article_object({"@type": ["Article"]}) is None
+    assert article.first_string({"a": {"dateCreated": 5}, "b": [{"dateCreated": "later"}], "datePosted": "now"}, article.DATE_FIELDS) == "now"
+
+
 def test_lexical_category(spark):
     rules = {"phrases": {"a": ("fire", "wild fire"), "b": ("tax",)}, "priors": {"irs": {"b": 2.0}}, "overrides": {"a": ("blaze",)}}
     for title, content, publisher, want in (
