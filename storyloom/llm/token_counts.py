@@ -20,6 +20,16 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 #: Where pieces depend on more than their own word.
 GAP = re.compile(r"\s\s")
 
+#: A space or line end where pieces end whatever follows: between two other characters.
+LONE = re.compile(r"(?<=\S)[ \n](?=\S)")
+
+#: White space as PIECES has it, which leaves out some characters of str.isspace().
+RUN = regex.compile(r"\s+")
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if RUN.match(c))
+
+#: Letters of the longest piece of the form 's; cut off, its letters are pieces of their own.
+LONGEST_FORM = 3
+
 
 def _byte_of() -> dict[str, int]:
     """Characters that stand for bytes in such vocabularies: printable ones for themselves, others from U+0100 up."""
@@ -78,34 +88,40 @@ class Counter:
 
     def prefixes(self, text: str) -> list[int]:
         """Token counts of text[:p] for p from 0 to len(text), each as if that prefix alone were encoded."""
-        out, done, before = [0], 0, ""
+        out, done, tail, head = [0], 0, "", 0
         for part, special in self._spans(text):
-            if special:  # a cut inside is ordinary text that continues the part before
-                head = done - self._plain(before)
-                out += [head + self._plain(before + part[:q]) for q in range(1, len(part))]
+            if special:  # a cut inside is ordinary text that continues the last word before
+                out += [head + self._plain(tail + part[:q]) for q in range(1, len(part))]
                 done += 1
                 out.append(done)
-                before = ""
+                tail, head = "", done
             else:
+                start = len(out) - 1
                 out += self._inside(part, done)
-                done, before = done + self._plain(part), part
+                done += self._plain(part)
+                cut = max((m.start() for m in LONE.finditer(part)), default=0)
+                tail, head = part[cut:], out[start + cut]
         return out
 
     def _inside(self, part: str, done: int) -> list[int]:
         """Counts at each cut of a part without special tokens, after done tokens."""
         out: list[int] = []
-        run = 0  # where the white space that ends at the cut began, and the tokens before it
-        run_done = done
+        run = end = 0  # where the white space that the cut is in begins and ends
+        run_done, run_counts, run_size = done, [0], 0  # tokens before it, of its prefixes, its bytes up to the cut
         for m in PIECES.finditer(part):
             piece, start = m[0], m.start()
-            counts = self.table.counts(as_symbols(piece)) if not piece.startswith("'") else None
+            form = piece[0] == "'" and len(piece) <= LONGEST_FORM
+            counts = None if form or piece[-1] in WHITE else self.table.counts(as_symbols(piece))
             size = 0
             for q, c in enumerate(piece, 1):
                 size += len(c.encode())
-                if c.isspace():
-                    if not (start + q >= 2 and part[start + q - 2].isspace()):
-                        run, run_done = start + q - 1, out[-1] if out else done
-                    out.append(run_done + self._plain(part[run : start + q]))
+                if c in WHITE:  # all white space up to the cut is one piece: a prefix of the whole run
+                    if start + q > end:
+                        run = start + q - 1
+                        end = RUN.match(part, run).end()
+                        run_done, run_counts, run_size = out[-1] if out else done, self.table.counts(as_symbols(part[run:end])), 0
+                    run_size += len(c.encode())
+                    out.append(run_done + run_counts[run_size])
                 else:
                     out.append(done + (counts[size] if counts else self._plain(piece[:q])))
             done += self.pieces[piece]

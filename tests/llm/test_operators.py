@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import public_tokenizers
@@ -251,6 +252,21 @@ def test_prefix_counts_are_the_library(fuzz, vocabulary):
         assert counter.fit(t, 4) == max(p for p, c in enumerate(want) if c <= 4)
 
 
+def test_prefix_counts_of_long_runs(vocabulary):
+    """White space, quotes, letters before a special string: a table each, filled once, in well under a second."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    counter = token_counts.counter(vocabulary)
+    texts = [" " * 20_000, "a" + " \n" * 10_000 + "b", "'" * 20_000, "word " * 5000 + "<|endoftext|>", "\x1c \x1c\x1c'reb ''s <|endoftext|>  \xa0\u3000x"]
+    began = time.perf_counter()
+    tables = [counter.prefixes(t) for t in texts]
+    assert time.perf_counter() - began < 10
+    for t, table in zip(texts, tables, strict=True):
+        assert len(table) == len(t) + 1
+        for p in {0, 1, 2, len(t) // 3, len(t) // 2, *range(max(0, len(t) - 30), len(t) + 1)}:
+            assert table[p] == n(t[:p]), (t[:20], p)
+
+
 def test_token_count_query(documents, edges, empty, vocabulary):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for df in (documents, edges, empty):
