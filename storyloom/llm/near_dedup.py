@@ -277,7 +277,7 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
     rare to common they share one among the first |D| - t + 1 of each.
 
     So (hub, shingle) is the key under which what is apart meets; edits of one's own are rare and come first, so few
-    members meet anyone.
+    members meet anyone. Of those that do, bitmaps of both sets drop a pair if they show that too many shingles differ.
     """
     percent = at.percent
     hubs = staged(
@@ -315,7 +315,8 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
     # by own shingles: the least that any partner of a foreign member can share with it
     least = F.when(F.col("foreign"), F.ceil(n * percent / 100) - F.col("s")).otherwise(1)
     own = placed.withColumn("reach", (F.size("own") - least).cast("int"))
-    keyed = _rare_first(own, "own", [*about, "s", "foreign", "reach"])
+    marked = staged(_bitmaps(sets.join(placed.select("node").distinct(), "node", "left_semi")))
+    keyed = _rare_first(own, "own", [*about, "s", "foreign", "reach"]).join(marked, "node")
     a, b = _sided(keyed.where("component <> home"), "_a"), _sided(keyed, "_b")
     t = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - F.least("s_a", "s_b")
     can_link = (
@@ -325,6 +326,7 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
         & (F.col("place_a") <= F.col("n_a") - F.col("s_a") - t)
         & (F.col("place_b") <= F.col("n_b") - F.col("s_b") - t)
         & at.fits(F.col("n_a"), F.col("n_b"))
+        & _may_share(percent)
     )
     by_own = _pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(can_link))
     # by what differs. The last place that any partner can need: one that isn't linked to the hub, or, of those
@@ -337,7 +339,7 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
         .withColumn("half", half.cast("int"))
         .withColumn("reach", F.when(F.col("near"), F.col("half")).otherwise(all_but_most.cast("int")))
     )
-    keyed = _rare_first(close, "diff", [*about, "d", "near", "half", "reach"])
+    keyed = _rare_first(close, "diff", [*about, "d", "near", "half", "reach"]).join(marked, "node")
     a, b = _sided(keyed.where("component <> home"), "_a"), _sided(keyed.where("place <= half"), "_b")
     t = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - at.apart(F.col("n_a") + F.col("n_b"))) / 2))
     can_link = (
@@ -347,10 +349,29 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
         & (F.col("place_a") <= F.col("d_a") - t)
         & (F.col("place_b") <= F.col("d_b") - t)
         & at.fits(F.col("n_a"), F.col("n_b"))
+        & _may_share(percent)
     )
     return links, by_own.union(_pair("node_a", "node_b", a.join(b, ["hub", "w"]).where(can_link)))
 
 
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 4
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(node, bits0, bits1, ...) of sets (node, set): a bit for each shingle, by eight bits of its hash."""
+    one = "aggregate(filter(set, x -> shiftright(x, 6) & {last} = {i}), 0L, (acc, x) -> acc | shiftleft(1L, cast(x & 63 AS int))) AS bits{i}"
+    return sets.selectExpr("node", *[one.format(i=i, last=BITMAP - 1) for i in range(BITMAP)])
+
+
+def _may_share(percent: int) -> Column:
+    """Whether the bitmaps of sides _a and _b leave it open that the sets link. Each bit that only one side has is of a
+    shingle that the other doesn't hold, so no pair that links is dropped."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"bits{i}{x}").bitwiseAND(F.bitwise_not(f"bits{i}{y}"))) for i in range(1, BITMAP)), F.bit_count(F.col(f"bits0{x}").bitwiseAND(F.bitwise_not(f"bits0{y}"))))
+    shared = F.least(F.col("n_a") - only("_a", "_b"), F.col("n_b") - only("_b", "_a"))
+    return shared * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
 def _rare_first(members: DataFrame, values: str, about: list[str]) -> DataFrame:
     """(about, w, place) of each member's values w that another member of its hub holds too, up to place `reach`: places
     count from 0 in the order from rare to common, in which those that no other holds come first and need no row."""
