@@ -27,7 +27,7 @@ BLOCK = frozenset(
     "th thead tr ul".split()
 )
 STRONG = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption summary".split())
-DROPPED = frozenset("head nav header footer aside form menu dialog button select object canvas audio video label".split())
+DROPPED = frozenset("head nav header footer aside form menu dialog button select object canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar "
@@ -35,6 +35,11 @@ DROPPED_NAMES = frozenset(
     "modal newsletter subscribe subscription signup login paywall social share sharing comment comments disqus respond "
     "reply replies related recommended recommendations widget pagination pager skip hidden".split()
 )
+#: Words that only say what kind of part a name is of: inside an article, names of these and DROPPED_NAMES alone count.
+PART_NAMES = frozenset(
+    "area bar block box button buttons container content form group holder inner item items link links list module outer panel post posts "
+    "section slot story stories article articles unit widget wrap wrapper".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _MAIN = re.compile(r"role\s*=\s*[\"']?main\b")
@@ -42,8 +47,21 @@ _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+def _names_boilerplate(value: str, in_article: bool) -> bool:
+    """Whether a class or id names a dropped part. Outside articles a word of it is enough; inside, all words of one of its
+    names must: related-posts and share are no text of an article, related-work and notice-period may be."""
+    if not in_article:
+        return any(p.lower() in DROPPED_NAMES for p in _PART.findall(value))
+    for name in value.split():
+        words = [p.lower() for p in _PART.findall(name)]
+        if any(w in DROPPED_NAMES for w in words) and all(w in DROPPED_NAMES or w in PART_NAMES or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def _is_dropped(tag: str, attributes: str, in_article: bool = False) -> bool:
+    """An article's own header holds its title and stays."""
+    if tag in DROPPED and not (tag == "header" and in_article):
         return True
     if not attributes or attributes == "/":
         return False
@@ -53,7 +71,7 @@ def _is_dropped(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and any(p.lower() in DROPPED_NAMES for p in _PART.findall(value)):
+        if name in ("class", "id") and _names_boilerplate(value, in_article):
             return True
     return False
 
@@ -115,7 +133,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             close(len(stack) - 1)
-        off = _is_dropped(tag, m[3])
+        off = _is_dropped(tag, m[3], articles > 0)
         name = "main" if "role" in m[3] and tag != "article" and _MAIN.search(m[3]) else tag
         stack.append((name, off))
         dropped += off
@@ -378,6 +396,7 @@ def extract_text(
     html_col: str = "html",
     least_tokens: int = 8,
     least_pages: int = 3,
+    sure_pages: int = 10,
     chunk_tokens: int = 300_000,
 ) -> DataFrame:
     """id_col, url_col, text of each page's article: blocks in page order, joined by spaces. One row for each row.
@@ -386,7 +405,7 @@ def extract_text(
     are pages like others. Other columns are ignored.
 
     A substring of least_tokens tokens repeats if at least least_pages pages of its host hold it. It then goes from weak
-    blocks; from text elements of an article only if at least half of the host's pages hold it, which copies and quotes
+    blocks; from text elements of an article only if at least half of the host's pages and sure_pages of them hold it, which copies and quotes
     of real text don't reach. Suffix arrays of chunks find the distinct substrings and their pages; pages of chunks
     are distinct, so the sums over all chunks are exact, whatever the partitions. Only substrings whose minimizer is
     on least_pages pages leave their task. Pages are read once a pass and parsed again: only those that lose text are
@@ -420,7 +439,7 @@ def extract_text(
 
     found = counted(substrings, "host string, key long, n long, loose boolean").groupBy("host", "key").agg(F.sum("n").alias("n"), F.max("loose").alias("loose"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    repeats = found.where(F.col("n") >= least_pages).join(sizes, "host").select("key", "loose", (2 * F.col("n") >= F.col("pages")).alias("sure"))
+    repeats = found.where(F.col("n") >= least_pages).join(sizes, "host").select("key", "loose", ((2 * F.col("n") >= F.col("pages")) & (F.col("n") >= sure_pages)).alias("sure"))
     repeats = staged(repeats.where("loose or sure"))
     wanted = _filter_rows(repeats)
     kind = rows.schema["key"].dataType

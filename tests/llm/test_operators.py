@@ -467,6 +467,19 @@ def test_html_article_boilerplate_goes_and_article_text_stays(spark):
     assert all(out[100 + i] == words(99, 40) for i in range(5))
 
 
+def test_html_names_inside_articles(spark):
+    page = (
+        '<div class="site-header x">top</div><article><header><h1>Title</h1><nav>menu</nav></header><p class="notice-period">Notice of four weeks</p>'
+        '<div class="related-work"><p>Others found this</p></div><p><label>Field</label> text</p><div class="related-posts"><p>gone</p></div>'
+        '<div class="share-buttons top"><p>gone</p></div><div id="comments"><p>gone</p></div><div class="cookieNotice"><p>gone</p></div><p class="ad-2">gone</p></article>'
+        '<p class="notice-board">gone</p>')
+    sentence = "<p>one short sentence of ten words that three articles hold</p>"
+    rows = [(1, "http://a.org/1", page)] + [(10 + i, f"http://small.org/{i}", f"<article><p>{' '.join(f'w{i}x{j}' for j in range(30))}</p>{sentence if i < 3 else ''}</article>") for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "Title Notice of four weeks Others found this Field text"
+    assert all(out[10 + i].endswith("three articles hold") for i in range(3))
+
+
 def test_html_repeats_are_counted_over_chunks_and_partitions(spark):
     banner = "<div>this banner stands on only a few pages of the host</div>"
     rows = [(i, f"http://h.org/{i}", f"<body>{banner if i in (3, 40, 77) else ''}<div>own words of page number {i} {i}a {i}b {i}c</div></body>") for i in range(80)]
