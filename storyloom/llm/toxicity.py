@@ -30,6 +30,7 @@ class Settings:
     decay: float = 1e-6
     smooth: int = 4
     most_rows: int = 4000
+    most_bytes: int = 128_000_000
     folds: int = 4
     held_fold: int = 2
     threshold: float = 0.3
@@ -156,9 +157,12 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, settings: Settings) -> Model:
-    """Trains on at most settings.most_rows labelled rows outside the held fold, taken in hash order of their ids.
+    """Trains on at most settings.most_rows labelled rows outside the held fold, taken in hash order of their ids, with at
+    most most_bytes of text.
 
-    The choice is made on the labels alone, so what is joined to the documents and sent to the driver has that bound.
+    Labels are chosen first, so what is joined to the documents has that bound. Of the rows found, which are more if ids
+    repeat, as many are taken in hash order of id and text, each distinct text of an id once, and whole texts up to
+    most_bytes together: only their hashes and sizes are sorted, and only the texts taken are sent to the driver.
     """
     s = settings
     rows = (
@@ -170,8 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
         .orderBy(F.xxhash64("id"))
         .limit(s.most_rows)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id")
-    seen = sorted({(r["id"], r["y"], r["text"] or "") for r in texts.toLocalIterator()})
+    text = F.coalesce(text_col, F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(rows), "id").withColumn("h", F.xxhash64("id", "text"))
+    sizes = texts.groupBy("h").agg(F.first(F.octet_length("text")).alias("n")).orderBy("h").limit(s.most_rows).collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= s.most_bytes
+    taken = texts.sparkSession.createDataFrame([(r["h"],) for r, ok in zip(sizes, fits, strict=True) if ok], "h long")
+    found = texts.join(F.broadcast(taken), "h").groupBy("h").agg(F.first(F.struct("id", "y", "text")).alias("x")).select("x.*")
+    seen = sorted((r["id"], r["y"], r["text"]) for r in found.toLocalIterator())
     return train([t for _, _, t in seen], [y for _, y, _ in seen], s)
 
 

@@ -609,6 +609,21 @@ def test_toxicity_learns(spark, documents, edges, empty):
     assert toxicity.score_toxicity(empty, df.select("doc_id", "toxic")).count() == 0
 
 
+def test_toxicity_training_set_is_bounded(spark, monkeypatch):
+    """A labelled id on many rows, and long texts: rows and bytes stay within the settings."""
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, s: seen.append(texts) or train(texts, labels, s))
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text")).union(
+        spark.range(40).select(F.col("id") + 2, F.repeat(F.lit("long "), 1000)))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    settings = toxicity.Settings(most_rows=50, epochs=2)
+    assert toxicity.score_toxicity(docs, labels, settings=settings).count() == 3040
+    toxicity.score_toxicity(docs.where("doc_id > 1"), labels, settings=toxicity.Settings(most_bytes=20_500, epochs=2)).count()
+    assert len(seen[0]) == 50 and len(set(seen[0])) > 40
+    assert 3 <= len(seen[1]) <= 4 and all(len(t) == 5000 for t in seen[1])
+
+
 def test_toxicity_held_out_accuracy(spark):
     """On the largest given table: about 330 toxic rows to learn from."""
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
