@@ -402,7 +402,8 @@ def extract_text(
     """id_col, url_col, text of each page's article: blocks in page order, joined by spaces. One row for each row.
 
     A null or empty page has an empty text. Null ids and urls stay; pages without a host are one host. Repeated rows
-    are pages like others. Other columns are ignored.
+    are pages like others. A page of any length is parsed whole, in memory of its own size. No pages give no rows. Other
+    columns are ignored.
 
     A substring of least_tokens tokens repeats if at least least_pages pages of its host hold it. It then goes from weak
     blocks; from text elements of an article only if at least half of the host's pages and sure_pages of them hold it, which copies and quotes

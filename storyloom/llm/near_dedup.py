@@ -392,7 +392,11 @@ def _sided(rows: DataFrame, to: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps: one document of each group."""
+    """The rows of docs, with all their columns, that near_duplicates() keeps: one document of each group.
+
+    Rows without an id, and texts without words, are kept. Rows that repeat an id are all kept if a row of that id is.
+    Long texts and empty tables as there.
+    """
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(id_col)
     return docs.join(kept.where(F.col(id_col).isNotNull()).distinct(), id_col, "left_semi").select(docs.columns).union(
         docs.where(F.col(id_col).isNull())

@@ -177,7 +177,8 @@ def read_model(path: str) -> bytes:
 
 def encode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids array<int>, n_ids, decoded, round_trip: the ids of each whole text, what they decode to, and whether
-    that is the text itself. One row for each row.
+    that is the text itself. One row for each row, none for none; rows that repeat an id or a text are encoded each. Texts
+    of any length are encoded whole.
 
     A null or empty text has no ids and decodes to an empty text. The space mark itself, U+2581, reads as a space, as
     in the model's library; only texts with it do not come back unchanged. Other columns are ignored. No shuffle.

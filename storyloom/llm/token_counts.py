@@ -149,8 +149,9 @@ def count_tokens(
 ) -> DataFrame:
     """id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each whole text, one row for each row.
 
-    Null and empty texts have no tokens. Other columns are ignored; null ids and repeated rows stay as they are.
-    No shuffle; memory is one Arrow batch and a bounded table of pieces for each worker.
+    Null and empty texts have no tokens. Other columns are ignored; null ids and repeated rows stay as they are; an empty
+    table gives none. Texts of any length are counted whole. No shuffle; memory is one Arrow batch, the table of the
+    longest piece and a bounded table of pieces for each worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -166,7 +167,9 @@ def prefix_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     """id_col and prefix_tokens: the exact token count of each prefix, by its code points from 0 to the whole text.
 
     With it, get(prefix_tokens, p) is the cost of a prefix and the array's last entry the cost of the text, so budgets
-    are answered in Spark without encoding again. Null texts are taken as empty: one entry, 0.
+    are answered in Spark without encoding again. Null texts are taken as empty: one entry, 0. The table of a text has an
+    entry for each code point, whatever its length, and is filled in one pass; ids, repeated rows, other columns and empty
+    tables as in count_tokens().
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -179,7 +182,8 @@ def prefix_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
 def truncate(
     docs: DataFrame, vocabulary: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id_col and text cut to its longest prefix of at most limit tokens; a null text becomes empty."""
+    """id_col and text cut to its longest prefix of at most limit tokens; a null text becomes empty. Texts of any length,
+    ids, repeated rows, other columns and empty tables as in prefix_counts()."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def cut(texts: list[str | None]) -> dict[str, list]:

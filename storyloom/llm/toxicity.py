@@ -195,7 +195,8 @@ def score_toxicity(
 ) -> DataFrame:
     """id_col, held_out (no label of it was learned from), score (0 to 1), predicted (1 from the threshold on).
 
-    Only the text enters a score: equal texts score alike, null ones as empty. One row for each row of docs. A null id
+    Only the text enters a score: equal texts score alike, null ones as empty. One row for each row of docs, none for
+    none; rows that repeat an id are scored each. Texts of any length are scored whole, word by word. A null id
     is not held out. Without labels of both classes all scores are the share of toxic rows. Other columns are ignored.
     The model, 4 bytes a bucket, is broadcast; scoring is one pass without a shuffle.
     """
