@@ -51,7 +51,7 @@ STAGES = [
     ("SentencePiece", encoded),
 ]
 
-#: SQL can't express subword encoding; tests/llm/test_pipeline.py holds run() against a version in plain Python.
+#: SQL can't express subword encoding; tests/llm/test_pipeline_brute.py holds the stages against a version in plain Python.
 ORACLE_SQL = None
 
 
