@@ -20,17 +20,31 @@ def storyline_rollup(entries: DataFrame) -> DataFrame:
     )
 
 
+def rank_terms(rubric: Column, agencies: Column, feeds: Column, weight: Column, newest: Column, cutoff_s: int, tau_s: float = 124600.0) -> dict[str, Column]:
+    """Rubric (or half of the total for unjudged ones), breadth of agencies and feeds, authority, recency. newest:
+    seconds. The cut-off is a parameter, never the clock."""
+    return {
+        "rubric": F.coalesce(rubric, F.lit(4.0)),
+        "agencies": 0.5 * F.log1p(agencies.cast("double")),
+        "feeds": 0.5 * F.log1p(feeds.cast("double")),
+        "authority": F.log(F.greatest(weight, F.lit(0.001))),
+        "recency": F.least(newest, F.lit(float(cutoff_s))) / F.lit(tau_s),
+    }
+
+
 def rank_key(rubric: Column, agencies: Column, feeds: Column, weight: Column, newest: Column, cutoff_s: int, tau_s: float = 124600.0) -> Column:
-    """Rubric (or half of the total for unjudged ones) + breadth of agencies and feeds + authority + recency.
-    newest: seconds. The cut-off is a parameter, never the clock."""
-    recency = F.least(newest, F.lit(float(cutoff_s))) / F.lit(tau_s)
-    return (
-        F.coalesce(rubric, F.lit(4.0))
-        + 0.5 * F.log1p(agencies.cast("double"))
-        + 0.5 * F.log1p(feeds.cast("double"))
-        + F.log(F.greatest(weight, F.lit(0.001)))
-        + recency
-    )
+    """The sum of the terms."""
+    first, *others = rank_terms(rubric, agencies, feeds, weight, newest, cutoff_s, tau_s).values()
+    return sum(others, first)
+
+
+def term_differences(pairs: DataFrame, terms: DataFrame, names: list[str]) -> DataFrame:
+    """For each term the mean absolute difference of the two rows of a pair (a, b, follows), over pairs whose verdict
+    follows the ranking and over those whose doesn't: (term, agreeing, disagreeing). terms: id and a column for each."""
+    side = lambda to: terms.select(F.col("id").alias(to), *[F.col(n).alias(f"{n}_{to}") for n in names])
+    each = F.array(*[F.struct(F.lit(n).alias("term"), F.abs(F.col(f"{n}_a") - F.col(f"{n}_b")).alias("delta")) for n in names])
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("follows", F.inline(each))
+    return rows.groupBy("term").agg(F.avg(F.when(F.col("follows"), F.col("delta"))).alias("agreeing"), F.avg(F.when(~F.col("follows"), F.col("delta"))).alias("disagreeing"))
 
 
 def facets(rows: DataFrame, *, agencies: str = "agencies", single: dict[str, str]) -> DataFrame:

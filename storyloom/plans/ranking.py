@@ -126,6 +126,15 @@ def d27_by_facet(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("pairs"), F.round(F.avg(F.col("inconsistent").cast("double")), 9).alias("inconsistent_rate"), F.round(F.avg(F.col("sign").cast("double")), 9).alias("tau"))
 
 
+def d27_term_differences(spark: SparkSession, d: str) -> DataFrame:
+    """By how much each term of the key tells judged pairs apart, where verdict and ranking agree and where they don't."""
+    terms = rank.rank_terms(F.col("rubric"), F.size("agencies"), F.col("feeds"), F.col("weight"), F.unix_micros("newest_at") / 1e6, CUTOFF_S)
+    rows = _keys(spark, d).select(F.col("storyline").alias("id"), *[c.alias(n) for n, c in terms.items()])
+    pairs = _audited(spark, d).where("sign is not null").select("a", "b", (F.col("sign") == 1).alias("follows"))
+    out = rank.term_differences(pairs, rows, list(terms))
+    return out.select("term", F.round("agreeing", 6).alias("agreeing"), F.round("disagreeing", 6).alias("disagreeing"))
+
+
 _ROLLED = f"""{STORYLINE_ENTRIES},
 rolled AS (
   SELECT storyline, count(DISTINCT entry) AS entry_count, count(DISTINCT feed) AS feeds,
@@ -170,6 +179,7 @@ QUERIES = {
     "e12_swap_verdict": e12_swap_verdict,
     "d27_audit_metrics": d27_audit_metrics,
     "d27_by_facet": d27_by_facet,
+    "d27_term_differences": d27_term_differences,
 }
 SQL = {
     "d2_storyline_rollup": f"""WITH {_ROLLED} SELECT storyline, entry_count, feeds, array_to_string(agencies, ',') AS agencies,
@@ -197,4 +207,10 @@ SQL = {
     "d27_audit_metrics": f"""WITH {_AUDIT} SELECT count(*) AS pairs, count(*) FILTER (WHERE w1 <> w2) AS inconsistent, round(avg(CAST(sign = 1 AS INTEGER)), 9) AS agreement,
   round(avg(sign), 9) AS tau, round(avg(delta) FILTER (WHERE sign = -1), 9) AS disagreement_delta FROM audit""",
     "d27_by_facet": f"WITH {_AUDIT} SELECT facet, count(*) AS pairs, round(avg(CAST(w1 <> w2 AS INTEGER)), 9) AS inconsistent_rate, round(avg(sign), 9) AS tau FROM audit GROUP BY 1",
+    "d27_term_differences": f"""WITH {_AUDIT}, t AS (SELECT storyline, coalesce(rubric, 4.0) AS rubric, 0.5 * ln(1 + len(agencies)) AS agencies, 0.5 * ln(1 + feeds) AS feeds,
+  ln(greatest(weight, 0.001)) AS authority, least(epoch(newest_at), {CUTOFF_S}) / 124600.0 AS recency FROM keyed)
+SELECT term, round(avg(delta) FILTER (WHERE sign = 1), 6) AS agreeing, round(avg(delta) FILTER (WHERE sign = -1), 6) AS disagreeing FROM (
+  SELECT sign, unnest(['rubric', 'agencies', 'feeds', 'authority', 'recency']) AS term,
+    unnest([abs(x.rubric - y.rubric), abs(x.agencies - y.agencies), abs(x.feeds - y.feeds), abs(x.authority - y.authority), abs(x.recency - y.recency)]) AS delta
+  FROM audit v JOIN t x ON x.storyline = v.a JOIN t y ON y.storyline = v.b WHERE sign IS NOT NULL) GROUP BY 1""",
 }
