@@ -167,6 +167,12 @@ def big_mod(sha256_hex: Column, n: int) -> Column:
     return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: (acc * (1 << 32) % n + p) % n)
 
 
+#: Weights of a phrase in the title (several words, one word) and in the content alone, of an override, and
+#: the least score and margin of each confidence.
+IN_TITLE, IN_CONTENT, OVERRIDE = (5.0, 3.5), (1.4, 0.8), 11.0
+CONFIDENCE = {"high": (9, 4), "medium": (6, 2)}
+
+
 def lexical_category(
     title: Column, content: Column, publisher: Column, *, phrases: dict[str, tuple[str, ...]],
     priors: dict[str, dict[str, float]] | None = None, overrides: dict[str, tuple[str, ...]] | None = None,
@@ -181,15 +187,16 @@ def lexical_category(
         score = F.lit(0.0)
         for p in phrases[name]:
             several = " " in p
-            score = score + F.when(F.contains(t, F.lit(p)), 5.0 if several else 3.5).when(F.contains(c, F.lit(p)), 1.4 if several else 0.8).otherwise(0.0)
+            score = score + F.when(F.contains(t, F.lit(p)), IN_TITLE[not several]).when(F.contains(c, F.lit(p)), IN_CONTENT[not several]).otherwise(0.0)
         for source, given in (priors or {}).items():
             if name in given:
                 score = score + F.when(publisher == source, given[name]).otherwise(0.0)
         decisive = F.lit(False)
         for p in (overrides or {}).get(name, ()):
             decisive = decisive | F.contains(t, F.lit(p))
-        scores.append(F.struct((-F.round(score + F.when(decisive, 11.0).otherwise(0.0), 6)).alias("s"), F.lit(name).alias("category")))
+        scores.append(F.struct((-F.round(score + F.when(decisive, OVERRIDE).otherwise(0.0), 6)).alias("s"), F.lit(name).alias("category")))
     best = F.array_sort(F.array(*scores))
     top, margin = -F.get(best, F.lit(0))["s"], F.round(F.get(best, F.lit(1))["s"] - F.get(best, F.lit(0))["s"], 6)
-    confidence = F.when((top >= 9) & (margin >= 4), "high").when((top >= 6) & (margin >= 2), "medium").otherwise("low")
+    reached = {name: (top >= score) & (margin >= ahead) for name, (score, ahead) in CONFIDENCE.items()}
+    confidence = F.when(reached["high"], "high").when(reached["medium"], "medium").otherwise("low")
     return F.struct(F.get(best, F.lit(0))["category"].alias("category"), margin.alias("margin"), confidence.alias("confidence"))

@@ -126,6 +126,7 @@ def c13_edge_predicate(spark: SparkSession, d: str) -> DataFrame:
     for to in ("a", "b"):
         p = p.join(e.select(F.col("id").alias(to), *[F.col(c).alias(f"{c}_{to}") for c in ("source", "category", "s", "h", "template")]), to)
     c = F.col
+    # fixed values: the cosines, counts and gaps below
     plain = ~(c("template_a") | c("template_b"))
     sources = c("source_a").isin(*TEMPLATE_SOURCES) | c("source_b").isin(*TEMPLATE_SOURCES)
     alike = c("category_a") == c("category_b")
