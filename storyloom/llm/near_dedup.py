@@ -355,11 +355,11 @@ def _spread(crowded: DataFrame, sets: DataFrame, links: DataFrame, at: Threshold
 
 
 #: Words of 64 bits in a set's bitmap.
-BITMAP = 4
+BITMAP = 16
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
-    """(node, bits0, bits1, ...) of sets (node, set): a bit for each shingle, by eight bits of its hash."""
+    """(node, bits0, bits1, ...) of sets (node, set): a bit for each shingle, by ten bits of its hash."""
     one = "aggregate(filter(set, x -> shiftright(x, 6) & {last} = {i}), 0L, (acc, x) -> acc | shiftleft(1L, cast(x & 63 AS int))) AS bits{i}"
     return sets.selectExpr("node", *[one.format(i=i, last=BITMAP - 1) for i in range(BITMAP)])
 
