@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.operators import rank, similar, verdicts
+from storyloom.operators import rank, verdicts
 from storyloom.operators.windows import newest_per_group
 from storyloom.plans.roles import CHAIN, STORYLINE_ENTRIES, VECTORS, chain, seconds, storyline_entries, table, vectors
-from storyloom.plans.similarity import NEAR
+from storyloom.plans.similarity import NEAR, c5_near_duplicate
 
 AS_OF_S = 883612800  # 1998-01-01
 
@@ -84,7 +84,7 @@ def d13_attach_mix(spark: SparkSession, d: str) -> DataFrame:
     """How entries with a vector came to their storyline, with the mean similarity, and how chains' turns did: first,
     original or syndicated."""
     v = vectors(spark, d)
-    near = similar.near_in_window(v, hours=72, least=0.2)
+    near = c5_near_duplicate(spark, d)  # to six digits, as its matches are given
     m = v.select("id").join(near, "id", "left").select(F.when(F.col("sim").isNull(), "new").when(F.col("sim") >= 0.35, "near_duplicate").otherwise("candidate").alias("method"), "sim")
     one = m.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("similarity"))
     turns = chain(spark, d).select(F.when(F.col("ordinal") == 0, "first").when(F.col("syndicated"), "syndicated").otherwise("original").alias("method"))
