@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
-from storyloom.operators import hyperplanes, similar
+from storyloom.operators import blocks, hyperplanes, similar
 from storyloom.operators.scratch import kept
 
 
@@ -27,6 +29,27 @@ def theme_edges(rows: DataFrame, by: str, least: float, recall: float | None = N
     return r.join(o, [by, "block"]).where((F.col("id") < F.col("b")) & (sim >= least)).select(F.col("id").alias("a"), "b")
 
 
+def theme_links(rows: DataFrame, by: str, least: float) -> DataFrame:
+    """H5: edges (a < b) that connect just those rows that theme_edges() connects. Of the pairs in two blocks an edge
+    leaves the task only if it connects what wasn't connected there yet; exact, and a category's pairs are compared."""
+    fullest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("groups")).first()
+    count = similar.block_count(fullest["n"] or 0)
+
+    def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        (left, x), (right, y) = blocks.units(left, "embedding"), blocks.units(right, "embedding")
+        if left["_i"][0].as_py() > right["_j"][0].as_py():
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})  # the same pairs are met the other way
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        forest = blocks.Forest(np.r_[ids, others])
+        for first, sims in blocks.cosines(x, y):
+            r, c = np.nonzero(sims >= least)
+            forest.link(ids[r + first], others[c])
+        return forest.edges()
+
+    side = rows.select(by, "id", "embedding").where(F.col(by).isNotNull())
+    return blocks.crossed(side, side, (count, count), links, "a long, b long", (by,), fullest["groups"])
+
+
 def gated_themes(members: DataFrame, *, least_members: int, least_days: int, least_cohesion: float) -> DataFrame:
     """H5: clusters (cluster, id, published_at, embedding) with enough members on enough days, whose members' mean cosine
     to their centroid is high enough: cluster, n, days, cohesion."""
