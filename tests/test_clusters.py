@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import similar, themes
+from storyloom.operators import blocks, similar, themes
 from storyloom.operators.components import connected_components
 
 
@@ -202,3 +203,31 @@ def test_copies_of_a_vector_leave_a_block_by_the_smallest_ids(spark):
     got = similar.nearest_neighbours(df.where("id in (0, 7)"), df, 3).collect()
     assert {(r["q"], r["rank"]): r["id"] for r in got} == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (7, 1): 0, (7, 2): 1, (7, 3): 2}
     assert [tuple(r) for r in similar.best_in_groups(df.where("id = 3"), df, "label").collect()] == [(3, "g", 1.0)]
+
+
+def test_nearest_in_windows_and_orders_is_brute_force(spark, monkeypatch):
+    """Copies, ties and blocks; single precision alone would mix up what differs in the eighth digit. Pairs stay in numpy."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(blocks, "STEP", 500)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8))
+    x[50:90] = x[50] * (1 + 1e-9 * rng.normal(size=(40, 8)))
+    x[7] = 0
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    sims = np.round(np.clip(unit @ unit.T, -1, 1), 9)
+    us = np.sort(rng.integers(0, 40, 300)) * 3_600_000_000
+    rows = [(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, us, strict=True))]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, us long").withColumn("published_at", F.timestamp_micros("us"))
+    best = lambda i, js, k, least: sorted((-sims[i, j], j) for j in js if sims[i, j] >= least)[:k]
+    near = similar.near_in_window(df, hours=6, least=0.3)
+    assert not re.search("Join", near._jdf.queryExecution().toString())
+    want = {}
+    for i in range(300):
+        found = best(i, [j for j in range(300) if (us[j], j) < (us[i], i) and us[j] > us[i] - 6 * 3_600_000_000], 1, 0.3)
+        want |= {i: (found[0][1], -found[0][0])} if found else {}
+    assert {r["id"]: (r["match"], r["sim"]) for r in near.collect()} == want
+    groups = df.where("id % 3 = 0").select("id", "embedding", "us")
+    got = sorted((r["id"], r["group"], r["sim"]) for r in similar.earlier_groups(df, groups, 0.2, 3).collect())
+    assert got == sorted((i, j, -s) for i in range(300) for s, j in best(i, [j for j in range(0, 300, 3) if (us[j], j) < (us[i], i)], 3, 0.2))
+    got = sorted((r["q"], r["id"], r["sim"]) for r in similar.nearest_neighbours(df, df, 4).collect())
+    assert got == sorted((i, j, -s) for i in range(300) for s, j in best(i, [j for j in range(300) if j != i], 4, -1.0))
