@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from storyloom.operators.scratch import kept
 
 
-def storyline_rollup(entries: DataFrame) -> DataFrame:
-    """For each storyline its entries, feeds, agencies (sorted), first and newest time, heaviest publisher."""
-    return entries.groupBy("storyline").agg(
-        F.count_distinct("entry").alias("entry_count"),
-        F.count_distinct("feed").alias("feeds"),
-        F.array_sort(F.collect_set("agency")).alias("agencies"),
-        F.min("ts").alias("first_at"),
-        F.max("ts").alias("newest_at"),
-        F.max("weight").alias("weight"),
-    )
+def storyline_rollup(entries: DataFrame, lists: bool = True) -> DataFrame:
+    """For each storyline its entries, feeds, agencies (sorted; their number without `lists`), first and newest
+    time, heaviest publisher.
+
+    Each kind of value is made distinct by itself and then counted: several distinct counts in one aggregate would copy
+    every row for each of them, and sort all copies where a list is collected beside them."""
+    w = lambda c: F.col("storyline").eqNullSafe(F.col(c))
+    by_entry = entries.groupBy("storyline", "entry").agg(F.min("ts").alias("first_at"), F.max("ts").alias("newest_at"), F.max("weight").alias("weight"))
+    out = by_entry.groupBy("storyline").agg(
+        F.count("entry").alias("entry_count"), F.min("first_at").alias("first_at"), F.max("newest_at").alias("newest_at"), F.max("weight").alias("weight"))
+    feeds = entries.select(F.col("storyline").alias("_f"), "feed").distinct().groupBy("_f").agg(F.count("feed").alias("feeds"))
+    found = entries.select(F.col("storyline").alias("_a"), "agency").distinct().groupBy("_a")
+    found = found.agg(F.array_sort(F.collect_list("agency")).alias("agencies")) if lists else found.agg(F.count("agency").alias("agencies"))
+    return out.join(feeds, w("_f")).join(found, w("_a")).select("storyline", "entry_count", "feeds", "agencies", "first_at", "newest_at", "weight")
 
 
 def rank_terms(rubric: Column, agencies: Column, feeds: Column, weight: Column, newest: Column, cutoff_s: int, tau_s: float = 124600.0) -> dict[str, Column]:
@@ -183,6 +187,7 @@ def preference_weights(pairs: DataFrame, deltas: list[str], *, l2: float = 0.01,
     import numpy as np
 
     k = len(deltas)
+    pairs = kept(pairs.select("won", "offset", *deltas))  # each step reads them again
     n = max(1, pairs.count())
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

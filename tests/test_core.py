@@ -317,3 +317,22 @@ def test_sums_percentiles_and_neighbours_over_partitions(spark):
     assert near == {x: [*v[max(0, k - 2) : k], *v[k + 1 : k + 3]] for v in by_group.values() for k, x in enumerate(v)}
     share = {r["id"]: r["percentile"] for r in rank.percentile_of_rank(df, ("g",), ["id"]).collect()}
     assert all(share[x] == pytest.approx(k / max(1, len(v) - 1)) for v in by_group.values() for k, x in enumerate(v))
+
+
+def test_ranked_rows_are_narrow_and_counted_without_copies(spark):
+    """Distinct counts copy no row for each kind, a theme's ranking expands no other facet, weights read written pairs."""
+    from storyloom.plans import ranking
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, 10, "2024-01-01", 5, "x", 2.0), (1, 10, "2024-01-01", 6, "x", 3.0), (1, 11, "2024-01-03", 5, "y", 1.0), (2, 12, "2024-01-02", None, None, None), (None, 13, "2024-01-02", 7, "z", 1.0)]
+    df = spark.createDataFrame(rows, "storyline long, entry long, ts string, feed long, agency string, weight double")
+    made = rank.storyline_rollup(df)
+    assert "Expand" not in plan(made)
+    assert {r["storyline"]: tuple(r)[1:] for r in made.collect()} == {
+        1: (2, 2, ["x", "y"], "2024-01-01", "2024-01-03", 3.0), 2: (1, 0, [], "2024-01-02", "2024-01-02", None), None: (1, 1, ["z"], "2024-01-02", "2024-01-02", 1.0)}
+    assert {r["storyline"]: r["agencies"] for r in rank.storyline_rollup(df, lists=False).collect()} == {1: 2, 2: 0, None: 1}
+    sf = "/root/testdata/sf0.001"
+    themes_only = ranking.c23_neighbour_pairs(spark, sf)
+    assert "Generate explode(concat" not in plan(themes_only) and "facet_type" not in plan(themes_only)
+    ranked = ranking._ranked(spark, sf)
+    assert set(ranked.columns) == {"storyline", "rank_key", "first_at", "c_name", "facet_type", "facet_key", "position"}
