@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import vectors
 from storyloom.operators import blocks, hyperplanes, similar
-from storyloom.operators.scratch import kept
+from storyloom.operators.scratch import forget, kept
 
 
 def theme_edges(rows: DataFrame, by: str, least: float, recall: float | None = None) -> DataFrame:
@@ -21,19 +21,31 @@ def theme_edges(rows: DataFrame, by: str, least: float, recall: float | None = N
         side = lambda to: rows.select(by, F.col("id").alias(to), "embedding")
         met = hyperplanes.near_pairs(side("l"), side("r"), least=least, recall=recall, by=(by,), population=fullest)
         return met.where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b")).distinct()
-    blocks = similar.block_count(rows.count())
-    r = similar.with_norm(rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    o = similar.with_norm(rows).select(F.col(by), F.col("id").alias("b"), F.col("embedding").alias("e2"), F.col("norm").alias("n2"), every.alias("block"))
-    sim = vectors.cosine(F.col("embedding"), F.col("e2"), F.col("norm"), F.col("n2"))
-    return r.join(o, [by, "block"]).where((F.col("id") < F.col("b")) & (sim >= least)).select(F.col("id").alias("a"), "b")
+    side, count, groups = _categories(rows, by)
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        (left, x), (right, y) = blocks.units(left, "embedding"), blocks.units(right, "embedding")
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for first, sims in blocks.cosines(x, y):
+            r, c = np.nonzero((sims >= least) & (ids[first : first + len(sims), None] < others))
+            found.append((ids[r + first], others[c]))
+        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+
+    return blocks.crossed(side, side, (count, count), pairs, "a long, b long", (by,), groups)
+
+
+def _categories(rows: DataFrame, by: str) -> tuple[DataFrame, int, int]:
+    """Rows of a category, the blocks that each is cut into, how many categories there are."""
+    fullest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("groups")).first()
+    # two at least, so that a category is spread over tasks
+    return rows.select(by, "id", "embedding").where(F.col(by).isNotNull()), max(2, similar.block_count(fullest["n"] or 0)), fullest["groups"]
 
 
 def theme_links(rows: DataFrame, by: str, least: float) -> DataFrame:
     """H5: edges (a < b) that connect just those rows that theme_edges() connects. Of the pairs in two blocks an edge
     leaves the task only if it connects what wasn't connected there yet; exact, and a category's pairs are compared."""
-    fullest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("groups")).first()
-    count = similar.block_count(fullest["n"] or 0)
+    side, count, groups = _categories(rows, by)
 
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
         (left, x), (right, y) = blocks.units(left, "embedding"), blocks.units(right, "embedding")
@@ -46,8 +58,7 @@ def theme_links(rows: DataFrame, by: str, least: float) -> DataFrame:
             forest.link(ids[r + first], others[c])
         return forest.edges()
 
-    side = rows.select(by, "id", "embedding").where(F.col(by).isNotNull())
-    return blocks.crossed(side, side, (count, count), links, "a long, b long", (by,), fullest["groups"])
+    return blocks.crossed(side, side, (count, count), links, "a long, b long", (by,), groups)
 
 
 def gated_themes(members: DataFrame, *, least_members: int, least_days: int, least_cohesion: float) -> DataFrame:
@@ -63,28 +74,36 @@ def average_linkage(rows: DataFrame, edges: DataFrame, stop: float) -> DataFrame
     above, without which no merge can be. In each round all pairs of clusters merge that are best for each other, ties by
     a hash, so that copies halve in number: average linkage can't bring a third cluster nearer to a merged one than to both its parts, so that gives one
     merge at a time's clusters. A cluster is its sum of unit vectors and its size: the mean cosine of two is a product."""
-    norm = vectors.norm(F.col("embedding"))
-    unit = F.transform("embedding", lambda e: F.when(norm == 0, F.lit(0.0)).otherwise(e.cast("double") / norm))
+    unit = vectors.unit(F.col("embedding"))
     clusters = kept(rows.select(F.col("id").alias("c"), unit.alias("s"), F.lit(1).cast("long").alias("n")))
     members = kept(rows.select("id", F.col("id").alias("cluster")))
-    pairs = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    new = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     side = lambda x: clusters.select(F.col("c").alias(x), F.col("s").alias("s" + x), F.col("n").alias("n" + x))
+    near, waste = None, []
     while True:
         dot = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(dot / (F.col("na") * F.col("nb")), 12).alias("mean"))
-        near = kept(met.where(F.col("mean") >= stop))
+        met = new.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(dot / (F.col("na") * F.col("nb")), 12).alias("mean"))
+        # a pair below the stop can't come back by a merge: a merged cluster is no nearer to a third than both its parts were
+        met = met.where(F.col("mean") >= stop)
+        near = kept(met if near is None else met.union(near))
+        forget(*waste)
         if near.isEmpty():
             return members
         ends = near.select(F.explode(F.array("a", "b")).alias("e"), F.struct((-F.col("mean")).alias("m"), F.xxhash64("a", "b").alias("h"), "a", "b").alias("x"))
         best = ends.groupBy("e").agg(F.min("x").alias("x"))
         merged = kept(best.groupBy("x").agg(F.count("*").alias("n")).where("n = 2").select(F.col("x.b").alias("was"), F.col("x.a").alias("now")))
-        moved = lambda df, c: df.join(merged, df[c] == merged["was"], "left").withColumn(c, F.coalesce("now", c)).drop("was", "now")
-        members = kept(moved(members, "cluster"))
-        grown = moved(clusters, "c").select("c", "n", F.posexplode("s").alias("dim", "v"))
-        sums = grown.groupBy("c", "dim").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-        clusters = kept(sums.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda e: e["v"]).alias("s"), F.max("n").alias("n")))
-        pairs = moved(moved(pairs, "a"), "b").where("a <> b")
-        pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        moved = kept(merged.select(F.inline(F.array(F.struct("was", "now"), F.struct(F.col("now").alias("was"), "now")))))
+        to = lambda x: moved.select(F.col("was").alias(x), F.col("now").alias(f"_{x}"))
+        waste = [members, clusters, near, merged, moved]
+        members = kept(members.join(to("cluster"), "cluster", "left").select("id", F.coalesce("_cluster", "cluster").alias("cluster")))
+        grown = merged.join(side("now"), "now").join(side("was"), "was").select(
+            F.col("now").alias("c"), F.zip_with("snow", "swas", lambda x, y: x + y).alias("s"), (F.col("nnow") + F.col("nwas")).alias("n"))
+        clusters = kept(clusters.join(moved.select(F.col("was").alias("c")), "c", "left_anti").union(grown))
+        # only pairs with a cluster that has grown are computed again
+        told = near.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        x, y = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+        new = told.where("_a is not null or _b is not null").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+        near = told.where("_a is null and _b is null").select("a", "b", "mean")
 
 
 def greedy_matches(edges: DataFrame) -> DataFrame:

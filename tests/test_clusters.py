@@ -231,3 +231,20 @@ def test_nearest_in_windows_and_orders_is_brute_force(spark, monkeypatch):
     assert got == sorted((i, j, -s) for i in range(300) for s, j in best(i, [j for j in range(0, 300, 3) if (us[j], j) < (us[i], i)], 3, 0.2))
     got = sorted((r["q"], r["id"], r["sim"]) for r in similar.nearest_neighbours(df, df, 4).collect())
     assert got == sorted((i, j, -s) for i in range(300) for s, j in best(i, [j for j in range(300) if j != i], 4, -1.0))
+
+
+def test_theme_pairs_stay_in_numpy_and_grown_clusters_alone_are_met_again(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 30)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 5))
+    df = spark.createDataFrame([(i, "t" if i % 2 else None, v.tolist()) for i, v in enumerate(x)], "id long, label string, embedding array<double>")
+    edges = themes.theme_edges(df, "label", 0.5)
+    assert not re.search(r"(Hash|SortMerge|Inner).*Join|Join Inner", edges._jdf.queryExecution().toString())
+    odd = range(1, 120, 2)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert {tuple(r) for r in edges.collect()} == {(i, j) for i in odd for j in odd if i < j and u[i] @ u[j] >= 0.5}
+    got: dict[int, set] = {}
+    rows = df.where("label is not null").select("id", "embedding")
+    for r in themes.average_linkage(rows, edges, 0.5).collect():
+        got.setdefault(r["cluster"], set()).add((r["id"] - 1) // 2)
+    assert {frozenset(g) for g in got.values()} == _linked(u[1::2], 0.5)
