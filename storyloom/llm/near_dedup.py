@@ -4,9 +4,12 @@ estimates, exact Jaccard on full sets, connected components."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -375,7 +378,8 @@ def _may_share(percent: int) -> Column:
 def _rare_first(members: DataFrame, values: str, about: list[str]) -> DataFrame:
     """(about, w, place) of each member's values w that another member of its hub holds too, up to place `reach`: places
     count from 0 in the order from rare to common, in which those that no other holds come first and need no row."""
-    held = staged(members.select(*about, F.size(values).alias("size"), F.explode(values).alias("w")))
+    met = _that_meet(members.select(*about, F.size(values).alias("size"), values), values)
+    held = staged(met.select(*about, "size", F.explode(values).alias("w")))
     common = staged(held.groupBy("hub", "w").agg(F.count("*").alias("c")).where("c > 1"))
     ranked = (
         held.join(common, ["hub", "w"])
@@ -387,6 +391,59 @@ def _rare_first(members: DataFrame, values: str, about: list[str]) -> DataFrame:
     return staged(ranked.select(*about, F.col("x.w").alias("w"), (F.col("alone") + F.col("i")).alias("place")))
 
 
+#: Bits of the filter of values that two members of a hub hold, 4 MB that all tasks get, and in how many parts it is made.
+FILTER_BITS, FILTER_PARTS = 25, 64
+
+
+def _bit(batch: pa.RecordBatch, values: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The values of a batch's rows (hub, values) in one array, how many each row has, and the bit of each in its hub."""
+    lists = batch.column(values)
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    hub = np.repeat(batch.column("hub").to_numpy().astype(np.uint64), n)
+    return flat, n, (mix(flat.to_numpy().astype(np.uint64) ^ mix(hub)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _that_meet(members: DataFrame, values: str) -> DataFrame:
+    """members (hub, values, ...) without values that no other member of the hub holds, but for a few whose bit in a filter
+    another value has too: what nobody shares needs no row of its own. Bits that a batch of members holds go to their part
+    of the filter as arrays, where those held twice are found."""
+    span = (1 << FILTER_BITS) // FILTER_PARTS
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, n = np.unique(_bit(batch, values)[2], return_counts=True)
+            bits = np.repeat(bits, np.minimum(n, 2))
+            bounds = np.searchsorted(bits, np.arange(FILTER_PARTS + 1) * span)
+            parts = np.flatnonzero(np.diff(bounds))
+            lists = [bits[bounds[i] : bounds[i + 1]] - i * span for i in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["part", "bits"])
+
+    def twice(rows: pa.Table) -> pa.Table:
+        bits, n = np.unique(rows["bits"].combine_chunks().flatten().to_numpy(), return_counts=True)
+        out = np.zeros(span, bool)
+        out[bits[n > 1]] = True
+        return pa.table({"part": rows["part"][:1], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    parts = members.select("hub", values).mapInArrow(held, "part long, bits array<long>").groupBy("part").applyInArrow(twice, "part long, bits binary")
+    whole = np.zeros((FILTER_PARTS, span // 8), np.uint8)
+    for r in parts.collect():  # 4 MB at most
+        whole[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = members.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            flat, n, bits = _bit(batch, values)
+            met = (known[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1).astype(bool)
+            ends = np.r_[0, met.cumsum()][np.r_[0, n.cumsum()]].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(met)))
+            at = batch.schema.get_field_index(values)
+            yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return members.mapInArrow(those, members.schema)
+
+
 def _sided(rows: DataFrame, to: str) -> DataFrame:
     return rows.select("hub", "w", *[F.col(c).alias(c + to) for c in rows.columns if c not in ("hub", "w")])
 

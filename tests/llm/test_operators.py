@@ -148,6 +148,27 @@ def test_near_dedup_of_a_shared_passage_is_brute_force(spark, seed):
     assert 20 < len(set(out.values())) < 0.8 * len(texts)
 
 
+def test_near_dedup_makes_no_rows_of_what_nobody_shares(spark, monkeypatch, n=400):
+    """Many documents hold a passage and words of their own, a few are near copies: only what two of them hold is dealt out."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    own = [[f"w{rng.randrange(10**9)}" for _ in range(40)] for _ in range(n)]
+    texts = [" ".join(passage + o) for o in own] + [" ".join(passage + o[:-2]) for o in own[::20]]
+    rows, was = [], near_dedup.staged
+
+    def staged(df):
+        out = was(df)
+        if {"hub", "size", "w"} <= set(out.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", staged)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4, long_list=20).collect()}
+    assert out == {i: i if i < n else (i - n) * 20 for i in range(len(texts))}
+    assert rows and sum(rows) < 20 * n  # of 40 own shingles of each
+
+
 def test_near_dedup_of_drifting_versions(spark, n=900):
     """Each text is a version of the one before: one chain, in shuffled order."""
     rng = random.Random(3)
