@@ -21,7 +21,7 @@ def theme_edges(rows: DataFrame, by: str, least: float, recall: float | None = N
         side = lambda to: rows.select(by, F.col("id").alias(to), "embedding")
         met = hyperplanes.near_pairs(side("l"), side("r"), least=least, recall=recall, by=(by,), population=fullest)
         return met.where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b")).distinct()
-    side, count, groups = _categories(rows, by)
+    side, count, groups = _categories(rows, (by,))
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         (left, x), (right, y) = blocks.units(left, "embedding"), blocks.units(right, "embedding")
@@ -35,16 +35,19 @@ def theme_edges(rows: DataFrame, by: str, least: float, recall: float | None = N
     return blocks.crossed(side, side, (count, count), pairs, "a long, b long", (by,), groups)
 
 
-def _categories(rows: DataFrame, by: str) -> tuple[DataFrame, int, int]:
-    """Rows of a category, the blocks that each is cut into, how many categories there are."""
-    fullest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("groups")).first()
+def _categories(rows: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, int, int]:
+    """Rows of a category, the blocks that each is cut into, how many categories there are; of small ones, how many tasks
+    they fill."""
+    fullest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
+    filled = max(16, (fullest["rows"] or 0) // (similar.BUCKET_ROWS // 2))
     # two at least, so that a category is spread over tasks
-    return rows.select(by, "id", "embedding").where(F.col(by).isNotNull()), max(2, similar.block_count(fullest["n"] or 0)), fullest["groups"]
+    return rows.select(*by, "id", "embedding").dropna(subset=list(by)), max(2, similar.block_count(fullest["n"] or 0)), min(fullest["groups"], filled)
 
 
-def theme_links(rows: DataFrame, by: str, least: float) -> DataFrame:
+def theme_links(rows: DataFrame, by: str | tuple[str, ...], least: float) -> DataFrame:
     """H5: edges (a < b) that connect just those rows that theme_edges() connects. Of the pairs in two blocks an edge
     leaves the task only if it connects what wasn't connected there yet; exact, and a category's pairs are compared."""
+    by = (by,) if isinstance(by, str) else by
     side, count, groups = _categories(rows, by)
 
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -58,7 +61,7 @@ def theme_links(rows: DataFrame, by: str, least: float) -> DataFrame:
             forest.link(ids[r + first], others[c])
         return forest.edges()
 
-    return blocks.crossed(side, side, (count, count), links, "a long, b long", (by,), groups)
+    return blocks.crossed(side, side, (count, count), links, "a long, b long", by, groups)
 
 
 def gated_themes(members: DataFrame, *, least_members: int, least_days: int, least_cohesion: float) -> DataFrame:

@@ -59,8 +59,8 @@ def j6_stream_sweeps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gated(rows: DataFrame) -> DataFrame:
-    """H5 on the rows of a sweep; the threshold fits random vectors."""
-    nodes = connected_components(themes.theme_links(rows, "label", 0.2)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    """H5 on the rows of each sweep; the threshold fits random vectors."""
+    nodes = connected_components(themes.theme_links(rows, ("window_s", "label"), 0.2)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     members = nodes.join(rows, "id")
     good = themes.gated_themes(members, least_members=4, least_days=2, least_cohesion=0.1)
     return nodes.join(good.select("cluster"), "cluster", "left_semi")

@@ -269,6 +269,38 @@ def test_themes_live_on_over_sweeps(spark, tmp_path):
     }
 
 
+def test_sweeps_of_a_batch_cluster_once_and_ties_go_by_themes(spark, tmp_path):
+    """Twelve windows of random clusters, many of them alike: what one sweep after the other gives, in one call a batch."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abc"), datetime(2024, 1, 2) + timedelta(days=i // 8)) for i in range(96)]
+    batches, calls = [rows[:70], rows[70:]], []
+    s = _files(spark, str(tmp_path / "in"), batches)
+
+    def cluster(seen):
+        calls.append(1)
+        return seen.select("id", F.col("token").alias("cluster"))
+
+    out = events.theme_sweeps(s, "1 day", (tmp_path / "store").as_uri(), cluster, span=2, least=0.2)
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["sweep_s"], r["theme"]), set()).add(r["id"])
+    want, before = {}, {}
+    for day in range(12):
+        start = int((datetime(2024, 1, 2) + timedelta(days=day) - datetime(1970, 1, 1)).total_seconds())
+        groups = {}
+        for i, token, _ in rows[max(0, 8 * day - 8) : 8 * day + 8]:
+            groups.setdefault(token, set()).add(i)
+        named = {f"{start}:{min(g)}": g for g in groups.values()}
+        scored = sorted((-round(len(g & h) / len(g | h), 9), a, b) for a, g in named.items() for b, h in before.items() if len(g & h) >= 0.2 * len(g | h))
+        match = {}
+        for _, a, b in scored:
+            if a not in match and b not in match.values():
+                match[a] = b
+        before = {match.get(a, a): g for a, g in named.items()}
+        want |= {(start, t): g for t, g in before.items()}
+    assert got == want and len(calls) == len(batches)
+
+
 def test_a_sweep_sees_its_whole_window(spark, tmp_path):
     at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
     batches = [[(1, "a", at(1)), (2, "a", at(30))], [(3, "a", at(5)), (4, "b", at(60))], [(5, "b", at(31))]]
