@@ -123,10 +123,11 @@ def keys_text(title: Column, summary: Column, body: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(F.nullif(summary, F.lit("")), F.substring(body, 1, BODY_CAP), F.lit("")))
 
 
-def event_keys(text: Column, most: int = 16) -> Column:
-    """Distinct hard event keys, sorted."""
+def event_keys(text: Column, most: int | None = None) -> Column:
+    """Distinct hard event keys, sorted; all of them, or the first `most`."""
     found = [F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in EVENT_KEYS]
-    return F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda k: squeeze(k)))), 1, most)
+    keys = F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda k: squeeze(k))))
+    return keys if most is None else F.slice(keys, 1, most)
 
 
 def is_valid_enrichment(text: Column, markers: tuple[str, ...], least_chars: int = 40, least_alnum: int = 20) -> Column:

@@ -10,7 +10,7 @@ from storyloom.functions import text, vectors
 from storyloom.operators import rank
 from storyloom.operators.scratch import new_folder
 from storyloom.plans.roles import ENTRIES, entries, table
-from storyloom.plans.texts import KEY_SETS, keyed_text
+from storyloom.plans.texts import ALL_KEY_SETS, keyed_text
 from storyloom.sources import feeds
 
 
@@ -205,7 +205,7 @@ UNION ALL SELECT 'index' || (m // 50), 'index', 'https://x.gov/map' || m || '.xm
     "a10_json_export": "SELECT doc_id, quality, toxic FROM labels",
     "b6_strict_boolean": "SELECT CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS value, l_returnflag NOT IN ('A', 'N') AS rejected, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "b15_candidates": f"WITH {ENTRIES} SELECT id, CASE WHEN trim(title) = '' THEN 'no title' WHEN epoch(published_at) < 1704100000 OR epoch(published_at) >= 1704300000 THEN 'outside window' END AS reason, least(length(title), 80) AS title_chars FROM entries",
-    "b19_reextraction": f"WITH {ENTRIES}, {KEY_SETS} SELECT id, len(list) AS keys FROM key_sets WHERE id % 3 = 0 OR id % 5 < 3",
+    "b19_reextraction": f"WITH {ENTRIES}, {ALL_KEY_SETS} SELECT id, len(list) AS keys FROM key_sets WHERE id % 3 = 0 OR id % 5 < 3",
     "b25_running_mean": "SELECT vec_id, dim, round(avg(x) OVER (PARTITION BY label, dim ORDER BY vec_id), 6) AS mean FROM (SELECT vec_id, label, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)",
     "b36_publisher_weight": "SELECT s_suppkey % 20 AS storyline, greatest(coalesce(max(CASE WHEN s_nationkey % 3 = 0 THEN s_nationkey / 10.0::DOUBLE + 1 END), 1.0), 1.0) AS weight FROM supplier GROUP BY 1",
     "b39_verdict_values": "SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 2) THEN 1 WHEN doc_id % 6 IN (1, 3) THEN 0 END AS verdict, doc_id % 6 >= 4 AS violation FROM labels",

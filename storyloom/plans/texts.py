@@ -263,11 +263,14 @@ named AS (SELECT id, w FROM bare WHERE length(w) >= 4 AND NOT list_contains({_ST
 entity_sets AS (SELECT e.id, coalesce(list_sort(list(DISTINCT w) FILTER (WHERE w IS NOT NULL))[1:64], []) AS list FROM entries e LEFT JOIN named k ON e.id = k.id GROUP BY e.id)"""
 _KEYED = """(title || '. ' || CASE WHEN summary = '' THEN substr(body, 1, 4000) ELSE summary END || ' see ' || CASE id % 5 WHEN 0 THEN printf('CVE-2024-%07d', id) WHEN 1 THEN printf('Docket No.  24-%04d', id)
   WHEN 2 THEN printf('EPA-HQ-2023-%05d', id) WHEN 3 THEN printf('2024-%06d', id) ELSE printf('no-2024-%06d', id) END || printf(' and Z-%04d-2024 Case no. 23-104.', id % 5000))"""
-KEY_SETS = f"""keyed AS (SELECT id, {_KEYED} AS t FROM entries),
+ALL_KEY_SETS = f"""keyed AS (SELECT id, {_KEYED} AS t FROM entries),
 raw_keys AS (SELECT id, unnest(flatten([regexp_extract_all(t, '(?i)\\bCVE-\\d{{4}}-\\d{{4,7}}\\b'), regexp_extract_all(t, '\\b[A-Z]{{2,6}}(?:-[A-Z]{{1,6}})*-\\d{{4}}-\\d{{3,5}}(?:-\\d{{1,6}})?\\b'),
   regexp_extract_all(t, '(?:^|[^-\\w])(\\d{{4}}-\\d{{5,6}})\\b', 1), regexp_extract_all(t, '\\b[ZF]-\\d{{4}}-\\d{{2,4}}\\b'),
   regexp_extract_all(t, '(?i)\\b(?:case|docket)\\s+no\\.\\s?\\d{{2}}-\\d{{2,5}}\\b')])) AS k FROM keyed),
-key_sets AS (SELECT e.id, coalesce(list_sort(list(DISTINCT lower(regexp_replace(k, '\\s+', ' ', 'g'))) FILTER (WHERE k IS NOT NULL))[1:16], []) AS list FROM entries e LEFT JOIN raw_keys r ON e.id = r.id GROUP BY e.id)"""
+key_sets AS (SELECT e.id, coalesce(list_sort(list(DISTINCT lower(regexp_replace(k, '\\s+', ' ', 'g'))) FILTER (WHERE k IS NOT NULL)), []) AS list FROM entries e LEFT JOIN raw_keys r ON e.id = r.id GROUP BY e.id)"""
+#: Keys of an entry that C12 and C13 block by at most.
+MOST_KEYS = 16
+KEY_SETS = ALL_KEY_SETS.replace("(WHERE k IS NOT NULL))", f"(WHERE k IS NOT NULL))[1:{MOST_KEYS}]")
 _LINKS = """links AS (SELECT page_id, href, arg_min(t, pos) AS text, min(pos) AS pos FROM (
   SELECT page_id, unnest(a) AS href, unnest(t) AS t, unnest(range(len(a))) AS pos FROM (
     SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)) GROUP BY 1, 2)"""
@@ -306,7 +309,7 @@ SELECT page_id, strftime(coalesce(try_strptime(a.y || '-' || a.m || '-' || a.d,
   CASE WHEN m <= 12 AND d <= 31 THEN strftime(try_strptime('2023-' || m || '-' || d, '%Y-%m-%d'), '%Y-%m-%d') END AS title_day FROM g""",
     "b16_title_patterns": f"WITH {ENTRIES} SELECT id, regexp_matches(title, '(?i)^the |tion') AS allowed, regexp_matches(title, '(?i)\\bof\\b') AS denied FROM entries",
     "b17_entities": f"WITH {ENTRIES}, {ENTITY_SETS} SELECT id, array_to_string(list, ',') AS entities FROM entity_sets",
-    "b18_event_keys": f"WITH {ENTRIES}, {KEY_SETS} SELECT id, array_to_string(list, ',') AS keys FROM key_sets",
+    "b18_event_keys": f"WITH {ENTRIES}, {ALL_KEY_SETS} SELECT id, array_to_string(list, ',') AS keys FROM key_sets",
     "b20_valid_enrichment": f"WITH {ENTRIES} SELECT id, {_VALID} AS valid FROM entries",
     "b21_embedding_text": f"WITH {ENTRIES} SELECT id, sha256({_CHOSEN}) AS text_sha FROM entries",
     "b22_bag_embedding": f"""WITH {ENTRIES}, w AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(replace(replace(lower({_CHOSEN}), 'ß', 'ss'), 'ς', 'σ'), '\\s+'),
