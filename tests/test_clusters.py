@@ -299,6 +299,7 @@ def test_first_meetings_and_dots_are_brute_force(monkeypatch):
     pairs = [(rng.randrange(6), rng.randrange(42), rng.randrange(42)) for _ in range(300)]
     got = blocks.dots(pa.table(dict(zip(("key", "a", "b"), map(list, zip(*pairs, strict=True)), strict=True))), pa.table({
         "key": [k for k, _ in held], "id": [i for _, i in held], "codes": [codes[i] for _, i in held], "w": [list(vectors[i].values()) for _, i in held]}))
+    assert blocks.repeats(pa.table({"a": [1, 2, 1, 1], "b": [5, 5, 5, 6]})).tolist() == [2, 1, 2, 1]
     assert np.allclose(got, [sum(w * vectors[b].get(c, 0) for c, w in vectors[a].items()) if (k, a) in held and (k, b) in held else 0 for k, a, b in pairs])
 
 
